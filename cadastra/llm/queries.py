@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadastra.llm import exact_dedup, fingerprints, mixing, url_filter
+from cadastra.llm import exact_dedup, fingerprints, language_id, mixing, url_filter
 from cadastra.llm.common import documents
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_held_out(documents(spark, sf_dir))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
@@ -24,5 +28,5 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op6_mixing, op7_fingerprints, op8_exact_dedup, op9_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op6_mixing, op7_fingerprints, op8_exact_dedup, op9_url_filter)}
 ORACLE = {"op8_exact_dedup": exact_dedup.ORACLE, "op9_url_filter": url_filter.oracle()}
