@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadastra.llm import exact_dedup, fingerprints, language_id, mixing, url_filter
+from cadastra.llm import exact_dedup, fingerprints, language_id, mixing, quality, url_filter
 from cadastra.llm.common import documents
 
 
@@ -28,5 +28,10 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op6_mixing, op7_fingerprints, op8_exact_dedup, op9_url_filter)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.judge(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op6_mixing, op7_fingerprints, op8_exact_dedup, op9_url_filter, op10_quality)}
 ORACLE = {"op8_exact_dedup": exact_dedup.ORACLE, "op9_url_filter": url_filter.oracle()}
