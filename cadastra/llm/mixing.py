@@ -119,7 +119,9 @@ def _repaired(rows: DataFrame, most: float) -> DataFrame:
     lacks = rows.groupBy("k", "target").agg((F.col("target") - F.sum(F.col("copies") * F.col("size"))).alias("lack")).drop("target")
     can = F.when(F.col("lack") > 0, F.col("copies") + 1 <= most).otherwise(F.col("copies") >= 1)
     off = F.abs(F.col("size") - F.abs("lack"))
-    pick = rows.join(lacks, "k").filter(can & (off < F.abs("lack")))
+    # One candidate of each (size, copies): what is joined and compared by source are few rows.
+    kinds = rows.groupBy("k", "size", "copies").agg(F.min(F.struct("salt", "rank")).alias("one")).select("k", "size", "copies", "one.salt", "one.rank")
+    pick = kinds.join(lacks, "k").filter(can & (off < F.abs("lack")))
     pick = pick.groupBy("k").agg(F.min(F.struct(off.alias("off"), "size", "salt", "rank", F.signum("lack").cast("long").alias("change"))).alias("p")).select("k", "p.size", "p.salt", "p.rank", "p.change")
     fixed = rows.join(pick, ["k", "size", "salt", "rank"], "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0))).drop("change")
     return stored(fixed, "mix-copies")
