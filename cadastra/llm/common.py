@@ -118,3 +118,14 @@ class Rolling:
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The hash of each data[start:end]."""
         return mix64((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
+
+
+def runs(data: np.ndarray, gap: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of the runs of bytes that aren't gaps; none goes over the end of a row. owner: each byte's row."""
+    inside = ~gap
+    new = inside.copy()
+    new[1:] &= gap[:-1] | (owner[1:] != owner[:-1])
+    last = inside.copy()
+    last[:-1] &= gap[1:] | (owner[1:] != owner[:-1])
+    start = np.flatnonzero(new)
+    return owner[start], start, np.flatnonzero(last) + 1

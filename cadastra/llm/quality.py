@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadastra.llm.common import Rolling, bucket_of, slices, text_bytes
+from cadastra.llm.common import Rolling, bucket_of, runs, slices, text_bytes
 
 _KINDS = 40  # classes of bytes: lower case, capital, digit, space, line end, other, 33 signs
 _PAIRS = _KINDS * _KINDS
@@ -57,17 +57,6 @@ def _distinct(row: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(row[new], minlength=n)
 
 
-def _units(data: np.ndarray, gap: np.ndarray, owner: np.ndarray, rolling: Rolling) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the runs of bytes that aren't gaps; none goes over the end of a row."""
-    inside = ~gap
-    new = inside.copy()
-    new[1:] &= gap[:-1] | (owner[1:] != owner[:-1])
-    last = inside.copy()
-    last[:-1] &= gap[1:] | (owner[1:] != owner[:-1])
-    start, end = np.flatnonzero(new), np.flatnonzero(last) + 1
-    return owner[start], rolling.spans(start, end)
-
-
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Texts by DIMS: counts of pairs, damped, and the form."""
     n, size = len(offsets) - 1, np.diff(offsets)
@@ -83,8 +72,10 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     same = (owner[1:] == owner[:-1]) & (letter[1:] + letter[:-1] > 0)
     out[:, _PAIRS : _PAIRS + _LETTERS] = np.bincount((owner[:-1] * _LETTERS + letter[:-1] * 27 + letter[1:])[same], minlength=n * _LETTERS).reshape(n, _LETTERS)
     np.log1p(out, out=out)
-    word, word_hash = _units(data, (kind == 3) | (kind == 4), owner, rolling)
-    line, line_hash = _units(data, kind == 4, owner, rolling)
+    word, start, end = runs(data, (kind == 3) | (kind == 4), owner)
+    word_hash = rolling.spans(start, end)
+    line, start, end = runs(data, kind == 4, owner)
+    line_hash = rolling.spans(start, end)
     words, lines = np.bincount(word, minlength=n), np.bincount(line, minlength=n)
     share = lambda x, of: x / np.maximum(of, 1)
     count = lambda k: np.bincount(owner[k], minlength=n)

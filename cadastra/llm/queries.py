@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadastra.llm import exact_dedup, fingerprints, language_id, mixing, quality, url_filter
+from cadastra.llm import exact_dedup, fingerprints, jaccard_join, language_id, mixing, quality, url_filter
 from cadastra.llm.common import documents
 
 
@@ -12,6 +12,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_held_out(documents(spark, sf_dir))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
@@ -33,5 +37,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op6_mixing, op7_fingerprints, op8_exact_dedup, op9_url_filter, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op6_mixing, op7_fingerprints, op8_exact_dedup, op9_url_filter, op10_quality)}
 ORACLE = {"op8_exact_dedup": exact_dedup.ORACLE, "op9_url_filter": url_filter.oracle()}
