@@ -62,7 +62,7 @@ def load_pieces(path: str = VOCABULARY) -> list[str]:
 def words_of(text: str) -> list[str]:
     """Runs of letters in lower case with the space mark; long ones in parts."""
     found = _WORDS.findall(text.lower())
-    if any(len(w) > _LONGEST for w in found):
+    if found and max(map(len, found)) > _LONGEST:
         found = [w[i : i + _LONGEST] for w in found for i in range(0, len(w), _LONGEST)]
     return found
 

@@ -6,16 +6,32 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from cadastra.llm.common import Rolling
+
 SPACE = "▁"
 
 
 class Pieces:
-    """A vocabulary: the id of each piece, and the prefixes by which a search can stop."""
+    """A vocabulary, with the hashes of all prefixes of its pieces: a search goes on only from a prefix."""
 
     def __init__(self, pieces: list[str]):
         self.pieces = pieces
         self.ids = {p: i for i, p in enumerate(pieces)}
-        self.prefixes = {p[:n] for p in pieces for n in range(1, len(p) + 1)}
+        data, first, size = codes(pieces)
+        piece = np.repeat(np.arange(len(pieces)), size)
+        n = np.arange(len(data)) - first[piece] + 1
+        value = Rolling(data).spans(first[piece], first[piece] + n)
+        self.prefix, at = np.unique(value, return_inverse=True)
+        self.piece = np.full(len(self.prefix), -1, np.int32)
+        whole = n == size[piece]
+        self.piece[at[whole]] = piece[whole]
+
+
+def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code points of all words, where each begins, and their lengths."""
+    data = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    return data, np.cumsum(size) - size, size
 
 
 @dataclass
@@ -33,30 +49,31 @@ class Lattice:
 
 def build(words: list[str], vocabulary: Pieces) -> Lattice:
     """All edges of each word. A character that is no piece gets an edge with piece len(vocabulary)."""
-    ids, prefixes, none = vocabulary.ids, vocabulary.prefixes, len(vocabulary.pieces)
-    word, start, end, piece, unknown = [], [], [], [], []
-    for w, text in enumerate(words):
-        n = len(text)
-        for i in range(n):
-            single = text[i]
-            p = ids.get(single)
-            word.append(w), start.append(i), end.append(i + 1)
-            if p is None:
-                piece.append(none), unknown.append(ord(single))
-            else:
-                piece.append(p), unknown.append(-1)
-            j = i + 2
-            while j <= n:
-                part = text[i:j]
-                if part not in prefixes:
-                    break
-                p = ids.get(part)
-                if p is not None:
-                    word.append(w), start.append(i), end.append(j), piece.append(p), unknown.append(-1)
-                j += 1
-    arrays = [np.array(a, np.int32) for a in (word, start, end, piece, unknown)]
-    order = np.argsort(arrays[2].astype(np.int64) * max(1, len(words)) + arrays[0], kind="stable")
-    return Lattice(len(words), np.array([len(t) for t in words], np.int32), *(a[order] for a in arrays))
+    data, first, size = codes(words)
+    rolling = Rolling(data)
+    owner = np.repeat(np.arange(len(words)), size)
+    stop = (first + size)[owner]
+    start, found = np.arange(len(data)), []
+    n = 1
+    while len(start):
+        value = rolling.spans(start, start + n)
+        at = np.minimum(np.searchsorted(vocabulary.prefix, value), len(vocabulary.prefix) - 1)
+        known = vocabulary.prefix[at] == value
+        piece = np.where(known, vocabulary.piece[at], -1)
+        if n == 1:
+            found.append((start, np.full(len(start), n), np.where(piece < 0, len(vocabulary.pieces), piece)))
+        else:
+            found.append((start[piece >= 0], np.full(int((piece >= 0).sum()), n), piece[piece >= 0]))
+        n += 1
+        start = start[known]
+        start = start[start + n <= stop[start]]
+    begin, length, piece = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
+    word = owner[begin]
+    end = begin - first[word] + length
+    order = np.argsort(end * max(1, len(words)) + word, kind="stable")
+    begin, piece, word, end = begin[order], piece[order], word[order], end[order]
+    unknown = np.where(piece == len(vocabulary.pieces), data[begin], np.int64(-1)) if len(begin) else begin
+    return Lattice(len(words), size.astype(np.int32), *(x.astype(np.int32) for x in (word, begin - first[word], end, piece, unknown)))
 
 
 def _runs(key: np.ndarray) -> np.ndarray:

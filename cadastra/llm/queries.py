@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadastra.llm import exact_dedup, fingerprints, jaccard_join, language_id, mixing, quality, suffix_dedup, url_filter
+from cadastra.llm import exact_dedup, fingerprints, jaccard_join, language_id, mixing, quality, sentencepiece_sampling, suffix_dedup, url_filter
 from cadastra.llm.common import documents
 
 
@@ -20,6 +20,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_sampling.encode_samples(documents(spark, sf_dir), k=2)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
@@ -41,5 +45,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op4_suffix_dedup, op6_mixing, op7_fingerprints, op8_exact_dedup, op9_url_filter, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op4_suffix_dedup, op5_sentencepiece, op6_mixing, op7_fingerprints, op8_exact_dedup, op9_url_filter, op10_quality)}
 ORACLE = {"op8_exact_dedup": exact_dedup.ORACLE, "op9_url_filter": url_filter.oracle()}
