@@ -163,7 +163,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(known.value)
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text"):
                 lang, score, n = judge(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score), pa.array(n)], ["doc_id", "lang_pred", "score", "n_words"])
 
@@ -186,7 +186,7 @@ def keep_identified(docs: DataFrame, least: float = 0.5, **options) -> DataFrame
     def clear(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         judge = Judge(known.value)
         for texts in batches:
-            parts = slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]), "text", 2 << 20)
+            parts = slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]), "text")
             found = [judge(part.column("text").to_pylist()) for part in parts]
             yield pd.Series(np.concatenate([(lang != "und") & (score >= least) for lang, score, _ in found])) if found else pd.Series([], dtype=bool)
 

@@ -165,7 +165,7 @@ def _suffixes(rows: DataFrame, parts: int) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text", 2 << 20):
                 ids, marks = _ids(part)
                 data, offsets = text_bytes(part.column("text"))
                 row, _, first, last, anchor, segment, left, right = anchors(data, offsets)
@@ -278,7 +278,7 @@ def _windows(joined: DataFrame, parts: int) -> DataFrame:
             doc.append(np.full(len(s), len(texts))), start.append(s), texts.append(text)
             ids.append(np.frombuffer(row["id"], np.int64)[0]), marks.append(np.frombuffer(row["mark"], np.int64)[0])
             held += len(text)
-            if held > 8 << 20:
+            if held > 2 << 20:
                 yield from made()
                 texts, ids, marks, doc, start, held = [], [], [], [], [], 0
         if texts:
@@ -344,7 +344,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     Where a cut splits a character, its bytes that stay show as U+FFFD in kept; the hash is of the bytes.
     """
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = 16 * tasks  # many small parts even out the tasks
+    parts = 4 * tasks  # smaller parts even out the tasks
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("mark"), text.alias("text"))
     dealt = lambda df: df.repartition(tasks, "part").sortWithinPartitions("part", "what")
