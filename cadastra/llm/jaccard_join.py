@@ -6,11 +6,14 @@ one class from the start, so what is joined are different sets.
 
 Chosen path: in each run a set goes to a bucket for every token j it has with
 r(j) < 1 / (similarity * size), for a random r that all sets share; two sets of
-at least that similarity share a bucket in a run with a probability of at least
-1 - 1/e. The runs are repeated until the target recall, 1 - (1/e)^runs. A
-bucket of more than limit sets is split again on tokens sampled in the same way
-below its own path, as often as there are runs, so recall stays; one that does
-not split, because its sets are alike, stays whole.
+at least that similarity share one bucket a run on average, or more. The runs
+are repeated until two such sets share at least needs buckets with the target
+recall; sets that share fewer than that with all others together drop out, so a
+passage or a line in common brings few texts further. A bucket of more than
+limit sets is split again on tokens sampled in the same way below its own path,
+deep_runs times; one that does not split, because its sets are alike, stays
+whole. A pair that shares n buckets is missed by a split of all with a
+probability of exp(-deep_runs * n).
 
 Brute force: the buckets whose smallest member is the same are compared
 together (their home), in blocks of at most block sets a side, so neither a
@@ -53,6 +56,14 @@ def _seed(*at: int) -> np.uint64:
     return np.uint64(x)
 
 
+def runs_for(target: float, needs: int) -> int:
+    """The runs after which a Poisson number with that mean reaches needs with the target probability."""
+    n = needs
+    while sum(math.exp(-n + i * math.log(n) - math.lgamma(i + 1)) for i in range(needs)) > 1 - target:
+        n += 1
+    return n
+
+
 def shingle_sets(column: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of the distinct shingles of each text, in order."""
     data, offsets = text_bytes(pc.utf8_lower(column.fill_null("")))
@@ -298,17 +309,19 @@ def components(edges: DataFrame, most: int = 50) -> DataFrame:
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
 
-def jaccard_classes(docs: DataFrame, similarity: float = 0.8, target_recall: float = 0.99999, limit: int = 256, depth: int = 3, block: int = 1024) -> DataFrame:
+def jaccard_classes(docs: DataFrame, similarity: float = 0.8, target_recall: float = 0.99999, needs: int = 6, deep_runs: int = 2, limit: int = 256, depth: int = 3, block: int = 1024) -> DataFrame:
     """doc_id, class_id, n_links of every row, and node (its id, or a hash of its text where that is null)."""
-    n_runs = max(1, math.ceil(-math.log(1 - target_recall)))
+    n_runs = runs_for(target_recall, needs)
     texts = stored(described(docs, similarity, n_runs), "join-texts")
     full = texts.filter("size > 0")
     sets = stored(full.groupBy("a", "b").agg(F.min("node").alias("node"), F.min("doc_id").alias("least_id"), F.count("*").alias("weight"), F.min_by("keys", "node").alias("keys")), "join-sets")
     pairs = sets.select("node", F.explode("keys").alias("key"))
     count = pairs.groupBy("key").agg(F.count("*").alias("n")).filter("n >= 2")
-    first = stored(pairs.join(count, "key").select("node", "key", "n"), "join-first")
+    met = stored(pairs.join(count, "key").select("node", "key", "n"), "join-met")
+    first = met.join(met.groupBy("node").agg(F.count("*").alias("met")).filter(F.col("met") >= needs), "node", "left_semi")
+    first = stored(first.select("node", "key", "n"), "join-first")
     tokens = stored(_token_sets(docs, first.select("node").distinct()), "join-tokens")
-    members = stored(buckets(tokens, first, similarity, n_runs, limit, depth), "join-buckets")
+    members = stored(buckets(tokens, first, similarity, deep_runs, limit, depth), "join-buckets")
     home = members.groupBy("key").agg(F.min("node").alias("home"))
     placed = stored(members.join(home, "key"), "join-homes")
     known = placed.groupBy("node").agg(F.collect_list("home").alias("homes"), F.collect_list("key").alias("keys"))
