@@ -57,7 +57,7 @@ def ancestors(edges: DataFrame, max_depth: int = 12) -> DataFrame:
     walked = stored(_walk(inner, max_depth), "ancestors-inner")
     leaves = edges.join(parents, ["year", "child_id"], "left_anti").select("year", F.col("child_id").alias("id"), F.col("parent_id").alias("ancestor"), F.lit(1).alias("depth"), F.array("pos").alias("path"))
     above = leaves.select("year", F.col("id").alias("leaf"), F.col("ancestor").alias("id"), F.col("path").alias("own"))
-    above = above.join(walked, ["year", "id"]).select("year", F.col("leaf").alias("id"), "ancestor", (F.col("depth") + 1).alias("depth"), F.concat("own", "path").alias("path"))
+    above = above.join(walked, ["year", "id"]).select("year", F.col("leaf").alias("id"), "ancestor", (F.col("depth") + 1).alias("depth"), F.concat("own", "path").alias("path")).filter(F.col("depth") <= max_depth)
     first = leaves.unionByName(above).groupBy("year", "id", "ancestor").agg(F.min(F.struct("depth", "path")).alias("k"))
     return walked.unionByName(first.select("year", "id", "ancestor", "k.depth", "k.path"))
 

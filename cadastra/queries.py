@@ -13,25 +13,10 @@ from cadastra.operators import aggregates as agg
 from cadastra.operators import hierarchy as tree
 from cadastra.operators import snapshot as snap
 from cadastra.plans.adapter import FIRST, LAST, from_tables, sql_views
+from cadastra.registry import ORACLE, QUERIES, query
 
 YEAR, PLACE, HOLDER, RIGHT, ROOT = 1998, "n3", "h7", "1-URGENT", "r1"
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL twin."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
 VIEWS = "WITH RECURSIVE " + sql_views()
 YEARS = f"years AS (SELECT unnest(range({FIRST}, {LAST + 1}))::int AS year)"
 ACTIVE = "act AS (SELECT y.year, r.* FROM rights r JOIN years y ON coalesce(r.from_year, -9999) <= y.year AND y.year <= coalesce(r.to_year, 9999))"
@@ -41,7 +26,7 @@ FORCE = """force AS (SELECT * EXCLUDE (comes, own_comes) FROM (SELECT *, coalesc
 EDGES = "edges AS (SELECT y.year, m.child_id, m.parent_id, m.pos FROM memberships m JOIN years y ON coalesce(m.from_year, -9999) <= y.year AND y.year <= coalesce(m.to_year, 9999))"
 CLOSURE = """walk AS (SELECT year, child_id AS id, parent_id AS ancestor, 1 AS depth, [pos] AS path, [child_id, parent_id] AS seen FROM edges
   UNION ALL SELECT w.year, w.id, e.parent_id, w.depth + 1, list_append(w.path, e.pos), list_append(w.seen, e.parent_id) FROM walk w JOIN edges e ON e.year = w.year AND e.child_id = w.ancestor
-  WHERE w.depth < 12 AND NOT list_contains(w.seen, e.parent_id)),
+  WHERE w.depth < 8 AND NOT list_contains(w.seen, e.parent_id)),
 ancestors AS (SELECT year, id, ancestor, min({'depth': depth, 'path': path}) AS k FROM walk WHERE id <> ancestor GROUP BY ALL)"""
 ONE_RIGHT = ACTIVE.replace("rights r", f"(SELECT * FROM rights WHERE right_type = '{RIGHT}') r")
 ONE_YEAR = f"years AS (SELECT {YEAR} AS year)"
@@ -98,7 +83,7 @@ def holdings_by_right(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ancestors(spark, sf_dir, first=YEAR, last=YEAR):
-    return tree.ancestors(tree.edges_by_year(from_tables(spark, sf_dir).memberships, first, last))
+    return tree.ancestors(tree.edges_by_year(from_tables(spark, sf_dir).memberships, first, last), max_depth=8)
 
 
 @query(_sql(VIEWS, ONE_YEAR, EDGES, CLOSURE, "SELECT year, id, ancestor, k.depth AS depth, array_to_string(k.path, '.') AS path FROM ancestors"))
@@ -126,7 +111,7 @@ def contested_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _resolved(spark, sf_dir, first, last):
     ds = from_tables(spark, sf_dir)
     rights = ds.rights.filter(F.col("right_type") == RIGHT)
-    return ds, snap.resolved(snap.snapshot_years(rights, first, last), tree.ancestors(tree.edges_by_year(ds.memberships, first, last)), ds.places)
+    return ds, snap.resolved(snap.snapshot_years(rights, first, last), tree.ancestors(tree.edges_by_year(ds.memberships, first, last), max_depth=8), ds.places)
 
 
 @query(_sql(VIEWS, ONE_YEAR, ONE_RIGHT, FORCE, EDGES, CLOSURE, RANKS, RESOLVED, SUMMARY, "SELECT * FROM summary"))
@@ -241,3 +226,8 @@ def changes_per_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_sql(VIEWS, """SELECT entity, year, sum(gain)::bigint AS gained, sum(1 - gain)::bigint AS lost FROM (SELECT to_holder AS entity, year, 1 AS gain FROM transfers WHERE to_holder IS NOT NULL UNION ALL SELECT from_holder, year, 0 FROM transfers WHERE from_holder IS NOT NULL) GROUP BY entity, year"""))
 def gained_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snap.gained_and_lost(from_tables(spark, sf_dir).events)
+
+
+from cadastra import queries_geo, queries_rules, queries_text  # noqa: E402, F401  # they register theirs
+
+__all__ = ["ORACLE", "QUERIES"]
