@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: The words for kinds of realms that a name may open with.
 TYPE_WORDS = (
@@ -17,7 +18,7 @@ TYPE_WORDS = (
 )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_marks(text: pd.Series) -> pd.Series:
     """The text's compatibility decomposition without combining marks."""
     return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
