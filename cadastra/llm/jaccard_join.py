@@ -12,7 +12,8 @@ recall; sets that share fewer than that with all others together drop out, so a
 passage or a line in common brings few texts further. A bucket of more than
 limit sets is split again on tokens sampled in the same way below its own path,
 deep_runs times; one that does not split, because its sets are alike, stays
-whole. A pair that shares n buckets is missed by a split of all with a
+whole, which a split of limit / 4 of its members or so decides beforehand. That
+choice is of cost alone: a whole bucket is compared in all its pairs. A pair that shares n buckets is missed by a split of all with a
 probability of exp(-deep_runs * n).
 
 Brute force: the buckets whose smallest member is the same are compared
@@ -184,13 +185,15 @@ def buckets(sets: DataFrame, first: DataFrame, similarity: float, n_runs: int, l
         if level == depth - 1 or hot.isEmpty():
             final.append(hot.select("node", "key"))
             break
-        split = stored(_split(sets, hot.select("node", "key"), similarity, n_runs), "join-split")
+        # A bucket of which a half or more of some members stays together is of sets that are alike: it stays whole, and all its members are compared.
+        some = hot.filter(F.pmod(F.xxhash64("node", "key"), F.col("n")) < limit // 4).select("node", "key")
+        tried = _split(sets, some, similarity, n_runs).groupBy(F.col("parent").alias("key"), F.col("key").alias("part")).agg(F.count("*").alias("n")).groupBy("key").agg(F.max("n").alias("most"))
+        whole = some.groupBy("key").agg(F.count("*").alias("n")).join(tried, "key", "left")
+        whole = stored(whole.filter(F.coalesce("most", F.lit(0)) * 2 >= F.col("n")).select("key"), "join-whole")
+        final.append(hot.join(whole, "key", "left_semi").select("node", "key"))
+        split = stored(_split(sets, hot.join(whole, "key", "left_anti").select("node", "key"), similarity, n_runs), "join-split")
         count = split.groupBy("parent", "key").agg(F.count("*").alias("n"))
-        # A bucket of which a half or more stays together is of sets that are alike: it stays whole.
-        whole = hot.select("key", "n").distinct().join(count.groupBy(F.col("parent").alias("key")).agg(F.max("n").alias("most")), "key", "left")
-        whole = stored(whole.select("key", (F.coalesce("most", F.lit(0)) * 2 >= F.col("n")).alias("whole")), "join-whole")
-        final.append(hot.join(whole.filter("whole"), "key", "left_semi").select("node", "key"))
-        parts = split.join(count.filter("n >= 2"), ["parent", "key"]).join(whole.filter("not whole").select(F.col("key").alias("parent")), "parent", "left_semi")
+        parts = split.join(count.filter("n >= 2"), ["parent", "key"])
         now = stored(parts.select("node", "key", "n"), "join-level")
     out = final[0]
     for x in final[1:]:
