@@ -158,7 +158,7 @@ def cell(value: Column, kind: str) -> Column:
 
 def list_cell(text: Column) -> Column:
     """A cell of parts between bars, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(text, r"\|"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, r"\|"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def request_hash(*parts: Column) -> Column:

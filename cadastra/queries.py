@@ -228,6 +228,6 @@ def gained_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snap.gained_and_lost(from_tables(spark, sf_dir).events)
 
 
-from cadastra import queries_geo, queries_rules, queries_text  # noqa: E402, F401  # they register theirs
+from cadastra import queries_flow, queries_geo, queries_rules, queries_text  # noqa: E402, F401  # they register theirs
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -97,6 +97,7 @@ def test_names(spark):
     assert one("L'office de Siersberg", lambda c: text.base_name(text.fold(c))) == "siersberg"
     assert one("Chémery-la-Vieille", text.fold) == "chemery-la-vieille"
     assert one("Calembourg alias Neulaumesfeld ou Borg", text.split_names) == ["Calembourg", "Neulaumesfeld", "Borg"]
+    assert one(" a |b|| c d ", text.list_cell) == ["a", "b", "c d"]
     assert one("Œuvre", text.fold) == "uvre"
 
 
