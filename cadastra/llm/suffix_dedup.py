@@ -15,7 +15,9 @@ sorted levels that it has for strings seen before, and adds it as a level;
 levels of like size merge, so there are logarithmically many. What a map task
 sees to be a copy of a segment of its own is settled there, so a passage in a
 third of all documents reaches an index task once for each map task. Strings
-are compared by 90-bit (segments) and 64-bit (windows) hashes.
+are compared by hashes of 64 bits: two different segments or windows of n that
+meet in one part are taken for equal with a chance of about n^2 / 2^65. Anchors
+and their sides only choose what to compare; shorter hashes do for them.
 
 Null texts are empty. A null id comes after all others and before none. Rows
 that share an id don't match each other. An empty table gives an empty result.
@@ -42,7 +44,7 @@ _LAST = np.int64(2**63 - 1)
 _AT = np.uint64((1 << 28) - 1)
 _BATCH = 1 << 14
 #: Rows of packed arrays: what they are, the part they are dealt to, and a column for each array.
-_COLUMNS = {"id": np.int64, "mark": np.int64, "doc": np.uint32, "start": np.uint32, "end": np.uint32, "high": np.uint16, "low": np.uint32, "rest": np.uint32, "left": np.uint8, "right": np.uint8}
+_COLUMNS = {"id": np.int64, "mark": np.int64, "doc": np.uint32, "start": np.uint32, "end": np.uint32, "low": np.uint32, "rest": np.uint64, "left": np.uint8, "right": np.uint8}
 _PACKED = "what int, part int, " + ", ".join(f"`{c}` binary" for c in _COLUMNS)
 _SUFFIX, _SPAN, _ASK, _WINDOW, _TEXT = range(5)
 
@@ -169,8 +171,7 @@ def _suffixes(rows: DataFrame, parts: int) -> DataFrame:
                 ids, marks = _ids(part)
                 data, offsets = text_bytes(part.column("text"))
                 row, _, first, last, anchor, segment, left, right = anchors(data, offsets)
-                key = mix64(anchor * _C + (segment >> np.uint64(32)))
-                least = LogIndex().add(key, ids[row])
+                least = LogIndex().add(segment, ids[row])
                 copy = least < ids[row]
                 start, end = first - offsets[row], last - offsets[row] + LENGTH
                 c = np.flatnonzero(copy)
@@ -181,7 +182,7 @@ def _suffixes(rows: DataFrame, parts: int) -> DataFrame:
                 name = anchor[o] // np.uint64(parts)  # what the part leaves open
                 yield from _pack(
                     _SUFFIX, deal, ids, marks,
-                    {"doc": row[o], "start": start[o], "end": end[o], "high": (name >> np.uint64(32)) & np.uint64(0xFFFF), "low": name & np.uint64(0xFFFFFFFF), "rest": segment[o] >> np.uint64(32), "left": left[o] >> np.uint64(56), "right": right[o] >> np.uint64(56)},
+                    {"doc": row[o], "start": start[o], "end": end[o], "low": name & np.uint64(0xFFFFFFFF), "rest": segment[o], "left": left[o] >> np.uint64(56), "right": right[o] >> np.uint64(56)},
                 )
 
     return rows.mapInArrow(each, _PACKED)
@@ -199,8 +200,8 @@ def _scan(dealt: DataFrame, parts: int) -> DataFrame:
             order = np.argsort(got["id"], kind="stable")
             got = {c: v[order] for c, v in got.items()}
             ids, n = got["id"], len(order)
-            name = (got["high"].astype(np.uint64) << np.uint64(32)) | got["low"]
-            keys = [mix64(name * _C + (got[c].astype(np.uint64) | np.uint64(t << 40))) for t, c in enumerate(("rest", "left", "right"), 1)]
+            name = got["low"].astype(np.uint64)
+            keys = [got["rest"], *(mix64(name * _C + (got[c].astype(np.uint64) | np.uint64(t << 40))) for t, c in enumerate(("left", "right"), 1))]
             families, least = [LogIndex() for _ in keys], [np.zeros(n, np.int64) for _ in keys]
             for a in range(0, n, _BATCH):
                 for family, key, out in zip(families, keys, least, strict=True):
@@ -267,8 +268,7 @@ def _windows(joined: DataFrame, parts: int) -> DataFrame:
             base = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
             d, s = np.concatenate(doc), np.concatenate(start)
             value = Rolling(data).spans(base[d] + s, base[d] + s + LENGTH)
-            name = value // np.uint64(parts)
-            yield from _pack(_WINDOW, (value % np.uint64(parts)).astype(np.int64), np.array(ids), np.array(marks), {"doc": d, "start": s, "end": s + LENGTH, "low": name & np.uint64(0xFFFFFFFF), "rest": name >> np.uint64(32)})
+            yield from _pack(_WINDOW, (value % np.uint64(parts)).astype(np.int64), np.array(ids), np.array(marks), {"doc": d, "start": s, "end": s + LENGTH, "rest": value})
 
         for row, text, a, e in _with_texts(batches):
             if not len(a):
@@ -295,7 +295,7 @@ def _scan_windows(dealt: DataFrame, parts: int) -> DataFrame:
             got = _unpack(rows)
             order = np.argsort(got["id"], kind="stable")
             got = {c: v[order] for c, v in got.items() if len(v) == len(order)}
-            key, family = (got["rest"].astype(np.uint64) << np.uint64(32)) | got["low"], LogIndex()
+            key, family = got["rest"], LogIndex()
             least = [family.add(key[a : a + _BATCH], got["id"][a : a + _BATCH]) for a in range(0, len(order), _BATCH)]
             yield from _route(_SPAN, np.flatnonzero(np.concatenate(least) < got["id"]), got, parts)
 

@@ -8,6 +8,7 @@ import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -307,6 +308,18 @@ def test_repeats_against_brute_force(spark, docs):
     assert suffix_dedup.remove_repeats(corpus.empty(spark)).count() == 0
 
 
+def test_segments_alike_in_32_bits_stay(spark):
+    passage = "this very passage is shared by very many of the documents here, and it is much longer than fifty bytes"
+    rows = [(i, f"{passage} {end} ends otherwise") for i, end in enumerate((46753776, 1248628325, 36094802, 1349270896))]
+    for a, b in (rows[:2], rows[2:]):
+        segments = [suffix_dedup.anchors(*suffix_dedup.text_bytes(pa.array([t])))[5] for _, t in (a, b)]
+        alike = [(x, y) for x in segments[0].tolist() for y in segments[1].tolist() if x >> 32 == y >> 32 and x != y]
+        assert alike  # else this test says nothing
+    for tasks in (1, 4):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(tasks)
+        assert counted(suffix_dedup.remove_repeats(docs).collect()) == slow_repeats(rows)
+
+
 def test_levels_merge_geometrically():
     index, rng = suffix_dedup.LogIndex(), np.random.default_rng(0)
     first = {}
