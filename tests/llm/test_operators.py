@@ -417,6 +417,35 @@ def test_scores(spark, docs):
     assert lm_scoring.train_and_score(corpus.empty(spark)).count() == 0
 
 
+def test_rare_words_have_their_own_counts(spark):
+    rows = [(i, " ".join(["often", "common", "usual"] * 3)) for i in range(20)] + [(100 + i, "mediocre") for i in range(30)] + [(200, "mediocre"), (201, "hapax")]
+    rows += [(300 + i, f"w{i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    words = lm_scoring.count_words(docs, vocabulary=3)
+    network = lm_scoring.Network(classes=len(words.whole))
+    network.start(words.whole)
+    network.out[:] = 0  # each class has its share of all tokens, so each word has its own share
+    got = {r["doc_id"]: r["log_likelihood"] for r in lm_scoring.score(docs, words, network).collect()}
+    n = collections.Counter(w for _, t in rows for w in t.split())
+    shared = [f"w{i}" for i in range(400) if got[300 + i] < -3]
+    assert len(shared) > 300 and len(got) == len(rows)
+    assert got[200] == got[100] and got[200] - got[201] > math.log(n["mediocre"]) - 1.5
+    # Words beyond the classes of their own are told apart by their counts, whatever vocabulary is.
+    other = spark.createDataFrame([(i, " ".join([f"v{i}"] * (1 + i))) for i in range(200)], "doc_id long, text string")
+    few, all_ = (lm_scoring.count_words(other, vocabulary=v) for v in (1, 8192))
+    net = lm_scoring.Network()
+    a, b = ({r["doc_id"]: r["log_likelihood"] for r in lm_scoring.score(other, w, net).collect()} for w in (few, all_))
+    assert all(abs(a[i] - b[i]) < 1e-6 * max(1, abs(b[i])) for i in range(200))
+
+
+def test_classes_grow_and_sum_to_one():
+    assert lm_scoring.classes_for(100) == 128 and lm_scoring.classes_for(10**6) == 2048 and lm_scoring.classes_for(10**8) > 16000
+    network = lm_scoring.Network(classes=512)
+    assert lm_scoring.Network(network.flat).classes == 512
+    near = np.repeat(np.array([[1], [512], [3], [400]]), 512, 1)
+    assert abs(np.exp(network.log_p(near, np.arange(512))).sum() - 1) < 1e-4
+
+
 # 10: quality
 
 
