@@ -1,33 +1,49 @@
 """Substring dedup by sparse suffix arrays in a logarithmic index family.
 
 A byte goes where a string of length bytes (50) that covers it also starts in a
-document with a smaller id. Suffixes are indexed where the content says so: in
-each window of length bytes, at the 24-mer with the smallest hash. Equal windows
-have equal anchors, so every match is found from an anchor, and about one
-suffix in fourteen is kept. A run of windows with one anchor is a segment; equal
-segments are matches as a whole, and only where two documents share an anchor
-and 13 bytes beside it, but not the segment (an end of a match), are their
-windows compared one by one.
-
-Anchors are dealt to tasks by their hash. A task takes its suffixes in batches
-by document id, sorts each batch (its suffix array), merge-scans it against the
-sorted levels that it has for strings seen before, and adds it as a level;
-levels of like size merge, so there are logarithmically many. What a map task
-sees to be a copy of a segment of its own is settled there, so a passage in a
-third of all documents reaches an index task once for each map task. Strings
-are compared by hashes of 64 bits: two different segments or windows of n that
-meet in one part are taken for equal with a chance of about n^2 / 2^65. Anchors
-and their sides only choose what to compare; shorter hashes do for them.
+document with a smaller id. Suffixes are taken where the content says so: in
+each window of length bytes, at the 24-mer with the smallest hash, its anchor.
+Equal windows have equal anchors, so every match is found from an anchor, and
+about one suffix in fourteen is kept. The windows with one anchor in a row are
+a segment, of 76 bytes at most.
+
+1. The texts are stored once, compressed, in pieces of some MB, with the places
+   of their anchors. The table is bucketed by piece, so what later comes back to
+   a piece is all that moves.
+2. The anchors that only one document has can't match. Each piece sends the
+   names (32 bits in one of the parts) of its anchors, and gets a bit for each.
+3. The other suffixes go to the part of their anchor, with the bytes of their
+   segment. A piece's share in a part is a batch: its suffixes in the order of
+   their bytes from the anchor on, which is a suffix array. The part merge-scans
+   the batch against the levels that it holds, finds equal segments and adds
+   the rest as a level; levels of like size merge, so there are logarithmically
+   many. At the end all are one array, and where neighbours share their anchor
+   and enough bytes to both sides, their windows are compared one by one.
+4. Spans go back to the piece, which cuts them out.
+
+All matches are of bytes; hashes only deal the work out.
+
+What a piece sees to be a copy of a segment of its own is settled there, so a
+passage in a third of all documents reaches a part once for each piece. An
+anchor with more than HOT different segments in one piece is hot: its windows
+are dealt by their own bytes in a second round, and its part sends there what
+it got of it from other pieces, so no part gathers a hot anchor's segments.
+Rows that are dealt hold a piece's share of a part, as a shuffle's blocks do.
 
 Null texts are empty. A null id comes after all others and before none. Rows
-that share an id don't match each other. An empty table gives an empty result.
-A text is held as a whole in one task, with about 60 bytes for each of its own.
+that share an id don't match each other; of rows tied with the smallest id all
+keep what they have. Other columns are neither read nor returned. An empty table
+gives an empty result. A text is never cut: one that is longer than a piece is
+a piece alone and is held as a whole in one task, with about 60 bytes for each
+of its own.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -35,271 +51,284 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadastra.llm.common import Rolling, mix64, slices, stored, text_bytes
+from cadastra.llm.common import Rolling, mix64, shared_dir, slices, stored, text_bytes
 from cadastra.llm.fingerprints import sliding_min
 
-LENGTH, ANCHOR, SIDE = 50, 24, 13
-_C = np.uint64(0x9E3779B97F4A7C15)
-_LAST = np.int64(2**63 - 1)
+LENGTH, ANCHOR = 50, 24
+SIDE = LENGTH - ANCHOR  # bytes of a window on either side of its anchor, together
+#: A suffix's bytes: the anchor, what follows it and (backwards) what stands before it, padded, and the lengths of both.
+WIDTH = ANCHOR + 2 * SIDE + 2
+HOT = 256
 _AT = np.uint64((1 << 28) - 1)
-_BATCH = 1 << 14
-#: Rows of packed arrays: what they are, the part they are dealt to, and a column for each array.
-_COLUMNS = {"id": np.int64, "mark": np.int64, "doc": np.uint32, "start": np.uint32, "end": np.uint32, "low": np.uint32, "rest": np.uint64, "left": np.uint8, "right": np.uint8}
-_PACKED = "what int, part int, " + ", ".join(f"`{c}` binary" for c in _COLUMNS)
-_SUFFIX, _SPAN, _ASK, _WINDOW, _TEXT = range(5)
+_LAST = np.int64(2**63 - 1)
+_PIECE = 8 << 20
+_SUFFIX, _WINDOW, _HOT, _SPAN = range(4)
+_BLOB = "piece long, ids binary, known binary, size binary, n_anchors binary, runs binary, text binary"
+_ROWS = "what int, part int, piece long, docs binary, doc binary, start binary, keys binary"
 
 
-class LogIndex:
-    """The smallest id with which each 64-bit key has come so far, in sorted levels that merge when they are of like size."""
+def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """row, windows and bytes before it of every anchor: the windows that have it, and how far it stands behind the first one's start.
 
-    def __init__(self) -> None:
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-
-    @staticmethod
-    def _least(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(keys, kind="stable")
-        keys, ids = keys[order], ids[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        return keys[first], np.minimum.reduceat(ids, first)
-
-    def add(self, keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Adds a batch; the smallest id so far of each of its keys."""
-        if not len(keys):
-            return ids
-        own, least = self._least(keys, ids)
-        found = least.copy()
-        for level, known in self.levels:
-            at = np.minimum(np.searchsorted(level, own), len(level) - 1)
-            hit = level[at] == own
-            found[hit] = np.minimum(found[hit], known[at[hit]])
-        self.levels.append((own, least))
-        while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
-            (a, x), (b, y) = self.levels.pop(), self.levels.pop()
-            self.levels.append(self._least(np.concatenate([b, a]), np.concatenate([y, x])))
-        return found[np.searchsorted(own, keys)]
-
-
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """row, position, first and last window start, anchor, segment, left, right of every anchor."""
+    A row's anchors come in order and every window has one, so these numbers give their places.
+    """
+    none = np.zeros(0, np.int64)
     n = len(data) - LENGTH + 1
     if n <= 0:
-        none = np.zeros(0, np.int64)
-        return none, none, none, none, *(np.zeros(0, np.uint64) for _ in range(4))
-    rolling = Rolling(data)
-    gram = rolling.every(ANCHOR)
-    least = sliding_min((gram & ~_AT) | np.arange(len(gram), dtype=np.uint64), LENGTH - ANCHOR + 1)
+        return none, none, none
+    gram = Rolling(data).every(ANCHOR)
+    least = sliding_min((gram & ~_AT) | np.arange(len(gram), dtype=np.uint64), SIDE + 1)
     end = np.repeat(offsets[1:], np.diff(offsets))[:n]
     window = np.flatnonzero(np.arange(n) + LENGTH <= end)
+    if not len(window):
+        return none, none, none
     at = (least[window] & _AT).astype(np.int64)
-    if not len(at):
-        return anchors(data[:0], offsets[:1])
-    change = np.flatnonzero(at[1:] != at[:-1])
-    first, last = window[np.concatenate([[0], change + 1])], window[np.concatenate([change, [len(at) - 1]])]
-    at = at[np.concatenate([[0], change + 1])]
-    row = np.searchsorted(offsets, at, "right") - 1
-    segment = mix64(rolling.spans(first, last + LENGTH) + (at - first).astype(np.uint64) * _C)
-    left = rolling.spans(np.maximum(at - SIDE, offsets[row]), at)
-    right = rolling.spans(at + ANCHOR, np.minimum(at + ANCHOR + SIDE, offsets[row + 1]))
-    return row, at, first, last, gram[at], segment, left, right
-
-
-def _pack(what: int, part: np.ndarray, ids: np.ndarray, marks: np.ndarray, arrays: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """A row for each part. arrays: "doc" (the place in ids and marks) and others of the same length."""
-    order = np.argsort(part, kind="stable")
-    part = part[order]
-    cuts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]]) if len(part) else np.zeros(1, np.int64)
-    rows: dict[str, list] = {c: [] for c in ("what", "part", *_COLUMNS)}
-    sorted_ = {c: v[order] for c, v in arrays.items()}
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        docs, own = np.unique(sorted_["doc"][a:b], return_inverse=True)
-        values = {c: v[a:b] for c, v in sorted_.items()} | {"doc": own, "id": ids[docs], "mark": marks[docs]}
-        rows["what"].append(what), rows["part"].append(int(part[a]))
-        for c, kind in _COLUMNS.items():
-            rows[c].append(values[c].astype(kind).tobytes() if c in values else b"")
-    if rows["part"]:
-        yield pa.RecordBatch.from_arrays([pa.array(rows["what"], pa.int32()), pa.array(rows["part"], pa.int32()), *(pa.array(rows[c], pa.binary()) for c in _COLUMNS)], list(rows))
-
-
-def _unpack(rows: list[dict]) -> dict[str, np.ndarray]:
-    """The arrays of rows, with each entry's id and mark."""
-    out: dict[str, list] = {c: [] for c in _COLUMNS}
-    for r in rows:
-        got = {c: np.frombuffer(r[c], kind) for c, kind in _COLUMNS.items()}
-        for c, v in got.items():
-            out[c].append(v[got["doc"]] if c in ("id", "mark") else v)
-    return {c: np.concatenate(v) if v else np.zeros(0, kind) for (c, kind), v in zip(_COLUMNS.items(), out.values(), strict=True)}
-
-
-def _parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    """The rows of one part after the other."""
-    rows: list[dict] = []
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = {c: batch.column(j)[i].as_py() for j, c in enumerate(batch.schema.names)}
-            if rows and row["part"] != rows[0]["part"]:
-                yield rows
-                rows = []
-            rows.append(row)
-    if rows:
-        yield rows
-
+    first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
+    count = np.diff(np.concatenate([first, [len(at)]]))
+    return np.searchsorted(offsets, at[first], "right") - 1, count, at[first] - window[first]
 
-def _home(ids: np.ndarray, marks: np.ndarray, parts: int) -> np.ndarray:
-    """The part of a document."""
-    return (mix64(ids.view(np.uint64) ^ mix64(marks.view(np.uint64) + _C)) % np.uint64(parts)).astype(np.int64)
 
+def _frame(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names, types = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[t]) for i, t in enumerate(types)], list(names))
 
-def _route(what: int, hit: np.ndarray, got: dict[str, np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
-    """Entries to their documents' parts."""
-    pair = np.stack([got["id"][hit], got["mark"][hit]], 1)
-    docs, own = np.unique(pair, axis=0, return_inverse=True) if len(hit) else (pair, np.zeros(0, np.int64))
-    ids, marks = np.ascontiguousarray(docs[:, 0]), np.ascontiguousarray(docs[:, 1])
-    own = own.reshape(-1)
-    yield from _pack(what, _home(ids, marks, parts)[own], ids, marks, {"doc": own, "start": got["start"][hit], "end": got["end"][hit]})
-
-
-def _ids(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return part.column("doc_id").fill_null(int(_LAST)).to_numpy(), part.column("mark").to_numpy()
-
-
-def _suffixes(rows: DataFrame, parts: int) -> DataFrame:
-    """The suffixes of all texts, dealt by anchor, and the spans that are settled on the way."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
-                ids, marks = _ids(part)
-                data, offsets = text_bytes(part.column("text"))
-                row, _, first, last, anchor, segment, left, right = anchors(data, offsets)
-                least = LogIndex().add(segment, ids[row])
-                copy = least < ids[row]
-                start, end = first - offsets[row], last - offsets[row] + LENGTH
-                c = np.flatnonzero(copy)
-                # Any part does for what is settled: the one of the first.
-                yield from _pack(_SPAN, np.full(len(c), int(anchor[c[0]] % np.uint64(parts)) if len(c) else 0), ids, marks, {"doc": row[c], "start": start[c], "end": end[c]})
-                o = np.flatnonzero(~copy)
-                deal = (anchor[o] % np.uint64(parts)).astype(np.int64)
-                name = anchor[o] // np.uint64(parts)  # what the part leaves open
-                yield from _pack(
-                    _SUFFIX, deal, ids, marks,
-                    {"doc": row[o], "start": start[o], "end": end[o], "low": name & np.uint64(0xFFFFFFFF), "rest": segment[o], "left": left[o] >> np.uint64(56), "right": right[o] >> np.uint64(56)},
-                )
-
-    return rows.mapInArrow(each, _PACKED)
-
-
-def _scan(dealt: DataFrame, parts: int) -> DataFrame:
-    """Spans that match, and the suffixes of which the windows have to be compared, to their documents' parts."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _parts_of(batches):
-            if spans := [r for r in rows if r["what"] == _SPAN]:
-                got = _unpack(spans)
-                yield from _route(_SPAN, np.arange(len(got["id"])), got, parts)
-            got = _unpack([r for r in rows if r["what"] == _SUFFIX])
-            order = np.argsort(got["id"], kind="stable")
-            got = {c: v[order] for c, v in got.items()}
-            ids, n = got["id"], len(order)
-            name = got["low"].astype(np.uint64)
-            keys = [got["rest"], *(mix64(name * _C + (got[c].astype(np.uint64) | np.uint64(t << 40))) for t, c in enumerate(("left", "right"), 1))]
-            families, least = [LogIndex() for _ in keys], [np.zeros(n, np.int64) for _ in keys]
-            for a in range(0, n, _BATCH):
-                for family, key, out in zip(families, keys, least, strict=True):
-                    out[a : a + _BATCH] = family.add(key[a : a + _BATCH], ids[a : a + _BATCH])
-            same = least[0] < ids
-            yield from _route(_SPAN, np.flatnonzero(same), got, parts)
-            ask = np.zeros(n, bool)
-            for key, low in zip(keys[1:], least[1:], strict=True):
-                ask |= np.isin(key, np.unique(key[~same & (low < ids)]))
-            yield from _route(_ASK, np.flatnonzero(ask & ~same), got, parts)
-
-    return dealt.mapInArrow(each, _PACKED)
-
-
-def _texts(rows: DataFrame, parts: int) -> DataFrame:
-    """A row for each document, dealt to its part, with its text compressed in the column low."""
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                ids, marks = _ids(part)
-                known = part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-                data, offsets = text_bytes(part.column("text"))
-                view = memoryview(np.ascontiguousarray(data))
-                n = part.num_rows
-                values = {"id": [i.tobytes() for i in ids], "mark": [m.tobytes() for m in marks], "low": [squeeze.compress(view[offsets[i] : offsets[i + 1]]) for i in range(n)], "left": [b"1" if k else b"" for k in known]}
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, _TEXT), pa.int32()), pa.array(_home(ids, marks, parts), pa.int32()), *(pa.array(values.get(c, [b""] * n), pa.binary()) for c in _COLUMNS)], ["what", "part", *_COLUMNS]
-                )
-
-    return rows.mapInArrow(each, _PACKED)
-
-
-def _with_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, bytes, np.ndarray, np.ndarray]]:
-    """(row, text, starts, ends) of each document; in a part, the packed rows come before those of texts."""
-    at, packed, table = None, [], None
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
-            row = {c: batch.column(j)[i].as_py() for j, c in enumerate(batch.schema.names)}
-            if row["part"] != at:
-                at, packed, table = row["part"], [], None
-            if row["what"] != _TEXT:
-                packed.append(row)
-                continue
-            if table is None:
-                got = _unpack(packed)
-                order = np.lexsort((got["start"], got["mark"], got["id"]))
-                table, packed = {c: got[c][order] for c in ("id", "mark", "start", "end")}, []
-            own, mark = np.frombuffer(row["id"], np.int64)[0], np.frombuffer(row["mark"], np.int64)[0]
-            a, b = np.searchsorted(table["id"], own), np.searchsorted(table["id"], own, "right")
-            a, b = a + np.searchsorted(table["mark"][a:b], mark), a + np.searchsorted(table["mark"][a:b], mark, "right")
-            yield row, zstandard.decompress(row["low"]) if len(row["low"]) else b"", table["start"][a:b].astype(np.int64), table["end"][a:b].astype(np.int64)
+            yield {c: batch.column(j)[i].as_py() for j, c in enumerate(batch.schema.names)}
 
 
-def _windows(joined: DataFrame, parts: int) -> DataFrame:
-    """Each window of the suffixes asked for, dealt by its hash."""
+def pieces(docs: DataFrame, buckets: int, piece_bytes: int = _PIECE) -> DataFrame:
+    """The texts in pieces of whole rows, stored in the shared folder in buckets."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, ids, marks, doc, start, held = [], [], [], [], [], 0
+        squeeze, number = zstandard.ZstdCompressor(level=1), 0
+        held: list[tuple[np.ndarray, ...]] = []
 
-        def made() -> Iterator[pa.RecordBatch]:
-            data = np.frombuffer(b"".join(texts), np.uint8)
-            base = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-            d, s = np.concatenate(doc), np.concatenate(start)
-            value = Rolling(data).spans(base[d] + s, base[d] + s + LENGTH)
-            yield from _pack(_WINDOW, (value % np.uint64(parts)).astype(np.int64), np.array(ids), np.array(marks), {"doc": d, "start": s, "end": s + LENGTH, "rest": value})
+        def made(part: int) -> pa.RecordBatch:
+            ids, known, size, n_anchors, count, before, text = (np.concatenate([h[i] for h in held]) for i in range(7))
+            runs = squeeze.compress(np.concatenate([count, before]).astype(np.uint8).tobytes())
+            held.clear()
+            return _frame(_BLOB, [((part << 32) + number, ids.tobytes(), known.tobytes(), size.astype(np.uint32).tobytes(), n_anchors.astype(np.uint32).tobytes(), runs, squeeze.compress(text.tobytes()))])
 
-        for row, text, a, e in _with_texts(batches):
-            if not len(a):
-                continue
-            count = e - a - LENGTH + 1
-            s = np.repeat(a - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-            doc.append(np.full(len(s), len(texts))), start.append(s), texts.append(text)
-            ids.append(np.frombuffer(row["id"], np.int64)[0]), marks.append(np.frombuffer(row["mark"], np.int64)[0])
-            held += len(text)
-            if held > 2 << 20:
-                yield from made()
-                texts, ids, marks, doc, start, held = [], [], [], [], [], 0
-        if texts:
-            yield from made()
+        part = 0
+        for batch in batches:
+            for rows in slices(batch, "text", min(piece_bytes, 1 << 20)):
+                part = rows.column("part")[0].as_py()
+                data, offsets = text_bytes(rows.column("text"))
+                row, count, before = anchors(data, offsets)
+                ids = rows.column("doc_id")
+                if held and sum(len(h[6]) for h in held) + len(data) > piece_bytes:
+                    yield made(part)
+                    number += 1
+                held.append((ids.fill_null(int(_LAST)).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), np.diff(offsets), np.bincount(row, minlength=rows.num_rows), count, before, data))
+        if held:
+            yield made(part)
 
-    return joined.mapInArrow(each, _PACKED)
+    text = F.coalesce("text", F.lit(""))
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.spark_partition_id().cast("long").alias("part")).mapInArrow(each, _BLOB)
+    spark, name = docs.sparkSession, f"suffix_pieces_{uuid.uuid4().hex}"
+    made.write.bucketBy(buckets, "piece").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # only the name: the files are the shared folder's
+    return out
+
+
+class Piece:
+    """A stored piece at work: its bytes, and row, start (of the segment), place, bytes before and after it of each anchor."""
+
+    def __init__(self, blob: dict):
+        self.text = np.frombuffer(zstandard.decompress(blob["text"]), np.uint8) if blob["text"] else np.zeros(0, np.uint8)
+        self.ids = np.frombuffer(blob["ids"], np.int64)
+        size = np.frombuffer(blob["size"], np.uint32).astype(np.int64)
+        self.offsets = np.concatenate([[0], np.cumsum(size)])
+        own = np.frombuffer(blob["n_anchors"], np.uint32).astype(np.int64)
+        count, before = np.frombuffer(zstandard.decompress(blob["runs"]), np.uint8).astype(np.int64).reshape(2, -1) if own.sum() else np.zeros((2, 0), np.int64)
+        self.row = np.repeat(np.arange(len(size)), own)
+        ends = np.cumsum(count)
+        base = np.concatenate([[0], ends])[np.cumsum(own) - own]
+        self.first = ends - count - base[self.row]  # in the row
+        self.before, self.after = before, count - 1 + SIDE - before
+        self.at = self.offsets[self.row] + self.first + before
+
+    def names(self, parts: int) -> np.ndarray:
+        """For each anchor its part, and 32 bits of it in the lower half."""
+        if not len(self.at):
+            return np.zeros(0, np.uint64)
+        words = np.lib.stride_tricks.sliding_window_view(self.text, ANCHOR)[self.at].copy().view(np.uint64)
+        h = mix64(words[:, 0] ^ mix64(words[:, 1] ^ mix64(words[:, 2] + np.uint64(0x9E3779B97F4A7C15))))
+        return ((h >> np.uint64(32)) % np.uint64(parts)) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF))
+
+    def keys(self, own: np.ndarray) -> np.ndarray:
+        """The suffixes' bytes of the anchors own."""
+        text = np.concatenate([np.zeros(SIDE, np.uint8), self.text, np.zeros(SIDE, np.uint8)])
+        out = np.empty((len(own), WIDTH), np.uint8)
+        around = np.lib.stride_tricks.sliding_window_view(text, ANCHOR + 2 * SIDE)[self.at[own]]
+        out[:, : ANCHOR + SIDE], out[:, ANCHOR + SIDE : -2] = around[:, SIDE:], around[:, SIDE - 1 :: -1]
+        reach = np.arange(SIDE)
+        out[:, ANCHOR : ANCHOR + SIDE][reach >= self.after[own, None]] = 0
+        out[:, ANCHOR + SIDE : -2][reach >= self.before[own, None]] = 0
+        out[:, -2], out[:, -1] = self.before[own], self.after[own]
+        return out.reshape(-1).view(f"S{WIDTH}")
+
+
+@dataclass
+class Suffixes:
+    """A suffix array: the bytes of each (keys, in their order), the document's id, its piece and row there, and where the segment starts."""
+
+    keys: np.ndarray
+    id: np.ndarray
+    piece: np.ndarray
+    row: np.ndarray
+    start: np.ndarray
+
+    def take(self, at: np.ndarray) -> Suffixes:
+        return Suffixes(*(getattr(self, f.name)[at] for f in fields(self)))
 
+    @staticmethod
+    def joined(parts: list[Suffixes]) -> Suffixes:
+        return Suffixes(*(np.concatenate([getattr(p, f.name) for p in parts]) for f in fields(Suffixes)))
+
+    def bytes(self) -> np.ndarray:
+        return self.keys.view(np.uint8).reshape(-1, WIDTH)
+
+    def ends(self) -> np.ndarray:
+        raw = self.bytes()
+        return self.start.astype(np.int64) + raw[:, -2] + raw[:, -1] + ANCHOR
+
+    def ordered(self) -> Suffixes:
+        """By bytes. Two sorted runs are merged in one go."""
+        return self.take(np.argsort(self.keys, kind="stable"))
+
+    def behind(self) -> np.ndarray:
+        """Whether the same bytes have a smaller id; in order of keys."""
+        if not len(self.keys):
+            return np.zeros(0, bool)
+        new = np.concatenate([[True], self.keys[1:] != self.keys[:-1]])
+        return self.id > np.minimum.reduceat(self.id, np.flatnonzero(new))[np.cumsum(new) - 1]
+
+    def packed(self, what: int, part: np.ndarray) -> pa.RecordBatch:
+        """A row for each part, with its entries in their order."""
+        squeeze, rows = zstandard.ZstdCompressor(level=1), []
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)] if len(part) else [0]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            own = self.take(order[a:b])
+            _, one, doc = np.unique(np.stack([own.piece, own.row.astype(np.int64)], 1), axis=0, return_index=True, return_inverse=True) if len(set(own.piece[[0, -1]].tolist())) > 1 or (own.piece != own.piece[0]).any() else (None, *np.unique(own.row, return_index=True, return_inverse=True)[1:])
+            docs = np.stack([own.id[one], own.piece[one], own.row[one].astype(np.int64)])
+            rows.append((what, int(part[a]), None, docs.tobytes(), doc.reshape(-1).astype(np.uint32).tobytes(), own.start.astype(np.uint32).tobytes(), squeeze.compress(own.keys.tobytes())))
+        return _frame(_ROWS, rows)
 
-def _scan_windows(dealt: DataFrame, parts: int) -> DataFrame:
-    """The windows that also start in a smaller document, to their documents' parts."""
+    @staticmethod
+    def unpacked(row: dict) -> Suffixes:
+        docs, doc = np.frombuffer(row["docs"], np.int64).reshape(3, -1), np.frombuffer(row["doc"], np.uint32)
+        return Suffixes(np.frombuffer(zstandard.decompress(row["keys"]), f"S{WIDTH}"), docs[0][doc], docs[1][doc], docs[2][doc].astype(np.uint32), np.frombuffer(row["start"], np.uint32))
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _parts_of(batches):
-            got = _unpack(rows)
-            order = np.argsort(got["id"], kind="stable")
-            got = {c: v[order] for c, v in got.items() if len(v) == len(order)}
-            key, family = got["rest"], LogIndex()
-            least = [family.add(key[a : a + _BATCH], got["id"][a : a + _BATCH]) for a in range(0, len(order), _BATCH)]
-            yield from _route(_SPAN, np.flatnonzero(np.concatenate(least) < got["id"]), got, parts)
 
-    return dealt.mapInArrow(each, _PACKED)
+class LogIndex:
+    """Suffix arrays of batches in levels that merge when they are of like size. gone gets every suffix whose segment has come with a smaller id."""
+
+    def __init__(self, gone: Callable[[Suffixes], None]):
+        self.levels: list[Suffixes] = []
+        self.gone = gone
+
+    def add(self, batch: Suffixes) -> None:
+        batch = self._settled(batch.ordered())
+        for level in self.levels:
+            if not len(batch.keys):
+                return
+            # Equal suffixes of a level have one id, its smallest so far.
+            a, b = np.searchsorted(level.keys, batch.keys), np.searchsorted(level.keys, batch.keys, "right")
+            hit = np.flatnonzero(a < b)
+            known = level.id[a[hit]]
+            older = hit[batch.id[hit] < known]
+            count = b[older] - a[older]
+            self.gone(level.take(np.repeat(a[older] - (np.cumsum(count) - count), count) + np.arange(count.sum())))
+            stay = np.ones(len(batch.keys), bool)
+            stay[hit[batch.id[hit] > known]] = False
+            self.gone(batch.take(~stay))
+            batch = batch.take(stay)
+        if not len(batch.keys):
+            return
+        self.levels.append(batch)
+        while len(self.levels) > 1 and len(self.levels[-2].keys) <= 2 * len(self.levels[-1].keys):
+            self._merge()
+
+    def _settled(self, ordered: Suffixes) -> Suffixes:
+        behind = ordered.behind()
+        self.gone(ordered.take(behind))
+        return ordered.take(~behind)
+
+    def _merge(self) -> None:
+        both = Suffixes.joined([self.levels.pop(-2), self.levels.pop()]).ordered()
+        self.levels.append(both.take(~both.behind()))  # what goes here is known since add()
+
+    def whole(self) -> Suffixes | None:
+        """All levels in one."""
+        while len(self.levels) > 1:
+            self._merge()
+        return self.levels[0] if self.levels else None
+
+
+def _shared_bytes(a: np.ndarray) -> np.ndarray:
+    """For each row of a sorted byte matrix, how many leading bytes the neighbour that shares most has."""
+    lcp = np.argmin(np.concatenate([a[1:] == a[:-1], np.zeros((max(0, len(a) - 1), 1), bool)], 1), 1) if len(a) > 1 else np.zeros(0, np.int64)
+    return np.maximum(np.concatenate([[0], lcp]), np.concatenate([lcp, [0]]))
+
+
+def windows_behind(some: Suffixes, group: np.ndarray) -> np.ndarray:
+    """(suffixes, SIDE + 1): whether the window that starts so many bytes before the anchor has come with a smaller id. some: in order; group: a number for each different anchor, ascending."""
+    raw = some.bytes()
+    out = np.zeros((len(raw), SIDE + 1), bool)
+    name = group.astype(">u4").view(np.uint8).reshape(-1, 4)
+    after, before = raw[:, ANCHOR : ANCHOR + SIDE], raw[:, ANCHOR + SIDE : -2]
+    to_right = _shared_bytes(np.concatenate([name, after], 1))
+    order = np.argsort(np.concatenate([name, before], 1).reshape(-1).view(f"S{4 + SIDE}"), kind="stable")
+    to_left = np.empty(len(raw), np.int64)
+    to_left[order] = _shared_bytes(np.concatenate([name, before], 1)[order])
+    # 4 bytes of each are the group's.
+    can = (to_right >= 4) & (to_left >= 4) & (to_right + to_left - 8 >= SIDE)
+    for n in range(SIDE + 1):
+        own = np.flatnonzero(can & (raw[:, -2] >= n) & (raw[:, -1] >= SIDE - n))
+        if len(own) < 2:
+            continue
+        key = np.concatenate([name[own], before[own, :n], after[own, : SIDE - n]], 1).reshape(-1).view(f"S{4 + SIDE}")
+        order = np.argsort(key, kind="stable")
+        own, key = own[order], key[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        out[own, n] = some.id[own] > np.minimum.reduceat(some.id[own], np.flatnonzero(new))[np.cumsum(new) - 1]
+    return out
+
+
+def windows_of(some: Suffixes) -> Suffixes:
+    """Each window of the suffixes as one of its own."""
+    raw, found = some.bytes(), []
+    for n in range(SIDE + 1):
+        own = np.flatnonzero((raw[:, -2] >= n) & (raw[:, -1] >= SIDE - n))
+        key = raw[own]
+        key[:, ANCHOR + SIDE - n : ANCHOR + SIDE], key[:, ANCHOR + SIDE + n : -2], key[:, -2], key[:, -1] = 0, 0, n, SIDE - n
+        one = some.take(own)
+        one.start = (one.start + raw[own, -2] - n).astype(np.uint32)
+        one.keys = key.reshape(-1).view(f"S{WIDTH}")
+        found.append(one)
+    return Suffixes.joined(found)
+
+
+def _window_part(some: Suffixes, parts: int) -> np.ndarray:
+    words = np.concatenate([some.bytes(), np.zeros((len(some.keys), -WIDTH % 8), np.uint8)], 1).view(np.uint64)
+    h = np.zeros(len(words), np.uint64)
+    for i in range(words.shape[1]):
+        h = mix64(h ^ words[:, i])
+    return ((h >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+
+
+def _groups(some: Suffixes) -> np.ndarray:
+    """A number for each different anchor; in order of keys."""
+    anchor = some.bytes()[:, :ANCHOR]
+    return np.cumsum(np.concatenate([[0], (anchor[1:] != anchor[:-1]).any(1)])) if len(anchor) else np.zeros(0, np.int64)
 
 
 def union_of(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -311,46 +340,184 @@ def union_of(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start[new], reach[np.concatenate([new[1:] - 1, [len(start) - 1]])]
 
 
-def _removed(joined: DataFrame, with_text: bool) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the spans and the kept text if wanted."""
-    fields = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["spans", "kept"] if with_text else [])]
+def _spans(piece: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray, parts: int) -> pa.RecordBatch:
+    """A row for each piece; the spans of one document that meet are one."""
+    order = np.lexsort((start, row, piece))
+    piece, row, start, end = (x[order].astype(np.int64) for x in (piece, row, start, end))
+    if len(piece):
+        doc = np.cumsum(np.concatenate([[0], (piece[1:] != piece[:-1]) | (row[1:] != row[:-1])]))
+        a, b = union_of(start + (doc << 33), end + (doc << 33))
+        first = np.searchsorted(doc, a >> 33)
+        piece, row, start, end = piece[first], row[first], a & ((1 << 33) - 1), b & ((1 << 33) - 1)
+    cuts = [0, *(np.flatnonzero(piece[1:] != piece[:-1]) + 1).tolist(), len(piece)] if len(piece) else [0]
+    squeeze = zstandard.ZstdCompressor(level=1)
+    pack = lambda x: squeeze.compress(x.astype(np.uint32).tobytes())
+    return _frame(_ROWS, [(_SPAN, int(piece[a] % parts), int(piece[a]), None, pack(row[a:b]), pack(start[a:b]), pack(end[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+
+
+def _to_pieces(blobs: DataFrame, sent: DataFrame, *columns: str) -> DataFrame:
+    """Each piece with the rows sent to it in the column sent; only those are shuffled, as the pieces lie in buckets."""
+    by = sent.groupBy("piece").agg(F.collect_list(F.struct(*columns)).alias("sent"))
+    return blobs.join(by.hint("shuffle_hash"), "piece", "left")
+
+
+def _shared_anchors(blobs: DataFrame, parts: int) -> DataFrame:
+    """piece, part, bits: for each different anchor of a piece in a part, in order of names, whether several documents have it (or one of its name)."""
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blob in _rows_of(batches):
+            piece = Piece(blob)
+            name = piece.names(parts)
+            order = np.argsort(name, kind="stable")
+            name, ids = name[order], piece.ids[piece.row[order]]
+            first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else order
+            several = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first) if len(name) else np.zeros(0, bool)
+            name = name[first]
+            part = (name >> np.uint64(32)).astype(np.int64)
+            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)] if len(part) else [0]
+            yield _frame("part int, piece long, names binary, several binary", [(int(part[a]), blob["piece"], name[a:b].astype(np.uint32).tobytes(), np.packbits(several[a:b]).tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A partition is a part."""
+        rows = list(_rows_of(batches))
+        own = [np.frombuffer(r["names"], np.uint32) for r in rows]
+        if not rows:
+            return
+        every = np.sort(np.concatenate(own))
+        common = np.unique(every[1:][every[1:] == every[:-1]])
+        for at in range(0, len(rows), 1000):
+            bits = []
+            for r, n in zip(rows[at : at + 1000], own[at : at + 1000], strict=True):
+                several = np.unpackbits(np.frombuffer(r["several"], np.uint8), count=len(n)).astype(bool)
+                bits.append(np.packbits(several | _within(n, common)).tobytes())
+            yield _frame("piece long, part int, bits binary", [(r["piece"], r["part"], b) for r, b in zip(rows[at:], bits, strict=False)])
+
+    sent = blobs.mapInArrow(names, "part int, piece long, names binary, several binary")
+    return sent.repartitionById(parts, F.col("part")).mapInArrow(look, "piece long, part int, bits binary")
+
+
+def _within(x: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether each x is in the sorted table."""
+    if not len(table):
+        return np.zeros(len(x), bool)
+    return table[np.minimum(np.searchsorted(table, x), len(table) - 1)] == x
+
+
+def _suffixes(pieces_: DataFrame, parts: int, hot: int) -> DataFrame:
+    """The shared suffixes of each piece, dealt by anchor, and the spans that are settled in it. pieces_: with the bits of their anchors in sent."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-
-        def made() -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64())), pa.string()]
-            batch = pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kinds[i]) for i in range(len(fields))], fields)
-            out.clear()
-            return batch
-
-        for row, text, start, end in _with_texts(batches):
-            a, b = union_of(start, end)
-            edges = np.concatenate([[0], np.stack([a, b], 1).reshape(-1), [len(text)]]).tolist()
-            kept = b"".join(text[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)) if len(a) else text
-            doc_id = int(np.frombuffer(row["id"], np.int64)[0]) if row["left"] else None
-            found = (doc_id, len(text), len(text) - len(kept), len(a), hashlib.sha256(kept).hexdigest())
-            out.append((*found, np.stack([a, b], 1).tolist(), kept.decode(errors="replace")) if with_text else found)
-            if len(out) >= 2000:
-                yield made()
-        yield made()
-
-    return joined.mapInArrow(each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", spans array<array<long>>, kept string" if with_text else ""))
+        for blob in _rows_of(batches):
+            if not blob["sent"]:
+                continue
+            piece = Piece(blob)
+            name = piece.names(parts)
+            every, at = np.unique(name, return_inverse=True)
+            count = np.bincount((every >> np.uint64(32)).astype(np.int64), minlength=parts)
+            bits = [np.unpackbits(np.frombuffer(s["bits"], np.uint8), count=count[s["part"]]) for s in sorted(blob["sent"], key=lambda s: s["part"])]
+            own = np.flatnonzero(np.concatenate(bits).astype(bool)[at])
+            where = np.full(len(own), blob["piece"])
+            found = Suffixes(piece.keys(own), piece.ids[piece.row[own]], where, piece.row[own].astype(np.uint32), piece.first[own].astype(np.uint32))
+            order = np.argsort(found.keys, kind="stable")
+            found, part = found.take(order), (name[own][order] >> np.uint64(32)).astype(np.int64)
+            behind = found.behind()
+            gone = found.take(behind)
+            yield _spans(gone.piece, gone.row, gone.start, gone.ends(), parts)
+            found, part = found.take(~behind), part[~behind]
+            group = _groups(found)
+            much = np.bincount(group)[group] > hot if len(group) else np.zeros(0, bool)
+            yield found.take(~much).packed(_SUFFIX, part[~much])
+            if much.any():
+                windows = windows_of(found.take(much)).ordered()
+                behind = windows.behind()
+                gone, windows = windows.take(behind), windows.take(~behind)
+                yield _spans(gone.piece, gone.row, gone.start, gone.ends(), parts)
+                yield windows.packed(_WINDOW, _window_part(windows, parts))
+                first = np.flatnonzero(much & np.concatenate([[True], group[1:] != group[:-1]]))
+                yield _frame(_ROWS, [(_HOT, int(part[i]), blob["piece"], None, None, None, found.bytes()[i, :ANCHOR].tobytes()) for i in first.tolist()])
+
+    return pieces_.mapInArrow(each, _ROWS)
+
+
+def _scan(dealt: DataFrame, parts: int, windows: bool) -> DataFrame:
+    """The spans that match, for their pieces; a partition is a part. windows: it is the second round, of windows alone; else windows are only passed on."""
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[np.ndarray, ...]] = []
+
+        def gone(some: Suffixes) -> None:
+            if len(some.keys):
+                found.append((some.piece, some.row, some.start, some.ends()))
+
+        index, hot = LogIndex(gone), set()
+        for row in _rows_of(batches):
+            if row["what"] == _HOT:
+                hot.add(row["keys"])
+            elif row["what"] == _SPAN or (row["what"] == _WINDOW and not windows):
+                yield _frame(_ROWS, [tuple(row.values())])
+            else:
+                index.add(Suffixes.unpacked(row))
+        whole = index.whole()
+        if whole is not None and not windows:
+            group = _groups(whole)
+            first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            is_hot = np.array([bytes(a) in hot for a in whole.bytes()[first, :ANCHOR]])[group] if hot else np.zeros(len(group), bool)
+            own = np.flatnonzero((np.bincount(group)[group] > 1) & ~is_hot)
+            some = whole.take(own)
+            if len(own):
+                edge = np.diff(np.pad(windows_behind(some, group[own]).astype(np.int8), ((0, 0), (1, 1))), axis=1)
+                at, least = np.nonzero(edge == 1)
+                most = np.nonzero(edge == -1)[1] - 1
+                place = some.start[at].astype(np.int64) + some.bytes()[at, -2]
+                found.append((some.piece[at], some.row[at], place - most, place - least + LENGTH))
+            if is_hot.any():
+                some = windows_of(whole.take(is_hot))
+                yield some.packed(_WINDOW, _window_part(some, parts))
+        if found:
+            yield _spans(*(np.concatenate([f[i] for f in found]) for i in range(4)), parts)
+
+    return dealt.mapInArrow(each, _ROWS)
+
+
+def _removed(pieces_: DataFrame, with_text: bool) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the spans and the kept text if wanted. pieces_: with their spans in sent."""
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["spans", "kept"] if with_text else [])]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64())), pa.string()]
 
-def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = lambda raw: np.frombuffer(zstandard.decompress(raw), np.uint32).astype(np.int64)
+        for blob in _rows_of(batches):
+            text = memoryview(zstandard.decompress(blob["text"])) if blob["text"] else memoryview(b"")
+            ids, known = np.frombuffer(blob["ids"], np.int64), np.frombuffer(blob["known"], bool)
+            offsets = np.concatenate([[0], np.cumsum(np.frombuffer(blob["size"], np.uint32), dtype=np.int64)]).tolist()
+            row, start, end = (np.concatenate([np.zeros(0, np.int64), *(read(s[c]) for s in blob["sent"] or [])]) for c in ("doc", "start", "keys"))
+            order = np.lexsort((start, row))
+            row, start, end = row[order], start[order], end[order]
+            cut = np.searchsorted(row, np.arange(len(ids) + 1)).tolist()
+            out = []
+            for i in range(len(ids)):
+                own = text[offsets[i] : offsets[i + 1]]
+                a, b = union_of(start[cut[i] : cut[i + 1]], end[cut[i] : cut[i + 1]])
+                edges = [0, *np.stack([a, b], 1).reshape(-1).tolist(), len(own)]
+                kept = b"".join(own[edges[j] : edges[j + 1]] for j in range(0, len(edges), 2)) if len(a) else bytes(own)
+                one = (int(ids[i]) if known[i] else None, len(own), len(own) - len(kept), len(a), hashlib.sha256(kept).hexdigest())
+                out.append((*one, np.stack([a, b], 1).tolist(), kept.decode(errors="replace")) if with_text else one)
+                if len(out) == 5000 or i == len(ids) - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], kinds[j]) for j in range(len(names))], names)
+                    out = []
+
+    return pieces_.mapInArrow(each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", spans array<array<long>>, kept string" if with_text else ""))
+
+
+def remove_repeats(docs: DataFrame, with_text: bool = False, piece_bytes: int = _PIECE, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with_text: spans (in bytes) and kept too.
 
     Where a cut splits a character, its bytes that stay show as U+FFFD in kept; the hash is of the bytes.
     """
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = 4 * tasks  # smaller parts even out the tasks
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", F.xxhash64(text).alias("mark"), text.alias("text"))
-    dealt = lambda df: df.repartition(tasks, "part").sortWithinPartitions("part", "what")
-    found = stored(_scan(dealt(_suffixes(rows, parts)), parts), "suffix-spans")
-    asked = found.filter(F.col("what") == _ASK)
-    windows = _windows(dealt(asked.unionByName(_texts(rows, parts))), parts)
-    more = stored(_scan_windows(dealt(windows), parts), "suffix-windows")
-    spans = found.filter(F.col("what") == _SPAN).unionByName(more)
-    return _removed(dealt(spans.unionByName(_texts(rows, parts))), with_text)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blobs = pieces(docs, min(parts, 100_000), piece_bytes)
+    shared = _to_pieces(blobs, _shared_anchors(blobs, parts), "part", "bits")
+    found = stored(_scan(_suffixes(shared, parts, hot).repartitionById(parts, F.col("part")), parts, windows=False), "suffix-spans")
+    second = found.filter(F.col("what") == _WINDOW).repartitionById(parts, F.col("part"))
+    spans = found.filter(F.col("what") == _SPAN).unionByName(_scan(second, parts, windows=True))
+    return _removed(_to_pieces(blobs, spans, "doc", "start", "keys"), with_text)

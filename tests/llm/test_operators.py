@@ -308,28 +308,44 @@ def test_repeats_against_brute_force(spark, docs):
     assert suffix_dedup.remove_repeats(corpus.empty(spark)).count() == 0
 
 
-def test_segments_alike_in_32_bits_stay(spark):
-    passage = "this very passage is shared by very many of the documents here, and it is much longer than fifty bytes"
-    rows = [(i, f"{passage} {end} ends otherwise") for i, end in enumerate((46753776, 1248628325, 36094802, 1349270896))]
-    for a, b in (rows[:2], rows[2:]):
-        segments = [suffix_dedup.anchors(*suffix_dedup.text_bytes(pa.array([t])))[5] for _, t in (a, b)]
-        alike = [(x, y) for x in segments[0].tolist() for y in segments[1].tolist() if x >> 32 == y >> 32 and x != y]
-        assert alike  # else this test says nothing
-    for tasks in (1, 4):
-        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(tasks)
-        assert counted(suffix_dedup.remove_repeats(docs).collect()) == slow_repeats(rows)
+def test_repeats_in_many_pieces_and_hot_anchors(spark):
+    """Small pieces, an anchor that is hot in some of them only, copies over pieces, tied ids and NUL bytes."""
+    rng = np.random.default_rng(5)
+    words = "the and of that with this from there which about people would could water under".split()
+    text = lambda n: " ".join(rng.choice(words, n))
+    passage = "this very passage is shared by very many of the documents here, and it is longer than fifty"
+    rows = [(int(i), f"{text(12)} {passage}{i * 7919 % 1000} {text(9)}") for i in rng.permutation(300)]
+    rows += [(1000 + i, text(60)) for i in range(60)] + [(i, rows[i][1] + text(30)) for i in range(5)]
+    rows += [(2000 + i, "a" * 200 + "\0" * (60 + i) + passage) for i in range(4)] + [(None, passage), (None, passage), (3000, passage * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for tasks, piece, hot in ((1, 1 << 20, 8), (5, 4000, 3), (2, 3000, 1), (3, 1 << 20, 10**6)):
+        assert counted(suffix_dedup.remove_repeats(docs.repartition(tasks), piece_bytes=piece, hot=hot).collect()) == slow_repeats(rows)
+
+
+def test_one_text_longer_than_a_piece(spark):
+    rng = np.random.default_rng(2)
+    long = rng.integers(97, 123, 3 << 20).astype(np.uint8).tobytes().decode()
+    rows = [(1, long[: 1 << 20]), (2, long), (3, long[2000:])]
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), piece_bytes=1 << 20).collect()}
+    assert [got[i]["n_removed"] for i in (1, 2, 3)] == [0, 1 << 20, len(long) - 2000] and [got[i]["n_spans"] for i in (1, 2, 3)] == [0, 1, 1]
+    assert got[2]["kept_sha256"] == hashlib.sha256(long[1 << 20 :].encode()).hexdigest()
 
 
 def test_levels_merge_geometrically():
-    index, rng = suffix_dedup.LogIndex(), np.random.default_rng(0)
-    first = {}
-    for batch in range(40):
-        keys = rng.integers(0, 3000, 100).astype(np.uint64)
-        got = index.add(keys, np.full(100, batch))
-        for k in keys.tolist():
-            first.setdefault(k, batch)
-        assert got.tolist() == [first[k] for k in keys.tolist()]
+    gone: list = []
+    index, rng = suffix_dedup.LogIndex(lambda s: gone.extend(zip(s.row.tolist(), s.id.tolist(), strict=True))), np.random.default_rng(0)
+    seen = collections.defaultdict(list)
+    for batch in rng.permutation(40).tolist():
+        keys = rng.integers(0, 3000, 100)
+        rows = np.arange(100) + 100 * batch
+        raw = np.array([b"%078d" % k for k in keys.tolist()], f"S{suffix_dedup.WIDTH}")
+        index.add(suffix_dedup.Suffixes(raw, np.full(100, batch), np.zeros(100, np.int64), rows.astype(np.uint32), np.zeros(100, np.uint32)))
+        for k, r in zip(keys.tolist(), rows.tolist(), strict=True):
+            seen[k].append((batch, r))
         assert len(index.levels) <= 10
+    assert {r for r, _ in gone} == {r for own in seen.values() for i, r in own if i > min(own)[0]}
+    whole = index.whole()
+    assert (whole.keys[1:] >= whole.keys[:-1]).all() and len(set(whole.keys.tolist())) == len(seen)
 
 
 # 5: SentencePiece
