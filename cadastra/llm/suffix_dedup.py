@@ -61,7 +61,7 @@ WIDTH = ANCHOR + 2 * SIDE + 2
 HOT = 256
 _AT = np.uint64((1 << 28) - 1)
 _LAST = np.int64(2**63 - 1)
-_PIECE = 8 << 20
+_PIECE = 4 << 20
 _SUFFIX, _WINDOW, _HOT, _SPAN = range(4)
 _BLOB = "piece long, ids binary, known binary, size binary, n_anchors binary, runs binary, text binary"
 _ROWS = "what int, part int, piece long, docs binary, doc binary, start binary, keys binary"
