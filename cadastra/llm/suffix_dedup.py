@@ -62,6 +62,7 @@ HOT = 256
 _AT = np.uint64((1 << 28) - 1)
 _LAST = np.int64(2**63 - 1)
 _PIECE = 4 << 20
+_BLOCK = 1 << 18
 _SUFFIX, _WINDOW, _HOT, _SPAN = range(4)
 _BLOB = "piece long, ids binary, known binary, size binary, n_anchors binary, runs binary, text binary"
 _ROWS = "what int, part int, piece long, docs binary, doc binary, start binary, keys binary"
@@ -136,6 +137,13 @@ def pieces(docs: DataFrame, buckets: int, piece_bytes: int = _PIECE) -> DataFram
     return out
 
 
+def _names(anchor: np.ndarray, parts: int) -> np.ndarray:
+    """For each anchor (a row of bytes) its part, and 32 bits of it in the lower half."""
+    words = anchor.view(np.uint64)
+    h = mix64(words[:, 0] ^ mix64(words[:, 1] ^ mix64(words[:, 2] + np.uint64(0x9E3779B97F4A7C15))))
+    return ((h >> np.uint64(32)) % np.uint64(parts)) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF))
+
+
 class Piece:
     """A stored piece at work: its bytes, and row, start (of the segment), place, bytes before and after it of each anchor."""
 
@@ -157,9 +165,7 @@ class Piece:
         """For each anchor its part, and 32 bits of it in the lower half."""
         if not len(self.at):
             return np.zeros(0, np.uint64)
-        words = np.lib.stride_tricks.sliding_window_view(self.text, ANCHOR)[self.at].copy().view(np.uint64)
-        h = mix64(words[:, 0] ^ mix64(words[:, 1] ^ mix64(words[:, 2] + np.uint64(0x9E3779B97F4A7C15))))
-        return ((h >> np.uint64(32)) % np.uint64(parts)) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF))
+        return _names(np.lib.stride_tricks.sliding_window_view(self.text, ANCHOR)[self.at].copy(), parts)
 
     def keys(self, own: np.ndarray) -> np.ndarray:
         """The suffixes' bytes of the anchors own."""
@@ -176,13 +182,17 @@ class Piece:
 
 @dataclass
 class Suffixes:
-    """A suffix array: the bytes of each (keys, in their order), the document's id, its piece and row there, and where the segment starts."""
+    """A suffix array: the bytes of each (keys, in their order), the document's id, its piece and row there, where the segment starts, and how far it comes again and again.
+
+    extra: equal segments of one document that start at most LENGTH bytes apart are one entry, since all their windows go or stay together; it is the way from the first start to the last.
+    """
 
     keys: np.ndarray
     id: np.ndarray
     piece: np.ndarray
     row: np.ndarray
     start: np.ndarray
+    extra: np.ndarray
 
     def take(self, at: np.ndarray) -> Suffixes:
         return Suffixes(*(getattr(self, f.name)[at] for f in fields(self)))
@@ -196,12 +206,23 @@ class Suffixes:
 
     def ends(self) -> np.ndarray:
         raw = self.bytes()
-        return self.start.astype(np.int64) + raw[:, -2] + raw[:, -1] + ANCHOR
+        return self.start.astype(np.int64) + raw[:, -2] + raw[:, -1] + ANCHOR + self.extra
 
     def ordered(self) -> Suffixes:
         """By bytes. Two sorted runs are merged in one go."""
         return self.take(np.argsort(self.keys, kind="stable"))
 
+    def collapsed(self) -> Suffixes:
+        """Segments that a document repeats at once, as a run of one character has them, as one. In order of keys, then of rows and starts; one piece's."""
+        if not len(self.keys):
+            return self
+        start = self.start.astype(np.int64)
+        new = np.concatenate([[True], (self.keys[1:] != self.keys[:-1]) | (self.row[1:] != self.row[:-1]) | (start[1:] - start[:-1] > LENGTH)])
+        first = np.flatnonzero(new)
+        out = self.take(first)
+        out.extra = (start[np.concatenate([first[1:], [len(start)]]) - 1] - start[first]).astype(np.uint32)
+        return out
+
     def behind(self) -> np.ndarray:
         """Whether the same bytes have a smaller id; in order of keys."""
         if not len(self.keys):
@@ -219,13 +240,13 @@ class Suffixes:
             own = self.take(order[a:b])
             _, one, doc = np.unique(np.stack([own.piece, own.row.astype(np.int64)], 1), axis=0, return_index=True, return_inverse=True) if len(set(own.piece[[0, -1]].tolist())) > 1 or (own.piece != own.piece[0]).any() else (None, *np.unique(own.row, return_index=True, return_inverse=True)[1:])
             docs = np.stack([own.id[one], own.piece[one], own.row[one].astype(np.int64)])
-            rows.append((what, int(part[a]), None, docs.tobytes(), doc.reshape(-1).astype(np.uint32).tobytes(), own.start.astype(np.uint32).tobytes(), squeeze.compress(own.keys.tobytes())))
+            rows.append((what, int(part[a]), None, docs.tobytes(), doc.reshape(-1).astype(np.uint32).tobytes(), squeeze.compress(np.concatenate([own.start, own.extra]).astype(np.uint32).tobytes()), squeeze.compress(own.keys.tobytes())))
         return _frame(_ROWS, rows)
 
     @staticmethod
     def unpacked(row: dict) -> Suffixes:
         docs, doc = np.frombuffer(row["docs"], np.int64).reshape(3, -1), np.frombuffer(row["doc"], np.uint32)
-        return Suffixes(np.frombuffer(zstandard.decompress(row["keys"]), f"S{WIDTH}"), docs[0][doc], docs[1][doc], docs[2][doc].astype(np.uint32), np.frombuffer(row["start"], np.uint32))
+        return Suffixes(np.frombuffer(zstandard.decompress(row["keys"]), f"S{WIDTH}"), docs[0][doc], docs[1][doc], docs[2][doc].astype(np.uint32), *np.frombuffer(zstandard.decompress(row["start"]), np.uint32).reshape(2, -1))
 
 
 class LogIndex:
@@ -325,6 +346,11 @@ def _window_part(some: Suffixes, parts: int) -> np.ndarray:
     return ((h >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
 
 
+def _part_of(some: Suffixes, parts: int) -> np.ndarray:
+    """The part of each one's anchor."""
+    return (_names(np.ascontiguousarray(some.bytes()[:, :ANCHOR]), parts) >> np.uint64(32)).astype(np.int64)
+
+
 def _groups(some: Suffixes) -> np.ndarray:
     """A number for each different anchor; in order of keys."""
     anchor = some.bytes()[:, :ANCHOR]
@@ -416,10 +442,15 @@ def _suffixes(pieces_: DataFrame, parts: int, hot: int) -> DataFrame:
             count = np.bincount((every >> np.uint64(32)).astype(np.int64), minlength=parts)
             bits = [np.unpackbits(np.frombuffer(s["bits"], np.uint8), count=count[s["part"]]) for s in sorted(blob["sent"], key=lambda s: s["part"])]
             own = np.flatnonzero(np.concatenate(bits).astype(bool)[at])
-            where = np.full(len(own), blob["piece"])
-            found = Suffixes(piece.keys(own), piece.ids[piece.row[own]], where, piece.row[own].astype(np.uint32), piece.first[own].astype(np.uint32))
-            order = np.argsort(found.keys, kind="stable")
-            found, part = found.take(order), (name[own][order] >> np.uint64(32)).astype(np.int64)
+            blocks = []
+            for a in range(0, len(own), _BLOCK):
+                some = own[a : a + _BLOCK]
+                block = Suffixes(piece.keys(some), piece.ids[piece.row[some]], np.full(len(some), blob["piece"]), piece.row[some].astype(np.uint32), piece.first[some].astype(np.uint32), np.zeros(len(some), np.uint32))
+                blocks.append(block.ordered().collapsed())
+            if not blocks:
+                continue
+            found = Suffixes.joined(blocks).ordered() if len(blocks) > 1 else blocks[0]
+            part = _part_of(found, parts)
             behind = found.behind()
             gone = found.take(behind)
             yield _spans(gone.piece, gone.row, gone.start, gone.ends(), parts)
@@ -469,7 +500,7 @@ def _scan(dealt: DataFrame, parts: int, windows: bool) -> DataFrame:
                 at, least = np.nonzero(edge == 1)
                 most = np.nonzero(edge == -1)[1] - 1
                 place = some.start[at].astype(np.int64) + some.bytes()[at, -2]
-                found.append((some.piece[at], some.row[at], place - most, place - least + LENGTH))
+                found.append((some.piece[at], some.row[at], place - most, place - least + LENGTH + some.extra[at]))
             if is_hot.any():
                 some = windows_of(whole.take(is_hot))
                 yield some.packed(_WINDOW, _window_part(some, parts))
