@@ -11,7 +11,7 @@ the counted words of a sample of labelled rows sums expected piece counts. The
 sample takes rows by a hash of their id, at the rate that gives sample_per_lang
 rows of each language on average, or all if there are fewer.
 
-A word of more than 32 letters is scored in parts of 32. Texts that are null or
+Runs of letters are scored as wholes, whatever their length. Texts that are null or
 have no letter get "und" and score 0. Without any labelled row every text gets
 "und". Ties go to the first language by code point. Rows are judged one by one,
 so repeated rows agree, and an empty table gives an empty result.
@@ -35,7 +35,6 @@ from cadastra.llm.common import bucket_of, slices, stored
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 _WORDS = re.compile(r"[^\W\d_]+")
-_LONGEST = 32
 _FLOOR = 1e-7
 _KNOWN = 200_000
 
@@ -60,19 +59,24 @@ def load_pieces(path: str = VOCABULARY) -> list[str]:
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters in lower case with the space mark; long ones in parts."""
-    found = _WORDS.findall(text.lower())
-    if found and max(map(len, found)) > _LONGEST:
-        found = [w[i : i + _LONGEST] for w in found for i in range(0, len(w), _LONGEST)]
-    return found
-
-
-def _log_p(words: list[str], vocabulary: lattice.Pieces, p: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(words), p.shape[1]))
-    for at in range(0, len(words), 20_000):
-        part = [lattice.SPACE + w for w in words[at : at + 20_000]]
-        lat = lattice.build(part, vocabulary)
-        out[at : at + len(part)] = np.log(lattice.forward(lat, p)[np.arange(lat.n), lat.length])
+    """Runs of letters in lower case."""
+    return _WORDS.findall(text.lower())
+
+
+def _lattices(words: list[str], vocabulary: lattice.Pieces) -> Iterator[tuple[np.ndarray, lattice.Lattice]]:
+    """The places of some words and their lattice; those of long words, which run in logarithms, apart."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    short, long = np.flatnonzero(size < lattice.SHORT), np.flatnonzero(size >= lattice.SHORT)
+    for own, block in ((short, 20_000), (long, 200)):
+        for at in range(0, len(own), block):
+            some = own[at : at + block]
+            yield some, lattice.build([lattice.SPACE + words[i] for i in some.tolist()], vocabulary)
+
+
+def _log_p(words: list[str], vocabulary: lattice.Pieces, log_p: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(words), log_p.shape[1]))
+    for own, lat in _lattices(words, vocabulary):
+        out[own] = lattice.backward(lat, log_p)[lat.node]
     return out
 
 
@@ -113,9 +117,9 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, sample_per_lang: int =
                 lang = np.array([langs.index(x) for x in batch.column("lang").to_pylist()], np.int64)
                 text, n = np.array(batch.column("word").to_pylist(), object), batch.column("n").to_numpy()
                 for i in np.unique(lang):
-                    own = lang == i
-                    lat = lattice.build([lattice.SPACE + w for w in text[own]], known)
-                    total[:, i] += lattice.expected_counts(lat, now.value[:, i : i + 1], n[own])
+                    own = np.flatnonzero(lang == i)
+                    for some, lat in _lattices(text[own].tolist(), known):
+                        total[:, i] += lattice.expected_counts(lat, np.log(now.value[:, i : i + 1]), n[own[some]])
             at = np.argwhere(total > 0)
             yield pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1]), pa.array(total[at[:, 0], at[:, 1]])], ["piece", "lang", "n"])
 
@@ -132,7 +136,7 @@ class Judge:
     """The model at work on one machine; remembers the words that it has scored, up to a bound."""
 
     def __init__(self, model: Model):
-        self.model, self.vocabulary = model, lattice.Pieces(model.pieces)
+        self.model, self.vocabulary, self.log_p = model, lattice.Pieces(model.pieces), np.log(model.p)
         self.number: dict[str, int] = {}
         self.scores = np.zeros((0, len(model.langs)))
 
@@ -149,7 +153,7 @@ class Judge:
             self.number, self.scores = {}, self.scores[:0]
         number, old = self.number, len(self.number)
         ids = np.array([number.setdefault(w, len(number)) for ws in per_text for w in ws], np.int64)
-        self.scores = np.concatenate([self.scores, _log_p(list(number)[old:], self.vocabulary, m.p)])
+        self.scores = np.concatenate([self.scores, _log_p(list(number)[old:], self.vocabulary, self.log_p)])
         total = m.prior + np.add.reduceat(self.scores[ids], np.concatenate([[0], np.cumsum(n[some])[:-1]]))
         lang[some] = np.array(m.langs, object)[total.argmax(1)]
         score[some] = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)

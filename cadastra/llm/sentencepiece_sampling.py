@@ -1,19 +1,24 @@
 """SentencePiece encoding and decoding with Gumbel top-k sampling.
 
 A text's lattice has every segmentation of " " + text into the pieces of a
-fixed public vocabulary (bytes for characters that it lacks). Pieces don't
-cross a space, a line end or, in a run of characters without those, a multiple
-of 32. A piece of rank r weighs 1 / (r + 2.7), an unknown character 1e-9; a
-segmentation's probability is the product of its weights over that of all.
+fixed public vocabulary (bytes for characters that it lacks). A piece of rank r
+weighs 1 / (r + 2.7), an unknown character 1e-9; a segmentation's probability is
+the product of its weights over that of all. The lattice falls into units where
+no piece of the vocabulary can cross: before a run of spaces, on both sides of a
+line end, and in a unit of more than 32 characters also between characters that
+stand together in no piece. Nothing is lost by that, and a unit may be of any
+length.
 
 Samples without replacement: every segmentation has its log-probability plus a
 Gumbel number, and the k with the largest sums are emitted, in order. The
 search is top-down and best-first, as in A*: a node of the search tree stands
-for all segmentations with one beginning, the largest sum below it is known
-exactly (a Gumbel at the log of their summed probability, by backward sums),
-and children are drawn given their parent's. So each of the k paths only goes
-down once, from the best node off the paths before. The drawing is done for all
-units of a chunk of texts at once.
+for a set of segmentations, and the largest sum in it is known exactly (a Gumbel
+at the log of their summed probability, by backward sums). A path is drawn edge
+by edge; all segmentations that leave it within one unit are one node beside
+it, with one number. Such a node is opened only when it is the best: the place
+where it leaves the path is drawn, what is left of it is a node again, and the
+path goes on from there. The drawing is done for all units of a chunk of texts
+at once.
 
 inclusion is the probability that a segmentation with that log-probability
 exceeds the (k+1)th largest sum, 1 if there is none. The numbers come from the
@@ -21,14 +26,15 @@ row's key and the place in the text only, so reruns and any partitioning agree.
 
 encode_samples() returns 1 to k rows a document. Null texts are empty; an empty
 text has one segmentation, a lone space mark. Null keys share one seed, and
-rows that share key and text get the same samples. An empty table gives an
-empty result. decode() is the inverse: its result is the text, exactly. A chunk
-is whole texts, so memory is proportional to the longest text.
+rows that share key and text get the same samples. Other columns are neither
+read nor returned. An empty table gives an empty result. decode() is the
+inverse: its result is the text, exactly. A chunk is whole texts, so memory is
+proportional to the longest text.
 """
 
 from __future__ import annotations
 
-import re
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,14 +44,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadastra.llm import lattice
-from cadastra.llm.common import mix64, slices, text_bytes
+from cadastra.llm.common import Rolling, mix64, slices, text_bytes
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-_UNITS = re.compile(r" [^ \n]*|[^ \n]+|\n")
-_LONGEST = 32
 _UNKNOWN = 1e-9
-_KNOWN = 150_000
-_K = np.uint64(0xD1342543DE82EF95)
+_KNOWN = 200_000
+_LEARNED = 20_000
+_K, _L = np.uint64(0xD1342543DE82EF95), np.uint64(0x9E3779B97F4A7C15)
+_SPACE, _LINE = 32, 10
 
 
 def load_vocabulary(path: str = VOCABULARY) -> tuple[list[str], int]:
@@ -59,11 +65,25 @@ def load_vocabulary(path: str = VOCABULARY) -> tuple[list[str], int]:
     return pieces, model.piece_to_id("<0x00>")
 
 
-def units_of(text: str) -> list[str]:
-    found = _UNITS.findall(" " + text)
-    if max(map(len, found)) > _LONGEST:
-        found = [u[i : i + _LONGEST] for u in found for i in range(0, len(u), _LONGEST)]
-    return found
+def cuts(data: np.ndarray, begins: np.ndarray, crossed: np.ndarray) -> np.ndarray:
+    """Where units begin. begins: where texts do; crossed: the pairs of characters that stand together in a piece, sorted."""
+    new = np.zeros(len(data), bool)
+    space, line = data == _SPACE, data == _LINE
+    new[1:] = (space[1:] & ~space[:-1]) | line[1:] | line[:-1]
+    new[begins] = True
+    start = np.flatnonzero(new)
+    size = np.diff(np.concatenate([start, [len(data)]]))
+    long = np.flatnonzero(size > lattice.SHORT)
+    if len(long):
+        at = np.concatenate([np.arange(a + 1, a + n) for a, n in zip(start[long].tolist(), size[long].tolist(), strict=True)])
+        pair = pair_of(data[at - 1], data[at])
+        new[at[crossed[np.minimum(np.searchsorted(crossed, pair), len(crossed) - 1)] != pair if len(crossed) else slice(None)]] = True
+        start = np.flatnonzero(new)
+    return start
+
+
+def pair_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a.astype(np.int64) << 21) | b.astype(np.int64)
 
 
 class Decoder:
@@ -85,174 +105,251 @@ class Decoder:
 def _appended(held: np.ndarray, n: int, more: np.ndarray) -> np.ndarray:
     """held, of which n values are in use, with more after them; copied only where it doubles."""
     if n + len(more) > len(held):
-        held = np.concatenate([held[:n], np.zeros((max(n, 1024) + 2 * len(more), *held.shape[1:]), held.dtype)])
+        held = np.concatenate([held[:n], np.zeros(max(n, 1024) + 2 * len(more), held.dtype)])
     held[n : n + len(more)] = more
     return held
 
 
+def _uniform(x: np.ndarray) -> np.ndarray:
+    """Numbers over 0, up to 1, from 64 bits each."""
+    return ((x >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53
+
+
+class _Path:
+    """A sampled path: its edges, of which those of unit begin at at[unit - unit0], and the first fixed ones of that unit were given."""
+
+    __slots__ = ("log_p", "sum", "edges", "unit0", "at", "fixed", "fixed_log")
+
+    def __init__(self, log_p: float, total: float, edges: np.ndarray, unit0: int, at: np.ndarray, fixed: int, fixed_log: float):
+        self.log_p, self.sum, self.edges, self.unit0, self.at, self.fixed, self.fixed_log = log_p, total, edges, unit0, at, fixed, fixed_log
+
+
 class Sampler:
     """Samples for chunks of texts; remembers units' lattices up to a bound."""
 
     def __init__(self, pieces: list[str], byte0: int):
         self.byte0 = byte0
         used = [i for i, p in enumerate(pieces) if p]
+        if any(" " in pieces[i].lstrip(" ") or "\n" in pieces[i] for i in used):
+            raise ValueError("a piece goes over the beginning of a word or over a line end: units would cut it")
         self.piece_id = np.array([*used, -1])
         self.vocabulary = lattice.Pieces([pieces[i] for i in used])
+        data, first, _ = lattice.codes(self.vocabulary.pieces)
+        inner = np.ones(len(data), bool)
+        inner[first] = False
+        at = np.flatnonzero(inner)
+        self.crossed = np.unique(pair_of(data[at - 1], data[at]))
         weight = 1 / (np.arange(len(used)) + 2.7)
         self.p = np.concatenate([weight / weight.sum(), [_UNKNOWN]])[:, None]
+        self.log_w = np.log(self.p)
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.base, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.first = np.zeros(1, np.int64)  # of each node's edges
-        self.edges = 0
-        self.end, self.inverse, self.log_q = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
-        self.ids = np.zeros((0, 4), np.int32)
-
-    def learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            lat = lattice.build(part, self.vocabulary)
-            beta = lattice.backward(lat, self.p)[:, :, 0]
-            order = np.argsort(lat.word.astype(np.int64) * (_LONGEST + 1) + lat.start, kind="stable")
-            word, start, end, piece, unknown = (a[order].astype(np.int64) for a in (lat.word, lat.start, lat.end, lat.piece, lat.unknown))
-            q = self.p[piece, 0] * beta[word, end] / beta[word, start]
-            base = np.concatenate([[0], np.cumsum(lat.length)[:-1]]).astype(np.int64)
-            count = np.bincount(base[word] + start, minlength=int(lat.length.sum()))
-            ids = np.full((len(piece), 4), -1, np.int32)
-            ids[:, 0] = self.piece_id[piece]
-            for i in np.flatnonzero(unknown >= 0).tolist():
-                raw = chr(unknown[i]).encode(errors="surrogatepass")
-                ids[i, : len(raw)] = [self.byte0 + b for b in raw]
-            self.base = np.concatenate([self.base, base + len(self.first) - 1])
-            self.length = np.concatenate([self.length, lat.length])
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(count)])
-            for name, more in (("end", end), ("inverse", 1 / q), ("log_q", np.log(q)), ("ids", ids)):
-                setattr(self, name, _appended(getattr(self, name), self.edges, more))
-            self.edges += len(q)
-
-    def walk(self, unit: np.ndarray, pos: np.ndarray, so_far: np.ndarray, seed: np.ndarray) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray], np.ndarray]:
-        """Draws the rest of each unit from pos on: the edges taken, those beside them, and the log-probability of each unit.
-
-        Beside an edge: unit, pos, edge, before (in the unit) and gap, the exponential number above the smallest.
-        """
-        total, act, pos = so_far.copy(), np.flatnonzero(pos < self.length[unit]), pos.copy()
-        taken: list[tuple] = []
-        beside: list[tuple] = []
+        self.names, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # of the known units, in order of names
+        self.base = np.zeros(0, np.int64)  # each unit's first node
+        self.nodes, self.edges = 0, 0
+        self.first = np.zeros(1, np.int64)  # of each node's edges; the last node of a unit has none
+        self.end, self.piece = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.q, self.beside = np.zeros(0), np.zeros(0)
+
+    def numbered(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The number of each unit; unknown ones are learned."""
+        name, one, at = np.unique(Rolling(data).spans(start, start + size), return_index=True, return_inverse=True)
+        if len(self.names) > _KNOWN:
+            self.forget()
+        place = np.minimum(np.searchsorted(self.names, name), max(0, len(self.names) - 1))
+        known = self.names[place] == name if len(self.names) else np.zeros(len(name), bool)
+        number = np.empty(len(name), np.int64)
+        number[known] = self.numbers[place[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            # Long units are learned apart, as their sums run in logarithms.
+            new = new[np.argsort(size[one[new]] > lattice.SHORT, kind="stable")]
+            number[new] = len(self.base) + np.arange(len(new))
+            short = int((size[one[new]] <= lattice.SHORT).sum())
+            for a, b in [(a, min(a + _LEARNED, short)) for a in range(0, short, _LEARNED)] + [(a, a + 1) for a in range(short, len(new))]:
+                self.learn(data, start[one[new[a:b]]], size[one[new[a:b]]])
+            names, numbers = np.concatenate([self.names, name[new]]), np.concatenate([self.numbers, number[new]])
+            order = np.argsort(names, kind="stable")
+            self.names, self.numbers = names[order], numbers[order]
+        return number[at]
+
+    def learn(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        lat = lattice.build_from(data, start, size, self.vocabulary)
+        beta = lattice.backward(lat, self.log_w)[:, 0]
+        q = np.exp(self.log_w[lat.piece, 0] + beta[lat.end] - beta[lat.start])
+        # What leaves a node beside an edge, without a difference from nearly 1.
+        large = q > 0.5
+        small = np.add.reduceat(np.where(large, 0, q), lat.first[:-1][lat.first[:-1] < lat.first[1:]]) if len(q) else q
+        of = np.cumsum(np.concatenate([[0], lat.start[1:] != lat.start[:-1]])) if len(q) else q.astype(np.int64)
+        beside = np.where(large, small[of], 1 - q)
+        one = np.diff(lat.first)[lat.start] == 1
+        beside[one] = 0
+        self.base = np.concatenate([self.base, lat.node + self.nodes])
+        self.first = _appended(self.first, self.nodes, lat.first + self.edges)  # the last is the next unit's first
+        for name, more in (("end", lat.end + self.nodes), ("piece", np.where(lat.unknown < 0, self.piece_id[lat.piece], -1 - lat.unknown)), ("q", q), ("beside", beside)):
+            setattr(self, name, _appended(getattr(self, name), self.edges, more))
+        self.edges += len(q)
+        self.nodes += len(lat.first) - 1
+
+    def walk(self, node: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Draws the rest of each unit from node on: the edges taken, where each unit's begin, the log-probabilities, and what all that leaves the path weighs."""
+        n = len(node)
+        log_p, before, rest, node = np.zeros(n), np.ones(n), np.zeros(n), node.copy()
+        act, steps, turn = np.flatnonzero(self.first[node] < self.first[node + 1]), [], 0
         while len(act):
-            at = pos[act]
-            node = self.base[unit[act]] + at
-            first = self.first[node]
-            count = self.first[node + 1] - first
-            edge = first.copy()
-            many = np.flatnonzero(count > 1)
-            if len(many):
-                c = count[many]
-                opens = np.cumsum(c) - c
-                owner = np.repeat(np.arange(len(many)), c)
-                e = np.repeat(first[many] - opens, c) + np.arange(len(owner))
-                salt = seed[act[many]] + at[many].astype(np.uint64) * np.uint64(64)
-                x = mix64(salt[owner] + (self.end[e]).astype(np.uint64) * _K)
-                draw = -np.log(((x >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53) * self.inverse[e]
-                least = np.minimum.reduceat(draw, opens)
-                gap = draw - least[owner]
-                hit = np.flatnonzero(gap == 0)
-                if len(hit) > len(many):
-                    hit = hit[np.concatenate([[True], owner[hit][1:] != owner[hit][:-1]])]
-                edge[many] = e[hit]
-                gap[hit] = 0
-                rest = np.flatnonzero(gap > 0)
-                who = act[many][owner[rest]]
-                beside.append((who, e[rest], pos[who], total[who], gap[rest]))
-            taken.append((act, at, edge))
-            total[act] += self.log_q[edge]
-            pos[act] = self.end[edge]
-            act = act[pos[act] < self.length[unit[act]]]
-        join = lambda rows, names: {k: np.concatenate([r[i] for r in rows]) if rows else np.zeros(0, np.int64) for i, k in enumerate(names)}
-        return join(taken, ("unit", "pos", "edge")), join(beside, ("unit", "edge", "pos", "before", "gap")), total
+            at = node[act]
+            edge, last = self.first[at], self.first[at + 1] - 1
+            u = _uniform(mix64(seed[act] + np.uint64(((turn + 1) * int(_L)) % (1 << 64))))
+            on = np.flatnonzero(edge < last)
+            while len(on):
+                u[on] -= self.q[edge[on]]
+                on = on[u[on] > 0]
+                edge[on] += 1
+                on = on[edge[on] < last[on]]
+            q = self.q[edge]
+            rest[act] += before[act] * self.beside[edge]
+            before[act] *= q
+            log_p[act] += np.log(q)
+            steps.append((act, edge))
+            at = self.end[edge].astype(np.int64)
+            node[act] = at
+            act, turn = act[self.first[at] < self.first[at + 1]], turn + 1
+        count = np.zeros(n + 1, np.int64)
+        for act, _ in steps:
+            count[act + 1] += 1
+        opens = np.cumsum(count)
+        taken = np.empty(opens[-1], np.int64)
+        for turn, (act, edge) in enumerate(steps):
+            taken[opens[act] + turn] = edge
+        return taken, opens, log_p, rest
+
+    def leave(self, path: _Path, unit: int, node: int, gone: tuple, u: float) -> tuple[int, int, float, float]:
+        """Draws where a segmentation leaves a path within a unit, other than at gone: the number of the path's edges that it keeps, its next edge, the log-probability of both, and that of all other ways to leave (-inf if there are none)."""
+        a, b = int(path.at[unit - path.unit0]), int(path.at[unit - path.unit0 + 1])
+        own, done = path.edges[a:b].tolist(), path.fixed if unit == path.unit0 else 0
+        log_before = path.fixed_log if unit == path.unit0 else 0.0
+        for e in own[:done]:
+            node = int(self.end[e])
+        found, before = [], 1.0
+        for i, e in enumerate(own[done:], done):
+            x, y = int(self.first[node]), int(self.first[node + 1])
+            if y - x > 1:
+                q = self.q[x:y].tolist()
+                found += [(before * q[s - x], i, s) for s in range(x, y) if s != e and (i, s) not in gone]
+            before *= float(self.q[e])
+            node = int(self.end[e])
+        total, at = sum(f[0] for f in found), 0
+        u *= total
+        while at < len(found) - 1 and u > found[at][0]:
+            u -= found[at][0]
+            at += 1
+        left = sum(f[0] for j, f in enumerate(found) if j != at)
+        return found[at][1], found[at][2], log_before + math.log(found[at][0]), log_before + math.log(left) if left > 0 else -math.inf
 
     def sample(self, texts: list[str | None], seeds: np.ndarray, k: int) -> list[list[tuple[float, float, float, np.ndarray]]]:
         """(log-probability, sum, inclusion, ids) of 1 to k samples of each text."""
-        per_text = [units_of(t or "") for t in texts]
-        if len(self.number) > _KNOWN:
-            self.forget()
-        number, old = self.number, len(self.number)
-        unit = np.array([number.setdefault(u, len(number)) for us in per_text for u in us], np.int64)
-        if len(number) > old:
-            self.learn(list(number)[old:])
         n = len(texts)
-        size = np.array([len(us) for us in per_text])
-        last = np.cumsum(size)
-        first = last - size
-        doc = np.repeat(np.arange(n), size)
-        within = np.arange(len(unit)) - first[doc]
-        place = mix64(seeds[doc] + within.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        if not n:
+            return []
+        data, begins, length = lattice.codes([" " + (t or "") for t in texts])
+        start = cuts(data, begins, self.crossed)
+        number = self.numbered(data, start, np.diff(np.concatenate([start, [len(data)]])))
+        base = self.base[number]
+        first = np.searchsorted(start, begins)
+        last = np.concatenate([first[1:], [len(start)]])
+        doc = np.repeat(np.arange(n), last - first)
+        # The place is a character's, not a unit's.
+        place = mix64(seeds[doc] + (start - begins[doc]).astype(np.uint64) * _L)
         # The root's sum is a Gumbel number at 0.
-        root = -np.log(-np.log(((mix64(seeds ^ _K) >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53))
-        root = np.minimum(root, 700.0)
-        paths: list[list[dict]] = [[] for _ in range(n)]
+        root = np.minimum(-np.log(-np.log(_uniform(mix64(seeds ^ _K)))), 700.0)
+        paths: list[list[_Path]] = [[] for _ in range(n)]
         open_: list[list[tuple]] = [[] for _ in range(n)]
-        docs, start, pos, before, offset, top = np.arange(n), first, np.zeros(n, np.int64), np.zeros(n), np.zeros(n), root
-        head = edges = [np.zeros(0, np.int64)] * n
+        docs, unit, node, before, offset, top = np.arange(n), first, base[first], np.zeros(n), np.zeros(n), root
+        heads: list = [(np.zeros(0, np.int64), 0)] * n
         for turn in range(k):
-            # The units from start[d] on of each document in docs; the first begins at pos[d] with before[d].
-            count = last[docs] - start
+            # The units from unit[d] on of each document in docs; the first goes on from node[d] with before[d].
+            count = last[docs] - unit
             who = np.repeat(np.arange(len(docs)), count)
             opens = np.cumsum(count) - count
-            own = np.repeat(start - opens, count) + np.arange(count.sum())
-            p, b = np.zeros(len(own), np.int64), np.zeros(len(own))
-            p[opens], b[opens] = pos, before
-            taken, beside, total = self.walk(unit[own], p, b, mix64(place[own] + np.uint64((turn * int(_K)) % (1 << 64))))
-            ends = np.cumsum(total)
-            whole = ends - total - (ends[opens] - total[opens])[who] + offset[who]  # of all units before, from the text's start
-            log_p = np.add.reduceat(total, opens) + offset
-            order = np.argsort(taken["unit"] * 64 + taken["pos"], kind="stable")
-            t_unit, t_pos, t_edge = (taken[c][order] for c in ("unit", "pos", "edge"))
-            cut = np.searchsorted(t_unit, np.concatenate([opens, [len(own)]]))
+            own = np.repeat(unit - opens, count) + np.arange(count.sum())
+            at, given = base[own], np.zeros(len(own))
+            at[opens], given[opens] = node, before
+            seed = mix64(place[own] + np.uint64((turn * int(_K)) % (1 << 64)))
+            taken, cut, log_p, rest = self.walk(at, seed)
+            log_p += given
+            ends = np.cumsum(log_p)
+            whole = ends - log_p - (ends[opens] - log_p[opens])[who] + offset[who]  # of all units before, from the text's start
+            log_all = np.add.reduceat(log_p, opens) + offset
             for i, d in enumerate(docs.tolist()):
-                a, z = cut[i], cut[i + 1]
-                paths[d].append({"log_p": log_p[i], "sum": top[i], "key": np.concatenate([head[i], own[t_unit[a:z]] * 64 + t_pos[a:z]]), "edge": np.concatenate([edges[i], t_edge[a:z]])})
-            if len(beside["unit"]):
-                # The sum of a node beside the path is -log(exp(-sum of the path) + exp(-w)), so w ranks them.
-                w = whole[beside["unit"]] + beside["before"] - np.log(beside["gap"])
-                of = who[beside["unit"]]
-                for _ in range(k - turn):
-                    best = np.full(len(docs), -np.inf)
-                    np.maximum.at(best, of, w)
-                    hit = np.flatnonzero((w == best[of]) & (w > -np.inf))
-                    for h in hit.tolist():
-                        i, u = int(of[h]), int(beside["unit"][h])
-                        edge = int(beside["edge"][h])
-                        open_[int(docs[i])].append((float(-np.logaddexp(-top[i], -w[h])), len(paths[int(docs[i])]) - 1, int(own[u]), int(beside["pos"][h]), edge, float(beside["before"][h] + self.log_q[edge]), float(whole[u])))
-                    w[hit] = -np.inf
+                head, fixed = heads[i]
+                a, z = int(opens[i]), int(opens[i] + count[i])
+                edges = np.concatenate([head, taken[cut[a] : cut[z]]])
+                where = cut[a : z + 1] - cut[a] + len(head)
+                where[0] -= fixed
+                paths[d].append(_Path(float(log_all[i]), float(top[i]), edges, int(unit[i]), where, fixed, float(before[i])))
+            # The sum of a node beside the path is -log(exp(-sum of the path) + exp(-w)), so w ranks them.
+            with np.errstate(divide="ignore"):
+                w = whole + given + np.log(rest) - np.log(-np.log(_uniform(mix64(seed ^ _K))))
+            for _ in range(k - turn):
+                best = np.maximum.reduceat(w, opens)
+                hit = np.flatnonzero((w == best[who]) & (w > -np.inf))
+                if not len(hit):
+                    break
+                w[hit], value = -np.inf, w[hit]
+                i = who[hit]
+                for i_, value_, u_, before_ in zip(i.tolist(), (-np.logaddexp(-top[i], -value)).tolist(), own[hit].tolist(), whole[hit].tolist(), strict=True):
+                    d = int(docs[i_])
+                    open_[d].append((value_, len(paths[d]) - 1, u_, before_, ()))
             if turn == k - 1:
                 break
             go = [d for d in docs.tolist() if open_[d]]
+            rows, heads = [], []
+            for d in go:
+                item = max(open_[d])
+                open_[d].remove(item)
+                value, p, u, before_u, gone = item
+                path = paths[d][p]
+                x = mix64(np.array([int(place[u]) ^ (turn + 1) * 0x632BE59B, int(place[u]) ^ (turn + 1) * 0x2545F491], np.uint64))
+                draw = _uniform(x).tolist()
+                keep, edge, log_q, log_left = self.leave(path, u, int(base[u]), gone, draw[0])
+                if log_left > -math.inf and draw[1] < 1:
+                    left = before_u + log_left - math.log(-math.log(draw[1]))
+                    open_[d].append((float(-np.logaddexp(-value, -left)), p, u, before_u, (*gone, (keep, edge))))
+                heads.append((np.concatenate([path.edges[: path.at[u - path.unit0] + keep], [edge]]), keep + 1))
+                rows.append((u, int(self.end[edge]), log_q, before_u, value))
             if not go:
                 break
-            picks = []
-            for d in go:
-                open_[d].sort(key=lambda o: -o[0])
-                picks.append(open_[d].pop(0))
-            head, edges = [], []
-            for d, (_, path, u, at, edge, *_rest) in zip(go, picks, strict=True):
-                parent = paths[d][path]
-                z = np.searchsorted(parent["key"], u * 64 + at)
-                head.append(np.concatenate([parent["key"][:z], [u * 64 + at]]))
-                edges.append(np.concatenate([parent["edge"][:z], [edge]]))
-            docs, start = np.array(go), np.array([x[2] for x in picks])
-            pos, before, offset, top = self.end[[x[4] for x in picks]], np.array([x[5] for x in picks]), np.array([x[6] for x in picks]), np.array([x[0] for x in picks])
-        out = []
+            docs = np.array(go)
+            unit, node = (np.array([r[i] for r in rows], np.int64) for i in range(2))
+            before, offset, top = (np.array([r[i] for r in rows]) for i in range(2, 5))
+        out, flat = [], [path.edges for own in paths for path in own]
+        ids = iter(self.ids_of(flat))
         for d in range(n):
-            limit = max((o[0] for o in open_[d]), default=-np.inf)
-            rows = []
-            for path in paths[d]:
-                ids = self.ids[path["edge"]].reshape(-1)
-                rows.append((float(path["log_p"]), float(path["sum"]), float(-np.expm1(-np.exp(min(700.0, path["log_p"] - limit)))) if limit > -np.inf else 1.0, ids[ids >= 0]))
-            out.append(rows)
+            limit = max((o[0] for o in open_[d]), default=-math.inf)
+            include = [-math.expm1(-math.exp(min(700.0, path.log_p - limit))) if limit > -math.inf else 1.0 for path in paths[d]]
+            out.append([(path.log_p, path.sum, x, next(ids)) for path, x in zip(paths[d], include, strict=True)])
         return out
 
+    def ids_of(self, paths: list[np.ndarray]) -> list[np.ndarray]:
+        """The ids of each path's pieces; an unknown character is its bytes."""
+        size = np.array([len(p) for p in paths])
+        ids = self.piece[np.concatenate(paths)].astype(np.int64)
+        unknown = np.flatnonzero(ids < 0)
+        ends = np.cumsum(size)
+        if len(unknown):
+            raw = [chr(-1 - c).encode(errors="surrogatepass") for c in ids[unknown].tolist()]
+            many = np.ones(len(ids), np.int64)
+            many[unknown] = [len(r) for r in raw]
+            to = np.cumsum(many)
+            ends = to[ends - 1]
+            out = np.repeat(ids, many)
+            at = np.repeat(to[unknown] - many[unknown], many[unknown])
+            step = np.arange(len(at)) - np.repeat(np.cumsum(many[unknown]) - many[unknown], many[unknown])
+            out[at + step] = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64) + self.byte0
+            ids = out
+        return np.split(ids.astype(np.int32), ends[:-1])
+
 
 def encode_samples(docs: DataFrame, k: int = 2, vocabulary: str = VOCABULARY, key: str = "doc_id") -> DataFrame:
     """doc_id, sample, n_pieces, log_prob, perturbed, inclusion, lossless, ids: 1 to k rows a document.

@@ -175,31 +175,51 @@ def test_fingerprints(spark, docs):
 # 1: language
 
 
+def ways_of(word, ids, unknown):
+    if not word:
+        yield ()
+    for n in range(1, len(word) + 1):
+        i = ids.get(word[:n], unknown if n == 1 else None)
+        if i is not None:
+            for rest in ways_of(word[n:], ids, unknown):
+                yield (i, *rest)
+
+
 def test_forward_and_counts_against_all_segmentations():
     known = lattice.Pieces(["a", "b", "ab", "ba", "aba", "▁", "▁a"])
     p = np.array([[0.2, 0.1], [0.1, 0.3], [0.15, 0.1], [0.05, 0.2], [0.3, 0.1], [0.1, 0.1], [0.1, 0.1], [1e-4, 1e-4]])
-
-    def ways(word):
-        if not word:
-            yield ()
-        for n in range(1, len(word) + 1):
-            i = known.ids.get(word[:n], 7 if n == 1 else None)
-            if i is not None:
-                for rest in ways(word[n:]):
-                    yield (i, *rest)
-
-    words = ["▁ababa", "▁xab", "▁", "▁bbaab"]
-    lat = lattice.build(words, known)
-    alpha, beta = lattice.forward(lat, p), lattice.backward(lat, p)
-    used = np.zeros(8)
-    for w, word in enumerate(words):
-        every = [(s, np.prod(p[list(s)], axis=0)) for s in ways(word)]
-        total = sum(x for _, x in every)
-        assert np.allclose(alpha[w, len(word)], total) and np.allclose(beta[w, 0], total)
-        for s, x in every:
-            for i in s:
-                used[i] += (w + 1) * x[0] / total[0]
-    assert np.allclose(lattice.expected_counts(lat, p[:, :1], np.arange(1, 5)), used)
+    for words in (["▁ababa", "▁xab", "▁", "▁bbaab"], ["▁ababa", "▁xab" + "x" * 32, "▁", "▁bbaab"]):  # with a long one, in logarithms
+        lat = lattice.build(words, known)
+        alpha, beta = lattice.forward(lat, np.log(p)), lattice.backward(lat, np.log(p))
+        used = np.zeros(8)
+        for w, word in enumerate(words):
+            every = [(s, np.prod(p[list(s)], axis=0)) for s in ways_of(word, known.ids, 7)]
+            total = sum(x for _, x in every)
+            assert np.allclose(alpha[lat.last[w]], np.log(total)) and np.allclose(beta[lat.node[w]], np.log(total))
+            for s, x in every:
+                for i in s:
+                    used[i] += (w + 1) * x[0] / total[0]
+        assert np.allclose(lattice.expected_counts(lat, np.log(p[:, :1]), np.arange(1, 5)), used)
+
+
+def test_long_runs_are_whole():
+    """Runs of letters beyond any table: a recursion over their places gives the sum over all segmentations."""
+    pieces = language_id.load_pieces()
+    known = lattice.Pieces(pieces)
+    rng = np.random.default_rng(4)
+    p = rng.random((len(pieces) + 1, 2)) / len(pieces)
+    words = ["donaudampfschifffahrtselektrizitätenhauptbetriebswerk", "自然语言处理是计算机科学领域与人工智能领域中的一个重要方向它研究能实现人与计算机之间用自然语言进行有效通信的各种理论", "ab" * 400, "und"]
+    for word, got in zip(words, language_id._log_p(words, known, np.log(p)), strict=True):
+        text = lattice.SPACE + word
+        total = np.full((len(text) + 1, 2), -np.inf)
+        total[0] = 0
+        for e in range(1, len(text) + 1):
+            for a in range(max(0, e - 16), e):
+                i = known.ids.get(text[a:e], len(pieces) if e - a == 1 else None)
+                if i is not None:
+                    total[e] = np.logaddexp(total[e], total[a] + np.log(p[i]))
+        assert np.allclose(got, total[-1])
+    assert language_id.words_of("Donaudampfschifffahrtselektrizitätenhauptbetriebswerk!") == words[:1]
 
 
 def test_language(spark, docs):
@@ -316,6 +336,7 @@ def test_repeats_in_many_pieces_and_hot_anchors(spark):
     passage = "this very passage is shared by very many of the documents here, and it is longer than fifty"
     rows = [(int(i), f"{text(12)} {passage}{i * 7919 % 1000} {text(9)}") for i in rng.permutation(300)]
     rows += [(1000 + i, text(60)) for i in range(60)] + [(i, rows[i][1] + text(30)) for i in range(5)]
+    rows += [(4000 + i, f"{text(3)} {'xyz' * (40 + i)} {'-' * (200 - i)} {text(5)} {'-' * (70 + i)}") for i in range(6)]
     rows += [(2000 + i, "a" * 200 + "\0" * (60 + i) + passage) for i in range(4)] + [(None, passage), (None, passage), (3000, passage * 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for tasks, piece, hot in ((1, 1 << 20, 8), (5, 4000, 3), (2, 3000, 1), (3, 1 << 20, 10**6)):
@@ -339,7 +360,7 @@ def test_levels_merge_geometrically():
         keys = rng.integers(0, 3000, 100)
         rows = np.arange(100) + 100 * batch
         raw = np.array([b"%078d" % k for k in keys.tolist()], f"S{suffix_dedup.WIDTH}")
-        index.add(suffix_dedup.Suffixes(raw, np.full(100, batch), np.zeros(100, np.int64), rows.astype(np.uint32), np.zeros(100, np.uint32)))
+        index.add(suffix_dedup.Suffixes(raw, np.full(100, batch), np.zeros(100, np.int64), rows.astype(np.uint32), *np.zeros((2, 100), np.uint32)))
         for k, r in zip(keys.tolist(), rows.tolist(), strict=True):
             seen[k].append((batch, r))
         assert len(index.levels) <= 10
@@ -389,7 +410,7 @@ def test_samples_follow_the_distribution():
 
     text = "erana isti"
     every = {}
-    for parts in itertools.product(*(list(ways(u)) for u in sentencepiece_sampling.units_of(text))):
+    for parts in itertools.product(*(list(ways(u)) for u in (" erana", " isti"))):
         every[sum((p for p, _ in parts), ())] = math.prod(x for _, x in parts)
     total = sum(every.values())
     every = {tuple(pieces.index(p) for p in s): x / total for s, x in every.items()}
@@ -406,6 +427,56 @@ def test_samples_follow_the_distribution():
         assert abs(second[s] / n - after) < 4 * math.sqrt(after / n) + 1e-3
 
 
+def test_units_lose_no_segmentation():
+    """Runs of spaces and a run of 200 letters: sums over the units are those over the whole text, and samples are distinct and likely as they say."""
+    pieces, byte0 = sentencepiece_sampling.load_vocabulary()
+    sampler = sentencepiece_sampling.Sampler(pieces, byte0)
+    ids = sampler.vocabulary.ids
+    for text in ("    def  f(x):\n        return x", "wiederholung" * 17, "一二三天地人" * 30, "☃" * 50, "https://example.org/a/very/long/path?with=things&and=more", "", "x"):
+        whole = " " + text
+        total = np.full(len(whole) + 1, -np.inf)
+        total[0] = 0
+        for e in range(1, len(whole) + 1):
+            for a in range(max(0, e - 16), e):
+                i = ids.get(whole[a:e], len(ids) if e - a == 1 else None)
+                if i is not None:
+                    total[e] = np.logaddexp(total[e], total[a] + sampler.log_w[i, 0])
+        found = sampler.sample([text] * 3, sentencepiece_sampling.mix64(np.arange(3, dtype=np.uint64)), 4)
+        for rows in found:
+            assert len({tuple(r[3].tolist()) for r in rows}) == len(rows)
+            for log_p, _, inclusion, got in rows:
+                assert sentencepiece_sampling.Decoder(pieces, byte0)(got).tobytes() == whole.encode() and 0 < inclusion <= 1
+                parts, at = [], 0
+                while at < len(got):
+                    if byte0 <= got[at] < byte0 + 256:
+                        lead = int(got[at] - byte0)
+                        at += 1 if lead < 128 else 2 if lead < 224 else 3 if lead < 240 else 4
+                        parts.append(len(ids))
+                    else:
+                        parts.append(ids[pieces[got[at]]])
+                        at += 1
+                assert abs(sampler.log_w[parts, 0].sum() - total[-1] - log_p) < 1e-6 * max(1, abs(log_p))
+        ways = [1] + [0] * len(whole)
+        for e in range(1, len(whole) + 1):
+            ways[e] = sum(ways[a] for a in range(max(0, e - 16), e) if whole[a:e] in ids or e - a == 1)
+        assert {len(rows) for rows in found} == {min(4, ways[-1])}
+
+
+def test_third_sample_follows_the_distribution():
+    pieces, byte0 = sentencepiece_sampling.load_vocabulary()
+    sampler = sentencepiece_sampling.Sampler(pieces, byte0)
+    ids = sampler.vocabulary.ids
+    every = {tuple(sampler.piece_id[list(s)].tolist()): math.prod(sampler.p[list(s), 0]) for s in ways_of(" eran", ids, None) if None not in s}
+    total = sum(every.values())
+    every = {s: x / total for s, x in every.items()}
+    n, third = 6000, collections.Counter()
+    for rows in sampler.sample(["eran"] * n, sentencepiece_sampling.mix64(np.arange(n, dtype=np.uint64) + np.uint64(9)), 3):
+        third[tuple(rows[2][3].tolist())] += 1
+    for s, x in every.items():
+        after = sum(y * z / (1 - y) * x / (1 - y - z) for (t, y), (v, z) in itertools.permutations(every.items(), 2) if s not in (t, v))
+        assert abs(third[s] / n - after) < 4 * math.sqrt(after / n) + 1e-3
+
+
 # 3: LM scoring
 
 
