@@ -18,8 +18,11 @@ size is nearest to what a source still lacks (or has too much) gains (or loses)
 a copy. Nothing is random: reruns agree.
 
 Null texts have size 0, a null source is a source of its own, and null or
-repeated ids are rows like others. Where all sizes are 0, all targets are 0.
-An empty table gives an empty result.
+repeated ids are rows like others. A source without words has the target 0, and
+its rows, like all of size 0, the copies that their rate gives and no words.
+Ties of size go by a hash of the id, then by the id. Texts of any length are
+counted whole. The result has only the columns named; mixed() keeps all columns,
+whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -48,20 +51,35 @@ def sizes(docs: DataFrame) -> DataFrame:
 def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """k, source, source_size, target of each source, in order of code points, null last.
 
-    Filling up by weight until none is above its cap is a common level: a source gets min(cap, weight * level).
+    Filling up by weight until none is above its cap is a common level: a source gets min(cap, weight * level). The level
+    rises round by round, as what the capped ones leave is shared again; each round is an aggregation, so sources may be many.
     """
     by = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    everything = Window.orderBy(F.col("source").isNull(), "source")
-    by = by.withColumn("k", F.row_number().over(everything))
-    weight = F.element_at(F.array(*map(F.lit, weights)), F.pmod(F.col("k") - 1, F.lit(len(weights))) + 1)
+    # Sorted over all tasks; a source's number is its place in its part and the sizes of the parts before.
+    by = stored(by.orderBy(F.col("source").isNull(), "source").withColumn("at", F.monotonically_increasing_id()), "mix-sources")
+    by = by.withColumn("part", F.shiftright("at", 33)).withColumn("at", F.col("at").bitwiseAND((1 << 33) - 1))
+    parts = by.groupBy("part").agg(F.count("*").alias("n"))  # a row a part
+    parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    by = by.join(parts, "part").withColumn("k", F.col("before") + F.col("at") + 1)
+    weight = F.element_at(F.array(*map(F.lit, weights)), F.pmod(F.col("k") - 1, F.lit(len(weights))).cast("int") + 1)
     by = by.withColumn("weight", weight.cast("double")).withColumn("cap", most * F.col("source_size"))
-    fill = Window.orderBy(F.col("cap") / F.col("weight"), "k")
-    before, after = fill.rowsBetween(Window.unboundedPreceding, -1), fill.rowsBetween(0, Window.unboundedFollowing)
-    whole = Window.partitionBy()
-    total = share * F.sum("source_size").over(whole)
-    by = by.withColumn("level", (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-    by = by.withColumn("level", F.min(F.when(F.col("cap") / F.col("weight") >= F.col("level"), F.struct(F.col("cap") / F.col("weight"), "level"))).over(whole)["level"])
-    return by.select("k", "source", "source_size", "n_docs", F.least("cap", F.col("weight") * F.coalesce("level", F.lit(float("inf")))).alias("target"))
+    by = stored(by.select("k", "source", "source_size", "n_docs", "weight", "cap"), "mix-sources")
+    total = share * (by.agg(F.sum("source_size")).first()[0] or 0)
+    level, seen = 0.0, None
+    while True:
+        full = F.col("cap") <= F.col("weight") * level
+        n, capped, rest = by.agg(F.count_if(full), F.sum(F.when(full, F.col("cap")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
+        if n == seen or not rest:
+            break
+        seen, level = n, max(level, (total - capped) / rest)
+    if not rest:
+        level = float("inf")
+    return by.select("k", "source", "source_size", "n_docs", F.least("cap", F.when(F.col("cap") > 0, F.col("weight") * level).otherwise(0.0)).alias("target"))
+
+
+def _scaled():
+    """A document's size over the mean of its source; 0 in a source without words."""
+    return F.coalesce(F.try_divide(F.col("size") * F.col("n_docs"), F.col("source_size")), F.lit(0.0))
 
 
 def _rate(most: float):
@@ -70,7 +88,7 @@ def _rate(most: float):
 
 def balance(cells: DataFrame, by: DataFrame, most: float = MOST) -> DataFrame:
     """by with the multiplier m of each source. cells: k, size, n."""
-    x = F.col("size") * F.col("n_docs") / F.col("source_size")
+    x = _scaled()
     by = by.withColumn("m", F.lit(0.0))
     for _ in range(_ITERATIONS):
         rows = cells.join(by, "k").withColumn("x", x).withColumn("w", _rate(most))
@@ -91,8 +109,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     keyed = sized.join(by.select("k", F.col("source").alias("s")), F.col("source").eqNullSafe(F.col("s"))).select("row_id", "doc_id", "size", "k")
     cells = stored(keyed.groupBy("k", "size").agg(F.count("*").alias("n")), "mix-cells")
     by = balance(cells, by, most)
-    x = F.col("size") * F.col("n_docs") / F.col("source_size")
-    rates = cells.join(by, "k").withColumn("x", F.coalesce(x, F.lit(0.0))).withColumn("rate", F.round(_rate(most), 6))
+    x = _scaled()
+    rates = cells.join(by, "k").withColumn("x", x).withColumn("rate", F.round(_rate(most), 6))
     rates = rates.withColumn("whole", F.floor("rate")).withColumn("part", F.round((F.col("rate") - F.col("whole")) * _UNIT).cast("long"))
     rates = rates.select("k", "size", "rate", "whole", "part", "source_size", "target", F.ceil(F.col("n") / _GROUP).alias("salts"))
     rows = keyed.join(rates, ["k", "size"]).withColumn("salt", F.pmod(F.xxhash64("row_id"), F.col("salts")))

@@ -128,6 +128,23 @@ def test_mix(spark, docs):
     assert mixing.mix(corpus.empty(spark)).count() == 0 == mixing.mixed(corpus.empty(spark)).count()
 
 
+def test_sources_without_words_and_many_sources(spark):
+    rows = [(i, None if i % 2 else " \t", "empty") for i in range(6)] + [(10 + i, "a b c d", "one") for i in range(9)]
+    rows += [(100 + i, "x " * (1 + i % 7), f"host{i % 40:02d}") for i in range(200)] + [(900, "y y", None)]
+    for some in (rows, rows[:6], rows[6:15]):
+        sizes = collections.Counter()
+        for _, text, source in some:
+            sizes[source] += len((text or "").split())
+        want = water(sizes)
+        docs = spark.createDataFrame(some, "doc_id long, text string, source string")
+        taken, source = collections.Counter(), {r[0]: r[2] for r in some}
+        for r in mixing.mix(docs).collect():
+            taken[source[r["doc_id"]]] += r["taken"]
+            assert abs(r["target"] - want[source[r["doc_id"]]]) < 1e-6 and 0 <= r["taken"] <= 2 * r["size"]
+        assert all(abs(taken[s] - t) <= max(6, 0.02 * t) for s, t in want.items())
+        assert mixing.mixed(docs).columns == docs.columns
+
+
 # 7: fingerprints
 
 
