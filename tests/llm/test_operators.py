@@ -50,11 +50,35 @@ def test_exact_dedup_against_brute_force(spark, docs):
 
 def test_directory_splits_overfull_buckets():
     counts = {0: 5, 1: 1, 2: 1, 7: 9}
-    found = exact_dedup.split_directory(counts, capacity=6, max_depth=3)
-    assert sum(w for _, w, _ in found) == 8
-    for first, width, _ in found:
+    found = exact_dedup.split_directory(counts, capacity=6, bits=3)
+    assert sum(w for _, w in found) == 8
+    for first, width in found:
         held = sum(n for p, n in counts.items() if first <= p < first + width)
         assert held <= 6 or width == 1
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 40, 500).astype(np.uint64))  # all under one pointer
+    depth = exact_dedup.split_keys(keys, 10, 16)
+    held = collections.Counter(format(k, "064b")[:d] for k, d in zip(keys.tolist(), depth.tolist()))
+    assert max(held.values()) <= 10 and len(held) > 40 and sum(held.values()) == 500
+    assert not any(a != b and b.startswith(a) for a in held for b in held)
+
+
+def test_chains_compare_bytes():
+    """Two texts under one key stay two entries."""
+    rows = [(7, "b", 5, 1), (7, "a", 4, 1), (3, "x", 9, 2), (7, "b", 6, 3), (7, "a", None, 1), (8, "b", 1, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([[0] * 6, [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], [1] * 6], [pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64()])], ["owner", "key", "norm", "keep_id", "best_chars", "group_size"])
+    got, chain = exact_dedup._chained(batch)
+    assert [(r["key"], c, r["norm"], r["keep_id"], r["best_chars"], r["group_size"]) for r, c in zip(got.to_pylist(), chain.tolist())] == [(3, 0, "x", 9, 2, 1), (7, 0, "b", 6, 3, 2), (7, 1, "a", 4, 1, 2), (8, 0, "b", 1, 1, 1)]
+
+
+def test_index_holds_every_text_once(spark, docs):
+    _, entries = exact_dedup.build_index(docs, capacity=4)
+    rows = entries.collect()
+    texts = {WHITE.sub("", r[1] or "") for r in corpus.rows()}
+    assert {r["sha"] for r in rows} == {hashlib.sha256(t.encode()).hexdigest() for t in texts} and len(rows) == len(texts)
+    buckets = collections.Counter(r["bucket"] for r in rows)
+    assert max(buckets.values()) <= 4 and len(buckets) > 5
+    for r in rows:
+        assert len(r["bucket"]) == r["depth"] and format(r["key"] % (1 << 64), "064b").startswith(r["bucket"])
 
 
 # 9: URLs
