@@ -3,11 +3,10 @@
 A text's lattice has every segmentation of " " + text into the pieces of a
 fixed public vocabulary (bytes for characters that it lacks). A piece of rank r
 weighs 1 / (r + 2.7), an unknown character 1e-9; a segmentation's probability is
-the product of its weights over that of all. The lattice falls into units where
-no piece of the vocabulary can cross: before a run of spaces, on both sides of a
-line end, and in a unit of more than 32 characters also between characters that
-stand together in no piece. Nothing is lost by that, and a unit may be of any
-length.
+the product of its weights over that of all. The lattice falls into units where no
+piece of the vocabulary can cross: between characters that stand together in no
+piece, such as a letter and the space after it. Nothing is lost by that, and a
+unit may be of any length.
 
 Samples without replacement: every segmentation has its log-probability plus a
 Gumbel number, and the k with the largest sums are emitted, in order. The
@@ -51,7 +50,6 @@ _UNKNOWN = 1e-9
 _KNOWN = 200_000
 _LEARNED = 20_000
 _K, _L = np.uint64(0xD1342543DE82EF95), np.uint64(0x9E3779B97F4A7C15)
-_SPACE, _LINE = 32, 10
 
 
 def load_vocabulary(path: str = VOCABULARY) -> tuple[list[str], int]:
@@ -65,21 +63,32 @@ def load_vocabulary(path: str = VOCABULARY) -> tuple[list[str], int]:
     return pieces, model.piece_to_id("<0x00>")
 
 
-def cuts(data: np.ndarray, begins: np.ndarray, crossed: np.ndarray) -> np.ndarray:
-    """Where units begin. begins: where texts do; crossed: the pairs of characters that stand together in a piece, sorted."""
-    new = np.zeros(len(data), bool)
-    space, line = data == _SPACE, data == _LINE
-    new[1:] = (space[1:] & ~space[:-1]) | line[1:] | line[:-1]
-    new[begins] = True
-    start = np.flatnonzero(new)
-    size = np.diff(np.concatenate([start, [len(data)]]))
-    long = np.flatnonzero(size > lattice.SHORT)
-    if len(long):
-        at = np.concatenate([np.arange(a + 1, a + n) for a, n in zip(start[long].tolist(), size[long].tolist(), strict=True)])
-        pair = pair_of(data[at - 1], data[at])
-        new[at[crossed[np.minimum(np.searchsorted(crossed, pair), len(crossed) - 1)] != pair if len(crossed) else slice(None)]] = True
-        start = np.flatnonzero(new)
-    return start
+class Crossed:
+    """Which pairs of characters stand together in a piece; between others a text falls into units."""
+
+    def __init__(self, pieces: list[str]):
+        data, first, _ = lattice.codes(pieces)
+        inner = np.ones(len(data), bool)
+        inner[first] = False
+        at = np.flatnonzero(inner)
+        self.pairs = np.unique(pair_of(data[at - 1], data[at]))
+        a, b = self.pairs >> 21, self.pairs & ((1 << 21) - 1)
+        latin = (a < 256) & (b < 256)
+        self.latin = np.zeros((256, 256), bool)
+        self.latin[a[latin], b[latin]] = True
+
+    def cuts(self, data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Where units begin. begins: where texts do."""
+        new = np.ones(len(data), bool)
+        a, b = data[:-1], data[1:]
+        small = (a < 256) & (b < 256)
+        new[1:] = ~(small & self.latin[np.minimum(a, 255), np.minimum(b, 255)])
+        other = np.flatnonzero(~small)
+        if len(other) and len(self.pairs):
+            pair = pair_of(a[other], b[other])
+            new[other + 1] = self.pairs[np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)] != pair
+        new[begins] = True
+        return np.flatnonzero(new)
 
 
 def pair_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -105,7 +114,8 @@ class Decoder:
 def _appended(held: np.ndarray, n: int, more: np.ndarray) -> np.ndarray:
     """held, of which n values are in use, with more after them; copied only where it doubles."""
     if n + len(more) > len(held):
-        held = np.concatenate([held[:n], np.zeros(max(n, 1024) + 2 * len(more), held.dtype)])
+        old, held = held, np.empty((2 * max(n, 1024) + 2 * len(more), *held.shape[1:]), held.dtype)
+        held[:n] = old[:n]
     held[n : n + len(more)] = more
     return held
 
@@ -130,15 +140,9 @@ class Sampler:
     def __init__(self, pieces: list[str], byte0: int):
         self.byte0 = byte0
         used = [i for i, p in enumerate(pieces) if p]
-        if any(" " in pieces[i].lstrip(" ") or "\n" in pieces[i] for i in used):
-            raise ValueError("a piece goes over the beginning of a word or over a line end: units would cut it")
         self.piece_id = np.array([*used, -1])
         self.vocabulary = lattice.Pieces([pieces[i] for i in used])
-        data, first, _ = lattice.codes(self.vocabulary.pieces)
-        inner = np.ones(len(data), bool)
-        inner[first] = False
-        at = np.flatnonzero(inner)
-        self.crossed = np.unique(pair_of(data[at - 1], data[at]))
+        self.crossed = Crossed(self.vocabulary.pieces)
         weight = 1 / (np.arange(len(used)) + 2.7)
         self.p = np.concatenate([weight / weight.sum(), [_UNKNOWN]])[:, None]
         self.log_w = np.log(self.p)
@@ -149,8 +153,9 @@ class Sampler:
         self.base = np.zeros(0, np.int64)  # each unit's first node
         self.nodes, self.edges = 0, 0
         self.first = np.zeros(1, np.int64)  # of each node's edges; the last node of a unit has none
-        self.end, self.piece = np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.q, self.beside = np.zeros(0), np.zeros(0)
+        self.piece = np.zeros(0, np.int32)
+        # Of each edge, in one row as they are read together: its probability at its node, that of all beside it, the logarithm of the first, and where it ends.
+        self.table = np.zeros((0, 4))
 
     def numbered(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The number of each unit; unknown ones are learned."""
@@ -185,10 +190,23 @@ class Sampler:
         beside = np.where(large, small[of], 1 - q)
         one = np.diff(lat.first)[lat.start] == 1
         beside[one] = 0
+        order = np.arange(len(q))
+        if len(q):
+            # The likeliest edge of a node comes first.
+            first = lat.first[:-1][lat.first[:-1] < lat.first[1:]]
+            top = np.flatnonzero(q == np.maximum.reduceat(q, first)[of])
+            most = np.empty(len(first), np.int64)
+            most[of[top][::-1]] = top[::-1]
+            order[first], order[most] = most, first
         self.base = np.concatenate([self.base, lat.node + self.nodes])
         self.first = _appended(self.first, self.nodes, lat.first + self.edges)  # the last is the next unit's first
-        for name, more in (("end", lat.end + self.nodes), ("piece", np.where(lat.unknown < 0, self.piece_id[lat.piece], -1 - lat.unknown)), ("q", q), ("beside", beside)):
-            setattr(self, name, _appended(getattr(self, name), self.edges, more))
+        piece = np.where(lat.unknown < 0, self.piece_id[lat.piece], -1 - lat.unknown)
+        with np.errstate(divide="ignore"):
+            log_q = np.log(q)
+        table = np.empty((len(q), 4))
+        for i, column in enumerate((q, beside, log_q, lat.end + self.nodes)):
+            table[:, i] = column[order]
+        self.piece, self.table = _appended(self.piece, self.edges, piece[order]), _appended(self.table, self.edges, table)
         self.edges += len(q)
         self.nodes += len(lat.first) - 1
 
@@ -199,20 +217,26 @@ class Sampler:
         act, steps, turn = np.flatnonzero(self.first[node] < self.first[node + 1]), [], 0
         while len(act):
             at = node[act]
-            edge, last = self.first[at], self.first[at + 1] - 1
-            u = _uniform(mix64(seed[act] + np.uint64(((turn + 1) * int(_L)) % (1 << 64))))
-            on = np.flatnonzero(edge < last)
-            while len(on):
-                u[on] -= self.q[edge[on]]
-                on = on[u[on] > 0]
+            edge = self.first[at]
+            more = self.first[at + 1] - edge - 1
+            got = self.table[edge]
+            on = np.flatnonzero(more)
+            u = _uniform(mix64(seed[act[on]] + np.uint64(((turn + 1) * int(_L)) % (1 << 64)))) - got[on, 0]
+            while True:
+                go = np.flatnonzero(u > 0)
+                if not len(go):
+                    break
+                on, u = on[go], u[go]
                 edge[on] += 1
-                on = on[edge[on] < last[on]]
-            q = self.q[edge]
-            rest[act] += before[act] * self.beside[edge]
-            before[act] *= q
-            log_p[act] += np.log(q)
+                more[on] -= 1
+                row = self.table[edge[on]]
+                got[on] = row
+                u = np.where(more[on] > 0, u - row[:, 0], 0)
+            rest[act] += before[act] * got[:, 1]
+            before[act] *= got[:, 0]
+            log_p[act] += got[:, 2]
             steps.append((act, edge))
-            at = self.end[edge].astype(np.int64)
+            at = got[:, 3].astype(np.int64)
             node[act] = at
             act, turn = act[self.first[at] < self.first[at + 1]], turn + 1
         count = np.zeros(n + 1, np.int64)
@@ -230,15 +254,15 @@ class Sampler:
         own, done = path.edges[a:b].tolist(), path.fixed if unit == path.unit0 else 0
         log_before = path.fixed_log if unit == path.unit0 else 0.0
         for e in own[:done]:
-            node = int(self.end[e])
+            node = int(self.table[e, 3])
         found, before = [], 1.0
         for i, e in enumerate(own[done:], done):
             x, y = int(self.first[node]), int(self.first[node + 1])
             if y - x > 1:
-                q = self.q[x:y].tolist()
+                q = self.table[x:y, 0].tolist()
                 found += [(before * q[s - x], i, s) for s in range(x, y) if s != e and (i, s) not in gone]
-            before *= float(self.q[e])
-            node = int(self.end[e])
+            before *= float(self.table[e, 0])
+            node = int(self.table[e, 3])
         total, at = sum(f[0] for f in found), 0
         u *= total
         while at < len(found) - 1 and u > found[at][0]:
@@ -253,7 +277,7 @@ class Sampler:
         if not n:
             return []
         data, begins, length = lattice.codes([" " + (t or "") for t in texts])
-        start = cuts(data, begins, self.crossed)
+        start = self.crossed.cuts(data, begins)
         number = self.numbered(data, start, np.diff(np.concatenate([start, [len(data)]])))
         base = self.base[number]
         first = np.searchsorted(start, begins)
@@ -317,7 +341,7 @@ class Sampler:
                     left = before_u + log_left - math.log(-math.log(draw[1]))
                     open_[d].append((float(-np.logaddexp(-value, -left)), p, u, before_u, (*gone, (keep, edge))))
                 heads.append((np.concatenate([path.edges[: path.at[u - path.unit0] + keep], [edge]]), keep + 1))
-                rows.append((u, int(self.end[edge]), log_q, before_u, value))
+                rows.append((u, int(self.table[edge, 3]), log_q, before_u, value))
             if not go:
                 break
             docs = np.array(go)
