@@ -18,6 +18,13 @@ TYPE_WORDS = (
 )
 
 
+#: The words that keep the hyphen before them.
+PARTICLES = (
+    "lès", "les", "lez", "sur", "sous", "en", "le", "la", "aux", "au", "devant",
+    "de", "du", "des", "et", "am", "an", "bei", "im", "auf", "der", "von",
+)
+
+
 @F.pandas_udf(StringType())
 def strip_marks(text: pd.Series) -> pd.Series:
     """The text's compatibility decomposition without combining marks."""
@@ -107,14 +114,25 @@ def normalize_spaces(text: Column) -> Column:
 
 
 def is_letterspaced(text: Column) -> Column:
-    """Four or more single characters in a row."""
-    return text.rlike(r"^\s*\S(?: \S){3,}\s*$")
+    """Whether four or more single characters stand in a row somewhere, each after a space."""
+    return text.rlike(r"(?U)(?:\b\w ){3,}\w\b")
+
+
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def dehyphenate(lines: Column) -> Column:
-    """Lines joined; a hyphen at a line's end goes before a lower-case letter."""
-    joins = lambda a, b: F.when(a == "", b).when(a.rlike(r"\p{L}-$") & b.rlike(r"^\p{Ll}"), F.concat(F.regexp_replace(a, "-$", ""), b)).when(a.rlike("-$"), F.concat(a, b)).otherwise(F.concat(a, F.lit(" "), b))
-    return F.aggregate(lines, F.lit(""), joins)
+    """The lines of a paragraph joined. A hyphen at a line's end goes where a word in lower case follows, unless it is a particle, as in "Kerling-" and "lès-Sierck"; blank lines go."""
+    full = F.filter(F.transform(lines, strip), lambda x: x != "")
+
+    def join(a: Column, b: Column) -> Column:
+        word = F.regexp_extract(b, r"^([\p{L}\p{N}_]*)", 1)
+        broken = word.rlike(r"^\p{Ll}") & ~word.isin(*PARTICLES)
+        hyphen = a.endswith("-") & ~a.endswith(" -")
+        return F.when(a == "", b).when(hyphen & broken, F.concat(F.substring(a, F.lit(1), F.length(a) - 1), b)).when(hyphen, F.concat(a, b)).otherwise(F.concat(a, F.lit(" "), b))
+
+    return normalize_spaces(F.aggregate(full, F.lit(""), join))
 
 
 def strip_lines(lines: Column, prefixes: tuple[str, ...]) -> Column:
@@ -122,11 +140,30 @@ def strip_lines(lines: Column, prefixes: tuple[str, ...]) -> Column:
     return F.filter(lines, lambda x: ~F.array_contains(F.array(*[F.startswith(x, F.lit(p)) for p in prefixes]), True)) if prefixes else lines
 
 
-def split_pages(entry: Column) -> tuple[Column, Column]:
-    """An index entry's text and its trailing list of pages."""
-    rule = r"(?s)^(.*?)[ ,;]*([0-9][0-9 ,.;-]*)$"
-    has = entry.rlike(rule)
-    return F.when(has, F.regexp_extract(entry, rule, 1)).otherwise(entry), F.when(has, F.regexp_extract(entry, rule, 2)).otherwise("")
+def let(value: Column, use) -> Column:
+    """use(value), where value is computed once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def split_pages(entry: Column) -> Column:
+    """struct(text, pages): an index entry's text and its trailing list of pages; an entry of pages alone, or without any digit at its end, is all text."""
+    none = lambda e: F.struct(strip(e).alias("text"), F.lit("").alias("pages"))
+
+    def parted(entry: Column) -> Column:
+        return let(F.struct(entry.alias("all"), F.regexp_replace(entry, r"[0-9 ,.;-]*$", "").alias("head")), lambda x: let(
+            F.struct(x["all"].alias("all"), x["head"].alias("head"), F.substring(x["all"], F.length(x["head"]) + 1, F.length(x["all"])).alias("tail")),
+            lambda y: F.when((y["head"] != "") & y["tail"].rlike("[0-9]"), F.struct(F.regexp_replace(y["head"], "^[ ,]+|[ ,]+$", "").alias("text"), y["tail"].alias("pages"))).otherwise(none(y["all"])),
+        ))
+
+    return parted(entry)
+
+
+def index_pages(text: Column) -> Column:
+    """The pages of an index entry, in order; a range that runs backwards is its first page."""
+    found = F.regexp_extract_all(text, F.lit(r"(\d{1,3}(?:\s*-\s*\d{1,3})?)"), F.lit(1))
+    low = lambda p: F.regexp_extract(p, r"^(\d+)", 1).cast("int")
+    high = lambda p: F.coalesce(F.nullif(F.regexp_extract(p, r"-\s*(\d+)$", 1), F.lit("")).cast("int"), low(p))
+    return F.flatten(F.transform(found, lambda p: F.sequence(low(p), F.greatest(low(p), high(p)))))
 
 
 def label(labels: Column, lang: str, key: Column) -> Column:
@@ -144,7 +181,8 @@ def title_of(key: Column) -> Column:
 
 
 def entity_stem(key: Column) -> Column:
-    return F.regexp_replace(key, "^(house|county|lordship|duchy|abbey|lords|counts)-(of-)?", "")
+    """An entity's id without the word for its kind."""
+    return F.regexp_replace(key, "^(house|county|lords|family|abbey|duchy|chapter|convent|priory|barons?)-", "")
 
 
 def cell(value: Column, kind: str) -> Column:
@@ -171,9 +209,11 @@ def price(inputs: Column, outputs: Column, rate_in: float, rate_out: float, batc
 
 
 def name_variants(text: Column) -> Column:
-    """Spellings to look a settlement up by, of 3 letters at least: without an aside, its alternatives, Saint and St."""
-    plain = F.regexp_replace(text, r" *\([^)]*\)", "")
-    parts = F.array_union(F.array(text, plain), F.split(plain, " (?:ou|alias) "))
-    saints = F.transform(parts, lambda p: F.regexp_replace(p, r"\bSaint\b", "St."))
-    sankt = F.transform(parts, lambda p: F.regexp_replace(p, r"\bSaint\b", "Sankt"))
-    return F.filter(F.array_distinct(F.array_union(F.array_union(parts, saints), sankt)), lambda p: F.length(p) >= 3)
+    """Spellings to look a settlement up by, of 3 letters at least: without the word for its kind, each of its alternatives, those without what follows a particle, and the forms of Saint."""
+    plain = strip(F.regexp_replace(text, r"(?i)^(?:bourg|château|chateau|village|cense|ville|abbaye|prieuré|faubourg) (?:de |d')", ""))
+    parts = F.transform(F.split(plain, r"\s+(?:alias|ou)\s+"), strip)
+    short = F.transform(parts, lambda p: strip(F.regexp_replace(p, r"(?i)\s*(?:-l[eè]s-| près de | proche | lez | sur | alias | ou ).*$", "")))
+    every = F.array_distinct(F.concat(F.array(text, plain), parts, short))
+    saint = r"^(?:Saint|Sankt|St\.?)[- ](.+)$"
+    forms = F.flatten(F.transform(F.filter(every, lambda p: p.rlike(saint)), lambda p: F.transform(F.array(F.lit("Saint-"), F.lit("Sankt "), F.lit("St. ")), lambda f: F.concat(f, F.regexp_extract(p, saint, 1)))))
+    return F.filter(F.array_distinct(F.concat(every, forms)), lambda p: F.length(p) >= 3)

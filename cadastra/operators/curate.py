@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,37 +68,53 @@ def dated_by_events(rights: DataFrame, events: DataFrame) -> DataFrame:
     return out.withColumn("to_year", F.coalesce("to_year", "end_year")).withColumn("from_year", F.coalesce("from_year", "start_year")).drop("end_year", "start_year")
 
 
-def merge_overlapping(rows: DataFrame, keys: list[str], first: int, last: int) -> DataFrame:
+#: What a merged row keeps of those that go into it: the highest confidence, any dispute, all pages and opponents, the first text there is.
+CONFIDENCE = ("low", "medium", "high")
+
+
+def merge_overlapping(rows: DataFrame, keys: list[str], first: int, last: int, texts: tuple[str, ...] = ()) -> DataFrame:
     """Rows of one key merged where their periods overlap: each goes into the first kept row that it overlaps.
 
-    Rows with more known years come first, then by from_year. A kept row takes the other's years where its own are
-    open, and its pages. A key is one holder of one right at one place with one status and share. rows: keys, seq,
-    from_year, to_year, pages (array).
+    Rows with more known years come first, then by from_year (none is 0), then by seq. A kept row keeps its own years
+    and pools the others' pages; if rows have confidence, is_disputed, disputed_with (array) or the columns of texts,
+    it takes the highest confidence, any dispute, all opponents and the first text that isn't empty. A key is one
+    holder of one right at one place, with one status and share, or one membership. rows: keys, seq, from_year,
+    to_year, pages (array). The rows of a key are folded in one array; one exchange, no Python.
     """
-    names = [*keys, "seq", "from_year", "to_year", "pages"]
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        year = lambda v: None if pd.isna(v) else int(v)
-        group = group.assign(known=group["from_year"].notna().astype(int) + group["to_year"].notna().astype(int), order=group["from_year"].fillna(first - 1))
-        kept: list[dict] = []
-        for row in group.sort_values(["known", "order", "seq"], ascending=[False, True, True]).to_dict("records"):
-            row["from_year"], row["to_year"], row["pages"] = year(row["from_year"]), year(row["to_year"]), list(row["pages"])
-            for k in kept:
-                low, high = max(k["from_year"] or first - 1, row["from_year"] or first - 1), min(k["to_year"] or last + 1, row["to_year"] or last + 1)
-                touch = low == high and ((k["to_year"] is not None and k["to_year"] == row["from_year"]) or (row["to_year"] is not None and row["to_year"] == k["from_year"]))
-                if high >= low and not touch:
-                    k["pages"] = sorted({*k["pages"], *row["pages"]})
-                    break
-            else:
-                kept.append(row)
-        return pd.DataFrame([{c: k[c] for c in names} for k in kept], columns=names).astype({"from_year": "Int32", "to_year": "Int32"})
-
-    kinds = dict(rows.dtypes)
-    # Only keys with more than one row have anything to merge.
-    size = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    many = reduce(Column.__and__, [rows[k].eqNullSafe(size[k]) for k in keys])
-    several, alone = (rows.join(size.filter(rule), many, "left_semi").select(*names) for rule in ("n > 1", "n = 1"))
-    return alone.unionByName(several.groupBy(*keys).applyInPandas(fold, ", ".join(f"`{c}` {kinds[c]}" for c in names)))
+    more = [c for c in ("confidence", "is_disputed", "disputed_with", *texts) if c in rows.columns]
+    names = ["seq", "from_year", "to_year", "pages", *more]
+    known = F.col("from_year").isNotNull().cast("int") + F.col("to_year").isNotNull().cast("int")
+    order = F.struct((-known).alias("o1"), F.coalesce("from_year", F.lit(0)).alias("o2"), F.col("seq").alias("o3"), F.struct(*names).alias("row"))
+    by = rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["row"]).alias("rows"))
+
+    def overlap(a: Column, b: Column) -> Column:
+        low = F.greatest(F.coalesce(a["from_year"], F.lit(first - 1)), F.coalesce(b["from_year"], F.lit(first - 1)))
+        high = F.least(F.coalesce(a["to_year"], F.lit(last + 1)), F.coalesce(b["to_year"], F.lit(last + 1)))
+        hands_over = a["to_year"].eqNullSafe(b["from_year"]) | b["to_year"].eqNullSafe(a["from_year"])
+        return (high >= low) & ~((high == low) & hands_over)
+
+    rank = lambda c: F.coalesce(F.array_position(F.array(*map(F.lit, CONFIDENCE)), c), F.lit(0))
+    pooled = {
+        "pages": lambda a, b: F.array_sort(F.array_union(a, b)),
+        "confidence": lambda a, b: F.when(rank(b) > rank(a), b).otherwise(a),
+        "is_disputed": lambda a, b: a | b,
+        "disputed_with": lambda a, b: F.array_sort(F.array_union(a, b)),
+    } | {c: lambda a, b: F.coalesce(F.nullif(a, F.lit("")), b, a) for c in texts}
+
+    def step(kept: Column, row: Column) -> Column:
+        at = F.array_position(F.transform(kept, lambda k: overlap(k, row)), True)
+        merged = lambda k: F.struct(*[(pooled[c](k[c], row[c]) if c in pooled else k[c]).alias(c) for c in names])
+        return F.when(at > 0, F.transform(kept, lambda k, i: F.when(i + 1 == at, merged(k)).otherwise(k))).otherwise(F.concat(kept, F.array(row)))
+
+    kept = F.aggregate("rows", F.slice("rows", 1, 0), step)
+    return by.select(*keys, F.explode(kept).alias("row")).select(*keys, "row.*")
+
+
+def rekeyed(rows: DataFrame, keys: list[str], texts: list[str]) -> DataFrame:
+    """Rows that have the same key, after an update, as one: the first one's values, merged as by keyed_merge."""
+    from cadastra.operators.aggregates import keyed_merge
+
+    return keyed_merge(rows, keys, texts)
 
 
 def with_precedence(manual: DataFrame, added: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:

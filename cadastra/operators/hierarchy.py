@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cadastra.functions.temporal import is_active, years_of
 from cadastra.operators.shared import stored
 
+#: The kinds of realms of the feudal hierarchy.
 FEUDAL = ("principality", "marquisate", "county", "barony", "lordship", "fief", "advocacy", "allod")
 
 
@@ -30,39 +31,38 @@ def children(edges: DataFrame) -> DataFrame:
     return edges.groupBy("year", "parent_id").agg(F.array_sort(F.collect_set("child_id")).alias("members"), F.count_distinct("child_id").alias("n_members"))
 
 
-def _walk(edges: DataFrame, max_depth: int) -> DataFrame:
-    """year, id, ancestor, depth, path over all simple ways up, the first way to each ancestor kept."""
+def _walk(edges: DataFrame) -> DataFrame:
+    """year, id, ancestor, depth, path: the first of the shortest ways up to each ancestor. It ends where a step finds nobody new, whatever the depth."""
     level = edges.groupBy("year", F.col("child_id").alias("id"), F.col("parent_id").alias("ancestor")).agg(F.min("pos").alias("pos")).filter("id <> ancestor")
     level = stored(level.select("year", "id", "ancestor", F.lit(1).alias("depth"), F.array("pos").alias("path")), "ancestors")
-    found = level
+    found, depth = level, 1
     up = edges.select("year", F.col("child_id").alias("ancestor"), F.col("parent_id").alias("next"), "pos")
-    for depth in range(2, max_depth + 1):
+    while not level.isEmpty():
+        depth += 1
         step = level.join(up, ["year", "ancestor"]).filter("next <> id")
         step = step.groupBy("year", "id", F.col("next").alias("ancestor")).agg(F.min(F.array_append("path", F.col("pos"))).alias("path"))
         level = step.join(found.select("year", "id", "ancestor"), ["year", "id", "ancestor"], "left_anti")
         level = stored(level.select("year", "id", "ancestor", F.lit(depth).alias("depth"), "path"), "ancestors")
-        if level.isEmpty():
-            break
         found = found.unionByName(level)
     return found
 
 
-def ancestors(edges: DataFrame, max_depth: int = 12) -> DataFrame:
+def ancestors(edges: DataFrame) -> DataFrame:
     """year, id, ancestor, depth, path: nearest first by (depth, path), the order of a breadth-first search.
 
     path holds the positions of the parents on the way; a cycle ends at a place already seen.
     """
     parents = edges.select("year", F.col("parent_id").alias("child_id")).distinct()
     inner = edges.join(parents, ["year", "child_id"], "left_semi").select(*edges.columns)
-    walked = stored(_walk(inner, max_depth), "ancestors-inner")
+    walked = stored(_walk(inner), "ancestors-inner")
     leaves = edges.join(parents, ["year", "child_id"], "left_anti").select("year", F.col("child_id").alias("id"), F.col("parent_id").alias("ancestor"), F.lit(1).alias("depth"), F.array("pos").alias("path"))
     above = leaves.select("year", F.col("id").alias("leaf"), F.col("ancestor").alias("id"), F.col("path").alias("own"))
-    above = above.join(walked, ["year", "id"]).select("year", F.col("leaf").alias("id"), "ancestor", (F.col("depth") + 1).alias("depth"), F.concat("own", "path").alias("path")).filter(F.col("depth") <= max_depth)
+    above = above.join(walked, ["year", "id"]).select("year", F.col("leaf").alias("id"), "ancestor", (F.col("depth") + 1).alias("depth"), F.concat("own", "path").alias("path"))
     first = leaves.unionByName(above).groupBy("year", "id", "ancestor").agg(F.min(F.struct("depth", "path")).alias("k"))
     return walked.unionByName(first.select("year", "id", "ancestor", "k.depth", "k.path"))
 
 
-def members(edges: DataFrame, places: DataFrame, max_depth: int = 12, no_land: tuple[str, ...] = ()) -> DataFrame:
+def members(edges: DataFrame, places: DataFrame, no_land: tuple[str, ...] = ()) -> DataFrame:
     """year, territory, settlement: the settlements under each territory; a settlement ends the way down.
 
     Settlements of a type in no_land are walked through like territories.
@@ -70,7 +70,7 @@ def members(edges: DataFrame, places: DataFrame, max_depth: int = 12, no_land: t
     kinds = places.select("id", ((F.col("kind") == "settlement") & ~F.col("place_type").isin(*no_land, "")).alias("lands"))
     down = edges.join(kinds.withColumnRenamed("id", "child_id"), "child_id")
     inner = down.filter("not lands").select("year", "child_id", "parent_id", "pos")
-    over = stored(_walk(inner, max_depth), "members-inner").select("year", F.col("id").alias("parent_id"), F.col("ancestor").alias("territory"))
+    over = stored(_walk(inner), "members-inner").select("year", F.col("id").alias("parent_id"), F.col("ancestor").alias("territory"))
     direct = down.filter("lands").select("year", "parent_id", F.col("child_id").alias("settlement"))
     deep = direct.join(over, ["year", "parent_id"]).select("year", "territory", "settlement")
     return direct.withColumnRenamed("parent_id", "territory").unionByName(deep).distinct()
@@ -89,27 +89,40 @@ def hierarchy_of(place_type):
     return F.when(place_type.isin(*FEUDAL), "feudal").otherwise("admin")
 
 
-def levels(edges: DataFrame, places: DataFrame, root: str, hierarchy: str | None = None, max_depth: int = 12) -> DataFrame:
+def levels(edges: DataFrame, places: DataFrame, root: str, hierarchy: str | None = None) -> DataFrame:
     """year, id, level of the territories under root.
 
     With a hierarchy, only its realms count on the way down: by the shortest way, or the longest of feudal realms.
-    Ways are simple; on a cycle they end at the place already seen.
+    The shortest are found by steps from the root, each keeping what it makes shorter. The longest follows simple ways
+    (on a cycle a way ends at the place already seen), as no other search is right on cycles; that is for a hierarchy
+    of some depth with few ways, not for a dense graph.
     """
     realm = places.filter("kind = 'territory'")
     counts = F.lit(1) if hierarchy is None else (hierarchy_of(F.col("place_type")) == hierarchy).cast("int")
     realm = realm.select(F.col("id").alias("child_id"), counts.alias("counts"))
-    down = edges.join(realm, "child_id").filter(F.col("child_id") != root).select("year", "parent_id", "child_id", "counts")
+    down = stored(edges.join(realm, "child_id").filter(F.col("child_id") != root).select("year", "parent_id", "child_id", "counts").distinct(), "levels-down")
+    if hierarchy != "feudal":
+        return _shortest(down, root)
     level = down.filter(F.col("parent_id") == root).select("year", F.col("child_id").alias("id"), F.array(F.lit(root), "child_id").alias("seen"), F.col("counts").alias("level"), "counts")
     level = found = stored(level.distinct(), "levels")
-    for _ in range(max_depth - 1):
+    while not level.isEmpty():
         step = level.drop("counts").join(down.withColumnRenamed("parent_id", "id"), ["year", "id"]).filter(~F.array_contains("seen", F.col("child_id")))
         step = step.select("year", F.col("child_id").alias("id"), F.array_append("seen", F.col("child_id")).alias("seen"), (F.col("level") + F.col("counts")).alias("level"), "counts")
         level = stored(step.distinct(), "levels")
-        if level.isEmpty():
-            break
         found = found.unionByName(level)
-    pick = F.max if hierarchy == "feudal" else F.min
-    return found.filter("counts = 1").groupBy("year", "id").agg(pick("level").alias("level"))
+    return found.filter("counts = 1").groupBy("year", "id").agg(F.max("level").alias("level"))
+
+
+def _shortest(down: DataFrame, root: str) -> DataFrame:
+    step = down.filter(F.col("parent_id") == root).select("year", F.col("child_id").alias("id"), F.col("counts").alias("level"), "counts")
+    best = front = stored(step.groupBy("year", "id", "counts").agg(F.min("level").alias("level")), "levels")
+    while not front.isEmpty():
+        step = front.select("year", F.col("id").alias("parent_id"), "level").join(down, ["year", "parent_id"])
+        step = step.groupBy("year", F.col("child_id").alias("id"), "counts").agg(F.min(F.col("level") + F.col("counts")).alias("level"))
+        known = best.select("year", "id", F.col("level").alias("known"))
+        front = stored(step.join(known, ["year", "id"], "left").filter("known is null or level < known").drop("known"), "levels")
+        best = stored(best.unionByName(front).groupBy("year", "id", "counts").agg(F.min("level").alias("level")), "levels")
+    return best.filter("counts = 1").select("year", "id", "level")
 
 
 def direct_members(edges: DataFrame, places: DataFrame, territory: str) -> DataFrame:
@@ -122,10 +135,10 @@ def contested(memberships: DataFrame, root: str, year: int) -> DataFrame:
     return memberships.filter((F.col("parent_id") == root) & F.col("is_disputed") & is_active(F.col("from_year"), F.col("to_year"), year)).select("child_id").distinct()
 
 
-def cycles(memberships: DataFrame, max_depth: int = 12) -> DataFrame:
+def cycles(memberships: DataFrame) -> DataFrame:
     """The memberships that lie on a cycle, whatever their years: seq of columns child_id, parent_id."""
     edges = memberships.select(F.lit(0).alias("year"), "child_id", "parent_id", F.lit(1).alias("pos")).distinct()
     inner = edges.join(edges.select(F.col("parent_id").alias("child_id")).distinct(), "child_id", "left_semi").select("year", "child_id", "parent_id", "pos")
-    walked = _walk(inner, max_depth).select(F.col("id").alias("parent_id"), F.col("ancestor").alias("child_id"))
+    walked = _walk(inner).select(F.col("id").alias("parent_id"), F.col("ancestor").alias("child_id"))
     own = edges.filter("child_id = parent_id").select("child_id", "parent_id")
     return edges.join(walked, ["child_id", "parent_id"], "left_semi").select("child_id", "parent_id").unionByName(own).distinct()

@@ -26,7 +26,7 @@ FORCE = """force AS (SELECT * EXCLUDE (comes, own_comes) FROM (SELECT *, coalesc
 EDGES = "edges AS (SELECT y.year, m.child_id, m.parent_id, m.pos FROM memberships m JOIN years y ON coalesce(m.from_year, -9999) <= y.year AND y.year <= coalesce(m.to_year, 9999))"
 CLOSURE = """walk AS (SELECT year, child_id AS id, parent_id AS ancestor, 1 AS depth, [pos] AS path, [child_id, parent_id] AS seen FROM edges
   UNION ALL SELECT w.year, w.id, e.parent_id, w.depth + 1, list_append(w.path, e.pos), list_append(w.seen, e.parent_id) FROM walk w JOIN edges e ON e.year = w.year AND e.child_id = w.ancestor
-  WHERE w.depth < 8 AND NOT list_contains(w.seen, e.parent_id)),
+  WHERE NOT list_contains(w.seen, e.parent_id)),
 ancestors AS (SELECT year, id, ancestor, min({'depth': depth, 'path': path}) AS k FROM walk WHERE id <> ancestor GROUP BY ALL)"""
 ONE_RIGHT = ACTIVE.replace("rights r", f"(SELECT * FROM rights WHERE right_type = '{RIGHT}') r")
 ONE_YEAR = f"years AS (SELECT {YEAR} AS year)"
@@ -83,7 +83,7 @@ def holdings_by_right(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ancestors(spark, sf_dir, first=YEAR, last=YEAR):
-    return tree.ancestors(tree.edges_by_year(from_tables(spark, sf_dir).memberships, first, last), max_depth=8)
+    return tree.ancestors(tree.edges_by_year(from_tables(spark, sf_dir).memberships, first, last))
 
 
 @query(_sql(VIEWS, ONE_YEAR, EDGES, CLOSURE, "SELECT year, id, ancestor, k.depth AS depth, array_to_string(k.path, '.') AS path FROM ancestors"))
@@ -111,7 +111,7 @@ def contested_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _resolved(spark, sf_dir, first, last):
     ds = from_tables(spark, sf_dir)
     rights = ds.rights.filter(F.col("right_type") == RIGHT)
-    return ds, snap.resolved(snap.snapshot_years(rights, first, last), tree.ancestors(tree.edges_by_year(ds.memberships, first, last), max_depth=8), ds.places)
+    return ds, snap.resolved(snap.snapshot_years(rights, first, last), tree.ancestors(tree.edges_by_year(ds.memberships, first, last)), ds.places)
 
 
 @query(_sql(VIEWS, ONE_YEAR, ONE_RIGHT, FORCE, EDGES, CLOSURE, RANKS, RESOLVED, SUMMARY, "SELECT * FROM summary"))
@@ -228,6 +228,6 @@ def gained_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snap.gained_and_lost(from_tables(spark, sf_dir).events)
 
 
-from cadastra import queries_flow, queries_geo, queries_rules, queries_text  # noqa: E402, F401  # they register theirs
+from cadastra import queries_book, queries_flow, queries_geo, queries_resolve, queries_rules, queries_sources, queries_text  # noqa: E402, F401  # they register theirs
 
 __all__ = ["ORACLE", "QUERIES"]

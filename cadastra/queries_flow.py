@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadastra.operators import textflow
+from cadastra.queries_book import LINES, joined_sql
 from cadastra.registry import query
 
 _LINES = "SELECT l_orderkey AS block, l_linenumber * 1000000000::bigint + l_partkey * 1000 + l_suppkey % 1000 AS nth, l_partkey % 7 AS x0, 40 + l_suppkey % 15 AS x1, l_returnflag AS text FROM lineitem"
@@ -41,7 +42,15 @@ def index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row.select("p_partkey", "r.name", F.array_join("r.variants", "|").alias("variants"), "r.code", "r.canton", F.array_join("r.pages", ",").alias("pages"))
 
 
-@query()
+_BRACKETS = "length(replace({0}, ')', '')) - length(replace({0}, '(', ''))"
+
+
+@query(rf"""WITH RECURSIVE l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS nth FROM (SELECT doc_id, {LINES} AS lines FROM documents WHERE text IS NOT NULL)),
+w AS (SELECT doc_id, nth, line, 0 AS entry, {_BRACKETS.format("line")} AS depth FROM l WHERE nth = 1
+  UNION ALL SELECT doc_id, nth, line, CASE WHEN goes_on THEN entry ELSE entry + 1 END, CASE WHEN goes_on THEN depth ELSE 0 END + {_BRACKETS.format("line")}
+  FROM (SELECT l.doc_id, l.nth, l.line, w.entry, w.depth, regexp_matches(l.line, '^[\p{{Nd}}\p{{Ll}}()\-–—=]') OR w.depth > 0 OR right(w.line, 1) IN (',', '-', '=', '—') AS goes_on FROM w JOIN l ON l.doc_id = w.doc_id AND l.nth = w.nth + 1)),
+g AS (SELECT doc_id, entry, list(line ORDER BY nth) AS lines FROM w GROUP BY doc_id, entry)
+SELECT doc_id, entry AS nth, {joined_sql("lines")} AS entry FROM g""")
 def wrap_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select("doc_id", F.posexplode(textflow.index_entries(F.split("text", "\n"))).alias("nth", "entry"))

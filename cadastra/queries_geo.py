@@ -57,7 +57,15 @@ def bounding_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo.bounding_box(from_tables(spark, sf_dir).places)
 
 
-@query()
+_E = "sqrt(0.00669438002290::double)"
+_Q = lambda s: f"((1 - 0.00669438002290::double) * ({s} / (1 - 0.00669438002290::double * {s} * {s}) - ln((1 - {_E} * {s}) / (1 + {_E} * {s})) / (2 * {_E})))"
+
+
+@query(f"""{VIEWS}, k AS (SELECT {_Q("1.0::double")} AS qp, {_Q("sin(radians(52.0::double))")} AS q0), c AS (SELECT qp, asin(q0 / qp) AS beta0, 6378137.0::double * sqrt(qp / 2) AS r FROM k),
+d AS (SELECT *, 6378137.0::double * cos(radians(52.0::double)) / sqrt(1 - 0.00669438002290::double * sin(radians(52.0::double)) ^ 2) / (r * cos(beta0)) AS scale FROM c),
+p AS (SELECT id, asin({_Q("sin(radians(lat))")} / qp) AS beta, radians(lon) - radians(10.0::double) AS turn, d.* FROM places, d WHERE lat IS NOT NULL),
+b AS (SELECT *, r * sqrt(2 / (1 + sin(beta0) * sin(beta) + cos(beta0) * cos(beta) * cos(turn))) AS b FROM p)
+SELECT id, round(4321000 + b * scale * cos(beta) * sin(turn), 2) AS x, round(3210000 + b / scale * (cos(beta0) * sin(beta) - sin(beta0) * cos(beta) * cos(turn)), 2) AS y FROM b""")
 def projected_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = laea(F.col("lat"), F.col("lon"))
     return from_tables(spark, sf_dir).places.filter("lat is not null").select("id", F.round(x, 2).alias("x"), F.round(y, 2).alias("y"))
@@ -90,7 +98,8 @@ def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo.best_candidates(found.select(F.col("id").alias("place_id"), F.col("anchor").alias("candidate"), score.alias("score"), F.round("km", 9).alias("km"), "lat", "lon", F.col("anchor").alias("seq")))
 
 
-@query()
+@query(f"""{VIEWS}, j AS (SELECT '{{' || concat_ws(',', '"seq":' || seq, '"place_id":"' || place_id || '"', '"right_type":"' || right_type || '"', '"holder_id":"' || holder_id || '"', '"share":"' || share || '"', CASE WHEN status <> 'held' THEN '"status":"' || status || '"' END,
+  CASE WHEN is_disputed THEN '"is_disputed":true' END, '"from_year":' || from_year, '"to_year":' || to_year, '"disputed_with":["' || opponent || '"]') || '}}' AS json FROM rights) SELECT json, strlen(json)::int AS bytes FROM j""")
 def compact_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     rights = from_tables(spark, sf_dir).rights
     return export.compact(rights.drop("opponent"), {"status": "held"}).withColumn("bytes", F.octet_length("json"))

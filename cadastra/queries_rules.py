@@ -152,12 +152,6 @@ def keyed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("pages", F.array_join(F.col("pages").cast("array<string>"), ",")).withColumn("disputed_with", F.array_join("disputed_with", "|"))
 
 
-@query()
-def merge_same_holder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = curate.merge_overlapping(_facts(spark, sf_dir), ["place_id", "right_type", "holder_id", "share", "status"], FIRST, LAST)
-    return found.withColumn("pages", F.array_join(F.col("pages").cast("array<string>"), ","))
-
-
 @query(f"""{VIEWS} SELECT seq, place_id, right_type, holder_id FROM rights WHERE seq % 10 = 0 UNION ALL SELECT seq, place_id, right_type, holder_id FROM rights WHERE seq % 10 = 1
 UNION ALL SELECT seq, place_id, right_type, holder_id FROM rights r WHERE seq % 10 > 1 AND NOT EXISTS (SELECT 1 FROM rights m WHERE m.seq % 10 = 0 AND m.place_id = r.place_id AND m.right_type = r.right_type)""")
 def manual_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,11 +31,6 @@ def normalize_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", tx.normalize_spaces(F.col("text")).alias("spaced"))
 
 
-@query()
-def dehyphenate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", tx.dehyphenate(F.split("text", "\n")).alias("joined"))
-
-
 _WORDS = "['office de ', 'la seigneurie de la ', 'comte du ', 'l ban d ', 'x '][c_custkey % 5 + 1]"
 
 

@@ -108,11 +108,51 @@ def test_merge_of_one_holders_rows(spark):
     assert got == {("a", 1616, 1620, (3, 5)), ("b", 1600, 1602, (1,)), ("b", 1610, 1612, (2,))}
 
 
+@pytest.mark.parametrize(
+    ("lines", "want"),
+    [
+        (["Kerling-", "lès-Sierck"], "Kerling-lès-Sierck"),
+        (["Féné-", "trange"], "Fénétrange"),
+        (["Saint-", "Avold"], "Saint-Avold"),
+        ([" de ", "", "la ville -", "et ( ici )"], "de la ville - et (ici)"),
+        ([], ""),
+        (None, None),
+    ],
+)
+def test_dehyphenate(spark, lines, want):
+    assert spark.createDataFrame([(lines,)], "x array<string>").select(text.dehyphenate(F.col("x"))).first()[0] == want
+
+
+def test_letterspaced_runs(spark):
+    rows = [("le D u c h é de", True), ("a b c", False), ("ab c d e", False), ("D u c h é", True)]
+    assert [r[0] for r in spark.createDataFrame(rows, "t string, x boolean").select(text.is_letterspaced(F.col("t"))).collect()] == [x for _, x in rows]
+
+
+def test_merge_pools_what_rows_say(spark):
+    row = "k string, seq long, from_year int, to_year int, pages array<int>, confidence string, is_disputed boolean, disputed_with array<string>, notes string"
+    rows = [("a", 1, None, None, [3], "low", False, ["x"], None), ("a", 2, 1616, 1620, [5, 3], "medium", True, ["y"], ""), ("a", 3, 1620, None, [9], "high", False, [], "n"), ("a", 4, None, 1615, [1], "high", False, [], "m")]
+    got = {r.seq: r for r in curate.merge_overlapping(spark.createDataFrame(rows, row), ["k"], 1600, 1632, ("notes",)).collect()}
+    # 1 overlaps the kept rows in the order of their years: it goes into the first of them.
+    assert set(got) == {2, 3, 4} and got[2].pages == [3, 5] and got[2].disputed_with == ["x", "y"] and got[2].confidence == "medium" and got[2].is_disputed and got[3].notes == "n"
+
+
+def test_walks_have_no_depth_limit(spark):
+    chain = spark.createDataFrame([(f"p{i}", f"p{i + 1}", 1, None, None) for i in range(20)], "child_id string, parent_id string, pos int, from_year int, to_year int")
+    edges = hierarchy.year_edges(chain, 1620)
+    assert hierarchy.ancestors(edges).filter("id = 'p0'").count() == 20
+    places = spark.createDataFrame([(f"p{i}", "territory", "office") for i in range(21)], "id string, kind string, place_type string")
+    assert {r.id: r.level for r in hierarchy.levels(edges, places, "p20").collect()}["p0"] == 20
+
+
 def test_alias_chains():
     assert curate.canonical({"a": "b", "b": "c", "x": "y", "y": "x"})["a"] == "c"
 
 
-TWINS = ["snapshot_active", "direct_holdings", "disputes_in_year", "rights_matrix", "membership_cycles", "overlap_conflicts", "share_overflow", "keyed_merge", "rules_override", "radius_join", "dissolve_edges", "pages_of"]
+TWINS = [
+    "snapshot_active", "direct_holdings", "disputes_in_year", "rights_matrix", "membership_cycles", "overlap_conflicts", "share_overflow", "keyed_merge", "rules_override", "radius_join", "dissolve_edges", "pages_of",
+    "load_table", "load_issues", "load_vocabulary", "load_rules", "load_extractions", "load_gazetteer", "load_geonames", "resolve_places", "split_memberships", "index_names", "manual_claims", "scored_candidates", "geocode_cascade",
+    "territory_context", "placement_rules", "table_of_contents", "split_sections", "merge_baselines", "column_lines", "wrap_groups", "merge_same_holder", "naming_functions", "territory_titles", "review_report", "event_texts", "ja_names",
+]
 
 
 @pytest.mark.parametrize("name", TWINS)
