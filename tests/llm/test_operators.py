@@ -545,6 +545,34 @@ def test_scores(spark, docs):
     assert lm_scoring.train_and_score(corpus.empty(spark)).count() == 0
 
 
+def test_scores_against_brute_force(spark, docs):
+    """Each token's class down the tree, from its four neighbours, and its share of the class's count, in plain Python."""
+    words = lm_scoring.count_words(docs, vocabulary=4)
+    network = lm_scoring.train(docs, words, rounds=2, mask_every=2, batch=64)
+    n = collections.Counter(w for r in corpus.rows() for w in re.findall(r"[^\x20\x09-\x0D]+", (r[1] or "").lower()))
+    name = {w: int(lm_scoring.tokens(pa.array([w]))[1][0]) for w in n}
+    kind = dict(zip(n, words(np.array([name[w] for w in n], np.uint64))[0].tolist(), strict=True))
+    whole = collections.Counter()
+    for w, k in kind.items():
+        whole[k] += n[w]
+
+    def log_p(left2, left, right, right2, own):
+        h = [math.tanh(float(network.shift[i]) + sum(float(network.places[j][c][i]) for j, c in enumerate((left2, left, right, right2)))) for i in range(lm_scoring.HIDDEN)]
+        leaf, total = own + network.classes, 0.0
+        for d in range(network.depth, 0, -1):
+            node = leaf >> d
+            x = sum(a * float(b) for a, b in zip(h, network.out[node], strict=True)) + float(network.bias[node])
+            total -= math.log1p(math.exp(x if (leaf >> (d - 1)) & 1 else -x))
+        return total
+
+    got = {r["doc_id"]: r["log_likelihood"] for r in lm_scoring.score(docs, words, network).collect()}
+    for r in corpus.rows()[:45]:
+        line = re.findall(r"[^\x20\x09-\x0D]+", (r[1] or "").lower())
+        at = lambda i: kind[line[i]] if 0 <= i < len(line) else network.classes  # noqa: E731, B023
+        want = sum(log_p(at(i - 2), at(i - 1), at(i + 1), at(i + 2), kind[w]) + math.log(n[w] / (whole[kind[w]] + 1)) for i, w in enumerate(line))
+        assert abs(got[r[0]] - want) < 1e-3 * max(1, abs(want)), (r[0], got[r[0]], want)
+
+
 def test_rare_words_have_their_own_counts(spark):
     rows = [(i, " ".join(["often", "common", "usual"] * 3)) for i in range(20)] + [(100 + i, "mediocre") for i in range(30)] + [(200, "mediocre"), (201, "hapax")]
     rows += [(300 + i, f"w{i}") for i in range(400)]
