@@ -14,7 +14,9 @@ rows of each language on average, or all if there are fewer.
 Runs of letters are scored as wholes, whatever their length. Texts that are null or
 have no letter get "und" and score 0. Without any labelled row every text gets
 "und". Ties go to the first language by code point. Rows are judged one by one,
-so repeated rows agree, and an empty table gives an empty result.
+so repeated rows agree, and an empty table gives an empty result. Columns other
+than doc_id, text and lang are not read. fit is by how much the mean
+log-probability of a text's letters exceeds that of its language's own words.
 """
 
 from __future__ import annotations
@@ -36,17 +38,18 @@ from cadastra.llm.common import bucket_of, slices, stored
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 _WORDS = re.compile(r"[^\W\d_]+")
 _FLOOR = 1e-7
-_KNOWN = 200_000
+_KNOWN = 100_000
 
 
 @dataclass
 class Model:
-    """pieces: the vocabulary's; p: pieces (and one row more for unknown characters) by languages."""
+    """pieces: the vocabulary's; p: pieces (and one row more for unknown characters) by languages; level: the mean log-probability of a letter (or word's beginning) in each language's own words."""
 
     pieces: list[str]
     langs: list[str]
     prior: np.ndarray
     p: np.ndarray
+    level: np.ndarray
 
 
 def load_pieces(path: str = VOCABULARY) -> list[str]:
@@ -67,7 +70,7 @@ def _lattices(words: list[str], vocabulary: lattice.Pieces) -> Iterator[tuple[np
     """The places of some words and their lattice; those of long words, which run in logarithms, apart."""
     size = np.fromiter(map(len, words), np.int64, len(words))
     short, long = np.flatnonzero(size < lattice.SHORT), np.flatnonzero(size >= lattice.SHORT)
-    for own, block in ((short, 20_000), (long, 200)):
+    for own, block in ((short, 8_000), (long, 200)):
         for at in range(0, len(own), block):
             some = own[at : at + block]
             yield some, lattice.build([lattice.SPACE + words[i] for i in some.tolist()], vocabulary)
@@ -91,7 +94,7 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, sample_per_lang: int =
     p = np.full((len(pieces) + 1, len(langs)), 1 / len(pieces))
     p[-1] = _FLOOR
     if not langs:
-        return Model(pieces, langs, prior, p)
+        return Model(pieces, langs, prior, p, np.zeros(0))
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     rates = F.create_map(*[F.lit(v) for x in langs for v in (x, sample_per_lang / sizes[x])])
 
@@ -129,7 +132,22 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, sample_per_lang: int =
         p = counts / counts.sum(0)
         p[-1] = _FLOOR
         now.unpersist()
-    return Model(pieces, langs, prior, p)
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, log_p = lattice.Pieces(shared.value), np.log(p)
+        total = np.zeros((2, len(langs)))
+        for batch in batches:
+            lang = np.array([langs.index(x) for x in batch.column("lang").to_pylist()], np.int64)
+            text, n = batch.column("word").to_pylist(), batch.column("n").to_numpy()
+            own = _log_p(text, known, log_p)[np.arange(len(lang)), lang]
+            np.add.at(total, (0, lang), own * n)
+            np.add.at(total, (1, lang), n * np.fromiter((len(w) + 1 for w in text), np.int64, len(text)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(langs))), pa.array(total[0]), pa.array(total[1])], ["lang", "log_p", "letters"])
+
+    got = words.mapInArrow(rate, "lang long, log_p double, letters double").groupBy("lang").agg(F.sum("log_p").alias("log_p"), F.sum("letters").alias("letters")).toPandas().sort_values("lang")
+    level = np.zeros(len(langs))
+    level[got["lang"]] = got["log_p"] / np.maximum(1, got["letters"])
+    return Model(pieces, langs, prior, p, level)
 
 
 class Judge:
@@ -138,50 +156,63 @@ class Judge:
     def __init__(self, model: Model):
         self.model, self.vocabulary, self.log_p = model, lattice.Pieces(model.pieces), np.log(model.p)
         self.number: dict[str, int] = {}
-        self.scores = np.zeros((0, len(model.langs)))
+        self.scores, self.letters = np.zeros((0, len(model.langs))), np.zeros(0, np.int64)
 
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """lang, score and number of words of each text."""
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """lang, score, number of words, number of letters of each text, and by how much the mean log-probability of its letters exceeds that of its language's own words."""
         m = self.model
         per_text = [words_of(t) if isinstance(t, str) else [] for t in texts]
         n = np.array([len(ws) for ws in per_text], np.int64)
-        lang, score = np.full(len(n), "und", object), np.zeros(len(n))
+        lang, score, letters, fit = np.full(len(n), "und", object), np.zeros(len(n)), np.zeros(len(n), np.int64), np.zeros(len(n))
         some = np.flatnonzero(n)
         if not len(some) or not m.langs:
-            return lang, score, n
+            return lang, score, n, letters, fit
         if len(self.number) > _KNOWN:
-            self.number, self.scores = {}, self.scores[:0]
+            self.number, self.scores, self.letters = {}, self.scores[:0], self.letters[:0]
         number, old = self.number, len(self.number)
         ids = np.array([number.setdefault(w, len(number)) for ws in per_text for w in ws], np.int64)
-        self.scores = np.concatenate([self.scores, _log_p(list(number)[old:], self.vocabulary, self.log_p)])
-        total = m.prior + np.add.reduceat(self.scores[ids], np.concatenate([[0], np.cumsum(n[some])[:-1]]))
-        lang[some] = np.array(m.langs, object)[total.argmax(1)]
+        new = list(number)[old:]
+        self.scores = np.concatenate([self.scores, _log_p(new, self.vocabulary, self.log_p)])
+        self.letters = np.concatenate([self.letters, np.fromiter((len(w) + 1 for w in new), np.int64, len(new))])
+        opens = np.concatenate([[0], np.cumsum(n[some])[:-1]])
+        summed = np.add.reduceat(self.scores[ids], opens)
+        total = m.prior + summed
+        best = total.argmax(1)
+        lang[some] = np.array(m.langs, object)[best]
         score[some] = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-        return lang, score, n
+        letters[some] = np.add.reduceat(self.letters[ids], opens)
+        fit[some] = summed[np.arange(len(some)), best] / letters[some] - m.level[best]
+        return lang, score, n, letters, fit
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score and n_words of each row; only the text is looked at."""
+    """doc_id, lang_pred, score, n_words and fit of each row; only the text is looked at."""
     known = docs.sparkSession.sparkContext.broadcast(model)  # pieces by languages: the vocabulary's size
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(known.value)
         for batch in batches:
             for part in slices(batch, "text"):
-                lang, score, n = judge(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score), pa.array(n)], ["doc_id", "lang_pred", "score", "n_words"])
+                lang, score, n, _, fit = judge(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score), pa.array(n), pa.array(fit)], ["doc_id", "lang_pred", "score", "n_words", "fit"])
 
-    return docs.select("doc_id", "text").mapInArrow(each, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, n_words long")
+    return docs.select("doc_id", "text").mapInArrow(each, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, n_words long, fit double")
 
 
 def identify_held_out(docs: DataFrame, **options) -> DataFrame:
     """Trains on rows that aren't held out and judges all: doc_id, held_out, lang_pred, score."""
     found = identify(docs, train(docs, **options))
-    return found.select("doc_id", (bucket_of(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "n_words")
+    return found.select("doc_id", (bucket_of(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "n_words", "fit")
+
 
+def keep_identified(docs: DataFrame, least: float = 0.5, margin: float = 2.5, letters: int = 20, **options) -> DataFrame:
+    """The rows of docs in a learned language, with all their columns, whatever their names.
 
-def keep_identified(docs: DataFrame, least: float = 0.5, **options) -> DataFrame:
-    """The rows of docs in a learned language with a score of at least least, with all their columns."""
+    The posterior is among the learned languages only, so it has to be at least least, and a text of at least so many
+    letters has to fit its language as well: its letters' mean log-probability may be below that of the language's own
+    words by margin at most. Text of another language or of random letters isn't kept; without a learned language
+    nothing is.
+    """
     model = train(docs, **options)
     known = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -190,8 +221,10 @@ def keep_identified(docs: DataFrame, least: float = 0.5, **options) -> DataFrame
     def clear(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         judge = Judge(known.value)
         for texts in batches:
-            parts = slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]), "text")
-            found = [judge(part.column("text").to_pylist()) for part in parts]
-            yield pd.Series(np.concatenate([(lang != "und") & (score >= least) for lang, score, _ in found])) if found else pd.Series([], dtype=bool)
+            kept = []
+            for part in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]), "text"):
+                lang, score, _, n, fit = judge(part.column("text").to_pylist())
+                kept.append((lang != "und") & (score >= least) & ((n < letters) | (fit >= -margin)))
+            yield pd.Series(np.concatenate(kept)) if kept else pd.Series([], dtype=bool)
 
     return docs.filter(clear("text"))

@@ -281,6 +281,9 @@ def test_language(spark, docs):
     assert kept.columns == corpus.COLUMNS
     assert {r["doc_id"] for r in kept.collect()} >= {i for i in range(30)}
     assert not {30, 31, 32, 33} & {r["doc_id"] for r in kept.collect()}
+    odd = spark.createDataFrame([(900, "xqzv kjhw plmnq wrtzx vbnmk qqxj zzkw"), (901, "zażółć gęślą jaźń, proszę państwa bardzo dziękuję wszystkim"), (902, "the")], "doc_id long, text string")
+    mixed = docs.unionByName(odd, allowMissingColumns=True)
+    assert {r["doc_id"] for r in language_id.keep_identified(mixed).filter("doc_id >= 900").collect()} == {902}
     assert language_id.identify_held_out(corpus.empty(spark)).count() == 0 == language_id.keep_identified(corpus.empty(spark)).count()
     assert {r["lang_pred"] for r in language_id.identify_held_out(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
