@@ -47,8 +47,8 @@ from cadastra.llm.common import Rolling, mix64, slices, text_bytes
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 _UNKNOWN = 1e-9
-_KNOWN = 200_000
-_LEARNED = 20_000
+_KNOWN = 120_000
+_LEARNED = 10_000
 _K, _L = np.uint64(0xD1342543DE82EF95), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -114,7 +114,7 @@ class Decoder:
 def _appended(held: np.ndarray, n: int, more: np.ndarray) -> np.ndarray:
     """held, of which n values are in use, with more after them; copied only where it doubles."""
     if n + len(more) > len(held):
-        old, held = held, np.empty((2 * max(n, 1024) + 2 * len(more), *held.shape[1:]), held.dtype)
+        old, held = held, np.empty((max(n, 1024) * 3 // 2 + len(more), *held.shape[1:]), held.dtype)
         held[:n] = old[:n]
     held[n : n + len(more)] = more
     return held
@@ -385,7 +385,7 @@ def encode_samples(docs: DataFrame, k: int = 2, vocabulary: str = VOCABULARY, ke
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, decoder = Sampler(*shared.value), Decoder(*shared.value)
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", 1 << 19):
                 seeds = mix64(part.column("seed").to_numpy().view(np.uint64))
                 found = sampler.sample(part.column("text").to_pylist(), seeds, k)
                 count = np.array([len(f) for f in found])
