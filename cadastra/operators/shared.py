@@ -14,6 +14,8 @@ def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a temporary folder only where the session names none, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get("dir")
     if not folder:
+        if not spark.conf.get("spark.master", "local").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         folder = _OWN["dir"] = tempfile.mkdtemp(prefix="shared-")
     return folder.rstrip("/")
 
