@@ -8,12 +8,14 @@ path starts with the rule's path; the longest wins.
 
 A null URL, or one without "://", has an empty host and path, fits no rule and
 is judged by its terms alone (null has none). Each row is judged by itself, so
-ties, repeated rows and empty tables need nothing; other columns aren't read.
+ties, repeated rows and empty tables need nothing; a URL of any length is judged
+whole. Columns other than page_id and url are neither read nor returned.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
@@ -29,9 +31,16 @@ RULES = (
     ("block", "com", "/de/"),
 )
 #: Terms of which one rejects.
-STRICT = ("porn", "porno", "xxx", "hentai", "camgirls", "escorts", "warez", "torrent-cracks")
+STRICT = (
+    "porn", "porno", "pornhub", "xxx", "xvideos", "xhamster", "redtube", "youporn", "hentai", "milf", "gangbang", "cumshot", "upskirt", "sexcam", "livesex", "camgirls", "escorts",
+    "warez", "keygen", "nulled", "torrent-cracks",
+)
 #: Terms of which several distinct ones reject.
-SOFT = ("adult", "casino", "win", "cheap", "pills", "bet", "betting", "poker", "slots", "loan", "loans", "sex", "nude", "viagra", "jackpot", "bonus", "crack", "hot", "dating", "free")
+SOFT = (
+    "adult", "erotic", "fetish", "nude", "naked", "sex", "sexy", "hot", "dating", "hookup", "singles", "webcam", "escort",
+    "casino", "gambling", "roulette", "blackjack", "bingo", "lottery", "poker", "slots", "jackpot", "bet", "betting", "sportsbook", "win", "bonus",
+    "viagra", "cialis", "levitra", "xanax", "tramadol", "pills", "pharmacy", "loan", "loans", "payday", "cheap", "free", "replica", "rolex", "crack", "cracked", "torrent", "serial", "cheats",
+)
 SOFT_NEEDED = 2
 
 
@@ -71,9 +80,10 @@ def filter_urls(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_ne
     """page_id, host, path, rule, verdict, strict_hits, soft_hits."""
 
     @F.pandas_udf("strict int, soft int")
-    def hits(urls: pd.Series) -> pd.DataFrame:
+    def hits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         terms = automaton(strict, soft)
-        return pd.DataFrame([count_terms(u, terms) for u in urls], columns=["strict", "soft"])
+        for urls in batches:
+            yield pd.DataFrame([count_terms(u, terms) for u in urls], columns=["strict", "soft"])
 
     host, path = url_parts(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"), hits("url").alias("hits"))
