@@ -18,8 +18,11 @@ probability of exp(-deep_runs * n).
 
 Brute force: the buckets whose smallest member is the same are compared
 together (their home), in blocks of at most block sets a side, so neither a
-common passage nor a large group of near copies fills one task. Exact
-intersections decide. A pair that meets in several homes counts in the smallest
+common passage nor a large group of near copies fills one task. Of a home of
+more than one block, the members that are so like its smallest one that any two
+of them must be similar (half the distance allowed, as Jaccard distances obey
+the triangle inequality) are a ball: they are linked without being compared, and
+blocks of one ball don't meet. Exact intersections decide the rest. A pair that meets in several homes counts in the smallest
 only; no list of pairs is made. Links join to classes by connected components.
 
 Result, one row per document: doc_id, class_id (the smallest id in its class)
@@ -28,7 +31,10 @@ copies included.
 
 Null and empty texts have no shingles: they are classes of their own without
 links. A row with a null id is known by its text. Rows that share an id share
-their text: they are copies. An empty table gives an empty result.
+their text: they are copies. Ties have no effect: classes and links are those of
+sets. A text of any length is one set, held as a whole. Columns other than
+doc_id and text aren't read; keep_one() keeps all, whatever their names. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,7 +45,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadastra.llm.common import Rolling, mix64, runs, slices, stored, text_bytes
@@ -201,16 +207,19 @@ def buckets(sets: DataFrame, first: DataFrame, similarity: float, n_runs: int, l
     return out
 
 
-def compare(tokens: list[np.ndarray], homes: list[np.ndarray], keys: list[np.ndarray], weight: np.ndarray, home: int, left: np.ndarray, right: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def compare(tokens: list[np.ndarray], homes: list[np.ndarray], keys: list[np.ndarray], weight: np.ndarray, home: int, left: np.ndarray, right: np.ndarray, similarity: float, ball: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(links, leader) of each member of one home: the weight of the members it is linked to, and the smallest index in its component.
 
-    left and right: the members of the two blocks; the same array for a block with itself.
+    left and right: the members of the two blocks; the same array for a block with itself. ball: each member's, -1 for
+    none; members of one ball are linked elsewhere.
     """
     n = len(tokens)
     size = np.array([len(t) for t in tokens])
     meets = _meet(n, [k[h == home] for h, k in zip(homes, keys, strict=True)], left, right)
     before = _meet(n, [k[h < home] for h, k in zip(homes, keys, strict=True)], left, right)
     open_ = (meets > 0) & (before == 0) & (left[:, None] != right[None, :])
+    if ball is not None:
+        open_ &= (ball[left][:, None] < 0) | (ball[left][:, None] != ball[right][None, :])
     # |a & b| <= min(|a|, |b|), so sizes too far apart can't be similar.
     small, large = np.minimum(size[left][:, None], size[right][None, :]), np.maximum(size[left][:, None], size[right][None, :])
     open_ &= small >= similarity * large - 1e-9
@@ -257,7 +266,7 @@ def _meet(n: int, values: list[np.ndarray], left: np.ndarray, right: np.ndarray,
 
 
 def _brute_force(rows: DataFrame, similarity: float) -> DataFrame:
-    """node, links, leader. rows: home, i, j, side, node, weight, tokens, homes, keys in order of (home, i, j) within a partition."""
+    """node, links, leader. rows: home, i, j, side, node, weight, tokens, homes, keys, ball in order of (home, i, j) within a partition."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, at, out = [], None, []
@@ -269,7 +278,10 @@ def _brute_force(rows: DataFrame, similarity: float) -> DataFrame:
             homes, keys = ([np.array(g[c], np.int64) for g in group] for c in (7, 8))
             side = np.array([g[3] for g in group])
             left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if i == j else 1))
-            links, leader = compare(tokens, homes, keys, weight, home, left, left if i == j else right, similarity)
+            # Balls are named by nodes, which may be any number: here by their place in the group.
+            names: dict = {None: -1}
+            ball = np.array([names.setdefault(g[9], len(names)) for g in group])
+            links, leader = compare(tokens, homes, keys, weight, home, left, left if i == j else right, similarity, ball)
             out.extend((nodes[x], int(links[x]), nodes[leader[x]]) for x in np.flatnonzero(links).tolist())
 
         def block() -> pa.RecordBatch:
@@ -293,6 +305,32 @@ def _brute_force(rows: DataFrame, similarity: float) -> DataFrame:
     return rows.mapInArrow(each, "node long, links long, leader long")
 
 
+def balls(at: DataFrame, tokens: DataFrame, similarity: float, block: int) -> DataFrame:
+    """node, ball: the members of homes of more than block sets that lie within half the allowed distance of the home's own set; in the smallest such home. at: home, node."""
+    big = at.groupBy("home").agg(F.count("*").alias("n")).filter(F.col("n") > block).withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
+    members = at.join(big, "home").select("home", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("what"), "node")
+    centres = big.select("home", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("what"), F.col("home").alias("node"))
+    rows = centres.unionByName(members).join(tokens, "node").select("home", "part", "what", "node", "tokens")
+    least = 1 - (1 - similarity) / 2
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_, centre = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            out = []
+            for home, part, what, node, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.frombuffer(raw, np.uint64)
+                if what == 0:
+                    at_, centre = (home, part), own
+                elif (home, part) == at_:
+                    both = len(np.intersect1d(own, centre, assume_unique=True))
+                    if both >= least * (len(own) + len(centre) - both):
+                        out.append((node, home))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(2)], ["node", "ball"])
+
+    found = rows.repartition("home", "part").sortWithinPartitions("home", "part", "what").mapInArrow(each, "node long, ball long")
+    return found.groupBy("node").agg(F.min("ball").alias("ball"))
+
+
 def components(edges: DataFrame, most: int = 50) -> DataFrame:
     """node, root (the smallest node of its component), by large-star and small-star rounds. edges: node, leader."""
     e = stored(edges.filter(F.col("node") != F.col("leader")).select(F.greatest("node", "leader").alias("u"), F.least("node", "leader").alias("v")).distinct(), "components")
@@ -329,13 +367,22 @@ def jaccard_classes(docs: DataFrame, similarity: float = 0.8, target_recall: flo
     placed = stored(members.join(home, "key"), "join-homes")
     known = placed.groupBy("node").agg(F.collect_list("home").alias("homes"), F.collect_list("key").alias("keys"))
     at = placed.select("home", "node").distinct()
-    blocks = at.groupBy("home").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    at = at.join(blocks, "home").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # Each block meets itself and every other one once.
-    other = F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))
-    at = at.withColumn("other", other).select("home", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    rows = at.join(tokens.join(known, "node").join(sets.select("node", "weight"), "node"), "node").select("home", "i", "j", "side", "node", "weight", "tokens", "homes", "keys")
+    ball = stored(balls(at, tokens, similarity, block), "join-balls")
+    at = at.join(ball, "node", "left")
+    # Each home's members are dealt to blocks, those of a ball apart from the others; blocks are numbered along the home.
+    parts = at.groupBy("home", "ball").agg(F.ceil(F.count("*") / block).cast("int").alias("own_blocks"))
+    along = Window.partitionBy("home").orderBy(F.col("ball").isNotNull(), "ball")
+    parts = parts.withColumn("upto", F.sum("own_blocks").over(along)).withColumn("blocks", F.sum("own_blocks").over(Window.partitionBy("home")))
+    parts = parts.select("home", F.col("ball").alias("of"), "own_blocks", (F.col("upto") - F.col("own_blocks")).cast("int").alias("first_block"), F.col("blocks").cast("int").alias("blocks"))
+    at = at.join(parts.withColumnRenamed("home", "h"), (F.col("home") == F.col("h")) & F.col("ball").eqNullSafe(F.col("of"))).withColumn("own", (F.col("first_block") + F.pmod(F.xxhash64("node"), F.col("own_blocks"))).cast("int"))
+    # Each block meets itself and every other one once, but for those of its own ball.
+    other = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.col("ball").isNull() | (o < F.col("first_block")) | (o >= F.col("first_block") + F.col("own_blocks")))
+    at = at.withColumn("other", F.explode(other)).select("home", "node", "ball", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    rows = at.join(tokens.join(known, "node").join(sets.select("node", "weight"), "node"), "node").select("home", "i", "j", "side", "node", "weight", "tokens", "homes", "keys", "ball")
     found = stored(_brute_force(rows.repartition("home", "i", "j").sortWithinPartitions("home", "i", "j", "node"), similarity), "join-links")
+    inside = ball.join(sets.select("node", "weight"), "node")
+    inside = inside.join(inside.groupBy("ball").agg(F.sum("weight").alias("all")), "ball").select("node", (F.col("all") - F.col("weight")).alias("links"), F.col("ball").alias("leader"))
+    found = found.unionByName(inside)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select("node", "leader"))
     named = sets.select("a", "b", "node", "least_id", "weight").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -342,6 +342,39 @@ def test_jaccard_with_large_groups(spark):
     assert counted(got) == slow_classes(rows)
 
 
+def test_jaccard_balls(spark):
+    """Groups of long near copies, which lie in balls, others at the limit of similarity, and two groups that are near each other."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for at in rng.choice(400, 1 if i < 70 else int(rng.integers(2, 9)), replace=False):
+            words[at] = f"edit{i}x{at}"
+        rows.append((i, " ".join(words)))
+    other = [*base[:360], *[f"o{i}" for i in range(40)]]
+    for i in range(60):
+        words = list(other)
+        words[int(rng.integers(0, 400))] = f"else{i}"
+        rows.append((200 + i, " ".join(words)))
+    rows += [(300, rows[0][1]), (301, rows[130][1]), (302, rows[130][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    node_ball = []
+    made = jaccard_join.balls
+
+    def seen(*args):
+        node_ball.append(made(*args))
+        return node_ball[-1]
+
+    jaccard_join.balls = seen
+    try:
+        got = jaccard_join.jaccard_classes(docs, limit=8, block=16).select("doc_id", "class_id", "n_links").collect()
+    finally:
+        jaccard_join.balls = made
+    assert counted(got) == slow_classes(rows)
+    assert node_ball[0].count() > 100
+
+
 # 4: suffixes
 
 
