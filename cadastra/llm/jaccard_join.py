@@ -45,6 +45,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,18 +150,31 @@ def _known(docs: DataFrame) -> DataFrame:
 
 
 def _token_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, tokens (sorted 64-bit numbers) of the nodes."""
+    """node, tokens (sorted 64-bit numbers) of the nodes. Texts are compressed before they are shuffled."""
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for part in slices(batch, "text"):
-                row, token = shingle_sets(part.column("text"))
-                cut = np.searchsorted(row, np.arange(part.num_rows + 1))
-                sets = [token[cut[i] : cut[i + 1]].tobytes() for i in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], ["node", "tokens"])
+                data, offsets = text_bytes(part.column("text"))
+                view = memoryview(np.ascontiguousarray(data))
+                cut = offsets.tolist()
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([squeeze.compress(view[a:b]) for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], ["node", "packed"])
 
-    rows = _known(docs).select("node", "text").join(nodes, "node").dropDuplicates(["node"])
-    return rows.select("node", "text").mapInArrow(each, "node long, tokens binary")
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                rows = batch.slice(at, 200)
+                text = pa.array([zstandard.decompress(z) if z else b"" for z in rows.column("packed").to_pylist()], pa.binary()).cast(pa.string())
+                for part in slices(pa.RecordBatch.from_arrays([rows.column("node"), text], ["node", "text"]), "text"):
+                    row, token = shingle_sets(part.column("text"))
+                    cut = np.searchsorted(row, np.arange(part.num_rows + 1))
+                    sets = [token[cut[i] : cut[i + 1]].tobytes() for i in range(part.num_rows)]
+                    yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], ["node", "tokens"])
+
+    packed = _known(docs).select("node", "text").mapInArrow(squeezed, "node long, packed binary")
+    rows = packed.join(nodes, "node").dropDuplicates(["node"])
+    return rows.mapInArrow(each, "node long, tokens binary")
 
 
 def _split(sets: DataFrame, hot: DataFrame, similarity: float, n_runs: int) -> DataFrame:
