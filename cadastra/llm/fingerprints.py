@@ -6,13 +6,20 @@ alone, so two texts that share a passage share its anchors, wherever it stands
 and whatever is around it; anchors() returns them with their positions.
 
 A fingerprint keeps, for each of 64 ranges of anchor hashes, 16 bits of the
-smallest: 256 hexadecimal digits, "----" for a range without an anchor. The
-likeness of two is the share of equal ranges among those that either one fills;
-1 for two fingerprints without any anchor, so for two empty texts.
+smallest and the byte where that anchor first stands: 12 hexadecimal digits a
+range, dashes for a range without an anchor. Two fingerprints are matched by
+position: an anchor that both have counts if it stands at the same place in
+both, or if another common anchor lies as far from its own place, by 64 bytes at
+most. So a passage counts wherever it was moved to, and anchors that agree by
+chance don't. The likeness is the share of ranges that count among those that
+either one fills; 1 for two fingerprints without any anchor, so for two empty
+texts.
 
 Null counts as empty. A text without an anchor, such as one shorter than k, is
 one anchor as a whole. Rows with the same id come in order of their texts, null
-ids last. An empty table gives an empty result; other columns aren't read.
+ids last; of an anchor's places the first counts. A text of any length is read
+whole and held as a whole. An empty table gives an empty result; columns other
+than doc_id and text are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -65,28 +72,40 @@ def syncmers(data: np.ndarray, offsets: np.ndarray, k: int = K, s: int = S) -> t
 
 
 def sketches(data: np.ndarray, offsets: np.ndarray, k: int = K, s: int = S) -> np.ndarray:
-    """The fingerprints as a matrix of numbers; 65536 in a range without an anchor."""
+    """The fingerprints: (texts, BINS, 2) numbers, an anchor's 16 bits and its place; 65536 and 0 in a range without an anchor."""
     n = len(offsets) - 1
-    row, _, value = syncmers(data, offsets, k, s)
+    row, at, value = syncmers(data, offsets, k, s)
     value = mix64(value)
     least = np.full(n * BINS, _NONE, np.uint64)
-    np.minimum.at(least, row * BINS + (value >> np.uint64(58)).astype(np.int64), value)
-    return np.where(least == _NONE, 1 << 16, (mix64(least) >> np.uint64(48)).astype(np.int64)).reshape(n, BINS)
+    own = row * BINS + (value >> np.uint64(58)).astype(np.int64)
+    np.minimum.at(least, own, value)
+    hit = np.flatnonzero(value == least[own])
+    place = np.full(n * BINS, 1 << 32, np.int64)
+    np.minimum.at(place, own[hit], at[hit] - offsets[row[hit]])
+    none = least == _NONE
+    return np.stack([np.where(none, 1 << 16, (mix64(least) >> np.uint64(48)).astype(np.int64)), np.where(none, 0, place)], 1).reshape(n, BINS, 2)
 
 
 def as_text(sketch: np.ndarray) -> list[str]:
-    digits = sketch.astype(">u2").tobytes().hex()
-    wide = BINS * 4
+    wide = BINS * 12
+    digits = np.concatenate([sketch[:, :, :1].astype(">u2").view(np.uint8), sketch[:, :, 1:].astype(">u4").view(np.uint8)], 2).tobytes().hex()
     out = [digits[i * wide : (i + 1) * wide] for i in range(len(sketch))]
-    for i in np.flatnonzero((sketch == 1 << 16).any(1)).tolist():
-        out[i] = "".join("----" if v == 1 << 16 else f"{v:04x}" for v in sketch[i].tolist())
+    for i in np.flatnonzero((sketch[:, :, 0] == 1 << 16).any(1)).tolist():
+        out[i] = "".join("-" * 12 if v == 1 << 16 else out[i][12 * j : 12 * j + 12] for j, v in enumerate(sketch[i, :, 0].tolist()))
     return out
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    some = (a != 1 << 16) | (b != 1 << 16)
+def likeness(a: np.ndarray, b: np.ndarray, slack: int = 64) -> np.ndarray:
+    some = (a[:, :, 0] != 1 << 16) | (b[:, :, 0] != 1 << 16)
     total = some.sum(1)
-    return np.where(total == 0, 1.0, ((a == b) & some).sum(1) / np.maximum(total, 1))
+    # What isn't common lies apart from all else.
+    apart = (1 << 40) + np.arange(BINS) * (1 << 34)
+    way = np.sort(np.where((a[:, :, 0] == b[:, :, 0]) & some, a[:, :, 1] - b[:, :, 1], apart), 1)
+    close = np.diff(way, axis=1) <= slack
+    beside = np.zeros(way.shape, bool)
+    beside[:, 1:] |= close
+    beside[:, :-1] |= close
+    return np.where(total == 0, 1.0, (beside | (way == 0)).sum(1) / np.maximum(total, 1))
 
 
 def anchors(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:

@@ -189,6 +189,22 @@ def test_syncmers_against_brute_force():
     assert at[row == 0].tolist() == want and (at[row == 1] - len(raw)).tolist() == want
 
 
+def test_anchors_are_matched_by_position():
+    rng = np.random.default_rng(6)
+    text = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes().decode()
+    passage, a, b = text(3000), text(1000), text(1000)
+    sketch = lambda *ts: fingerprints.sketches(*fingerprints.text_bytes(pa.array(ts)))
+    like = lambda x, y: float(fingerprints.likeness(sketch(x), sketch(y))[0])
+    assert like(passage, passage) == 1 and like("", "") == 1 and like("", passage) == 0 and like("short", "short") == 1
+    assert like(a + passage, passage + b) > 0.4  # moved, as a whole
+    # Common anchors whose places fit no other's don't count.
+    one = sketch(passage)
+    spread = one.copy()
+    spread[:, :, 1] = np.arange(fingerprints.BINS) * 10_000 + 5
+    assert fingerprints.likeness(one, spread)[0] == 0 and fingerprints.likeness(one, one + [0, 700])[0] == 1
+    assert len(fingerprints.as_text(one)[0]) == 12 * fingerprints.BINS and fingerprints.as_text(sketch(""))[0] == "-" * 12 * fingerprints.BINS
+
+
 def test_fingerprints(spark, docs):
     one = docs.dropDuplicates(["doc_id"])
     texts = {r[0]: r[1] or "" for r in one.select("doc_id", "text").collect()}
