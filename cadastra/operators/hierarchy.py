@@ -47,15 +47,20 @@ def _walk(edges: DataFrame) -> DataFrame:
     return found
 
 
+def inner_ancestors(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The ancestors of all that have members themselves, and the edges of those that have none."""
+    parents = edges.select("year", F.col("parent_id").alias("child_id")).distinct()
+    inner = edges.join(parents, ["year", "child_id"], "left_semi").select(*edges.columns)
+    return stored(_walk(inner), "ancestors-inner"), edges.join(parents, ["year", "child_id"], "left_anti").select(*edges.columns)
+
+
 def ancestors(edges: DataFrame) -> DataFrame:
     """year, id, ancestor, depth, path: nearest first by (depth, path), the order of a breadth-first search.
 
     path holds the positions of the parents on the way; a cycle ends at a place already seen.
     """
-    parents = edges.select("year", F.col("parent_id").alias("child_id")).distinct()
-    inner = edges.join(parents, ["year", "child_id"], "left_semi").select(*edges.columns)
-    walked = stored(_walk(inner), "ancestors-inner")
-    leaves = edges.join(parents, ["year", "child_id"], "left_anti").select("year", F.col("child_id").alias("id"), F.col("parent_id").alias("ancestor"), F.lit(1).alias("depth"), F.array("pos").alias("path"))
+    walked, outer = inner_ancestors(edges)
+    leaves = outer.select("year", F.col("child_id").alias("id"), F.col("parent_id").alias("ancestor"), F.lit(1).alias("depth"), F.array("pos").alias("path"))
     above = leaves.select("year", F.col("id").alias("leaf"), F.col("ancestor").alias("id"), F.col("path").alias("own"))
     above = above.join(walked, ["year", "id"]).select("year", F.col("leaf").alias("id"), "ancestor", (F.col("depth") + 1).alias("depth"), F.concat("own", "path").alias("path"))
     first = leaves.unionByName(above).groupBy("year", "id", "ancestor").agg(F.min(F.struct("depth", "path")).alias("k"))

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadastra.functions.temporal import is_active, share_value, years_of
+from cadastra.operators.hierarchy import inner_ancestors
+from cadastra.operators.shared import stored
 
 KEY = ["year", "place_id", "right_type"]
 HOLDING = ("held", "pledged")
@@ -86,10 +88,34 @@ def resolved(force: DataFrame, ancestors: DataFrame, places: DataFrame) -> DataF
     ancestors: year, id, ancestor, depth, path. Adds inherited_from (null for own rows).
     """
     have = force.select(*KEY).distinct()
-    own = force.join(places.select(F.col("id").alias("place_id")), "place_id", "left_semi").select(*force.columns).withColumn("inherited_from", F.lit(None).cast("string"))
-    wanted = ancestors.join(places.select("id"), "id", "left_semi")
-    near = wanted.join(have.withColumnRenamed("place_id", "ancestor"), ["year", "ancestor"])
+    near = ancestors.join(places.select("id"), "id", "left_semi").join(have.withColumnRenamed("place_id", "ancestor"), ["year", "ancestor"])
     nearest = near.groupBy("year", "id", "right_type").agg(F.min(F.struct("depth", "path", "ancestor"))["ancestor"].alias("ancestor"))
+    return _with_inherited(force, nearest, have, places)
+
+
+def resolved_by_edges(force: DataFrame, edges: DataFrame, places: DataFrame) -> DataFrame:
+    """As resolved(), from the memberships in force (year, child_id, parent_id, pos).
+
+    The nearest that has a right is found once for each place with members; what has none takes it from its own
+    parents. So rows are of a place and its parents, never of a place and all above it.
+    """
+    have = force.select(*KEY).distinct()
+    walked, outer = inner_ancestors(edges)
+    inner = walked.join(have.withColumnRenamed("place_id", "ancestor"), ["year", "ancestor"])
+    inner = stored(inner.groupBy("year", "id", "right_type").agg(F.min(F.struct("depth", "path", "ancestor")).alias("k")), "nearest")
+    # A parent that has the right itself is nearer than anything above it.
+    itself = have.join(outer.select("year", F.col("parent_id").alias("place_id")).distinct(), ["year", "place_id"], "left_semi")
+    at = itself.select("year", F.col("place_id").alias("parent_id"), "right_type", F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path"), F.col("place_id").alias("ancestor"))
+    above = inner.select("year", F.col("id").alias("parent_id"), "right_type", "k.*").join(itself.withColumnRenamed("place_id", "parent_id"), ["year", "parent_id", "right_type"], "left_anti")
+    given = outer.join(at.unionByName(above.select(*at.columns)), ["year", "parent_id"])
+    order = F.struct((F.col("depth") + 1).alias("depth"), F.concat(F.array("pos"), "path").alias("path"), "ancestor")
+    leaves = given.groupBy("year", F.col("child_id").alias("id"), "right_type").agg(F.min(order).alias("k"))
+    nearest = inner.unionByName(leaves).select("year", "id", "right_type", "k.ancestor").join(places.select("id"), "id", "left_semi")
+    return _with_inherited(force, nearest, have, places)
+
+
+def _with_inherited(force: DataFrame, nearest: DataFrame, have: DataFrame, places: DataFrame) -> DataFrame:
+    own = force.join(places.select(F.col("id").alias("place_id")), "place_id", "left_semi").select(*force.columns).withColumn("inherited_from", F.lit(None).cast("string"))
     nearest = nearest.withColumnRenamed("id", "place_id").join(have, KEY, "left_anti")
     above = force.withColumnRenamed("place_id", "ancestor").join(nearest, ["year", "right_type", "ancestor"])
     return own.unionByName(above.withColumnRenamed("ancestor", "inherited_from").select(*own.columns))

@@ -111,7 +111,7 @@ def contested_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _resolved(spark, sf_dir, first, last):
     ds = from_tables(spark, sf_dir)
     rights = ds.rights.filter(F.col("right_type") == RIGHT)
-    return ds, snap.resolved(snap.snapshot_years(rights, first, last), tree.ancestors(tree.edges_by_year(ds.memberships, first, last)), ds.places)
+    return ds, snap.resolved_by_edges(snap.snapshot_years(rights, first, last), tree.edges_by_year(ds.memberships, first, last), ds.places)
 
 
 @query(_sql(VIEWS, ONE_YEAR, ONE_RIGHT, FORCE, EDGES, CLOSURE, RANKS, RESOLVED, SUMMARY, "SELECT * FROM summary"))

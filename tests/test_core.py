@@ -60,6 +60,11 @@ def test_inheritance_is_from_the_nearest_ancestor_that_has_the_right(spark, memb
         above = hierarchy.ancestors(hierarchy.year_edges(memberships, year))
         got = snapshot.resolved(snapshot.snapshot(rows, year), above, places).collect()
         assert {(r.right_type, r.holder_id, r.inherited_from) for r in got} == want
+        both = places.unionByName(spark.createDataFrame([("prevote",)], "id string"))
+        by_edges = snapshot.resolved_by_edges(snapshot.snapshot(rows, year), hierarchy.year_edges(memberships, year), both)
+        old = snapshot.resolved(snapshot.snapshot(rows, year), above, both)
+        key = lambda frame: sorted((r.place_id, r.right_type, r.seq, r.inherited_from or "") for r in frame.collect())
+        assert key(by_edges) == key(old) and len(key(old)) > 2
 
 
 def test_ancestors_come_breadth_first_and_cycles_end(spark, memberships):
