@@ -13,7 +13,9 @@ The labelled texts are a sample of at most about max_labelled rows, drawn by a
 hash of the id, so the broadcast has a fixed size. Null quality is no label;
 several labels of one id count as their mean. Null texts are empty texts, and
 those have a form as others do. Without labels every score is 0.5. Rows are
-judged one by one: repeated rows agree; an empty table gives an empty result.
+judged one by one: repeated rows agree; an empty table gives an empty result. A
+text of any length is read whole and held as a whole. Columns of documents other
+than doc_id and text are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -122,15 +124,15 @@ def fit(x: np.ndarray, quality: np.ndarray, latent: int = 48) -> Model:
 
 
 def vote(model: Model, x: np.ndarray, k: int = 25, sharp: float = 20.0, block: int = 512) -> np.ndarray:
-    """Scores of texts from their k nearest labelled ones."""
+    """Scores of texts from their k nearest labelled ones; all that are as near as the last of them vote too."""
     z = _weighted(x, model.weight) @ model.axes
     z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
     k, out = min(k, len(model.quality)), np.zeros(len(z))
     for at in range(0, len(z), block):
         near = z[at : at + block] @ model.vectors.T
-        top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        w = np.maximum(np.take_along_axis(near, top, 1), 1e-6) ** sharp
-        out[at : at + block] = (w * model.quality[top]).sum(1) / np.maximum(w.sum(1), 1e-300)
+        row, own = np.nonzero(near >= np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k, None])
+        w = np.maximum(near[row, own], 1e-6).astype(np.float64) ** sharp
+        out[at : at + block] = np.bincount(row, w * model.quality[own], minlength=len(near)) / np.maximum(np.bincount(row, w, minlength=len(near)), 1e-300)
     return np.clip(out, 0, 1)
 
 

@@ -3,7 +3,15 @@
 language_id drops rows that aren't in a learned language; exact_dedup keeps one
 of the rows with equal text, jaccard_join one of each class of near duplicates;
 mixing repeats or drops rows to meet the sources' targets; sentencepiece
-encodes what is left. All but the last return the columns of their input.
+encodes what is left. All but the last return the columns of their input, also
+those with names that an operator uses itself.
+
+Null, empty and letterless texts go in the first stage, as no language is seen
+in them. A null id, lang or source is a value like others: a row without an id
+is known by its text. Of rows tied in a dedup stage one stays, by the rules of
+that operator, and of rows that are the same in all columns one. Texts of any
+length are whole throughout. Without any labelled language the first stage keeps
+nothing, and a stage of an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -672,6 +672,32 @@ def test_quality(spark, docs):
     assert {r["score"] for r in quality.judge(junk, quality.train(junk, labels.limit(0))).collect()} == {0.5}
 
 
+def test_ties_all_vote():
+    model = quality.fit(np.eye(6, quality.DIMS, dtype=np.float32), np.array([1, 1, 0, 1, 0, 0], float), latent=4)
+    model.vectors[:] = model.vectors[0]  # all alike: with k = 1 all six vote
+    assert abs(quality.vote(model, np.eye(1, quality.DIMS, dtype=np.float32), k=1)[0] - 0.5) < 1e-6
+
+
+def test_very_long_texts(spark):
+    """One text of 3 MB, beyond the size of what is worked on at a time, goes through every operator whole."""
+    rng = np.random.default_rng(3)
+    words = np.array("the and of that with this from there which about people would could water under".split())
+    long = " ".join(rng.choice(words, 600_000))
+    docs = spark.createDataFrame([(1, long, "en", "a", len(long)), (2, long + " end", "en", "b", len(long) + 4), (3, "der und nicht mit einer auch werden durch", "de", "a", 40), (4, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert len(long) > 3 << 20
+    by = lambda frame: {r["doc_id"]: r for r in frame.collect()}
+    assert by(language_id.identify_held_out(docs))[1]["n_words"] == 600_000
+    assert by(jaccard_join.jaccard_classes(docs))[2]["class_id"] == 1
+    assert by(suffix_dedup.remove_repeats(docs))[2]["n_removed"] >= len(long)
+    assert by(mixing.mix(docs))[1]["size"] == 600_000
+    assert by(fingerprints.fingerprint_edits(docs))[1]["n_chars"] == len(long)
+    assert by(exact_dedup.exact_dedup(docs))[1]["text_sha256"] == hashlib.sha256(long.replace(" ", "").encode()).hexdigest()
+    samples = sentencepiece_sampling.encode_samples(docs).filter("doc_id = 1").collect()
+    assert len(samples) == 2 and all(r["lossless"] for r in samples)
+    counted_words = lm_scoring.count_words(docs)
+    assert by(lm_scoring.score(docs, counted_words, lm_scoring.Network(classes=len(counted_words.whole))))[1]["n_tokens"] == 600_000
+
+
 def test_vote_is_exact():
     rng = np.random.default_rng(1)
     x = np.abs(rng.standard_normal((50, quality.DIMS))).astype(np.float32)

@@ -24,6 +24,16 @@ def test_stages(spark, tmp_path):
     assert {r["doc_id"] for r in got.select("doc_id").distinct().collect()} == {r["doc_id"] for r in kept.collect()}
 
 
+def test_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    corpus.empty(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, corpus.empty(spark), str(tmp_path))
+        assert out.columns == corpus.COLUMNS and out.count() == 0, name
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
