@@ -112,7 +112,7 @@ def _chained(rows: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
     return merged.take(pa.array(keep)), chain
 
 
-def build_index(docs: DataFrame, capacity: int = 4096) -> tuple[DataFrame, DataFrame]:
+def build_index(docs: DataFrame, capacity: int = 1024) -> tuple[DataFrame, DataFrame]:
     """The rows' metadata and the index's entries, both on shared files.
 
     rows: doc_id, n_chars, key, sha. entries: bucket (its bits), depth, key, chain, sha, keep_id, best_chars, group_size.
@@ -183,7 +183,7 @@ def build_index(docs: DataFrame, capacity: int = 4096) -> tuple[DataFrame, DataF
     return meta, stored(dealt.mapInArrow(own, _INDEX), "dedup-index")
 
 
-def exact_dedup(docs: DataFrame, capacity: int = 4096) -> DataFrame:
+def exact_dedup(docs: DataFrame, capacity: int = 1024) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row, dropped ones too."""
     meta, entries = build_index(docs, capacity)
     found = meta.join(entries.select("key", "sha", "keep_id", "best_chars", "group_size"), ["key", "sha"])
