@@ -8,20 +8,36 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where the session names none, as in tests."""
+    """spark.checkpoint.dir; a temporary folder only where a local session names none, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get("dir")
     if not folder:
-        if not spark.conf.get("spark.master", "local").startswith("local["):
+        if not spark.conf.get("spark.master", "local").startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         folder = _OWN["dir"] = tempfile.mkdtemp(prefix="shared-")
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, for forget() to know."""
+    _WRITTEN.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """df written to the shared folder and read back: lost executors cost no recomputation of what lies before."""
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> int:
+    """Deletes what this process has stored so far; the number of tables. For when the results that need them are written."""
+    done = 0
+    while _WRITTEN:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        done += place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return done

@@ -149,6 +149,18 @@ def test_walks_have_no_depth_limit(spark):
     assert {r.id: r.level for r in hierarchy.levels(edges, places, "p20").collect()}["p0"] == 20
 
 
+def test_stored_tables_can_be_forgotten(spark):
+    from cadastra.operators import shared
+
+    table = shared.stored(spark.range(5).toDF("x"), "small")
+    assert table.count() == 5
+    path = shared._WRITTEN[-1]
+    before = list(shared._WRITTEN)
+    shared._WRITTEN[:] = [path]  # others are still in use
+    assert shared.forget(spark) == 1 and not os.path.exists(path)
+    shared._WRITTEN[:] = before[:-1]
+
+
 def test_alias_chains():
     assert curate.canonical({"a": "b", "b": "c", "x": "y", "y": "x"})["a"] == "c"
 
