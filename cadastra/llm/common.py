@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,31 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadastra.operators.shared import new_path, stored  # noqa: F401  # the operators' own
+
 #: ASCII white space as the contracts name it.
 WHITE = r"[\x20\x09-\x0D]"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share (spark.checkpoint.dir); a temporary one of this machine only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get("dir")
-    if not folder:
-        if not spark.conf.get("spark.master", "local").startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        folder = _OWN["dir"] = tempfile.mkdtemp(prefix="shared-")
-    return folder.rstrip("/")
-
-
-_OWN: dict[str, str] = {}
-
-
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """df, written to the shared folder and read back: lost executors cost no recomputation of what lies before."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

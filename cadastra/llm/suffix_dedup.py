@@ -51,7 +51,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadastra.llm.common import Rolling, mix64, shared_dir, slices, stored, text_bytes
+from cadastra.llm.common import Rolling, mix64, new_path, slices, stored, text_bytes
 from cadastra.llm.fingerprints import sliding_min
 
 LENGTH, ANCHOR = 50, 24
@@ -131,7 +131,7 @@ def pieces(docs: DataFrame, buckets: int, piece_bytes: int = _PIECE) -> DataFram
     text = F.coalesce("text", F.lit(""))
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.spark_partition_id().cast("long").alias("part")).mapInArrow(each, _BLOB)
     spark, name = docs.sparkSession, f"suffix_pieces_{uuid.uuid4().hex}"
-    made.write.bucketBy(buckets, "piece").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    made.write.bucketBy(buckets, "piece").option("path", new_path(spark, "suffix-pieces")).saveAsTable(name)
     out = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # only the name: the files are the shared folder's
     return out
