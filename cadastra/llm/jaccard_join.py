@@ -320,8 +320,8 @@ def _brute_force(rows: DataFrame, similarity: float) -> DataFrame:
 
 
 def balls(at: DataFrame, tokens: DataFrame, similarity: float, block: int) -> DataFrame:
-    """node, ball: the members of homes of more than block sets that lie within half the allowed distance of the home's own set; in the smallest such home. at: home, node."""
-    big = at.groupBy("home").agg(F.count("*").alias("n")).filter(F.col("n") > block).withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
+    """node, ball: the members of homes that lie within half the allowed distance of the home's own set; in the smallest such home. at: home, node."""
+    big = at.groupBy("home").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     members = at.join(big, "home").select("home", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("what"), "node")
     centres = big.select("home", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("what"), F.col("home").alias("node"))
     rows = centres.unionByName(members).join(tokens, "node").select("home", "part", "what", "node", "tokens")
@@ -380,10 +380,14 @@ def jaccard_classes(docs: DataFrame, similarity: float = 0.8, target_recall: flo
     home = members.groupBy("key").agg(F.min("node").alias("home"))
     placed = stored(members.join(home, "key"), "join-homes")
     known = placed.groupBy("node").agg(F.collect_list("home").alias("homes"), F.collect_list("key").alias("keys"))
-    at = placed.select("home", "node").distinct()
-    ball = stored(balls(at, tokens, similarity, block), "join-balls")
-    at = at.join(ball, "node", "left")
-    # Each home's members are dealt to blocks, those of a ball apart from the others; blocks are numbered along the home.
+    at = stored(placed.select("home", "node").distinct(), "join-members")
+    # Most homes are one block. Only the members of larger ones are counted, dealt and compared block by block.
+    large = stored(at.groupBy("home").agg(F.count("*").alias("n")).filter(F.col("n") > block).select("home"), "join-large")
+    small = at.join(large, "home", "left_anti").select("home", "node", F.lit(None).cast("long").alias("ball"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))
+    in_large = stored(at.join(large, "home", "left_semi"), "join-in-large")
+    ball = stored(balls(in_large, tokens, similarity, block), "join-balls")
+    at = in_large.join(ball, "node", "left")
+    # A home's members are dealt to blocks, those of a ball apart from the others; blocks are numbered along the home.
     parts = at.groupBy("home", "ball").agg(F.ceil(F.count("*") / block).cast("int").alias("own_blocks"))
     along = Window.partitionBy("home").orderBy(F.col("ball").isNotNull(), "ball")
     parts = parts.withColumn("upto", F.sum("own_blocks").over(along)).withColumn("blocks", F.sum("own_blocks").over(Window.partitionBy("home")))
@@ -392,6 +396,7 @@ def jaccard_classes(docs: DataFrame, similarity: float = 0.8, target_recall: flo
     # Each block meets itself and every other one once, but for those of its own ball.
     other = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.col("ball").isNull() | (o < F.col("first_block")) | (o >= F.col("first_block") + F.col("own_blocks")))
     at = at.withColumn("other", F.explode(other)).select("home", "node", "ball", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    at = small.unionByName(at)
     rows = at.join(tokens.join(known, "node").join(sets.select("node", "weight"), "node"), "node").select("home", "i", "j", "side", "node", "weight", "tokens", "homes", "keys", "ball")
     found = stored(_brute_force(rows.repartition("home", "i", "j").sortWithinPartitions("home", "i", "j", "node"), similarity), "join-links")
     inside = ball.join(sets.select("node", "weight"), "node")
