@@ -65,3 +65,23 @@ def clip_to_nearest(x: float, y: float, others: np.ndarray, radius: float, corne
 def area(shape: np.ndarray) -> float:
     x, y = shape[:, 0], shape[:, 1]
     return 0.5 * abs(float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))))
+
+
+def thinned(points: np.ndarray, tolerance: float) -> np.ndarray:
+    """The points of a line that are needed to stay within tolerance of it: the ends, and wherever a stretch strays farther, its farthest point."""
+    keep = np.zeros(len(points), bool)
+    keep[[0, -1]] = True
+    open_ = [(0, len(points) - 1)]
+    while open_:
+        a, b = open_.pop()
+        if b - a < 2:
+            continue
+        way, own = points[b] - points[a], points[a + 1 : b] - points[a]
+        length = float(way @ way)
+        at = np.clip(own @ way / length, 0, 1) if length else np.zeros(len(own))
+        far = np.linalg.norm(own - at[:, None] * way, axis=1)
+        i = int(far.argmax())
+        if far[i] > tolerance:
+            keep[a + 1 + i] = True
+            open_ += [(a, a + 1 + i), (a + 1 + i, b)]
+    return points[keep]

@@ -157,3 +157,22 @@ def page_map(pages: DataFrame, page_numbers, least_chars: int, start_offset: int
     """book, pdf, printed: numbers fitted to what was read at the pages' feet; a page with few characters counts as one without text."""
     rows = pages.select("book", "pdf", "candidates", (F.col("chars") >= least_chars).alias("has_text"))
     return page_numbers(rows, start_offset)
+
+
+_USAGE = ("input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens")
+
+
+def extraction_records(raw: DataFrame, rates: dict[str, float], discount: float = 0.5) -> DataFrame:
+    """chunk_id, model, batch, the tokens used, cost_usd, failed, text of saved responses (chunk_id, json).
+
+    rates: the price of a million tokens of each kind of _USAGE; a batch costs discount of it. failed names a response
+    that was refused or cut off, which has no text.
+    """
+    usage = ", ".join(f"{u}: bigint" for u in _USAGE)
+    schema = f"request_hash string, batch boolean, seconds double, message struct<model: string, stop_reason: string, usage: struct<{usage}>, content: array<struct<type: string, text: string>>>"
+    r = raw.select("chunk_id", F.from_json("json", schema).alias("r")).select("chunk_id", "r.*")
+    tokens = {u: F.coalesce(F.col(f"message.usage.{u}"), F.lit(0)) for u in _USAGE}
+    cost = sum((tokens[u] * rates.get(u, 0.0) for u in _USAGE), F.lit(0.0)) / 1e6 * F.when(F.col("batch"), discount).otherwise(1.0)
+    failed = F.when(F.col("message.stop_reason").isin("refusal", "max_tokens"), F.col("message.stop_reason"))
+    text = F.get(F.filter("message.content", lambda b: b["type"] == "text"), F.lit(0))["text"]
+    return r.select("chunk_id", F.col("message.model").alias("model"), F.coalesce("batch", F.lit(False)).alias("batch"), *[c.alias(u) for u, c in tokens.items()], F.round(cost, 4).alias("cost_usd"), failed.alias("failed"), F.when(failed.isNull(), text).alias("text"))

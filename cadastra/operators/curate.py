@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadastra.operators.aggregates import CONFIDENCE, keyed_merge
+
 
 def dropped_by(rows: DataFrame, rules: DataFrame, fields: list[str]) -> DataFrame:
     """rows with drop_reason: the first rule (by rule_seq) of which every given field equals the row's, compared as text.
@@ -68,10 +70,6 @@ def dated_by_events(rights: DataFrame, events: DataFrame) -> DataFrame:
     return out.withColumn("to_year", F.coalesce("to_year", "end_year")).withColumn("from_year", F.coalesce("from_year", "start_year")).drop("end_year", "start_year")
 
 
-#: What a merged row keeps of those that go into it: the highest confidence, any dispute, all pages and opponents, the first text there is.
-CONFIDENCE = ("low", "medium", "high")
-
-
 def merge_overlapping(rows: DataFrame, keys: list[str], first: int, last: int, texts: tuple[str, ...] = ()) -> DataFrame:
     """Rows of one key merged where their periods overlap: each goes into the first kept row that it overlaps.
 
@@ -112,8 +110,6 @@ def merge_overlapping(rows: DataFrame, keys: list[str], first: int, last: int, t
 
 def rekeyed(rows: DataFrame, keys: list[str], texts: list[str]) -> DataFrame:
     """Rows that have the same key, after an update, as one: the first one's values, merged as by keyed_merge."""
-    from cadastra.operators.aggregates import keyed_merge
-
     return keyed_merge(rows, keys, texts)
 
 

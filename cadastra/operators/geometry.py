@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadastra.functions.geo import area, clip_to_nearest, km, laea
+from cadastra.functions.geo import area, clip_to_nearest, km, laea, thinned
 from cadastra.operators.aggregates import upper_median
 
 
@@ -31,6 +31,21 @@ def nearest(points: DataFrame, anchors: DataFrame, radius_km: float) -> DataFram
     return within(points, anchors, radius_km).groupBy("id").agg(F.min(F.struct(F.round("km", 9).alias("km"), "anchor")).alias("n")).select("id", "n.anchor", "n.km")
 
 
+def attached(points: DataFrame, sites: DataFrame, radius_km: float = 6.0) -> DataFrame:
+    """id, owner: the cell in which each point falls, which is that of the nearest site, if it lies within the cells' radius. points: id, lat, lon; sites: owner, lat, lon."""
+    return nearest(points, sites.withColumnRenamed("owner", "anchor"), radius_km).select("id", F.col("anchor").alias("owner"))
+
+
+def simplified(rings: DataFrame, tolerance: float, decimals: int = 5) -> DataFrame:
+    """rings with fewer corners: none of those that go lies farther than tolerance from what stays; coordinates rounded. rings: ring (array of points)."""
+
+    @F.pandas_udf("array<array<double>>")
+    def fewer(column: pd.Series) -> pd.Series:
+        return column.map(lambda ring: None if ring is None else np.round(thinned(np.array([np.asarray(p, float) for p in ring]), tolerance), decimals).tolist() if len(ring) else [])
+
+    return rings.withColumn("ring", fewer("ring"))
+
+
 def median_centres(members: DataFrame, least: int = 3) -> DataFrame:
     """The upper median of the coordinates of each territory's members, of at least three. members: territory, lat, lon."""
     by = members.filter("lat is not null").groupBy("territory").agg(F.collect_list("lat").alias("lats"), F.collect_list("lon").alias("lons"))

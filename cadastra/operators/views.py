@@ -38,6 +38,16 @@ def place_panel(force: DataFrame, near: DataFrame, memberships: DataFrame, membe
     return reduce(DataFrame.union, (own, inherited, inside, under))
 
 
+def holder_view(force: DataFrame, changes: DataFrame, rulers: DataFrame, holder: str, first: int, last: int) -> DataFrame:
+    """section, key, n: what a holder's page shows: rights held by type with the number of places, what it gained and lost by year, and its rulers in the span. changes: entity, year, gained, lost; rulers: entity_id, person_name."""
+    own = force.filter(F.col("holder_id") == holder).groupBy("right_type").agg(F.count_distinct("place_id").alias("n")).select(F.lit("rights").alias("section"), F.col("right_type").alias("key"), F.col("n").cast("long").alias("n"))
+    moved = changes.filter((F.col("entity") == holder) & F.col("year").between(first, last))
+    gained = moved.filter("gained > 0").select(F.lit("gained"), F.col("year").cast("string"), F.col("gained").cast("long"))
+    lost = moved.filter("lost > 0").select(F.lit("lost"), F.col("year").cast("string"), F.col("lost").cast("long"))
+    who = rulers_in_span(rulers.filter(F.col("entity_id") == holder), first, last).groupBy("person_name").agg(F.count("*").alias("n")).select(F.lit("rulers"), "person_name", F.col("n").cast("long"))
+    return reduce(DataFrame.union, (own, gained, lost, who))
+
+
 def rulers_in_span(rulers: DataFrame, first: int, last: int) -> DataFrame:
     """Rulers of whom any year lies in first..last."""
     return rulers.filter((F.coalesce("from_year", F.lit(-9999)) <= last) & (F.coalesce("to_year", F.lit(9999)) >= first))

@@ -110,6 +110,15 @@ def section_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.jobs(sections, lambda text, page: textflow.chunks(text, page), [F.lit("v1")]).drop("text")
 
 
+@query("""SELECT o_orderkey AS chunk_id, CASE WHEN o_orderkey % 7 = 0 THEN 'max_tokens' END AS failed, round((o_orderkey * 3.0::double + o_custkey * 15.0::double) / 1e6 * CASE WHEN o_orderkey % 2 = 0 THEN 0.5 ELSE 1 END, 4) AS cost_usd, o_orderkey AS input_tokens, CASE WHEN o_orderkey % 7 <> 0 THEN 'facts' END AS text FROM orders""")
+def extraction_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    block = lambda kind, text: F.struct(F.lit(kind).alias("type"), F.lit(text).alias("text"))
+    message = F.struct(F.lit("m").alias("model"), F.when(k % 7 == 0, "max_tokens").otherwise("end_turn").alias("stop_reason"), F.struct(k.alias("input_tokens"), F.col("o_custkey").alias("output_tokens")).alias("usage"), F.array(block("thinking", "hm"), block("text", "facts")).alias("content"))
+    raw = spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("chunk_id"), F.to_json(F.struct((k % 2 == 0).alias("batch"), message.alias("message"))).alias("json"))
+    return book.extraction_records(raw, {"input_tokens": 3.0, "output_tokens": 15.0}).select("chunk_id", "failed", "cost_usd", "input_tokens", "text")
+
+
 _LETTER = r"[\p{L}\p{N}_]"
 
 

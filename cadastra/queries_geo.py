@@ -46,6 +46,12 @@ def haversine_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo.nearest(ds.places, _anchors(ds), 100).withColumn("km", F.round("km", 6))
 
 
+@query(f"{VIEWS}, a AS (SELECT id AS owner, lat, lon FROM places WHERE id LIKE 'c%5'), d AS (SELECT p.id, a.owner, round({KM}, 9) AS km FROM places p JOIN a ON {KM} <= 6 WHERE p.lat IS NOT NULL) SELECT id, arg_min(owner, (km, owner)) AS owner FROM d GROUP BY id")
+def attach_to_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = from_tables(spark, sf_dir).places
+    return geo.attached(places, places.filter("id like 'c%5'").select(F.col("id").alias("owner"), "lat", "lon"))
+
+
 @query(f"""{VIEWS}, rounded AS (SELECT id, round(round(lat, 1), 5) AS lat5, round(round(lon, 1), 5) AS lon5, length(id) % 2 = 0 AS approximate, length(name) % 3 AS c FROM places WHERE lat IS NOT NULL) SELECT lat5, lon5, arg_min(id, (approximate, c, id)) AS owner, count(*) AS n FROM rounded GROUP BY ALL""")
 def colocated_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = from_tables(spark, sf_dir).places.withColumns({"lat": F.round("lat", 1), "lon": F.round("lon", 1), "approximate": F.length("id") % 2 == 0, "confidence_order": F.length("name") % 3})

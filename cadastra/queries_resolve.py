@@ -10,6 +10,7 @@ from cadastra.functions import temporal
 from cadastra.functions import text as tx
 from cadastra.operators import curate, geocode, resolve, views
 from cadastra.operators import hierarchy as tree
+from cadastra.operators import snapshot as snap
 from cadastra.plans.adapter import FIRST, LAST, from_tables, sql_views
 from cadastra.registry import query
 from cadastra.sinks import export
@@ -430,6 +431,15 @@ def ja_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.ja_names(settled.unionByName(realms), labels, spark.createDataFrame([("n2", "c2")], "id string, seat string"), manual, words)
 
 
+@query(f"""{VIEWS}, ch AS (SELECT year, sum(g) AS gained, sum(1 - g) AS lost FROM (SELECT year, 1 AS g FROM transfers WHERE to_holder = 'h7' UNION ALL SELECT year, 0 FROM transfers WHERE from_holder = 'h7') WHERE year BETWEEN 1996 AND 1998 GROUP BY year)
+SELECT 'rights' AS section, right_type AS key, count(DISTINCT place_id)::bigint AS n FROM rights WHERE holder_id = 'h7' GROUP BY right_type UNION ALL SELECT 'gained', year::varchar, gained::bigint FROM ch WHERE gained > 0 UNION ALL SELECT 'lost', year::varchar, lost::bigint FROM ch WHERE lost > 0
+UNION ALL SELECT 'rulers', 'person ' || seq % 5, count(*) FROM rights WHERE holder_id = 'h7' AND coalesce(from_year, -9999) <= 1998 AND coalesce(to_year, 9999) >= 1996 GROUP BY 2""")
+def holder_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ds = from_tables(spark, sf_dir)
+    rulers = ds.rights.select(F.col("holder_id").alias("entity_id"), F.concat(F.lit("person "), _S(F.col("seq") % 5)).alias("person_name"), "from_year", "to_year")
+    return views.holder_view(ds.rights, snap.gained_and_lost(ds.events), rulers, "h7", 1996, 1998)
+
+
 # Curation
 
 

@@ -161,6 +161,15 @@ def test_stored_tables_can_be_forgotten(spark):
     shared._WRITTEN[:] = before[:-1]
 
 
+def test_lines_are_thinned(spark):
+    from cadastra.operators import geometry
+
+    ring = [[0.0, 0.0], [1.0, 0.01], [2.0, -0.01], [3.0, 0.0], [3.0, 2.000001], [0.0, 2.0]]
+    frame = spark.createDataFrame([(ring,), ([],), (None,)], "ring array<array<double>>")
+    got = [r[0] for r in geometry.simplified(frame, 0.1).collect()]
+    assert got == [[[0.0, 0.0], [3.0, 0.0], [3.0, 2.0], [0.0, 2.0]], [], None]
+
+
 def test_alias_chains():
     assert curate.canonical({"a": "b", "b": "c", "x": "y", "y": "x"})["a"] == "c"
 
