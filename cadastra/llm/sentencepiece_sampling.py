@@ -47,7 +47,7 @@ from cadastra.llm.common import Rolling, mix64, slices, text_bytes
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 _UNKNOWN = 1e-9
-_KNOWN = 120_000
+_KNOWN = 150_000
 _LEARNED = 10_000
 _K, _L = np.uint64(0xD1342543DE82EF95), np.uint64(0x9E3779B97F4A7C15)
 
@@ -375,6 +375,10 @@ class Sampler:
         return np.split(ids.astype(np.int32), ends[:-1])
 
 
+#: A Python worker's sampler and decoder by vocabulary: what one task has learned serves the next.
+_HELD: dict[str, tuple[Sampler, Decoder]] = {}
+
+
 def encode_samples(docs: DataFrame, k: int = 2, vocabulary: str = VOCABULARY, key: str = "doc_id") -> DataFrame:
     """doc_id, sample, n_pieces, log_prob, perturbed, inclusion, lossless, ids: 1 to k rows a document.
 
@@ -383,7 +387,9 @@ def encode_samples(docs: DataFrame, k: int = 2, vocabulary: str = VOCABULARY, ke
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary))  # the vocabulary's size
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler, decoder = Sampler(*shared.value), Decoder(*shared.value)
+        if vocabulary not in _HELD:
+            _HELD[vocabulary] = Sampler(*shared.value), Decoder(*shared.value)
+        sampler, decoder = _HELD[vocabulary]
         for batch in batches:
             for part in slices(batch, "text", 1 << 19):
                 seeds = mix64(part.column("seed").to_numpy().view(np.uint64))
