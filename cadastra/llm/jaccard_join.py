@@ -22,7 +22,7 @@ common passage nor a large group of near copies fills one task. Of a home of
 more than one block, the members that are so like its smallest one that any two
 of them must be similar (half the distance allowed, as Jaccard distances obey
 the triangle inequality) are a ball: they are linked without being compared, and
-blocks of one ball don't meet. Exact intersections decide the rest. A pair that meets in several homes counts in the smallest
+blocks of one ball don't meet. Exact intersections decide the rest; of a shingle's hash, 48 bits are kept. A pair that meets in several homes counts in the smallest
 only; no list of pairs is made. Links join to classes by connected components.
 
 Result, one row per document: doc_id, class_id (the smallest id in its class)
@@ -149,8 +149,19 @@ def _known(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.xxhash64(text)).alias("node"), "doc_id", text.alias("text"))
 
 
+def packed_tokens(token: np.ndarray) -> bytes:
+    """The upper 48 bits of each number: what is stored and sent of a set."""
+    return np.ascontiguousarray(token.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+
+
+def unpacked_tokens(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view(np.uint64)
+
+
 def _token_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, tokens (sorted 64-bit numbers) of the nodes. Texts are compressed before they are shuffled."""
+    """node, tokens (sorted numbers, 48 bits of each) of the nodes. Texts are compressed before they are shuffled."""
 
     def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
@@ -169,7 +180,7 @@ def _token_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 for part in slices(pa.RecordBatch.from_arrays([rows.column("node"), text], ["node", "text"]), "text"):
                     row, token = shingle_sets(part.column("text"))
                     cut = np.searchsorted(row, np.arange(part.num_rows + 1))
-                    sets = [token[cut[i] : cut[i + 1]].tobytes() for i in range(part.num_rows)]
+                    sets = [packed_tokens(token[cut[i] : cut[i + 1]]) for i in range(part.num_rows)]
                     yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], ["node", "tokens"])
 
     packed = _known(docs).select("node", "text").mapInArrow(squeezed, "node long, packed binary")
@@ -184,7 +195,7 @@ def _split(sets: DataFrame, hot: DataFrame, similarity: float, n_runs: int) -> D
         for batch in batches:
             nodes, parents, keys = [], [], []
             for node, tokens, paths in zip(batch.column("node").to_pylist(), batch.column("tokens").to_pylist(), batch.column("paths").to_pylist(), strict=True):
-                token = np.frombuffer(tokens, np.uint64)
+                token = unpacked_tokens(tokens)
                 path = np.array(paths, np.int64).view(np.uint64)
                 row = np.repeat(np.arange(len(path)), len(token))
                 r, k = chosen(row, np.tile(token, len(path)), np.full(len(path), len(token)), similarity, n_runs, path[row])
@@ -288,7 +299,7 @@ def _brute_force(rows: DataFrame, similarity: float) -> DataFrame:
         def done() -> None:
             home, i, j = at
             nodes, weight = [g[4] for g in group], np.array([g[5] for g in group])
-            tokens = [np.frombuffer(g[6], np.uint64) for g in group]
+            tokens = [unpacked_tokens(g[6]) for g in group]
             homes, keys = ([np.array(g[c], np.int64) for g in group] for c in (7, 8))
             side = np.array([g[3] for g in group])
             left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if i == j else 1))
@@ -332,7 +343,7 @@ def balls(at: DataFrame, tokens: DataFrame, similarity: float, block: int) -> Da
         for batch in batches:
             out = []
             for home, part, what, node, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = np.frombuffer(raw, np.uint64)
+                own = unpacked_tokens(raw)
                 if what == 0:
                     at_, centre = (home, part), own
                 elif (home, part) == at_:
