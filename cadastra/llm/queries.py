@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadastra.llm import exact_dedup, fingerprints, jaccard_join, language_id, lm_scoring, mixing, quality, sentencepiece_sampling, suffix_dedup, url_filter
+from cadastra.llm import bpe, exact_dedup, fingerprints, jaccard_join, language_id, lm_scoring, mixing, quality, sentencepiece_sampling, suffix_dedup, url_filter
 from cadastra.llm.common import documents
 
 
@@ -49,5 +49,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op3_lm_scoring, op4_suffix_dedup, op5_sentencepiece, op6_mixing, op7_fingerprints, op8_exact_dedup, op9_url_filter, op10_quality)}
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op3_lm_scoring, op4_suffix_dedup, op5_sentencepiece, op6_mixing, op7_fingerprints, op8_exact_dedup, op9_url_filter, op10_quality, op13_bpe)}
 ORACLE = {"op8_exact_dedup": exact_dedup.ORACLE, "op9_url_filter": url_filter.oracle()}
