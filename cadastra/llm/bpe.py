@@ -12,13 +12,13 @@ word may be of any length.
 
 Decoding puts the vocabulary's strings one after another, with what the file
 asks between them: a space, as it names no decoder. plain=True gives the text
-again that the tokens stand for (words apart by one space each).
+again that the tokens stand for (words apart by one space each). An id that the
+vocabulary lacks is an error.
 
 encode() returns doc_id and ids, one row for each row; decode() adds decoded.
 Null texts are empty, and an empty text has no ids. Null ids (of rows), rows
 that repeat and other columns make no difference: only doc_id and text are read
-and every row is encoded alone. An empty table gives an empty result. Unknown
-ids can't be decoded: an error. Memory is that of the longest text.
+and every row is encoded alone. An empty table gives an empty result. Memory is that of the longest text.
 
 The rules for words are those of the tokenizers library. It and Python follow
 different versions of Unicode; texts with characters outside the ranges on
@@ -28,6 +28,7 @@ through the same merging.
 
 from __future__ import annotations
 
+import array
 import functools
 import heapq
 import itertools
@@ -35,9 +36,12 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,7 +66,7 @@ class _Known(dict):
         super().__init__()
         self.find, self.old = find, {}
 
-    def __missing__(self, key: str) -> tuple[int, ...]:
+    def __missing__(self, key: str) -> bytes:
         value = self.old.get(key)
         if value is None:
             value = self.find(key)
@@ -85,26 +89,31 @@ class Bpe:
     """One vocabulary file: how it cuts, merges and decodes."""
 
     def __init__(self, spec: str):
-        from tokenizers import Tokenizer
-
         read = json.loads(spec)
+        self.spec = spec
         model = read["model"]
-        self.library = Tokenizer.from_str(spec)
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
         pairs = [m if isinstance(m, list) else m.split(" ", 1) for m in model["merges"]]
         self.left, self.right = [self.vocab[a] for a, _ in pairs], [self.vocab[b] for _, b in pairs]
         self.made = [self.vocab[a + b] for a, b in pairs]
-        #: The rank of a pair of ids, by left * 2^20 + right; of a pair that the file has twice, its first.
-        self.ranks = {(self.left[r] << 20) | self.right[r]: r for r in reversed(range(len(pairs)))}
+        #: The rank of a pair of ids, times 2^32; of a pair that the file has twice, its first.
+        self.ranks = {(self.left[r], self.right[r]): r << 32 for r in reversed(range(len(pairs)))}
         self.special = {t["content"]: t["id"] for t in read["added_tokens"]}
-        self.strings = {i: s for s, i in (self.vocab | self.special).items()}
+        by_id = {i: s for s, i in (self.vocab | self.special).items()}
+        self.strings = pa.array([by_id.get(i) for i in range(max(by_id) + 1)], pa.string())
         self.symbols = byte_symbols()
         self.cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")")
         self.words = regex.compile(read["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.word, self.run = _Known(self.merge), _Known(self.encode_run)
         self.ascii = {s: bytes([b]) for b, s in enumerate(self.symbols)}
 
+    @functools.cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.spec)
+
     def split(self, run: str) -> list[str]:
         """The words of a run of characters other than white space, as symbols of bytes."""
         if run.isascii() and run.isprintable():  # such characters stand for themselves
@@ -114,19 +123,18 @@ class Bpe:
         run = unicodedata.normalize("NFC", run).replace("Σ", "σ").lower()  # a sigma ends no word in the file's lower case
         return ["".join([self.symbols[b] for b in w.encode()]) for w in ([run] if run.isalpha() else self.words.findall(run))]
 
-    def merge(self, word: str) -> tuple[int, ...]:
-        """The ids of one word, given as symbols."""
+    def merge(self, word: str) -> bytes:
+        """The ids of one word, given as symbols; as 32-bit numbers, like all ids here."""
         vocab, ranks, left, right, made = self.vocab, self.ranks, self.left, self.right, self.made
         ids = [vocab[c] for c in word]
         ids[-1] = vocab[word[-1] + self.suffix]
         n = len(ids)
         # An entry is rank * 2^32 + place; the rank tells which two ids it means.
-        queue = [(ranks[pair] << 32) | i for i in range(n - 1) if (pair := (ids[i] << 20) | ids[i + 1]) in ranks]
+        queue = [ranks[pair] + i for i, pair in enumerate(zip(ids, ids[1:])) if pair in ranks]
         heapq.heapify(queue)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        push, pop = heapq.heappush, heapq.heappop
         while queue:
-            entry = pop(queue)
+            entry = heappop(queue)
             rank, i = entry >> 32, entry & 0xFFFFFFFF
             j = after[i]
             if ids[i] != left[rank] or j < 0 or ids[j] != right[rank]:
@@ -136,41 +144,55 @@ class Bpe:
             k = after[i] = after[j]
             if k >= 0:
                 before[k] = i
-                if (pair := (new << 20) | ids[k]) in ranks:
-                    push(queue, (ranks[pair] << 32) | i)
+                if (pair := (new, ids[k])) in ranks:
+                    heappush(queue, ranks[pair] + i)
             h = before[i]
-            if h >= 0 and (pair := (ids[h] << 20) | new) in ranks:
-                push(queue, (ranks[pair] << 32) | h)
-        return tuple([x for x in ids if x >= 0])
+            if h >= 0 and (pair := (ids[h], new)) in ranks:
+                heappush(queue, ranks[pair] + h)
+        return array.array("i", [x for x in ids if x >= 0]).tobytes()
 
-    def encode_run(self, run: str) -> tuple[int, ...]:
-        return tuple(itertools.chain.from_iterable(map(self.word.__getitem__, self.split(run))))
+    def encode_run(self, run: str) -> bytes:
+        words = self.split(run)
+        return self.word[words[0]] if len(words) == 1 else b"".join(map(self.word.__getitem__, words))
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> bytes:
         """No word, normalisation or merge reaches over white space, so a text is its runs of other characters."""
-        out: list[int] = []
+        out = []
         for part in self.cut.split(text) if any(s in text for s in self.special) else [text]:
             if part in self.special:
-                out.append(self.special[part])
+                out.append(array.array("i", [self.special[part]]).tobytes())
                 continue
             runs = _WHITE.split(part) if _NOT_WHITE.search(part) else part.split()
-            out += itertools.chain.from_iterable(map(self.run.__getitem__, runs))
-        return out
+            out += map(self.run.__getitem__, runs)
+        return b"".join(out)
 
-    def decode(self, ids: list[int], plain: bool = False) -> str:
-        strings = self.strings
-        if not plain:
-            return " ".join([strings[i] for i in ids])
+    def encode_all(self, texts: list[str | None]) -> pa.ListArray:
+        found = [self.encode(t) if t else b"" for t in texts]
+        offsets = np.concatenate([[0], np.cumsum([len(f) // 4 for f in found])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
+
+    def decode_all(self, ids: pa.ListArray) -> pa.Array:
+        """The vocabulary's strings of each list one after another, a space between two."""
+        return pc.binary_join(pa.ListArray.from_arrays(_offsets(ids), self.strings.take(ids.flatten())), " ")
+
+    def plain(self, ids: list[int]) -> str:
+        """The text that the tokens stand for."""
+        raw = {s: bytes([b]) for b, s in enumerate(self.symbols)}
         out = b""
-        for special, group in itertools.groupby(ids, lambda i: strings[i] in self.special):
+        for special, group in itertools.groupby((self.strings[i].as_py() for i in ids), self.special.__contains__):
             if special:
-                out += "".join(strings[i] for i in group).encode()
+                out += "".join(group).encode()
             else:
-                words = "".join(strings[i] for i in group).split(self.suffix) if self.suffix else ["".join(strings[i] for i in group)]
-                out += b" ".join(b"".join(self.ascii[c] for c in w) for w in words)
+                words = "".join(group).split(self.suffix) if self.suffix else ["".join(group)]
+                out += b" ".join(b"".join(raw[c] for c in w) for w in words)
         return out.decode("utf-8", "replace").rstrip(" ")
 
 
+def _offsets(lists: pa.ListArray) -> pa.Array:
+    """Where each list begins in what flatten() gives; null lists are empty."""
+    return pa.array(np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())]).astype(np.int32))
+
+
 @functools.lru_cache(maxsize=2)
 def _held(spec: str) -> Bpe:
     return Bpe(spec)
@@ -182,19 +204,20 @@ def _spec(frame: DataFrame, path: str):
         return frame.sparkSession.sparkContext.broadcast(file.read())
 
 
-def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """doc_id and ids (array of int) of every text."""
+def encode(docs: DataFrame, path: str = VOCABULARY, decoded: bool = False) -> DataFrame:
+    """doc_id and ids (array of int) of every text; with decoded also what decode() makes of them, in the same task."""
     spec = _spec(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _held(spec.value)
         for batch in batches:
             for piece in slices(batch, "text"):
-                ids = pa.array([bpe.encode(t) if t else [] for t in piece.column("text").to_pylist()], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), ids], names=["doc_id", "ids"])
+                ids = bpe.encode_all(piece.column("text").to_pylist())
+                out = {"doc_id": piece.column("doc_id"), "ids": ids} | ({"decoded": bpe.decode_all(ids)} if decoded else {})
+                yield pa.RecordBatch.from_pydict(out)
 
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>{', decoded string' if decoded else ''}")
 
 
 def decode(encoded: DataFrame, path: str = VOCABULARY, plain: bool = False) -> DataFrame:
@@ -204,16 +227,17 @@ def decode(encoded: DataFrame, path: str = VOCABULARY, plain: bool = False) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _held(spec.value)
         for batch in batches:
-            texts = pa.array([bpe.decode(ids or [], plain) for ids in batch.column("ids").to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=["doc_id", "ids", "decoded"])
+            ids = batch.column("ids")
+            texts = pa.array([bpe.plain(i or []) for i in ids.to_pylist()], pa.string()) if plain else bpe.decode_all(ids)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, texts], names=["doc_id", "ids", "decoded"])
 
-    encoded = encoded.select("doc_id", "ids")
+    encoded = encoded.select("doc_id", F.col("ids").cast("array<int>").alias("ids"))
     return encoded.mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """What a text was encoded to and decoded to again, as counts and digests."""
-    return decode(encode(docs)).select(
+    return encode(docs, decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
