@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadastra.llm import bpe, exact_dedup, fingerprints, jaccard_join, language_id, lm_scoring, merkle, mixing, quality, sentencepiece_sampling, suffix_dedup, url_filter
+from cadastra.llm import bpe, exact_dedup, fingerprints, hard_negatives, jaccard_join, language_id, lm_scoring, merkle, mixing, quality, sentencepiece_sampling, suffix_dedup, url_filter
 from cadastra.llm.common import documents
 
 
@@ -53,9 +53,13 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(documents(spark, sf_dir))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine_every_50th(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op3_lm_scoring, op4_suffix_dedup, op5_sentencepiece, op6_mixing, op7_fingerprints, op8_exact_dedup, op9_url_filter, op10_quality, op11_merkle, op13_bpe)}
-ORACLE = {"op8_exact_dedup": exact_dedup.ORACLE, "op9_url_filter": url_filter.oracle(), "op11_merkle": merkle.oracle()}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op3_lm_scoring, op4_suffix_dedup, op5_sentencepiece, op6_mixing, op7_fingerprints, op8_exact_dedup, op9_url_filter, op10_quality, op11_merkle, op12_hard_negatives, op13_bpe)}
+ORACLE = {"op8_exact_dedup": exact_dedup.ORACLE, "op9_url_filter": url_filter.oracle(), "op11_merkle": merkle.oracle(), "op12_hard_negatives": hard_negatives.ORACLE}
