@@ -356,11 +356,11 @@ def balls(at: DataFrame, tokens: DataFrame, similarity: float, block: int) -> Da
     return found.groupBy("node").agg(F.min("ball").alias("ball"))
 
 
-def components(edges: DataFrame, most: int = 50) -> DataFrame:
-    """node, root (the smallest node of its component), by large-star and small-star rounds. edges: node, leader."""
+def components(edges: DataFrame) -> DataFrame:
+    """node, root (the smallest node of its component), by large-star and small-star rounds until nothing changes. edges: node, leader."""
     e = stored(edges.filter(F.col("node") != F.col("leader")).select(F.greatest("node", "leader").alias("u"), F.least("node", "leader").alias("v")).distinct(), "components")
     seen = None
-    for _ in range(most):
+    while True:
         state = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if state == seen:
             break
@@ -394,9 +394,10 @@ def jaccard_classes(docs: DataFrame, similarity: float = 0.8, target_recall: flo
     at = stored(placed.select("home", "node").distinct(), "join-members")
     # Most homes are one block. Only the members of larger ones are counted, dealt and compared block by block.
     large = stored(at.groupBy("home").agg(F.count("*").alias("n")).filter(F.col("n") > block).select("home"), "join-large")
-    small = at.join(large, "home", "left_anti").select("home", "node", F.lit(None).cast("long").alias("ball"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))
     in_large = stored(at.join(large, "home", "left_semi"), "join-in-large")
     ball = stored(balls(in_large, tokens, similarity, block), "join-balls")
+    # Members of one ball may meet in a small home too, where they aren't compared either.
+    small = at.join(large, "home", "left_anti").join(ball, "node", "left").select("home", "node", "ball", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))
     at = in_large.join(ball, "node", "left")
     # A home's members are dealt to blocks, those of a ball apart from the others; blocks are numbered along the home.
     parts = at.groupBy("home", "ball").agg(F.ceil(F.count("*") / block).cast("int").alias("own_blocks"))

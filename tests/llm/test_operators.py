@@ -391,6 +391,18 @@ def test_jaccard_balls(spark):
     assert node_ball[0].count() > 100
 
 
+@pytest.mark.parametrize("block, limit", [(8, 8), (24, 256), (24, 8), (1024, 256)])
+def test_jaccard_balls_that_meet_in_small_homes_too(spark, block, limit):
+    """20 near copies of two parts meet with many by the first part, and with a smaller one alone by the second."""
+    first, second = [f"a{i}" for i in range(300)], [f"b{i}" for i in range(200)]
+    rows = [(10 + i, " ".join([*first, *second, f"end{i}"])) for i in range(20)]
+    rows += [(100 + i, " ".join([*first, *[f"c{i}x{j}" for j in range(200)]])) for i in range(40)]
+    rows.append((1, " ".join(second)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.jaccard_classes(docs, limit=limit, block=block).select("doc_id", "class_id", "n_links").collect()
+    assert counted(got) == slow_classes(rows)
+
+
 # 4: suffixes
 
 
