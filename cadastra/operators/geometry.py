@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadastra.functions.geo import area, clip_to_nearest, km, laea, thinned
+from cadastra.functions.geo import area, cell_ring, km, laea, thinned
 from cadastra.operators.aggregates import upper_median
 
 
@@ -31,6 +31,17 @@ def nearest(points: DataFrame, anchors: DataFrame, radius_km: float) -> DataFram
     return within(points, anchors, radius_km).groupBy("id").agg(F.min(F.struct(F.round("km", 9).alias("km"), "anchor")).alias("n")).select("id", "n.anchor", "n.km")
 
 
+def nearest_in_plane(points: DataFrame, sites: DataFrame, radius_m: float) -> DataFrame:
+    """point, site, metres: the nearest site of each point within a radius, in a projection; ties go to the smaller name. points: point, x, y; sites: site, x, y."""
+    cell = lambda c: F.floor(F.col(c) / radius_m)
+    step = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    s = sites.select("site", F.col("x").alias("sx"), F.col("y").alias("sy"), cell("x").alias("x0"), cell("y").alias("y0")).withColumn("dx", step).withColumn("dy", step)
+    s = s.select("site", "sx", "sy", (F.col("x0") + F.col("dx")).alias("cx"), (F.col("y0") + F.col("dy")).alias("cy"))
+    far = F.sqrt((F.col("sx") - F.col("x")) ** 2 + (F.col("sy") - F.col("y")) ** 2)
+    pairs = points.withColumns({"cx": cell("x"), "cy": cell("y")}).join(s, ["cx", "cy"]).withColumn("metres", far).where(F.col("metres") <= radius_m)
+    return pairs.groupBy("point").agg(F.min(F.struct("metres", "site")).alias("n")).select("point", "n.site", "n.metres")
+
+
 def attached(points: DataFrame, sites: DataFrame, radius_km: float = 6.0) -> DataFrame:
     """id, owner: the cell in which each point falls, which is that of the nearest site, if it lies within the cells' radius. points: id, lat, lon; sites: owner, lat, lon."""
     return nearest(points, sites.withColumnRenamed("owner", "anchor"), radius_km).select("id", F.col("anchor").alias("owner"))
@@ -81,9 +92,9 @@ def cells(points: DataFrame, radius_m: float = 6000.0) -> DataFrame:
     def clipped(px: pd.Series, py: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
         out = []
         for a, b, c, d in zip(px, py, xs, ys, strict=True):
-            others = np.stack([np.asarray(c, float), np.asarray(d, float)], 1) if c is not None and len(c) else np.zeros((0, 2))
-            shape = clip_to_nearest(a, b, others, radius_m)
-            out.append((np.round(shape, 3).tolist(), area(shape) / 1e6 if len(shape) else 0.0))
+            others = list(zip(map(float, c), map(float, d))) if c is not None else []
+            shape = np.array(cell_ring((a, b), others, radius_m))
+            out.append((np.round(shape, 3).tolist(), area(shape) / 1e6))
         return pd.DataFrame(out, columns=["ring", "area_km2"])
 
     all_ = p.join(pairs, "id", "left")

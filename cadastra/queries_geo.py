@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadastra.functions.geo import laea
+from cadastra.functions.geo import laea, laea_constants
 from cadastra.operators import geometry as geo
 from cadastra.plans.adapter import from_tables, sql_views
 from cadastra.registry import query
@@ -67,6 +67,15 @@ _E = "sqrt(0.00669438002290::double)"
 _Q = lambda s: f"((1 - 0.00669438002290::double) * ({s} / (1 - 0.00669438002290::double * {s} * {s}) - ln((1 - {_E} * {s}) / (1 + {_E} * {s})) / (2 * {_E})))"
 
 
+def laea_sql(lat: str, lon: str) -> str:
+    """The projection of a latitude and a longitude in DuckDB's SQL: a structure of x and y."""
+    radius, beta0, pole = (f"{v!r}::double" for v in map(float, laea_constants()))
+    beta, turn = f"asin({_Q(f'sin(radians({lat}))')} / {pole})", f"(radians({lon}) - radians(10.0::double))"
+    scale = f"(6378137.0::double * cos(radians(52.0::double)) / sqrt(1 - 0.00669438002290::double * sin(radians(52.0::double)) ^ 2) / ({radius} * cos({beta0})))"
+    b = f"({radius} * sqrt(2 / (1 + sin({beta0}) * sin({beta}) + cos({beta0}) * cos({beta}) * cos({turn}))))"
+    return f"{{'x': 4321000 + {b} * {scale} * cos({beta}) * sin({turn}), 'y': 3210000 + {b} / {scale} * (cos({beta0}) * sin({beta}) - sin({beta0}) * cos({beta}) * cos({turn}))}}"
+
+
 @query(f"""{VIEWS}, k AS (SELECT {_Q("1.0::double")} AS qp, {_Q("sin(radians(52.0::double))")} AS q0), c AS (SELECT qp, asin(q0 / qp) AS beta0, 6378137.0::double * sqrt(qp / 2) AS r FROM k),
 d AS (SELECT *, 6378137.0::double * cos(radians(52.0::double)) / sqrt(1 - 0.00669438002290::double * sin(radians(52.0::double)) ^ 2) / (r * cos(beta0)) AS scale FROM c),
 p AS (SELECT id, asin({_Q("sin(radians(lat))")} / qp) AS beta, radians(lon) - radians(10.0::double) AS turn, d.* FROM places, d WHERE lat IS NOT NULL),

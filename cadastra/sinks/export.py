@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadastra.functions.geo import lonlat
 from cadastra.functions.text import cell
 
 
@@ -41,11 +42,26 @@ def write_json(df: DataFrame, path: str, defaults: dict[str, object] | None = No
     compact(df, defaults).write.text(path)
 
 
-def feature(ring, properties: dict) -> "F.Column":
-    """A GeoJSON polygon of a ring of points, rounded to five decimals."""
-    points = F.transform(ring, lambda p: F.transform(p, lambda v: F.round(v, 5)))
-    closed = F.concat(points, F.slice(points, 1, 1))
-    return F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*[c.alias(n) for n, c in properties.items()]).alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.array(closed).alias("coordinates")).alias("geometry")))
+def feature(parts: Column, properties: dict[str, Column], decimals: int = 5) -> Column:
+    """A GeoJSON feature of a Polygon, or of a MultiPolygon if there are several parts.
+
+    parts: polygons as arrays of rings (the rim, counter-clockwise, before its holes) of points x, y in metres; they
+    come out as longitude and latitude, each ring closed by its first point.
+    """
+
+    def point(p: Column) -> Column:
+        lon, lat = lonlat(p["x"], p["y"])
+        return F.array(F.round(lon, decimals), F.round(lat, decimals))
+
+    closed = lambda ring: F.concat(F.transform(ring, point), F.transform(F.slice(ring, 1, 1), point))
+    coordinates = F.transform(parts, lambda rings: F.transform(rings, closed))
+    shape = lambda kind, c: F.struct(F.lit("Feature").alias("type"), F.struct(*[v.alias(n) for n, v in properties.items()]).alias("properties"), F.struct(F.lit(kind).alias("type"), c.alias("coordinates")).alias("geometry"))
+    return F.when(F.size(parts) == 1, F.to_json(shape("Polygon", coordinates[0]))).otherwise(F.to_json(shape("MultiPolygon", coordinates)))
+
+
+def write_features(features: DataFrame, order: list[str], path: str) -> None:
+    """features (json and the columns of order) as lines of GeoJSON, one feature a line, in order: the files in order are the collection."""
+    features.orderBy(*order).select("json").write.text(path)
 
 
 def quarantine(events: DataFrame, summaries: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
