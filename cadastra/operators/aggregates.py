@@ -95,4 +95,10 @@ def coverage(places: DataFrame, rights: DataFrame, low: Column) -> DataFrame:
 def issue_patterns(issues: DataFrame) -> DataFrame:
     """level, table_name, pattern, n and the first five rows: messages alike but for names and numbers."""
     pattern = F.regexp_replace(F.regexp_replace("message", r"'[^']*'", "…"), r"\b\d{3,4}\b", "…")
-    return issues.groupBy("level", "table_name", pattern.alias("pattern")).agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list("row")), 1, 5).alias("rows"))
+    key = ["level", "table_name", "pattern"]
+    issues = issues.withColumn("pattern", pattern)
+    # Spark cuts each task's share of a pattern to its first five before it sends them.
+    first = issues.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("row"))).where("nth <= 5")
+    rows = first.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "row"))), lambda x: x["row"]).alias("rows"))
+    same = [F.col(f"i.{c}").eqNullSafe(F.col(f"r.{c}")) for c in key]
+    return issues.groupBy(*key).agg(F.count("*").alias("n")).alias("i").join(rows.alias("r"), same).select("i.*", "r.rows")

@@ -172,7 +172,12 @@ def extraction_records(raw: DataFrame, rates: dict[str, float], discount: float
     schema = f"request_hash string, batch boolean, seconds double, message struct<model: string, stop_reason: string, usage: struct<{usage}>, content: array<struct<type: string, text: string>>>"
     r = raw.select("chunk_id", F.from_json("json", schema).alias("r")).select("chunk_id", "r.*")
     tokens = {u: F.coalesce(F.col(f"message.usage.{u}"), F.lit(0)) for u in _USAGE}
-    cost = sum((tokens[u] * rates.get(u, 0.0) for u in _USAGE), F.lit(0.0)) / 1e6 * F.when(F.col("batch"), discount).otherwise(1.0)
+    # In decimals, so that what lies between two roundings goes up everywhere.
+    exact = lambda v: F.lit(str(v)).cast("decimal(18,8)")
+    cost = F.expr("cast(0 as decimal(38,8))")
+    for u in _USAGE:
+        cost = (cost + (tokens[u].cast("decimal(18,0)") * exact(rates.get(u, 0))).cast("decimal(38,8)")).cast("decimal(38,8)")
+    cost = F.round((cost * F.when(F.col("batch"), exact(discount)).otherwise(exact(1))).cast("decimal(38,10)") / F.lit(1_000_000), 4).cast("double")
     failed = F.when(F.col("message.stop_reason").isin("refusal", "max_tokens"), F.col("message.stop_reason"))
     text = F.get(F.filter("message.content", lambda b: b["type"] == "text"), F.lit(0))["text"]
-    return r.select("chunk_id", F.col("message.model").alias("model"), F.coalesce("batch", F.lit(False)).alias("batch"), *[c.alias(u) for u, c in tokens.items()], F.round(cost, 4).alias("cost_usd"), failed.alias("failed"), F.when(failed.isNull(), text).alias("text"))
+    return r.select("chunk_id", F.col("message.model").alias("model"), F.coalesce("batch", F.lit(False)).alias("batch"), *[c.alias(u) for u, c in tokens.items()], cost.alias("cost_usd"), failed.alias("failed"), F.when(failed.isNull(), text).alias("text"))

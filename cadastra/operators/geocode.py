@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 
 from cadastra.functions import text as tx
 from cadastra.functions.geo import km
-from cadastra.operators.aggregates import upper_median
 from cadastra.operators.fuzzy import can_reach, ratio
-from cadastra.operators.shared import stored
+from cadastra.operators.shared import numbered, stored
 
 FAR_KM, NEAR_KM, RIVAL_KM, CONTEXT_KM = 25.0, 25.0, 3.0, 35.0
 STRONG = ("castle", "abbey", "priory")
@@ -121,20 +120,34 @@ def locate(places: DataFrame, names: DataFrame, candidates: DataFrame, entries:
     )
 
 
+def _middles(pools: DataFrame, c: str) -> DataFrame:
+    """parent_id, of, at: how many members a territory has, and by place in the order of (c, child_id) the two or three around the middle."""
+    near = numbered(pools, ["parent_id"], [c, "child_id"], "middles").where(F.col("place").between(F.floor((F.col("of") - 1) / 2), F.floor((F.col("of") - 1) / 2) + 1))
+    return near.groupBy("parent_id", "of").agg(F.map_from_entries(F.collect_list(F.struct("place", F.struct(F.col(c).alias("v"), F.col("child_id").alias("id"))))).alias("at"))
+
+
 def territory_context(located: DataFrame, memberships: DataFrame, top: DataFrame, least: int = 3) -> DataFrame:
     """place_id, xlat, xlon: the mean of its territories' centres, each the upper median of its other reliable members, of least of them; without any, those of the territories above.
 
-    The direct members of the top territories (top: id) span too much to be a centre.
+    The direct members of the top territories (top: id) span too much to be a centre. The median without a member
+    follows from its place in the order of all, so no row carries a territory's members.
     """
     reliable = located.filter("lat is not null and confidence <> 'low'").select(F.col("place_id").alias("child_id"), "lat", "lon")
     edges = memberships.select("child_id", "parent_id").distinct()
-    pools = edges.join(reliable, "child_id").join(top.select(F.col("id").alias("parent_id")), "parent_id", "left_anti").groupBy("parent_id").agg(F.collect_list(F.struct("child_id", "lat", "lon")).alias("pool"))
+    pools = edges.join(reliable, "child_id").join(top.select(F.col("id").alias("parent_id")), "parent_id", "left_anti").select("parent_id", "child_id", "lat", "lon")
+    middles = {c: stored(_middles(pools, c), "middles") for c in ("lat", "lon")}
+    inside = pools.select("parent_id", F.col("child_id").alias("place_id"), F.col("lat").alias("own_lat"), F.col("lon").alias("own_lon"))
 
     def centres(asks: DataFrame) -> DataFrame:
-        others = F.filter("pool", lambda x: x["child_id"] != F.col("place_id"))
-        rows = asks.join(pools, "parent_id").withColumn("others", others).filter(F.size("others") >= least)
-        pick = lambda c: upper_median(F.transform("others", lambda x: x[c]))
-        return rows.select("place_id", "parent_id", pick("lat").alias("lat"), pick("lon").alias("lon")).groupBy("place_id").agg(F.avg("lat").alias("xlat"), F.avg("lon").alias("xlon"))
+        rows = asks.join(inside, ["parent_id", "place_id"], "left")
+        for c, middle in middles.items():
+            rows = rows.join(middle, "parent_id")
+            # Without a member that stands before the middle, the middle of the others is the next one.
+            others = F.col("of") - F.col(f"own_{c}").isNotNull().cast("long")
+            stands = F.struct(F.col(f"own_{c}").alias("v"), F.col("place_id").alias("id"))
+            after = F.when(F.col(f"own_{c}").isNull(), F.element_at("at", F.floor(F.col("of") / 2))).otherwise(F.when(stands <= F.element_at("at", F.floor((F.col("of") - 1) / 2)), F.element_at("at", F.floor((F.col("of") - 1) / 2) + 1)).otherwise(F.element_at("at", F.floor((F.col("of") - 1) / 2))))
+            rows = rows.where(others >= least).withColumn(c, after["v"]).drop("at", "of")
+        return rows.groupBy("place_id").agg(F.avg("lat").alias("xlat"), F.avg("lon").alias("xlon"))
 
     own = centres(edges.select(F.col("child_id").alias("place_id"), "parent_id"))
     above = edges.select(F.col("child_id").alias("place_id"), F.col("parent_id").alias("via")).join(edges.withColumnRenamed("child_id", "via"), "via").select("place_id", "parent_id")

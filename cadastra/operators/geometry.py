@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadastra.functions.geo import area, cell_ring, km, laea, thinned
-from cadastra.operators.aggregates import upper_median
+from cadastra.operators.shared import numbered
 
 
 def within(points: DataFrame, anchors: DataFrame, radius_km: float) -> DataFrame:
@@ -59,8 +59,9 @@ def simplified(rings: DataFrame, tolerance: float, decimals: int = 5) -> DataFra
 
 def median_centres(members: DataFrame, least: int = 3) -> DataFrame:
     """The upper median of the coordinates of each territory's members, of at least three. members: territory, lat, lon."""
-    by = members.filter("lat is not null").groupBy("territory").agg(F.collect_list("lat").alias("lats"), F.collect_list("lon").alias("lons"))
-    return by.filter(F.size("lats") >= least).select("territory", upper_median(F.col("lats")).alias("lat"), upper_median(F.col("lons")).alias("lon"))
+    rows = members.filter("lat is not null").select("territory", "lat", "lon")
+    middle = lambda c: numbered(rows, ["territory"], [c], "medians").where((F.col("of") >= least) & (F.col("place") == F.floor(F.col("of") / 2))).select("territory", c)
+    return middle("lat").join(middle("lon"), "territory")
 
 
 def mean_centres(members: DataFrame) -> DataFrame:

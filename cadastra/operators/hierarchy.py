@@ -7,7 +7,7 @@ at the end: only the inner graph is walked.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadastra.functions.temporal import is_active, years_of
@@ -81,9 +81,15 @@ def members(edges: DataFrame, places: DataFrame, no_land: tuple[str, ...] = ())
     return direct.withColumnRenamed("parent_id", "territory").unionByName(deep).distinct()
 
 
+def _set_key(member: str) -> Column:
+    """A key of a set of texts, each given once, from sums of two hashes of them: no task holds a set."""
+    total = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(38,0)")).cast("string")
+    return F.sha2(F.concat_ws("|", F.count(F.lit(1)).cast("string"), total(F.col(member)), total(F.lit(1), F.reverse(member), F.col(member))), 256)
+
+
 def versions(member_sets: DataFrame) -> DataFrame:
     """territory, from_year, to_year, members_key, n_members: runs of years with one set of members."""
-    by_year = member_sets.groupBy("territory", "year").agg(F.count("*").alias("n_members"), F.sha2(F.concat_ws("|", F.array_sort(F.collect_list("settlement"))), 256).alias("members_key"))
+    by_year = member_sets.groupBy("territory", "year").agg(F.count("*").alias("n_members"), _set_key("settlement").alias("members_key"))
     along = Window.partitionBy("territory").orderBy("year")
     same = (F.lag("members_key").over(along) == F.col("members_key")) & (F.lag("year").over(along) == F.col("year") - 1)
     run = F.sum(F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).over(along)

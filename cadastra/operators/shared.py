@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 _WRITTEN: list[str] = []
@@ -34,6 +36,24 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(rows: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "numbered") -> DataFrame:
+    """rows with place (from 0) in their group by order, nulls first, and of, the number of rows in the group.
+
+    All are sorted by range, so a large group lies in many partitions: a row's place is that in its partition and the
+    counts before it. Rows that are equal in group and order come in any order among themselves. No window holds more
+    than one row a partition.
+    """
+    key = [F.coalesce(F.to_json(F.struct(*group)), F.lit("")).alias("g")] if group else [F.lit("").alias("g")]
+    keyed = stored(rows.select("*", *key).withColumn("tie", F.monotonically_increasing_id()), name)
+    at = stored(keyed.repartitionByRange("g", *order, "tie").sortWithinPartitions("g", *order, "tie").withColumn("at", F.monotonically_increasing_id()), name)
+    at = at.withColumn("part", F.shiftright("at", 33))
+    counts = at.groupBy("g", "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("held"))
+    whole = Window.partitionBy("g")
+    before = F.coalesce(F.sum("held").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("g", "part", (before - F.col("first")).alias("shift"), F.sum("held").over(whole).alias("of"))
+    return at.join(counts, ["g", "part"]).withColumn("place", F.col("at") + F.col("shift")).select(*rows.columns, "place", "of")
+
+
 def forget(spark: SparkSession) -> int:
     """Deletes what this process has stored so far; the number of tables. For when the results that need them are written."""
     done = 0

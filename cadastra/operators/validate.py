@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadastra.functions.temporal import is_handover, overlap_years, share_parts, touches
+from cadastra.functions.temporal import is_handover, share_parts, touches
 from cadastra.operators.hierarchy import cycles
 
 CONTESTED = ("claimed", "contested")
@@ -90,12 +90,34 @@ def dispute_flags(rights: DataFrame) -> DataFrame:
     ])
 
 
+#: Years that a period is cut into for meeting others.
+_BIN = 8
+
+
+def overlapping_pairs(rights: DataFrame, first: int, last: int) -> DataFrame:
+    """place_id, right_type and the columns of both rows (a..., b..., aseq < bseq) of the pairs in overlapping years; open ends reach one year beyond first..last.
+
+    A period lies in bins of some years. Two that overlap meet in the bin in which the later one begins, and only there,
+    so a key of many disjoint rows costs no more than its rows, and one key is dealt by bins.
+    """
+    names = ("seq", "holder_id", "share", "status", "is_disputed", "from_year", "to_year")
+    start, end = F.coalesce("from_year", F.lit(first - 1)), F.coalesce("to_year", F.lit(last + 1))
+    rows = rights.select("place_id", "right_type", F.struct(*names).alias("r"), start.alias("start"), end.alias("end")).where("start <= end")
+    bin_of = lambda c: F.floor(F.col(c) / _BIN)
+    during = rows.select("place_id", "right_type", F.col("r").alias("one"), F.col("start").alias("s1"), F.col("end").alias("e1"), F.explode(F.sequence(bin_of("start"), bin_of("end"))).alias("bin"))
+    begins = rows.select("place_id", "right_type", F.col("r").alias("two"), F.col("start").alias("s2"), bin_of("start").alias("bin"))
+    first_of = F.struct(F.col("s1").alias("s"), F.col("one.seq").alias("q")) < F.struct(F.col("s2").alias("s"), F.col("two.seq").alias("q"))
+    met = during.join(begins, ["place_id", "right_type", "bin"]).where(first_of & (F.col("s2") <= F.col("e1")))
+    in_order = F.col("one.seq") < F.col("two.seq")
+    met = met.select("place_id", "right_type", F.when(in_order, F.col("one")).otherwise(F.col("two")).alias("a"), F.when(in_order, F.col("two")).otherwise(F.col("one")).alias("b"))
+    return met.select("place_id", "right_type", *[F.col(f"{p}.{c}").alias(p + c) for p in "ab" for c in names])
+
+
 def overlapping(rights: DataFrame, first: int, last: int, commonly_shared: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of rows of a place and right in overlapping years that neither shares, a claim nor a dispute explains."""
-    side = lambda p: rights.select("place_id", "right_type", *[F.col(c).alias(p + c) for c in ("seq", "holder_id", "share", "status", "is_disputed", "from_year", "to_year")])
+    pairs = overlapping_pairs(rights, first, last)
     span = [F.col(p + c) for p in "ab" for c in ("from_year", "to_year")]
-    pairs = side("a").join(side("b"), ["place_id", "right_type"]).filter("aseq < bseq")
-    pairs = pairs.filter((overlap_years(*span, first, last) > 0) & ~is_handover(*span, first, last))
+    pairs = pairs.filter(~is_handover(*span, first, last))
     same = F.col("aholder_id") == F.col("bholder_id")
     twice = pairs.filter(same & F.col("ashare").isNull() & F.col("bshare").isNull() & (F.col("astatus") == F.col("bstatus")))
     contested = F.col("astatus").isin(*CONTESTED) | F.col("bstatus").isin(*CONTESTED) | F.col("ais_disputed") | F.col("bis_disputed")

@@ -110,7 +110,7 @@ def section_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.jobs(sections, lambda text, page: textflow.chunks(text, page), [F.lit("v1")]).drop("text")
 
 
-@query("""SELECT o_orderkey AS chunk_id, CASE WHEN o_orderkey % 7 = 0 THEN 'max_tokens' END AS failed, round((o_orderkey * 3.0::double + o_custkey * 15.0::double) / 1e6 * CASE WHEN o_orderkey % 2 = 0 THEN 0.5 ELSE 1 END, 4) AS cost_usd, o_orderkey AS input_tokens, CASE WHEN o_orderkey % 7 <> 0 THEN 'facts' END AS text FROM orders""")
+@query("""SELECT o_orderkey AS chunk_id, CASE WHEN o_orderkey % 7 = 0 THEN 'max_tokens' END AS failed, ((o_orderkey * 3 + o_custkey * 15) * CASE WHEN o_orderkey % 2 = 0 THEN 5 ELSE 10 END + 500) // 1000 / 10000.0::double AS cost_usd, o_orderkey AS input_tokens, CASE WHEN o_orderkey % 7 <> 0 THEN 'facts' END AS text FROM orders""")
 def extraction_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     block = lambda kind, text: F.struct(F.lit(kind).alias("type"), F.lit(text).alias("text"))
