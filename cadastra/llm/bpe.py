@@ -46,7 +46,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadastra.llm.common import slices
+from cadastra.llm.common import held, slices
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Runs of characters between white space that a worker remembers, and the length up to which it does.
@@ -193,11 +193,6 @@ def _offsets(lists: pa.ListArray) -> pa.Array:
     return pa.array(np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())]).astype(np.int32))
 
 
-@functools.lru_cache(maxsize=2)
-def _held(spec: str) -> Bpe:
-    return Bpe(spec)
-
-
 def _spec(frame: DataFrame, path: str):
     """The vocabulary's file, sent to the workers: a few MB whatever the input is."""
     with open(path, encoding="utf-8") as file:
@@ -209,7 +204,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, decoded: bool = False) -> Da
     spec = _spec(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _held(spec.value)
+        bpe = held(f"bpe {path}", lambda: Bpe(spec.value))
         for batch in batches:
             for piece in slices(batch, "text"):
                 ids = bpe.encode_all(piece.column("text").to_pylist())
@@ -225,7 +220,7 @@ def decode(encoded: DataFrame, path: str = VOCABULARY, plain: bool = False) -> D
     spec = _spec(encoded, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _held(spec.value)
+        bpe = held(f"bpe {path}", lambda: Bpe(spec.value))
         for batch in batches:
             ids = batch.column("ids")
             texts = pa.array([bpe.plain(i or []) for i in ids.to_pylist()], pa.string()) if plain else bpe.decode_all(ids)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadastra.llm import lattice
-from cadastra.llm.common import bucket_of, slices, stored
+from cadastra.llm.common import bucket_of, let_go, slices, stored
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -114,6 +114,7 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, sample_per_lang: int =
         now = spark.sparkContext.broadcast(p)
 
         def expect(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            let_go()
             known = lattice.Pieces(shared.value)
             total = np.zeros_like(now.value)
             for batch in batches:
@@ -134,6 +135,7 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, sample_per_lang: int =
         now.unpersist()
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         known, log_p = lattice.Pieces(shared.value), np.log(p)
         total = np.zeros((2, len(langs)))
         for batch in batches:
@@ -190,6 +192,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     known = docs.sparkSession.sparkContext.broadcast(model)  # pieces by languages: the vocabulary's size
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         judge = Judge(known.value)
         for batch in batches:
             for part in slices(batch, "text"):

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadastra.llm import lattice
-from cadastra.llm.common import Rolling, mix64, slices, text_bytes
+from cadastra.llm.common import Rolling, held, mix64, slices, text_bytes
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 _UNKNOWN = 1e-9
@@ -375,16 +375,6 @@ class Sampler:
         return np.split(ids.astype(np.int32), ends[:-1])
 
 
-_HELD: dict[str, tuple[Sampler, Decoder]] = {}
-
-
-def held(vocabulary: str, pieces: list[str], byte0: int) -> tuple[Sampler, Decoder]:
-    """A Python worker's sampler and decoder of a vocabulary: what one task has learned serves the next. A function of the module, as what a task's own function names is copied."""
-    if vocabulary not in _HELD:
-        _HELD[vocabulary] = Sampler(pieces, byte0), Decoder(pieces, byte0)
-    return _HELD[vocabulary]
-
-
 def encode_samples(docs: DataFrame, k: int = 2, vocabulary: str = VOCABULARY, key: str = "doc_id") -> DataFrame:
     """doc_id, sample, n_pieces, log_prob, perturbed, inclusion, lossless, ids: 1 to k rows a document.
 
@@ -393,7 +383,7 @@ def encode_samples(docs: DataFrame, k: int = 2, vocabulary: str = VOCABULARY, ke
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary))  # the vocabulary's size
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler, decoder = held(vocabulary, *shared.value)
+        sampler, decoder = held(f"sampler {vocabulary}", lambda: (Sampler(*shared.value), Decoder(*shared.value)))
         for batch in batches:
             for part in slices(batch, "text", 1 << 19):
                 seeds = mix64(part.column("seed").to_numpy().view(np.uint64))
