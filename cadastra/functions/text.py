@@ -180,9 +180,15 @@ def title_of(key: Column) -> Column:
     return F.initcap(F.replace(key, F.lit("-"), F.lit(" ")))
 
 
+#: The kinds that ids of holders begin with; words before a place's name that tell its kind; particles after which a place's name only says where it lies.
+HOLDER_KINDS = ("house", "county", "lords", "family", "abbey", "duchy", "chapter", "convent", "priory", "baron", "barons")
+PLACE_WORDS = ("bourg", "château", "chateau", "village", "cense", "ville", "abbaye", "prieuré", "faubourg")
+WHERE_PARTICLES = ("-l[eè]s-", " près de ", " proche ", " lez ", " sur ", " alias ", " ou ")
+
+
 def entity_stem(key: Column) -> Column:
     """An entity's id without the word for its kind."""
-    return F.regexp_replace(key, "^(house|county|lords|family|abbey|duchy|chapter|convent|priory|barons?)-", "")
+    return F.regexp_replace(key, f"^(?:{'|'.join(HOLDER_KINDS)})-", "")
 
 
 def cell(value: Column, kind: str) -> Column:
@@ -210,9 +216,9 @@ def price(inputs: Column, outputs: Column, rate_in: float, rate_out: float, batc
 
 def name_variants(text: Column) -> Column:
     """Spellings to look a settlement up by, of 3 letters at least: without the word for its kind, each of its alternatives, those without what follows a particle, and the forms of Saint."""
-    plain = strip(F.regexp_replace(text, r"(?i)^(?:bourg|château|chateau|village|cense|ville|abbaye|prieuré|faubourg) (?:de |d')", ""))
+    plain = strip(F.regexp_replace(text, f"(?i)^(?:{'|'.join(PLACE_WORDS)}) (?:de |d')", ""))
     parts = F.transform(F.split(plain, r"\s+(?:alias|ou)\s+"), strip)
-    short = F.transform(parts, lambda p: strip(F.regexp_replace(p, r"(?i)\s*(?:-l[eè]s-| près de | proche | lez | sur | alias | ou ).*$", "")))
+    short = F.transform(parts, lambda p: strip(F.regexp_replace(p, rf"(?i)\s*(?:{'|'.join(WHERE_PARTICLES)}).*$", "")))
     every = F.array_distinct(F.concat(F.array(text, plain), parts, short))
     saint = r"^(?:Saint|Sankt|St\.?)[- ](.+)$"
     forms = F.flatten(F.transform(F.filter(every, lambda p: p.rlike(saint)), lambda p: F.transform(F.array(F.lit("Saint-"), F.lit("Sankt "), F.lit("St. ")), lambda f: F.concat(f, F.regexp_extract(p, saint, 1)))))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadastra.operators.aggregates import CONFIDENCE, keyed_merge
+from cadastra.operators.shared import stored
 
 
 def dropped_by(rows: DataFrame, rules: DataFrame, fields: list[str]) -> DataFrame:
@@ -44,16 +45,34 @@ def scoped_alias(rows: DataFrame, aliases: DataFrame, name: str = "name") -> Dat
     return out.withColumn("alias", F.coalesce("a1", "a2", "a3")).drop("a1_scope", "a2_scope", "a1", "a2", "a3")
 
 
-def canonical(chain: dict[str, str]) -> dict[str, str]:
-    """Where each alias ends; a cycle ends where it began. The rules are a small file."""
-    out = {}
-    for start in chain:
-        seen, at = {start}, start
-        while at in chain and chain[at] not in seen:
-            at = chain[at]
-            seen.add(at)
-        out[start] = at
-    return out
+def canonical(aliases: DataFrame) -> DataFrame:
+    """alias, canonical: where following the aliases from each one ends; on a cycle, at the first place of it that is reached.
+
+    Pointer jumping: in each round every alias takes over where its target points, so a chain of n takes log n rounds.
+    What still points at an alias after as many steps as there are aliases runs on a cycle; cycles are then cut and the
+    ways to them followed again. Of several targets of one alias the smallest counts. aliases: alias, target.
+    """
+    links = stored(aliases.where("alias is not null and target is not null").groupBy("alias").agg(F.min("target").alias("target")), "aliases")
+    found, running = _followed(links, links.count())
+    cycle = stored(running.select(F.col("at").alias("alias")).distinct().join(links.select("alias"), "alias", "left_semi"), "aliases-cycle")
+    if cycle.isEmpty():
+        return found.select("alias", F.col("at").alias("canonical"))
+    cut = stored(links.join(cycle, "alias", "left_anti"), "aliases-cut")
+    ways, _ = _followed(cut, None)
+    return ways.select("alias", F.col("at").alias("canonical")).unionByName(cycle.select("alias", F.col("alias").alias("canonical")))
+
+
+def _followed(links: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame]:
+    """alias, at after following to the end, or for more than most steps; and the rows of those that had not ended before the last round."""
+    state, steps = links.select("alias", F.col("target").alias("at")), 1
+    while True:
+        onward = state.select(F.col("alias").alias("at"), F.col("at").alias("next"))
+        jumped = state.join(onward, "at", "left")
+        state = stored(jumped.select("alias", F.coalesce("next", "at").alias("at"), F.col("next").isNotNull().alias("runs")), "aliases-at")
+        steps *= 2
+        running = state.where("runs")
+        if running.isEmpty() or (most is not None and steps > most):
+            return state, running
 
 
 def dated_by_events(rights: DataFrame, events: DataFrame) -> DataFrame:
@@ -70,10 +89,10 @@ def dated_by_events(rights: DataFrame, events: DataFrame) -> DataFrame:
     return out.withColumn("to_year", F.coalesce("to_year", "end_year")).withColumn("from_year", F.coalesce("from_year", "start_year")).drop("end_year", "start_year")
 
 
-def merge_overlapping(rows: DataFrame, keys: list[str], first: int, last: int, texts: tuple[str, ...] = ()) -> DataFrame:
+def merge_overlapping(rows: DataFrame, keys: list[str], first: int, last: int, texts: tuple[str, ...] = (), by_year: bool = True) -> DataFrame:
     """Rows of one key merged where their periods overlap: each goes into the first kept row that it overlaps.
 
-    Rows with more known years come first, then by from_year (none is 0), then by seq. A kept row keeps its own years
+    Rows with more known years come first, then (by_year) by from_year (none is 0), then by seq. A kept row keeps its own years
     and pools the others' pages; if rows have confidence, is_disputed, disputed_with (array) or the columns of texts,
     it takes the highest confidence, any dispute, all opponents and the first text that isn't empty. A key is one
     holder of one right at one place, with one status and share, or one membership. rows: keys, seq, from_year,
@@ -82,7 +101,7 @@ def merge_overlapping(rows: DataFrame, keys: list[str], first: int, last: int, t
     more = [c for c in ("confidence", "is_disputed", "disputed_with", *texts) if c in rows.columns]
     names = ["seq", "from_year", "to_year", "pages", *more]
     known = F.col("from_year").isNotNull().cast("int") + F.col("to_year").isNotNull().cast("int")
-    order = F.struct((-known).alias("o1"), F.coalesce("from_year", F.lit(0)).alias("o2"), F.col("seq").alias("o3"), F.struct(*names).alias("row"))
+    order = F.struct((-known).alias("o1"), (F.coalesce("from_year", F.lit(0)) if by_year else F.lit(0)).alias("o2"), F.col("seq").alias("o3"), F.struct(*names).alias("row"))
     by = rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["row"]).alias("rows"))
 
     def overlap(a: Column, b: Column) -> Column:
@@ -119,6 +138,27 @@ def with_precedence(manual: DataFrame, added: DataFrame, found: DataFrame, keys:
     return manual.unionByName(added, allowMissingColumns=True).unionByName(rest, allowMissingColumns=True)
 
 
+#: The kinds of events that move a place between territories, if they are about one of the rights named or about none.
+TRANSFER_EVENTS = ("purchase", "pledge", "redemption", "inheritance", "enfeoffment", "exchange", "cession", "occupation")
+TERRITORY_RIGHTS = ("suzerain", "high_justice")
+
+
+def normalized_memberships(memberships: DataFrame, events: DataFrame, first: int, last: int, rights: tuple[str, ...] = TERRITORY_RIGHTS) -> DataFrame:
+    """Memberships as standing facts: a year stays only where a transfer of the member within a year of it backs it; rows of one pair that then overlap are one, with all their pages.
+
+    A membership's years are mostly those of a document that attests it. Rows with more known years come first, then as
+    they came. Of rows that end up with the same pair and years the last stays. memberships: seq, child_id, parent_id,
+    from_year, to_year, pages and others, which the row that stays keeps; events: place_id, year, event_type, right_type.
+    """
+    moves = events.where(F.col("event_type").isin(*TRANSFER_EVENTS) & (F.col("right_type").isNull() | F.col("right_type").isin(*rights)))
+    dated = backed_years(memberships, moves)
+    kept = merge_overlapping(dated.select("seq", "child_id", "parent_id", "from_year", "to_year", "pages"), ["child_id", "parent_id"], first, last, by_year=False)
+    key = ["child_id", "parent_id", "from_year", "to_year"]
+    kept = kept.groupBy(*key).agg(F.max_by(F.struct("seq", "pages"), "seq").alias("r")).select(*key, "r.seq", "r.pages")
+    rest = [c for c in memberships.columns if c not in (*key, "pages", "seq")]
+    return kept.join(memberships.select("seq", *rest), "seq").select(*memberships.columns)
+
+
 def backed_years(memberships: DataFrame, events: DataFrame) -> DataFrame:
     """Years of memberships that no event of the member within a year backs become open."""
     dates = events.select(F.col("place_id").alias("child_id"), F.explode(F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1)).alias("y")).distinct()

@@ -83,18 +83,19 @@ def resolve_places(mentions: DataFrame, aliases: DataFrame, manual: DataFrame, s
     domain = F.col("place_type").isin(*nm.DOMAIN_TYPES)
     made = F.concat(_slug(F.when(domain, F.coalesce("preferred", "place_type")).otherwise(F.col("place_type"))), F.lit("-"), _slug(F.col("base")))
     rows = rows.withColumn("group", F.when(domain, "domain").otherwise(F.col("place_type")))
-    # What a group's first mention, by seq, came to is what later ones are; an alias or a half of a realm doesn't count.
-    own = F.coalesce("manual_full", "manual_base", made)
+    # A territory is what a mention of its group last claimed by hand, up to the mention itself; before any claim, the id
+    # that is made for the group. An alias or a half of a realm claims nothing.
     counts = (F.col("kind") == "territory") & F.col("alias").isNull() & F.col("half").isNull()
-    first = rows.filter(counts).groupBy("group", "base").agg(F.min_by(own, "seq").alias("first_id"))
-    rows = rows.join(first, ["group", "base"], "left")
+    so_far = Window.partitionBy("group", "base").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    claim = F.last(F.when(counts, F.coalesce("manual_full", "manual_base")), ignorenulls=True).over(so_far)
+    rows = rows.withColumn("group_id", F.when(counts, F.coalesce(claim, made)))
     labels = entries.groupBy("label").agg(F.min("entry").alias("label_entry"))
     rows = rows.join(labels.withColumnRenamed("label", "index_name"), "index_name", "left")
     settled = rows.filter("kind <> 'territory'").select("folded").distinct()
     rows = rows.join(index_match(settled, by_name).withColumnRenamed("entry", "name_entry"), "folded", "left")
     rows = rows.withColumn("entry", F.coalesce("label_entry", "name_entry")).join(index_ids(entries, by_name), "entry", "left")
     territory = F.col("kind") == "territory"
-    steps = [("alias", F.col("alias")), ("split realm", F.col("half")), ("manual", F.when(territory, F.coalesce("manual_full", "manual_base"))), ("same territory", F.when(territory, F.col("first_id"))), ("manual", F.coalesce("manual_full", "manual_base")), ("index", F.col("index_id")), ("name", _slug(F.col("folded")))]
+    steps = [("alias", F.col("alias")), ("split realm", F.col("half")), ("manual", F.when(territory, F.coalesce("manual_full", "manual_base"))), ("same territory", F.when(territory, F.col("group_id"))), ("manual", F.coalesce("manual_full", "manual_base")), ("index", F.col("index_id")), ("name", _slug(F.col("folded")))]
     how = F.coalesce(*[F.when(c.isNotNull(), F.lit(n)) for n, c in steps])
     return rows.select("seq", F.coalesce(*[c for _, c in steps]).alias("place_id"), "kind", how.alias("how"))
 

@@ -43,15 +43,15 @@ def numbered(rows: DataFrame, group: Sequence[str], order: Sequence[str], name:
     counts before it. Rows that are equal in group and order come in any order among themselves. No window holds more
     than one row a partition.
     """
-    key = [F.coalesce(F.to_json(F.struct(*group)), F.lit("")).alias("g")] if group else [F.lit("").alias("g")]
-    keyed = stored(rows.select("*", *key).withColumn("tie", F.monotonically_increasing_id()), name)
-    at = stored(keyed.repartitionByRange("g", *order, "tie").sortWithinPartitions("g", *order, "tie").withColumn("at", F.monotonically_increasing_id()), name)
-    at = at.withColumn("part", F.shiftright("at", 33))
-    counts = at.groupBy("g", "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("held"))
-    whole = Window.partitionBy("g")
-    before = F.coalesce(F.sum("held").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select("g", "part", (before - F.col("first")).alias("shift"), F.sum("held").over(whole).alias("of"))
-    return at.join(counts, ["g", "part"]).withColumn("place", F.col("at") + F.col("shift")).select(*rows.columns, "place", "of")
+    by = F.coalesce(F.to_json(F.struct(*group)), F.lit("")) if group else F.lit("")
+    keyed = stored(rows.withColumns({"_by": by, "_tie": F.monotonically_increasing_id()}), name)
+    at = stored(keyed.repartitionByRange("_by", *order, "_tie").sortWithinPartitions("_by", *order, "_tie").withColumn("_at", F.monotonically_increasing_id()), name)
+    at = at.withColumn("_part", F.shiftright("_at", 33))
+    counts = at.groupBy("_by", "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_held"))
+    whole = Window.partitionBy("_by")
+    before = F.coalesce(F.sum("_held").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("_by", "_part", (before - F.col("_first")).alias("_shift"), F.sum("_held").over(whole).alias("of"))
+    return at.join(counts, ["_by", "_part"]).withColumn("place", F.col("_at") + F.col("_shift")).select(*rows.columns, "place", "of")
 
 
 def forget(spark: SparkSession) -> int:

@@ -47,12 +47,15 @@ def preferred_domain_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.preferred_types(_mention(spark, sf_dir))
 
 
-@query(f"""WITH {MENTIONS} SELECT m.seq, CASE WHEN m.name = 'Office de B7' THEN 'alias-7' WHEN kind = 'territory' AND p_size = 9 AND m.place_type IN ('office', 'lordship', 'county') THEN CASE WHEN m.place_type = 'office' THEN 'office-nine' ELSE 'fief-nine' END
-  WHEN kind = 'territory' AND p_size = 11 THEN 'hand-11' WHEN kind = 'territory' THEN coalesce(CASE WHEN grp = 'domain' THEN pref.place_type END, m.place_type) || '-' || m.base WHEN p_size % 10 = 3 THEN m.base || '-c' || p_size ELSE m.base END AS place_id, kind,
-  CASE WHEN m.name = 'Office de B7' THEN 'alias' WHEN kind = 'territory' AND p_size = 9 AND m.place_type IN ('office', 'lordship', 'county') THEN 'split realm' WHEN kind = 'territory' AND p_size = 11 THEN 'manual' WHEN kind = 'territory' THEN 'same territory' WHEN p_size % 10 = 3 THEN 'index' WHEN p_size % 10 = 5 THEN 'index' ELSE 'name' END AS how
-FROM m LEFT JOIN pref USING (base)""".replace("WHEN p_size % 10 = 3 THEN m.base || '-c' || p_size ELSE", "WHEN p_size % 10 = 3 THEN m.base || '-c' || p_size ELSE").replace("WHEN p_size % 10 = 3 THEN 'index' WHEN", "WHEN p_size % 10 = 3 THEN 'index' WHEN"))
+@query(f"""WITH {MENTIONS}, claims AS (SELECT m.*, CASE WHEN p_size = 11 AND kind = 'territory' THEN 'hand-11' WHEN name = 'Office de B12' THEN 'hand-12-office' WHEN name = 'Terre de B12' THEN 'hand-12-land' END AS claim FROM m),
+carried AS (SELECT *, CASE WHEN kind = 'territory' THEN last_value(claim IGNORE NULLS) OVER (PARTITION BY grp, base, kind ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS held FROM claims),
+half AS (SELECT *, kind = 'territory' AND p_size = 9 AND place_type IN ('office', 'lordship', 'county') AS split FROM carried)
+SELECT m.seq, CASE WHEN m.name = 'Office de B7' THEN 'alias-7' WHEN split THEN CASE WHEN m.place_type = 'office' THEN 'office-nine' ELSE 'fief-nine' END
+  WHEN kind = 'territory' THEN coalesce(held, coalesce(CASE WHEN grp = 'domain' THEN pref.place_type END, m.place_type) || '-' || m.base) WHEN p_size % 10 = 3 THEN m.base || '-c' || p_size ELSE m.base END AS place_id, kind,
+  CASE WHEN m.name = 'Office de B7' THEN 'alias' WHEN split THEN 'split realm' WHEN claim IS NOT NULL THEN 'manual' WHEN kind = 'territory' THEN 'same territory' WHEN p_size % 10 IN (3, 5) THEN 'index' ELSE 'name' END AS how
+FROM half m LEFT JOIN pref USING (base)""")
 def resolve_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mentions by alias, split realm, hand-made place, first mention, index (by label where a name is shared) and name."""
+    """Mentions by alias, split realm, hand-made place (two of one base claim it in turn), same territory, index (by label where a name is shared) and name."""
     mentions = _mention(spark, sf_dir)
     ends = lambda n: F.col("size") % 10 == n
     sizes = spark.range(1, 51).select(F.col("id").alias("size"))
@@ -65,7 +68,7 @@ def resolve_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.regexp_extract("name", "B([0-9]+)$", 1).cast("int")
     mentions = mentions.withColumn("index_name", F.when((F.col("kind") == "settlement") & (size % 10).isin(3), F.concat("name", F.lit(" ()"))).otherwise(""))
     aliases = spark.createDataFrame([("", "office de b7", "alias-7")], "scope string, name string, target string")
-    manual = spark.createDataFrame([(1, "hand-11", "territory", ["Comté de B11"])], "seq int, id string, kind string, names array<string>")
+    manual = spark.createDataFrame([(1, "hand-11", "territory", ["Comté de B11"]), (2, "hand-12-office", "territory", ["Office de B12"]), (3, "hand-12-land", "territory", ["Terre de B12"])], "seq int, id string, kind string, names array<string>")
     splits = spark.createDataFrame([("b9", "office-nine", "fief-nine")], "base string, admin string, feudal string")
     return resolve.resolve_places(mentions, aliases, manual, splits, names, entries)
 

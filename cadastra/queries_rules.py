@@ -242,3 +242,41 @@ def gazetteer_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_name_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("canton", F.col("p_size").cast("string"))
     return curate.shared_name_ids(parts, F.lower("p_name"), "canton").select("p_partkey", "id_text")
+
+
+_NEXT = "CASE WHEN c_custkey % 60 = 0 THEN c_custkey + 47 ELSE c_custkey - 1 - c_custkey % 3 END"
+
+
+@query(f"""WITH RECURSIVE links AS (SELECT c_custkey AS a, {_NEXT} AS b FROM customer WHERE c_custkey % 90 <> 7),
+walk AS (SELECT a, b AS now, [a] AS seen FROM links UNION ALL SELECT w.a, l.b, list_append(seen, w.now) FROM walk w JOIN links l ON l.a = w.now WHERE NOT list_contains(seen, w.now))
+SELECT a AS alias, arg_max(now, len(seen)) AS canonical FROM walk GROUP BY a""")
+def alias_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as aliases of others: chains that join, some of which end on cycles."""
+    k = F.col("c_custkey")
+    to = F.when(k % 60 == 0, k + 47).otherwise(k - 1 - k % 3)
+    return curate.canonical(spark.read.parquet(f"{sf_dir}/customer.parquet").where(k % 90 != 7).select(k.alias("alias"), to.alias("target")))
+
+
+_SPAN = lambda x, c: f"coalesce({x}.{c}_year, {LO if c == 'from' else HI})"
+_MEET = lambda a, b: f"(least({_SPAN(a, 'to')}, {_SPAN(b, 'to')}) >= greatest({_SPAN(a, 'from')}, {_SPAN(b, 'from')}) AND NOT (least({_SPAN(a, 'to')}, {_SPAN(b, 'to')}) = greatest({_SPAN(a, 'from')}, {_SPAN(b, 'from')}) AND ({a}.to_year IS NOT DISTINCT FROM {b}.from_year OR {b}.to_year IS NOT DISTINCT FROM {a}.from_year)))"
+_MEMBER = "{'seq': seq, 'from_year': from_year, 'to_year': to_year, 'pages': pages}"
+
+
+@query(f"""{VIEWS}, moves AS (SELECT DISTINCT place_id, year FROM transfers WHERE event_type IN ('purchase', 'pledge', 'inheritance') AND right_type IN ('1-URGENT', '2-HIGH')),
+attested AS (SELECT seq, place_id AS child_id, 'n' || seq % 3 AS parent_id, from_year, to_year, [(seq % 50)::int] AS pages FROM rights WHERE place_id LIKE 'c%'),
+dated AS (SELECT a.* REPLACE (CASE WHEN EXISTS (SELECT 1 FROM moves m WHERE m.place_id = a.child_id AND abs(m.year - a.from_year) <= 1) THEN from_year END AS from_year, CASE WHEN EXISTS (SELECT 1 FROM moves m WHERE m.place_id = a.child_id AND abs(m.year - a.to_year) <= 1) THEN to_year END AS to_year) FROM attested a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY child_id, parent_id ORDER BY -((from_year IS NOT NULL)::int + (to_year IS NOT NULL)::int), seq) AS nth FROM dated),
+step AS (SELECT child_id, parent_id, nth, [{_MEMBER}] AS kept FROM ranked WHERE nth = 1
+  UNION ALL SELECT s.child_id, s.parent_id, r.nth, CASE WHEN len(list_filter(kept, lambda k: {_MEET('k', 'r')})) = 0 THEN list_append(kept, {_MEMBER.replace(': ', ': r.')}) ELSE
+    list_transform(kept, lambda k: CASE WHEN k.seq = list_filter(kept, lambda q: {_MEET('q', 'r')})[1].seq THEN {{'seq': k.seq, 'from_year': k.from_year, 'to_year': k.to_year, 'pages': list_sort(list_distinct(list_concat(k.pages, r.pages)))}} ELSE k END) END
+    FROM step s JOIN ranked r ON r.nth = s.nth + 1 AND r.child_id = s.child_id AND r.parent_id = s.parent_id),
+last AS (SELECT child_id, parent_id, unnest(arg_max(kept, nth)) AS k FROM step GROUP BY child_id, parent_id),
+one AS (SELECT child_id, parent_id, k.from_year AS from_year, k.to_year AS to_year, arg_max({{'seq': k.seq, 'pages': k.pages}}, k.seq) AS r FROM last GROUP BY ALL)
+SELECT child_id, parent_id, from_year, to_year, r.seq AS seq, array_to_string(r.pages, ',') AS pages FROM one""")
+def memberships_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rights as attested memberships, several a pair, and the transfers as what moves members."""
+    ds = from_tables(spark, sf_dir)
+    seq = F.col("seq")
+    attested = ds.rights.where("place_id like 'c%'").select("seq", F.col("place_id").alias("child_id"), F.concat(F.lit("n"), (seq % 3).cast("string")).alias("parent_id"), "from_year", "to_year", F.array((seq % 50).cast("int")).alias("pages"))
+    found = curate.normalized_memberships(attested, ds.events, FIRST, LAST, ("1-URGENT", "2-HIGH"))
+    return found.withColumn("pages", F.array_join(F.col("pages").cast("array<string>"), ","))

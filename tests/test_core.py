@@ -170,8 +170,6 @@ def test_lines_are_thinned(spark):
     assert got == [[[0.0, 0.0], [3.0, 0.0], [3.0, 2.0], [0.0, 2.0]], [], None]
 
 
-def test_alias_chains():
-    assert curate.canonical({"a": "b", "b": "c", "x": "y", "y": "x"})["a"] == "c"
 
 
 TWINS = [
