@@ -104,9 +104,7 @@ def levels(edges: DataFrame, places: DataFrame, root: str, hierarchy: str | None
     """year, id, level of the territories under root.
 
     With a hierarchy, only its realms count on the way down: by the shortest way, or the longest of feudal realms.
-    The shortest are found by steps from the root, each keeping what it makes shorter. The longest follows simple ways
-    (on a cycle a way ends at the place already seen), as no other search is right on cycles; that is for a hierarchy
-    of some depth with few ways, not for a dense graph.
+    Both go by steps from the root, each keeping what it makes shorter or longer.
     """
     realm = places.filter("kind = 'territory'")
     counts = F.lit(1) if hierarchy is None else (hierarchy_of(F.col("place_type")) == hierarchy).cast("int")
@@ -114,14 +112,86 @@ def levels(edges: DataFrame, places: DataFrame, root: str, hierarchy: str | None
     down = stored(edges.join(realm, "child_id").filter(F.col("child_id") != root).select("year", "parent_id", "child_id", "counts").distinct(), "levels-down")
     if hierarchy != "feudal":
         return _shortest(down, root)
-    level = down.filter(F.col("parent_id") == root).select("year", F.col("child_id").alias("id"), F.array(F.lit(root), "child_id").alias("seen"), F.col("counts").alias("level"), "counts")
-    level = found = stored(level.distinct(), "levels")
-    while not level.isEmpty():
-        step = level.drop("counts").join(down.withColumnRenamed("parent_id", "id"), ["year", "id"]).filter(~F.array_contains("seen", F.col("child_id")))
-        step = step.select("year", F.col("child_id").alias("id"), F.array_append("seen", F.col("child_id")).alias("seen"), (F.col("level") + F.col("counts")).alias("level"), "counts")
-        level = stored(step.distinct(), "levels")
-        found = found.unionByName(level)
-    return found.filter("counts = 1").groupBy("year", "id").agg(F.max("level").alias("level"))
+    return _longest(down, root)
+
+
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """id, knot of the places on cycles; places that reach each other have one knot. edges: parent_id, child_id.
+
+    What no way comes into or goes out of is taken off first, until nothing changes. Then the largest id is passed
+    forward to all that it reaches, and those of one id that also reach back to it are a knot; so on with the rest.
+    """
+    edges = stored(edges.select("parent_id", "child_id").where("parent_id <> child_id").distinct(), "knots")
+    out = edges.sparkSession.createDataFrame([], "id string, knot string")
+    while True:
+        edges = _trimmed(edges)
+        if edges.isEmpty():
+            return out
+        nodes = edges.select(F.col("parent_id").alias("id")).union(edges.select("child_id")).distinct()
+        colour = stored(nodes.withColumn("colour", F.col("id")).withColumn("moved", F.lit(True)), "knots-colour")
+        while not colour.where("moved").isEmpty():
+            come = edges.join(colour.where("moved").select(F.col("id").alias("parent_id"), F.col("colour").alias("theirs")), "parent_id").groupBy(F.col("child_id").alias("id")).agg(F.max("theirs").alias("theirs"))
+            better = F.coalesce(F.col("theirs") > F.col("colour"), F.lit(False))
+            colour = stored(colour.drop("moved").join(come, "id", "left").select("id", F.when(better, F.col("theirs")).otherwise(F.col("colour")).alias("colour"), better.alias("moved")), "knots-colour")
+        of = lambda c, name: colour.select(F.col("id").alias(c), F.col("colour").alias(name))
+        same = stored(edges.join(of("parent_id", "a"), "parent_id").join(of("child_id", "b"), "child_id").where("a = b").select("parent_id", "child_id"), "knots-same")
+        front = back = stored(colour.where("id = colour").select("id", F.col("colour").alias("knot")), "knots-back")
+        while not front.isEmpty():
+            step = same.join(front.select(F.col("id").alias("child_id"), "knot"), "child_id").select(F.col("parent_id").alias("id"), "knot").distinct()
+            front = stored(step.join(back.select("id"), "id", "left_anti"), "knots-back")
+            back = back.unionByName(front)
+        back = stored(back, "knots-back")
+        many = back.groupBy("knot").agg(F.count("*").alias("n")).where("n > 1").select("knot")
+        out = out.unionByName(stored(back.join(many, "knot").select("id", "knot"), "knots"))
+        gone = back.select("id")
+        edges = stored(edges.join(gone.withColumnRenamed("id", "parent_id"), "parent_id", "left_anti").join(gone.withColumnRenamed("id", "child_id"), "child_id", "left_anti").select("parent_id", "child_id"), "knots")
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """The edges that others lead to and lead on from, until all are such."""
+    n = edges.count()
+    while n:
+        inner = edges.join(edges.select(F.col("child_id").alias("parent_id")).distinct(), "parent_id", "left_semi")
+        inner = inner.join(edges.select(F.col("parent_id").alias("child_id")).distinct(), "child_id", "left_semi")
+        edges = stored(inner.select("parent_id", "child_id"), "knots")
+        before, n = n, edges.count()
+        if n == before:
+            break
+    return edges
+
+
+def _longest(down: DataFrame, root: str) -> DataFrame:
+    """year, id, level: the most realms that count on a way from root that passes no place twice. down: year, parent_id, child_id, counts (of the child).
+
+    Without its cycles the hierarchy is layered, and the longest ways follow by steps, however many ways there are. A
+    way enters a knot of cycles once; inside, all simple ways from where it enters are followed. Knots are faults in
+    the data that validation reports, so they are small.
+    """
+    knots = stored(on_cycles(down), "levels-knots")
+    of = lambda c: knots.select(F.col("id").alias(c), F.col("knot").alias("knot_" + c))
+    down = stored(down.join(of("parent_id"), "parent_id", "left").join(of("child_id"), "child_id", "left").where("parent_id <> child_id"), "levels-down")
+    inside = stored(down.where("knot_parent_id = knot_child_id").select("year", F.col("parent_id").alias("id"), F.col("child_id").alias("next"), "counts"), "levels-inside")
+    across = down.where("knot_parent_id is null or knot_child_id is null or knot_parent_id <> knot_child_id")
+    # A place of a knot stands twice: where a way enters (true) and where it may leave or end (false).
+    entry = F.col("knot_child_id").isNotNull()
+    steps = across.select("year", F.struct(F.col("parent_id").alias("id"), F.lit(False).alias("enters")).alias("a"), F.struct(F.col("child_id").alias("id"), entry.alias("enters")).alias("b"), F.col("counts").alias("more"))
+    ways = across.where(entry).select("year", F.col("child_id").alias("start"), F.col("child_id").alias("id"), F.array("child_id").alias("seen"), F.lit(0).alias("more")).distinct()
+    ways = found = stored(ways, "levels-ways")
+    while not ways.isEmpty():
+        on = ways.join(inside, ["year", "id"]).where(~F.array_contains("seen", F.col("next")))
+        ways = stored(on.select("year", "start", F.col("next").alias("id"), F.array_append("seen", F.col("next")).alias("seen"), (F.col("more") + F.col("counts")).alias("more")).distinct(), "levels-ways")
+        found = found.unionByName(ways)
+    through = found.groupBy("year", "start", "id").agg(F.max("more").alias("more"))
+    steps = steps.unionByName(through.select("year", F.struct(F.col("start").alias("id"), F.lit(True).alias("enters")).alias("a"), F.struct("id", F.lit(False).alias("enters")).alias("b"), "more"))
+    steps = stored(steps, "levels-steps")
+    at_root = F.struct(F.lit(root).alias("id"), F.lit(False).alias("enters"))
+    best = front = stored(down.select("year").distinct().select("year", at_root.alias("a"), F.lit(0).alias("level")), "levels")
+    while not front.isEmpty():
+        step = front.join(steps, ["year", "a"]).groupBy("year", F.col("b").alias("a")).agg(F.max(F.col("level") + F.col("more")).alias("level"))
+        front = stored(step.join(best.select("year", "a", F.col("level").alias("known")), ["year", "a"], "left").where("known is null or level > known").drop("known"), "levels")
+        best = stored(best.unionByName(front).groupBy("year", "a").agg(F.max("level").alias("level")), "levels")
+    counted = down.where("counts = 1").select("year", F.col("child_id").alias("id")).distinct()
+    return best.where("not a.enters").select("year", "a.id", "level").join(counted, ["year", "id"])
 
 
 def _shortest(down: DataFrame, root: str) -> DataFrame:
