@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadastra.llm.common import WHITE, stored, text_bytes
+from cadastra.llm.common import WHITE, stored, text_bytes, tidied
 
 #: Bits of the pointers that the driver and every task hold: 65,536 of them, whatever the input's size.
 TOP = 16
@@ -179,8 +179,8 @@ def build_index(docs: DataFrame, capacity: int = 1024) -> tuple[DataFrame, DataF
             yield placed()
 
     sent = rows.withColumn("pointer", pointer).join(directory, "pointer").select("owner", "key", "norm", F.col("doc_id").cast("long").alias("keep_id"), F.col("n_chars").alias("best_chars"), F.lit(1).cast("long").alias("group_size"))
-    dealt = sent.mapInArrow(combine, _SENT).repartitionById(owners, F.col("owner")).sortWithinPartitions("key")
-    return meta, stored(dealt.mapInArrow(own, _INDEX), "dedup-index")
+    dealt = sent.mapInArrow(tidied(combine), _SENT).repartitionById(owners, F.col("owner")).sortWithinPartitions("key")
+    return meta, stored(dealt.mapInArrow(tidied(own), _INDEX), "dedup-index")
 
 
 def exact_dedup(docs: DataFrame, capacity: int = 1024) -> DataFrame:

@@ -49,7 +49,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadastra.llm.common import Rolling, mix64, runs, slices, stored, text_bytes
+from cadastra.llm.common import Rolling, mix64, runs, slices, stored, text_bytes, tidied
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -141,7 +141,7 @@ def described(docs: DataFrame, similarity: float, n_runs: int) -> DataFrame:
                     ["node", "doc_id", "size", "a", "b", "keys"],
                 )
 
-    return _known(docs).mapInArrow(each, "node long, doc_id long, size long, a long, b long, keys array<long>")
+    return _known(docs).mapInArrow(tidied(each), "node long, doc_id long, size long, a long, b long, keys array<long>")
 
 
 def _known(docs: DataFrame) -> DataFrame:
@@ -183,9 +183,9 @@ def _token_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                     sets = [packed_tokens(token[cut[i] : cut[i + 1]]) for i in range(part.num_rows)]
                     yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], ["node", "tokens"])
 
-    packed = _known(docs).select("node", "text").mapInArrow(squeezed, "node long, packed binary")
+    packed = _known(docs).select("node", "text").mapInArrow(tidied(squeezed), "node long, packed binary")
     rows = packed.join(nodes, "node").dropDuplicates(["node"])
-    return rows.mapInArrow(each, "node long, tokens binary")
+    return rows.mapInArrow(tidied(each), "node long, tokens binary")
 
 
 def _split(sets: DataFrame, hot: DataFrame, similarity: float, n_runs: int) -> DataFrame:
@@ -204,7 +204,7 @@ def _split(sets: DataFrame, hot: DataFrame, similarity: float, n_runs: int) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (nodes, parents, keys)], ["node", "parent", "key"])
 
     paths = hot.groupBy("node").agg(F.collect_list("key").alias("paths"))
-    return sets.join(paths, "node").mapInArrow(each, "node long, parent long, key long").distinct()
+    return sets.join(paths, "node").mapInArrow(tidied(each), "node long, parent long, key long").distinct()
 
 
 def buckets(sets: DataFrame, first: DataFrame, similarity: float, n_runs: int, limit: int, depth: int) -> DataFrame:
@@ -327,7 +327,7 @@ def _brute_force(rows: DataFrame, similarity: float) -> DataFrame:
             done()
         yield block()
 
-    return rows.mapInArrow(each, "node long, links long, leader long")
+    return rows.mapInArrow(tidied(each), "node long, links long, leader long")
 
 
 def balls(at: DataFrame, tokens: DataFrame, similarity: float, block: int) -> DataFrame:
@@ -352,7 +352,7 @@ def balls(at: DataFrame, tokens: DataFrame, similarity: float, block: int) -> Da
                         out.append((node, home))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(2)], ["node", "ball"])
 
-    found = rows.repartition("home", "part").sortWithinPartitions("home", "part", "what").mapInArrow(each, "node long, ball long")
+    found = rows.repartition("home", "part").sortWithinPartitions("home", "part", "what").mapInArrow(tidied(each), "node long, ball long")
     return found.groupBy("node").agg(F.min("ball").alias("ball"))
 
 

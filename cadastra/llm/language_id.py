@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadastra.llm import lattice
-from cadastra.llm.common import bucket_of, let_go, slices, stored
+from cadastra.llm.common import bucket_of, let_go, slices, stored, tidied
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -107,7 +107,7 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, sample_per_lang: int =
                         seen[lang, word] += n
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["lang", "word", "n"])
 
-    words = rows.filter(draw < rates[F.col("lang")]).select("lang", "text").mapInArrow(count, "lang string, word string, n long")
+    words = rows.filter(draw < rates[F.col("lang")]).select("lang", "text").mapInArrow(tidied(count), "lang string, word string, n long")
     words = stored(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words")
     shared = spark.sparkContext.broadcast(pieces)  # the size of the vocabulary's file
     for _ in range(rounds):
@@ -127,7 +127,7 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, sample_per_lang: int =
             at = np.argwhere(total > 0)
             yield pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1]), pa.array(total[at[:, 0], at[:, 1]])], ["piece", "lang", "n"])
 
-        got = words.mapInArrow(expect, "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
+        got = words.mapInArrow(tidied(expect), "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
         counts = np.full(p.shape, 0.02)
         counts[got["piece"], got["lang"]] += got["n"]
         p = counts / counts.sum(0)
@@ -146,7 +146,7 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, sample_per_lang: int =
             np.add.at(total, (1, lang), n * np.fromiter((len(w) + 1 for w in text), np.int64, len(text)))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(langs))), pa.array(total[0]), pa.array(total[1])], ["lang", "log_p", "letters"])
 
-    got = words.mapInArrow(rate, "lang long, log_p double, letters double").groupBy("lang").agg(F.sum("log_p").alias("log_p"), F.sum("letters").alias("letters")).toPandas().sort_values("lang")
+    got = words.mapInArrow(tidied(rate), "lang long, log_p double, letters double").groupBy("lang").agg(F.sum("log_p").alias("log_p"), F.sum("letters").alias("letters")).toPandas().sort_values("lang")
     level = np.zeros(len(langs))
     level[got["lang"]] = got["log_p"] / np.maximum(1, got["letters"])
     return Model(pieces, langs, prior, p, level)
@@ -199,7 +199,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 lang, score, n, _, fit = judge(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score), pa.array(n), pa.array(fit)], ["doc_id", "lang_pred", "score", "n_words", "fit"])
 
-    return docs.select("doc_id", "text").mapInArrow(each, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, n_words long, fit double")
+    return docs.select("doc_id", "text").mapInArrow(tidied(each), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, n_words long, fit double")
 
 
 def identify_held_out(docs: DataFrame, **options) -> DataFrame:
