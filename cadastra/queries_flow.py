@@ -56,7 +56,23 @@ def wrap_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.posexplode(textflow.index_entries(F.split("text", "\n"))).alias("nth", "entry"))
 
 
-@query()
+_FITS = "w.size + 1 + length(s.piece) <= 5000"
+_STARTS = "(NOT r.mark AND (f.chunk = 0 OR f.held + length(r.text) > 5000))"
+_OPENS = "('[p. ' || r.page || ']')"
+
+
+@query(rf"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(list_transform(string_split(array_to_string(list_filter(regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: NOT starts_with(x, '# ')), chr(10)), chr(10) || chr(10)), lambda p: regexp_replace(p, '^[\s\x{{a0}}\x{{3000}}]+|[\s\x{{a0}}\x{{3000}}]+$', '', 'g')), lambda p: p <> '') AS ps FROM documents),
+p AS (SELECT doc_id, unnest(ps) AS text, generate_subscripts(ps, 1) AS nth FROM d),
+m AS (SELECT *, regexp_matches(text, '^\[p\. \d+\]$') AS mark, coalesce(last_value(nullif(regexp_extract(text, '^\[p\. (\d+)\]$', 1), '')::int IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) AS page FROM p),
+s AS (SELECT doc_id, nth, page, mark, by_line, unnest(ss) AS piece, generate_subscripts(ss, 1) AS k FROM (SELECT *, contains(text, chr(10)) AS by_line, CASE WHEN length(text) <= 5000 THEN [text] WHEN contains(text, chr(10)) THEN string_split(text, chr(10)) ELSE string_split(regexp_replace(text, '([.;]) ', '\1' || chr(1), 'g'), chr(1)) END AS ss FROM m)),
+w AS (SELECT doc_id, nth, k, 1 AS grp, length(piece) AS size FROM s WHERE k = 1 UNION ALL SELECT s.doc_id, s.nth, s.k, CASE WHEN {_FITS} THEN w.grp ELSE w.grp + 1 END, CASE WHEN {_FITS} THEN w.size + 1 ELSE 0 END + length(s.piece) FROM w JOIN s ON s.doc_id = w.doc_id AND s.nth = w.nth AND s.k = w.k + 1),
+parts AS (SELECT doc_id, nth, grp, any_value(page) AS page, any_value(mark) AS mark, CASE WHEN any_value(by_line) THEN string_agg(piece, chr(10) ORDER BY k) ELSE string_agg(piece, ' ' ORDER BY k) END AS text FROM w JOIN s USING (doc_id, nth, k) GROUP BY doc_id, nth, grp),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY nth, grp) AS n FROM parts),
+f AS (SELECT doc_id, 0::bigint AS n, 0 AS chunk, NULL::varchar AS text, '' AS waiting, NULL::int AS first, NULL::int AS last, 0::bigint AS held FROM (SELECT DISTINCT doc_id FROM numbered)
+  UNION ALL SELECT f.doc_id, r.n, CASE WHEN {_STARTS} THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN {_STARTS} THEN {_OPENS} || chr(10) || chr(10) || r.text WHEN r.mark THEN f.text ELSE f.text || f.waiting || chr(10) || chr(10) || r.text END,
+    CASE WHEN NOT r.mark THEN '' WHEN f.chunk = 0 THEN f.waiting ELSE f.waiting || chr(10) || chr(10) || r.text END, CASE WHEN {_STARTS} THEN r.page ELSE f.first END, CASE WHEN r.mark THEN f.last ELSE r.page END,
+    CASE WHEN {_STARTS} THEN length({_OPENS}) + length(r.text) WHEN r.mark AND f.chunk = 0 THEN f.held ELSE f.held + length(r.text) END FROM f JOIN numbered r ON r.doc_id = f.doc_id AND r.n = f.n + 1)
+SELECT doc_id, chunk - 1 AS nth, arg_max(text, n) AS text, arg_max(first, n) AS first_page, arg_max(last, n) AS last_page FROM f WHERE chunk > 0 GROUP BY doc_id, chunk""")
 def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select("doc_id", F.posexplode(textflow.chunks(F.col("text"), F.lit(1))).alias("nth", "c")).select("doc_id", "nth", "c.text", "c.first_page", "c.last_page")
