@@ -181,3 +181,27 @@ def extraction_records(raw: DataFrame, rates: dict[str, float], discount: float
     failed = F.when(F.col("message.stop_reason").isin("refusal", "max_tokens"), F.col("message.stop_reason"))
     text = F.get(F.filter("message.content", lambda b: b["type"] == "text"), F.lit(0))["text"]
     return r.select("chunk_id", F.col("message.model").alias("model"), F.coalesce("batch", F.lit(False)).alias("batch"), *[c.alias(u) for u, c in tokens.items()], cost.alias("cost_usd"), failed.alias("failed"), F.when(failed.isNull(), text).alias("text"))
+
+
+def estimate(jobs: DataFrame, rates: dict[str, float], discount: float = 0.5) -> DataFrame:
+    """label, chunks, sections, done, tokens, chars, usd, batch_usd: what extracting the open jobs comes to, a row a rate.
+
+    jobs: section_id, text (what is sent), tokens, done; rates: the price of a thousand characters by label; a batch
+    costs discount of it. Sums are exact; prices are rounded to cents. Without open jobs the counts are 0.
+    """
+    open_ = ~F.coalesce("done", F.lit(False))
+    one = lambda c: F.when(open_, c)
+    total = jobs.agg(
+        F.count(one(F.lit(1))).alias("chunks"), F.count_distinct(one(F.col("section_id"))).alias("sections"), F.count_if(~open_).alias("done"),
+        F.coalesce(F.sum(one(F.col("tokens"))), F.lit(0)).cast("long").alias("tokens"), F.coalesce(F.sum(one(F.length("text"))), F.lit(0)).cast("long").alias("chars"),
+    )
+    price = F.explode(F.array(*[F.struct(F.lit(k).alias("label"), F.lit(str(v)).cast("decimal(10,4)").alias("rate")) for k, v in rates.items()])).alias("r")
+    usd = F.col("chars").cast("decimal(20,0)") * F.col("r.rate") / 1000
+    cents = lambda c: F.round(c.cast("decimal(30,10)"), 2).cast("double")
+    return total.select("*", price).select("r.label", "chunks", "sections", "done", "tokens", "chars", cents(usd).alias("usd"), cents(usd * F.lit(str(discount)).cast("decimal(6,4)")).alias("batch_usd"))
+
+
+def mean_confidence(words: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, confidence, words: the mean of what recognised words are sure of; blank words and negative marks don't count, and without any it is 0. words: keys, text, conf."""
+    counts = (F.trim(F.coalesce("text", F.lit(""))) != "") & (F.col("conf") >= 0)
+    return words.groupBy(*keys).agg(F.coalesce(F.avg(F.when(counts, F.col("conf"))), F.lit(0.0)).alias("confidence"), F.count(F.when(counts, 1)).alias("words"))

@@ -199,3 +199,15 @@ def shared_name_ids(places: DataFrame, folded: Column, canton: str) -> DataFrame
     named = places.withColumn("slug", F.regexp_replace(F.regexp_replace(folded, "[^a-z0-9]+", "-"), "^-|-$", ""))
     n = named.groupBy("slug").agg(F.count("*").alias("n"))
     return named.join(n, "slug").withColumn("id_text", F.when(F.col("n") > 1, F.concat("slug", F.lit("-"), F.col(canton))).otherwise(F.col("slug"))).drop("n")
+
+
+#: What tells a right from others by hand.
+RIGHT_KEY = ("place_id", "right_type", "holder_id", "from_year", "to_year", "status")
+
+
+def with_snippets(rights: DataFrame, snippets: DataFrame, keys: tuple[str, ...] = RIGHT_KEY) -> DataFrame:
+    """rights, an empty snippet filled from the snippets of the same keys, where nulls are equal and equal to empty texts; the last by seq counts. snippets: seq, keys, snippet."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("key_" + c)
+    last = snippets.groupBy(*map(text, keys)).agg(F.max_by("snippet", "seq").alias("found"))
+    joined = rights.select("*", *map(text, keys)).join(last, ["key_" + c for c in keys], "left")
+    return joined.withColumn("snippet", F.coalesce(F.nullif("snippet", F.lit("")), "found")).select(*rights.columns)
