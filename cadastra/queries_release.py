@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadastra.operators import book, curate, validate
+from cadastra.operators import book, curate, records, validate
 from cadastra.operators.shared import new_path
 from cadastra.plans.adapter import from_tables, sql_views
 from cadastra.registry import query
@@ -19,9 +19,9 @@ def dataset_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three files released and read back; then a release with errors and one over its budget, which leave the first in place."""
     ds, path = from_tables(spark, sf_dir), new_path(spark, "release")
     good = validate.half_coordinates(ds.places)
-    records = lambda df, *order: df.select(*order, F.to_json(F.struct(*df.columns)).alias("json"))
+    as_json = lambda df, *order: df.select(*order, F.to_json(F.struct(*df.columns)).alias("json"))
     with release.Release(spark, path, good) as out:
-        out.lines("places", records(ds.places, "id"), ["id"], budget=1 << 40)
+        out.lines("places", as_json(ds.places, "id"), ["id"], budget=1 << 40)
         out.lines("rights", export.compact(ds.rights.drop("opponent"), {"status": "held"}).withColumn("n", F.monotonically_increasing_id()), ["n"])
         out.table("memberships", ds.memberships, ["child_id", "parent_id", "from_year", "is_disputed"], ["child_id", "parent_id"])
     first = release.released(spark, path)
@@ -30,7 +30,7 @@ def dataset_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     for issues, budget in ((bad, None), (good, 10)):
         try:
             with release.Release(spark, path, issues) as out:
-                out.lines("places", records(ds.places.limit(5), "id"), ["id"], budget=budget)
+                out.lines("places", as_json(ds.places.limit(5), "id"), ["id"], budget=budget)
         except release.Refused:
             refused.append(release.released(spark, path) == first)
     kept = F.lit("kept" if refused == [True, True] else "lost")
@@ -84,3 +84,34 @@ def snippets_attached(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = rights.withColumn("snippet", F.when(seq % 5 == 0, F.concat(F.lit("own "), seq.cast("string"))).when(seq % 5 == 1, ""))
     notes = rights.where("seq % 4 <> 0").withColumn("snippet", F.concat(F.lit("note "), seq.cast("string")))
     return curate.with_snippets(own, notes).select("seq", "snippet")
+
+
+_EVENT = "OBJECT<confidence: STRING, description: STRING, event_type: STRING, from_holder: STRING, place: STRING, right_type: STRING, source_page: STRING, to_holder: STRING, year: BIGINT>"
+_MEMBER = "OBJECT<child: STRING, from_year: {0}, parent: STRING, source_page: STRING, to_year: BIGINT>"
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 13 = 0 AS broken, o_orderkey % 11 = 0 AS short FROM orders)
+SELECT k AS chunk_id, NULL AS part, NULL::int AS pos, 'not an object' AS problems FROM o WHERE broken UNION ALL SELECT k, NULL, NULL, 'rulers: no list|sundries: not a list of a record' FROM o WHERE short AND NOT broken
+UNION ALL SELECT k, 'memberships', 0, CASE WHEN k % 7 = 0 THEN 'fields: {_MEMBER.format("STRING")}' ELSE '' END FROM o WHERE NOT broken
+UNION ALL SELECT k, 'events', 0, concat_ws('|', CASE WHEN k % 3 = 0 THEN 'confidence: ''sure'' is not in confidence' END, CASE WHEN k % 5 = 0 THEN 'event_type: ''sale'' is not in event_types' END, CASE WHEN k % 4 = 2 THEN 'right_type: ''toll'' is not in right_types' END) FROM o WHERE NOT broken
+UNION ALL SELECT k, 'places', 0, CASE WHEN k % 2 = 0 THEN 'kind: ''realm'' is not in kinds' ELSE '' END FROM o WHERE NOT broken""")
+def records_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as extraction records with faults of every kind; the rows that are kept have no problems."""
+    k = F.col("o_orderkey")
+    text = lambda v: F.lit(v)
+    member = F.struct(F.lit("a").alias("child"), F.lit("b").alias("parent"), F.lit(1600).alias("to_year"), text("3").alias("source_page"))
+    number, word = member.withField("from_year", F.lit(0)), member.withField("from_year", F.lit("0"))
+    event = F.struct(
+        F.lit(1611).alias("year"), text("p").alias("place"), F.when(k % 4 == 2, "toll").when(k % 4 == 1, "suzerain").otherwise("").alias("right_type"), text("").alias("from_holder"), text("h").alias("to_holder"),
+        F.when(k % 5 == 0, "sale").otherwise("purchase").alias("event_type"), text("d").alias("description"), text("4").alias("source_page"), F.when(k % 3 == 0, "sure").otherwise("high").alias("confidence"),
+    )
+    place = F.struct(text("n").alias("name_in_text"), text("").alias("index_name"), F.when(k % 2 == 0, "realm").otherwise("territory").alias("kind"), text("office").alias("place_type"), F.array().cast("array<string>").alias("other_names"))
+    none = F.array().cast("array<string>")
+    fields = [F.array(F.when(k % 7 == 0, F.to_json(word)).otherwise(F.to_json(number))), F.array(F.to_json(event)), F.array(F.to_json(place))]
+    listed = lambda name, c: F.concat(F.lit(f'"{name}":['), F.array_join(c, ","), F.lit("]"))
+    body = F.concat_ws(",", listed("memberships", fields[0]), listed("events", fields[1]), listed("places", fields[2]), listed("entities", none), listed("rights", none), F.when(k % 11 == 0, F.lit('"sundries":[]')).otherwise(listed("rulers", none)))
+    raw = spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("chunk_id"), F.when(k % 13 == 0, "{oops").otherwise(F.concat(F.lit("{"), body, F.lit("}"))).alias("json"))
+    words = [("event_types", "purchase"), ("right_types", "suzerain"), ("confidence", "high"), ("place_types", "office")]
+    found = records.checked(raw, spark.createDataFrame(words, "vocab string, key string"))
+    good, bad = records.apart(found)
+    return good.withColumn("problems", F.array().cast("array<string>")).unionByName(bad).select("chunk_id", "part", "pos", F.array_join("problems", "|").alias("problems"))
