@@ -228,6 +228,6 @@ def gained_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snap.gained_and_lost(from_tables(spark, sf_dir).events)
 
 
-from cadastra import queries_areas, queries_book, queries_flow, queries_geo, queries_release, queries_resolve, queries_rules, queries_sources, queries_text  # noqa: E402, F401  # they register theirs
+from cadastra import queries_areas, queries_book, queries_flow, queries_geo, queries_parts, queries_release, queries_resolve, queries_rules, queries_sources, queries_text  # noqa: E402, F401  # they register theirs
 
 __all__ = ["ORACLE", "QUERIES"]

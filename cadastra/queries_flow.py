@@ -82,13 +82,18 @@ _STAY = "(f.cost[i] + CASE WHEN r.cand IS NULL THEN 0.3::double WHEN r.pdf - (i
 _SHIFT = "((CASE WHEN i = 1 THEN 'inf'::double ELSE f.cost[i - 1] END) + CASE WHEN r.has_text THEN 3.0::double ELSE 0.8::double END)"
 
 
-@query(f"""WITH RECURSIVE p AS (SELECT o_orderkey // 100 AS book, (o_orderkey % 100)::int AS pdf FROM orders),
-r AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY pdf) AS n, CASE WHEN pdf % 9 <> 8 AND pdf % 4 <> 0 THEN pdf - pdf // 9 END AS cand, pdf % 9 <> 8 AS has_text FROM p),
+def page_number_sql(has_text: str) -> str:
+    """Page numbers of a book for each hundred orders; has_text: which pages aren't plates."""
+    return f"""WITH RECURSIVE p AS (SELECT o_orderkey // 100 AS book, (o_orderkey % 100)::int AS pdf FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY pdf) AS n, CASE WHEN pdf % 9 <> 8 AND pdf % 4 <> 0 THEN pdf - pdf // 9 END AS cand, {has_text} AS has_text FROM p),
 f AS (SELECT book, 0::bigint AS n, list_prepend(0::double, list_transform(range(20), lambda i: 'inf'::double)) AS cost, []::boolean[][] AS flags FROM (SELECT DISTINCT book FROM p)
   UNION ALL SELECT f.book, r.n, list_transform(range(1, 22), lambda i: least({_STAY}, {_SHIFT})), list_append(f.flags, list_transform(range(1, 22), lambda i: {_SHIFT} <= {_STAY})) FROM f JOIN r ON r.book = f.book AND r.n = f.n + 1),
 done AS (SELECT book, n, flags, list_position(cost, list_min(cost)) AS spot FROM f QUALIFY row_number() OVER (PARTITION BY book ORDER BY n DESC) = 1),
 b AS (SELECT book, n, flags, spot FROM done WHERE n > 0 UNION ALL SELECT book, n - 1, flags, spot - flags[n][spot]::int FROM b WHERE n > 1)
-SELECT b.book, r.pdf, CASE WHEN NOT b.flags[b.n][b.spot] THEN (r.pdf - (b.spot - 1))::bigint END AS printed FROM b JOIN r ON r.book = b.book AND r.n = b.n""")
+SELECT b.book, r.pdf, CASE WHEN NOT b.flags[b.n][b.spot] THEN (r.pdf - (b.spot - 1))::bigint END AS printed FROM b JOIN r ON r.book = b.book AND r.n = b.n"""
+
+
+@query(page_number_sql("pdf % 9 <> 8"))
 def page_number_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     # A book for each hundred orders; every ninth page is an insert, and every fourth footer isn't read.
