@@ -16,8 +16,8 @@ that the task has seen of rows that are surely in the window; the others can't
 be among the best. Only rows kept get exact scores, by a join with the vectors,
 and the best of those are the result, exactly.
 
-Anchors are a stated share of the rows, so they go in blocks of about block,
-each sent to the tasks and held against the whole file; no pair of rows is made
+Anchors are a stated share of the rows, so they go in blocks of about block
+(fewer if vectors are long), each sent to the tasks and held against the whole file; no pair of rows is made
 but those kept. Of rows with one label and vector only the first positives + 1
 by vec_id enter the file: they have the same score with any anchor, so the
 others can't be among the first. A group of copies thus costs no more than one.
@@ -43,6 +43,8 @@ from pyspark.sql import functions as F
 from cadastra.llm.common import stored
 
 CELLS = 256
+#: Components of a block of anchors at most, however long the vectors are: what is sent to the tasks is 32 MB.
+_SENT = 1 << 22
 #: Rows and anchors that are compared at once: some 30 MB of bounds.
 _ROWS, _ANCHORS = 8192, 512
 
@@ -262,6 +264,7 @@ def mine(vectors: DataFrame, anchor: Column, label: Column, positives: int = 5,
     found = cells_of(few)
     width = len(found.low)
     cells = spark.sparkContext.broadcast(found)
+    block = max(1, min(block, _SENT // max(width, 1)))
     file = stored(approximated(few, cells), "approximation")
 
     pairs = candidates(anchors.select("row", "label", "q"), file, cells, width, positives, block, "positive-candidates").withColumnRenamed("window", "anchor")
