@@ -31,9 +31,12 @@ def parse_toc(lines: DataFrame) -> DataFrame:
     along = Window.partitionBy("book_id").orderBy("nth")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     full = lines.withColumn("text", tx.strip(F.col("text"))).filter((F.col("text") != "") & ~F.col("text").rlike("^(?:" + "|".join(SKIPPED) + ")"))
-    # A subtitle is not a heading itself, even if it looks like one.
-    full = full.withColumn("is_book", F.col("text").rlike(BOOK)).withColumn("sub", F.coalesce(F.lag("is_book").over(along), F.lit(False)))
-    full = full.filter(~F.col("sub"))
+    # The line after a book's heading is no heading, even if it looks like one; the line after that may be one again. So
+    # of lines in a row that look like books every second one is a subtitle.
+    full = full.withColumn("is_book", F.col("text").rlike(BOOK)).withColumn("others", F.count_if(~F.col("is_book")).over(along))
+    full = full.withColumn("in_row", F.count_if("is_book").over(Window.partitionBy("book_id", "others").orderBy("nth")))
+    after_book = F.coalesce(F.lag("is_book").over(along) & (F.lag("in_row").over(along) % 2 == 1), F.lit(False))
+    full = full.withColumn("sub", F.when(F.col("is_book"), F.col("in_row") % 2 == 0).otherwise(after_book)).filter(~F.col("sub"))
     text = F.col("text")
     full = full.withColumns({"is_chapter": ~F.col("is_book") & text.rlike(CHAPTER), "is_section": text.rlike(SECTION), "is_other": text.rlike("^(?:" + "|".join(OTHERS) + ")")})
     heading = F.col("is_book") | F.col("is_chapter")

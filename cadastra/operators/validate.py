@@ -139,7 +139,7 @@ def gcd(a: Column, b: Column) -> Column:
 def share_sums(rights: DataFrame, first: int, last: int) -> DataFrame:
     """place_id, right_type, year, total ("7/6") where numeric shares held in a boundary year exceed the whole.
 
-    Sums are exact: numerators over the product of the different denominators.
+    Sums are exact: numerators over the least common multiple of the denominators, in whole numbers.
     """
     key = ["place_id", "right_type"]
     bounds = rights.select(*key, F.explode(F.array_compact(F.array("from_year", "to_year", F.lit(first), F.lit(last)))).alias("year")).distinct()
@@ -150,11 +150,11 @@ def share_sums(rights: DataFrame, first: int, last: int) -> DataFrame:
     n, d = share_parts(F.col("share"))
     by = held.withColumn("n", n).withColumn("d", d).filter("d > 0").groupBy(*key, "year", "d").agg(F.sum("n").alias("n"))
     whole = by.groupBy(*key, "year").agg(F.collect_list(F.struct("n", "d")).alias("parts"))
-    product = F.aggregate("parts", F.lit(1).cast("long"), lambda a, p: a * p["d"])
-    whole = whole.withColumn("base", product)
-    whole = whole.withColumn("top", F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["n"] * (F.col("base") / p["d"]).cast("long")))
+    div = lambda a, b: F.call_function("div", a, b)  # noqa: E731  # whole numbers, not through doubles
+    whole = whole.withColumn("base", F.aggregate("parts", F.lit(1).cast("long"), lambda a, p: div(a, gcd(a, p["d"])) * p["d"]))
+    whole = whole.withColumn("top", F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["n"] * div(F.col("base"), p["d"])))
     over = whole.filter("top > base").withColumn("g", gcd(F.col("top"), F.col("base")))
-    return over.select(*key, "year", F.concat((F.col("top") / F.col("g")).cast("long").cast("string"), F.lit("/"), (F.col("base") / F.col("g")).cast("long").cast("string")).alias("total"))
+    return over.select(*key, "year", F.concat(div(F.col("top"), F.col("g")).cast("string"), F.lit("/"), div(F.col("base"), F.col("g")).cast("string")).alias("total"))
 
 
 def event_mismatches(events: DataFrame, rights: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cadastra.functions import text as tx
 from cadastra.operators import fuzzy
 from cadastra.operators.hierarchy import hierarchy_of
+from cadastra.operators.shared import numbered
 
 
 def disputes_view(disputes: DataFrame, names: DataFrame) -> DataFrame:
@@ -176,14 +177,16 @@ def report(coverage: DataFrame, issues: DataFrame, merges: DataFrame, bases: Dat
     code = lambda c: F.concat(F.lit("`"), F.col(c), F.lit("`"))
 
     def part(nth: int, rows: DataFrame, order: list, line: Column) -> DataFrame:
-        return rows.select(F.lit(nth).alias("section"), F.row_number().over(Window.orderBy(*order)).alias("nth"), line.alias("line"))
+        names = [f"_o{i}" for i in range(len(order))]
+        rows = rows.select(*[c.alias(n) for n, c in zip(names, order, strict=True)], line.alias("line"))
+        return numbered(rows, [], names, "report").select(F.lit(nth).alias("section"), (F.col("place") + 1).cast("int").alias("nth"), "line")
 
     items = coverage.select(F.explode(F.array(*[F.concat(F.lit(f"- {c}: "), F.col(c).cast("string")) for c in coverage.columns])).alias("line"))
     return reduce(DataFrame.unionByName, (
-        part(1, items, ["line"], F.col("line")),
-        part(2, issues, [F.col("level") != "error", F.desc("n"), "table_name", "pattern"], bar(F.col("level"), F.col("table_name"), F.col("pattern"), F.col("n"), F.array_join(F.slice("rows", 1, 5), ", "))),
-        part(3, merges, [F.desc("score"), "dropped", "kept"], bar(code("dropped"), code("kept"), F.col("score"))),
-        part(4, bases, ["base"], F.concat(F.lit("- "), "base", F.lit(": "), F.array_join(F.transform("ids", lambda i: F.concat(F.lit("`"), i, F.lit("`"))), ", "))),
-        part(5, unsure, ["rank", F.col("confidence") != "low", "place_id"], bar(F.col("place_id"), F.col("method"), F.col("confidence"), F.concat_ws(", ", F.col("lat").cast("string"), F.col("lon").cast("string")), F.col("note"))),
-        part(6, low.orderBy("line").limit(most_low), ["line"], bar(F.col("line"), F.col("place_id"), F.col("right_type"), F.col("holder_id"), F.col("source_page"), F.substring(F.coalesce("notes", F.lit("")), 1, 80))),
+        part(1, items, [F.col("line")], F.col("line")),
+        part(2, issues, [F.col("level") != "error", -F.col("n"), F.col("table_name"), F.col("pattern")], bar(F.col("level"), F.col("table_name"), F.col("pattern"), F.col("n"), F.array_join(F.slice("rows", 1, 5), ", "))),
+        part(3, merges, [-F.col("score"), F.col("dropped"), F.col("kept")], bar(code("dropped"), code("kept"), F.col("score"))),
+        part(4, bases, [F.col("base")], F.concat(F.lit("- "), "base", F.lit(": "), F.array_join(F.transform("ids", lambda i: F.concat(F.lit("`"), i, F.lit("`"))), ", "))),
+        part(5, unsure, [F.col("rank"), F.col("confidence") != "low", F.col("place_id")], bar(F.col("place_id"), F.col("method"), F.col("confidence"), F.concat_ws(", ", F.col("lat").cast("string"), F.col("lon").cast("string")), F.col("note"))),
+        part(6, low.orderBy("line").limit(most_low), [F.col("line")], bar(F.col("line"), F.col("place_id"), F.col("right_type"), F.col("holder_id"), F.col("source_page"), F.substring(F.coalesce("notes", F.lit("")), 1, 80))),
     ))
