@@ -103,3 +103,21 @@ def test_ids_are_no_names(spark):
     names = [("duchy-bar",), ("bailiwick-x-1",), ("Court-y",), ("duchy of Bar",), ("bar",)]
     frame = spark.createDataFrame(names, "n string")
     assert [r[0] for r in frame.select(naming.usable_name(F.col("n"))).collect()] == [False, False, False, True, True]
+
+
+def test_shares_with_large_denominators(spark):
+    many = [(i, "p", "r", f"h{i}", f"1/{d}", "held", None, None) for i, d in enumerate([1000, 2000, 3000, 4000, 5000, 6000, 7000, 8000, 9000, 9999, 999_983, 2])]
+    rows = spark.createDataFrame([*many, (90, "p", "r", "x", "2/3", "held", None, None), (91, "q", "r", "x", "1/9007199254740993", "held", None, None), (92, "q", "r", "y", "1/1", "held", None, None)], "seq int, place_id string, right_type string, holder_id string, share string, status string, from_year int, to_year int")
+    from fractions import Fraction
+
+    total = sum(Fraction(r[4]) for r in many) + Fraction(2, 3)
+    got = {r.place_id: r.total for r in validate.share_sums(rows, 1600, 1601).collect()}
+    assert got == {"p": f"{total.numerator}/{total.denominator}", "q": "9007199254740994/9007199254740993"}
+
+
+def test_lines_in_a_row_that_look_like_books(spark):
+    from cadastra.operators import book
+
+    lines = ["LIVRE PREMIER", "LIVRE II", "LIVRE III", "Its subtitle", "Chapitre V. Title", "I. One .... 3", "LIVRE II", "Sub", "Chapitre I. Other", "II. Two .... 5"]
+    got = book.parse_toc(spark.createDataFrame([(1, i, t) for i, t in enumerate(lines)], "book_id int, nth int, text string")).orderBy("nth").collect()
+    assert [(r.livre, r.chapter, r.number, r.title, r.page) for r in got] == [(3, 5, 1, "One", 3), (2, 1, 2, "Two", 5)]
