@@ -67,8 +67,10 @@ def shaped(sizes, seed=2):
     return rows
 
 
-@pytest.mark.parametrize("levels", [1, 2, 3])
-@pytest.mark.parametrize("sizes", [{"a": 1}, {None: 1, "": 1, "-": 1}, {"big": 700, None: 17, "é": 16, "a": 1, "=": 33}, {f"s{i}": 1 + i % 3 for i in range(40)}])
+BIG = {"big": 700, None: 17, "é": 16, "a": 1, "=": 33}
+
+
+@pytest.mark.parametrize("sizes, levels", [({"a": 1}, 2), ({None: 1, "": 1, "-": 1}, 1), (BIG, 1), (BIG, 2), (BIG, 3), ({f"s{i}": 1 + i % 3 for i in range(40)}, 3)])
 def test_against_plain_trees(spark, monkeypatch, sizes, levels):
     rows = shaped(sizes)
     rows.append(rows[0])
