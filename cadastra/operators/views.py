@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cadastra.functions import text as tx
 from cadastra.operators import fuzzy
 from cadastra.operators.hierarchy import hierarchy_of
-from cadastra.operators.shared import numbered
+from cadastra.operators.shared import numbered, stored
 
 
 def disputes_view(disputes: DataFrame, names: DataFrame) -> DataFrame:
@@ -20,13 +20,17 @@ def disputes_view(disputes: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def locale_ordered(rows: DataFrame, name: Column, ties: list[str]) -> DataFrame:
-    """rows with nth, their place in the order of a name under the root collation. They are sorted by ranges; a part's place is the sizes of those before it and its own."""
-    ordered = rows.withColumn("_name", F.collate(name, "UNICODE")).orderBy("_name", *ties).withColumn("_at", F.monotonically_increasing_id())
+    """rows with nth, their place in the order of a name under the root collation. They are sorted by ranges; a part's place is the sizes of those before it and its own.
+
+    The sorted rows are stored, so that a row is in one and the same part when parts are counted and when rows are numbered.
+    """
+    ordered = rows.withColumn("_name", F.collate(name, "UNICODE")).orderBy("_name", *ties).drop("_name")
+    ordered = stored(ordered.withColumn("_at", F.monotonically_increasing_id()), "ordered")
     part = F.shiftright("_at", 33)
     ordered = ordered.withColumn("_part", part).withColumn("_in", F.col("_at").bitwiseAND((1 << 33) - 1))
     counts = ordered.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a part
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return ordered.join(before, "_part").withColumn("nth", F.col("_before") + F.col("_in") + 1).drop("_name", "_at", "_part", "_in", "_before")
+    return ordered.join(before, "_part").withColumn("nth", F.col("_before") + F.col("_in") + 1).drop("_at", "_part", "_in", "_before")
 
 
 def place_panel(force: DataFrame, near: DataFrame, memberships: DataFrame, members: DataFrame, place: str) -> DataFrame:
