@@ -7,6 +7,9 @@ at the end: only the inner graph is walked.
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,15 +73,21 @@ def ancestors(edges: DataFrame) -> DataFrame:
 def members(edges: DataFrame, places: DataFrame, no_land: tuple[str, ...] = ()) -> DataFrame:
     """year, territory, settlement: the settlements under each territory; a settlement ends the way down.
 
-    Settlements of a type in no_land are walked through like territories.
+    Settlements of a type in no_land are walked through like territories. A settlement's parents come together in one
+    row first; only in a year in which it has several may two of them lead to one territory.
     """
     kinds = places.select("id", ((F.col("kind") == "settlement") & ~F.col("place_type").isin(*no_land, "")).alias("lands"))
     down = edges.join(kinds.withColumnRenamed("id", "child_id"), "child_id")
     inner = down.filter("not lands").select("year", "child_id", "parent_id", "pos")
     over = stored(_walk(inner), "members-inner").select("year", F.col("id").alias("parent_id"), F.col("ancestor").alias("territory"))
-    direct = down.filter("lands").select("year", "parent_id", F.col("child_id").alias("settlement"))
-    deep = direct.join(over, ["year", "parent_id"]).select("year", "territory", "settlement")
-    return direct.withColumnRenamed("parent_id", "territory").unionByName(deep).distinct()
+    every = over.unionByName(down.filter("lands").select("year", "parent_id", F.col("parent_id").alias("territory")).distinct())
+    every = stored(every, "members-over")
+    own = down.filter("lands").groupBy(F.col("child_id").alias("settlement")).agg(F.collect_set(F.struct("year", "parent_id")).alias("own"))
+    several = lambda e: F.size(F.filter("own", lambda o: o["year"] == e["year"])) > 1
+    marked = F.transform("own", lambda e: F.struct(e["year"].alias("year"), e["parent_id"].alias("parent_id"), several(e).alias("several")))
+    direct = stored(own.select("settlement", F.explode(marked).alias("e")).select("settlement", "e.*"), "members-direct")
+    found = lambda rows: rows.join(every, ["year", "parent_id"]).select("year", "territory", "settlement")
+    return found(direct.where("not several")).unionByName(found(direct.where("several")).distinct())
 
 
 def _set_key(member: str) -> Column:
@@ -87,13 +96,46 @@ def _set_key(member: str) -> Column:
     return F.sha2(F.concat_ws("|", F.count(F.lit(1)).cast("string"), total(F.col(member)), total(F.lit(1), F.reverse(member), F.col(member))), 256)
 
 
-def versions(member_sets: DataFrame) -> DataFrame:
-    """territory, from_year, to_year, members_key, n_members: runs of years with one set of members."""
+def _named_keys(member_sets: DataFrame) -> DataFrame:
+    """territory, year, members_key: the SHA-256 (hex) of each set's members in order, joined by a bar. Rows are read one after another in their order, so no task holds a set."""
+    keys = ["territory", "year", "settlement"]
+    rows = member_sets.select(*keys).repartition("territory", "year").sortWithinPartitions(*keys)
+
+    def hashed(batches):
+        at, digest = None, None
+        for batch in batches:
+            out = []
+            for territory, year, settlement in zip(*(batch.column(k).to_pylist() for k in keys), strict=True):
+                if (territory, year) != at:
+                    if at is not None:
+                        out.append((*at, digest.hexdigest()))
+                    at, digest = (territory, year), hashlib.sha256(settlement.encode())
+                else:
+                    digest.update(b"|" + settlement.encode())
+            yield pa.RecordBatch.from_pylist([dict(zip(names, row, strict=True)) for row in out], schema)
+        if at is not None:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, (*at, digest.hexdigest()), strict=True))], schema)
+
+    names = ["territory", "year", "members_key"]
+    schema = pa.schema([("territory", pa.string()), ("year", pa.int32()), ("members_key", pa.string())])
+    return rows.mapInArrow(hashed, "territory string, year int, members_key string")
+
+
+def versions(member_sets: DataFrame, named: bool = False) -> DataFrame:
+    """territory, from_year, to_year, members_key, n_members: runs of years with one set of members.
+
+    Sets are compared by keys from sums. named: members_key is the hash of the members' names in order instead, taken once a run.
+    """
     by_year = member_sets.groupBy("territory", "year").agg(F.count("*").alias("n_members"), _set_key("settlement").alias("members_key"))
     along = Window.partitionBy("territory").orderBy("year")
     same = (F.lag("members_key").over(along) == F.col("members_key")) & (F.lag("year").over(along) == F.col("year") - 1)
     run = F.sum(F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).over(along)
-    return by_year.withColumn("run", run).groupBy("territory", "run", "members_key", "n_members").agg(F.min("year").alias("from_year"), F.max("year").alias("to_year")).drop("run")
+    runs = by_year.withColumn("run", run).groupBy("territory", "run", "members_key", "n_members").agg(F.min("year").alias("from_year"), F.max("year").alias("to_year")).drop("run")
+    if not named:
+        return runs
+    runs = stored(runs.drop("members_key"), "versions")
+    first = runs.select("territory", F.col("from_year").alias("year"))
+    return runs.join(_named_keys(member_sets.join(first, ["territory", "year"])).withColumnRenamed("year", "from_year"), ["territory", "from_year"])
 
 
 def hierarchy_of(place_type):

@@ -152,10 +152,10 @@ def territory_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_sql(VIEWS, YEARS, EDGES, MEMBERS, """keyed AS (SELECT territory, year, count(*) AS n_members, sha256(string_agg(settlement, '|' ORDER BY settlement)) AS members_key FROM member_sets GROUP BY territory, year)""",
   """runs AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY territory ORDER BY year) AS run FROM (SELECT *, coalesce(lag(members_key) OVER w = members_key AND lag(year) OVER w = year - 1, false) AS same FROM keyed WINDOW w AS (PARTITION BY territory ORDER BY year)))""",
-  "SELECT territory, n_members, min(year) AS from_year, max(year) AS to_year FROM runs GROUP BY territory, run, members_key, n_members"))
+  "SELECT territory, members_key, n_members, min(year) AS from_year, max(year) AS to_year FROM runs GROUP BY territory, run, members_key, n_members"))
 def territory_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ds = from_tables(spark, sf_dir)
-    return tree.versions(tree.members(tree.edges_by_year(ds.memberships, FIRST, LAST), ds.places)).drop("members_key")
+    return tree.versions(tree.members(tree.edges_by_year(ds.memberships, FIRST, LAST), ds.places), named=True).select("territory", "members_key", "n_members", "from_year", "to_year")
 
 
 _FEUDAL = "(" + ", ".join(f"'{t}'" for t in tree.FEUDAL) + ")"
