@@ -93,13 +93,12 @@ def resolved(force: DataFrame, ancestors: DataFrame, places: DataFrame) -> DataF
     return _with_inherited(force, nearest, have, places)
 
 
-def resolved_by_edges(force: DataFrame, edges: DataFrame, places: DataFrame) -> DataFrame:
-    """As resolved(), from the memberships in force (year, child_id, parent_id, pos).
+def nearest_by_edges(have: DataFrame, edges: DataFrame, places: DataFrame) -> DataFrame:
+    """year, id, right_type, ancestor: the nearest above each place that has the right. have: KEY of the places that have one; edges: the memberships in force (year, child_id, parent_id, pos).
 
     The nearest that has a right is found once for each place with members; what has none takes it from its own
     parents. So rows are of a place and its parents, never of a place and all above it.
     """
-    have = force.select(*KEY).distinct()
     walked, outer = inner_ancestors(edges)
     inner = walked.join(have.withColumnRenamed("place_id", "ancestor"), ["year", "ancestor"])
     inner = stored(inner.groupBy("year", "id", "right_type").agg(F.min(F.struct("depth", "path", "ancestor")).alias("k")), "nearest")
@@ -110,8 +109,42 @@ def resolved_by_edges(force: DataFrame, edges: DataFrame, places: DataFrame) ->
     given = outer.join(at.unionByName(above.select(*at.columns)), ["year", "parent_id"])
     order = F.struct((F.col("depth") + 1).alias("depth"), F.concat(F.array("pos"), "path").alias("path"), "ancestor")
     leaves = given.groupBy("year", F.col("child_id").alias("id"), "right_type").agg(F.min(order).alias("k"))
-    nearest = inner.unionByName(leaves).select("year", "id", "right_type", "k.ancestor").join(places.select("id"), "id", "left_semi")
-    return _with_inherited(force, nearest, have, places)
+    return inner.unionByName(leaves).select("year", "id", "right_type", "k.ancestor").join(places.select("id"), "id", "left_semi")
+
+
+def resolved_by_edges(force: DataFrame, edges: DataFrame, places: DataFrame) -> DataFrame:
+    """As resolved(), from the memberships in force."""
+    have = force.select(*KEY).distinct()
+    return _with_inherited(force, nearest_by_edges(have, edges, places), have, places)
+
+
+def summarised_by_edges(force: DataFrame, edges: DataFrame, places: DataFrame, entities: DataFrame) -> DataFrame:
+    """summarised() of what resolved_by_edges() gives, by KEY and inherited_from.
+
+    A place that inherits has its ancestor's summary, so the ancestor's rows are summed up once and not sent to each place.
+    """
+    own = stored(summarised(force, entities, KEY), "summaries")
+    have = own.select(*KEY)
+    return _with_inherited(own, nearest_by_edges(have, edges, places), have, places)
+
+
+def timeline_by_edges(force: DataFrame, edges: DataFrame, places: DataFrame) -> DataFrame:
+    """timeline() of what resolved_by_edges() gives.
+
+    The runs of an ancestor's rows are found once; a place that inherits has their overlaps with the runs of years in
+    which it inherits from there. Both are as long as can be, so their overlaps are too.
+    """
+    same = ["right_type", "holder_id", "status", "share", "is_disputed"]
+    runs = stored(runs_of_years(force, ["place_id", *same]), "runs")
+    have = stored(force.select(*KEY).distinct(), "have")
+    nearest = nearest_by_edges(have, edges, places).withColumnRenamed("id", "place_id").join(have, KEY, "left_anti")
+    spans = stored(runs_of_years(nearest, ["place_id", "right_type", "ancestor"]), "spans").withColumnsRenamed({"from_run": "first", "to_run": "last"})
+    columns = ["place_id", "right_type", "holder_id", "status", "share", "inherited_from", "is_disputed", "from_run", "to_run"]
+    own = runs.join(places.select(F.col("id").alias("place_id")), "place_id", "left_semi").withColumn("inherited_from", F.lit(None).cast("string"))
+    source = runs.withColumnRenamed("place_id", "ancestor").join(spans.select("ancestor").distinct(), "ancestor", "left_semi")
+    above = spans.join(stored(source, "runs-above"), ["ancestor", "right_type"]).where("from_run <= last and first <= to_run")
+    above = above.withColumns({"from_run": F.greatest("from_run", "first"), "to_run": F.least("to_run", "last")}).withColumnRenamed("ancestor", "inherited_from")
+    return own.select(*columns).unionByName(above.select(*columns))
 
 
 def _with_inherited(force: DataFrame, nearest: DataFrame, have: DataFrame, places: DataFrame) -> DataFrame:

@@ -108,16 +108,17 @@ def contested_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.contested(from_tables(spark, sf_dir).memberships, PLACE, YEAR)
 
 
-def _resolved(spark, sf_dir, first, last):
+def _of_one_right(spark, sf_dir, first, last):
+    """The dataset, its rows of one right in force in these years, and the memberships."""
     ds = from_tables(spark, sf_dir)
     rights = ds.rights.filter(F.col("right_type") == RIGHT)
-    return ds, snap.resolved_by_edges(snap.snapshot_years(rights, first, last), tree.edges_by_year(ds.memberships, first, last), ds.places)
+    return ds, snap.snapshot_years(rights, first, last), tree.edges_by_year(ds.memberships, first, last)
 
 
 @query(_sql(VIEWS, ONE_YEAR, ONE_RIGHT, FORCE, EDGES, CLOSURE, RANKS, RESOLVED, SUMMARY, "SELECT * FROM summary"))
 def resolve_right_inherited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ds, found = _resolved(spark, sf_dir, YEAR, YEAR)
-    return snap.summarised(found, ds.entities, [*snap.KEY, "inherited_from"])
+    ds, force, edges = _of_one_right(spark, sf_dir, YEAR, YEAR)
+    return snap.summarised_by_edges(force, edges, ds.places, ds.entities).select(*snap.KEY, "inherited_from", "primary_holder", "shared", "contested", "n_rows")
 
 
 TIMELINE = """runs AS (SELECT *, year - row_number() OVER (PARTITION BY place_id, right_type, holder_id, status, share, inherited_from, is_disputed ORDER BY year) AS island
@@ -126,7 +127,8 @@ TIMELINE = """runs AS (SELECT *, year - row_number() OVER (PARTITION BY place_id
 
 @query(_sql(VIEWS, YEARS, ONE_RIGHT, FORCE, EDGES, CLOSURE, RESOLVED, TIMELINE, "SELECT place_id, right_type, holder_id, status, share, inherited_from, is_disputed, min(year) AS from_run, max(year) AS to_run FROM runs GROUP BY place_id, right_type, holder_id, status, share, inherited_from, is_disputed, island"))
 def timeline_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snap.timeline(_resolved(spark, sf_dir, FIRST, LAST)[1])
+    ds, force, edges = _of_one_right(spark, sf_dir, FIRST, LAST)
+    return snap.timeline_by_edges(force, edges, ds.places)
 
 
 @query(_sql(VIEWS, ONE_YEAR, ACTIVE, FORCE, """SELECT year, place_id, right_type, string_agg(holder_id || ':' || status, '|' ORDER BY seq) AS parties,
@@ -204,8 +206,8 @@ def top_holders(spark: SparkSession, sf_dir: str) -> DataFrame:
   """banded AS (SELECT *, row_number() OVER (ORDER BY rank) <= 3 AS top FROM counted)""", """ordered AS (SELECT *, row_number() OVER (PARTITION BY top ORDER BY n DESC, rank) AS nth FROM banded)""",
   """SELECT 'top' AS band, holder_id, n FROM banded WHERE top UNION ALL SELECT 'other', holder_id, n FROM ordered WHERE NOT top AND nth <= 8 UNION ALL SELECT 'rest', NULL, coalesce(sum(n), 0)::bigint FROM ordered WHERE NOT top AND nth > 8"""))
 def legend_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ds, found = _resolved(spark, sf_dir, YEAR, YEAR)
-    return agg.legend(snap.summarised(found, ds.entities, [*snap.KEY, "inherited_from"]), ds.entities)
+    ds, force, edges = _of_one_right(spark, sf_dir, YEAR, YEAR)
+    return agg.legend(snap.summarised_by_edges(force, edges, ds.places, ds.entities), ds.entities)
 
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
