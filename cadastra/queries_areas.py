@@ -46,7 +46,7 @@ def dissolved_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _areas(spark: SparkSession, sf_dir: str, first: int, last: int) -> tuple[DataFrame, DataFrame]:
-    """The areas of all territories in these years, and the cells."""
+    """The areas of all territories in these years, and km2, what their distinct cells have together at the start of each run of years."""
     ds = from_tables(spark, sf_dir)
     located = ds.places.where("kind = 'settlement' and lat is not null")
     point = [F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon")]
@@ -55,7 +55,9 @@ def _areas(spark: SparkSession, sf_dir: str, first: int, last: int) -> tuple[Dat
     cell_of = located.select(F.col("id").alias("settlement"), *point).join(owners, ["lat", "lon"]).select("settlement", F.col("owner").alias("id"))
     members = area.stored(tree.members(tree.edges_by_year(ds.memberships, first, last), ds.places).join(located.select(F.col("id").alias("settlement")), "settlement", "left_semi"), "members")
     versions = area.stored(tree.versions(members), "versions")
-    return area.territory_areas(cells, members, cell_of, versions, RADIUS_M), cells
+    own = members.withColumnRenamed("year", "from_year").join(versions.select("territory", "from_year"), ["territory", "from_year"]).join(cell_of, "settlement")
+    sums = own.select("territory", "from_year", "id").distinct().join(cells.select("id", "area_km2"), "id").groupBy("territory", "from_year").agg(F.sum("area_km2").alias("km2"))
+    return area.territory_areas(cells, members, cell_of, versions, RADIUS_M), sums
 
 
 def territory_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,10 +81,7 @@ marked AS (SELECT *, sum(CASE WHEN before IS NOT DISTINCT FROM key AND last = ye
 SELECT territory AS id, min(year)::int AS from_year, max(year)::int AS to_year, any_value(n) AS settlements, true AS same_area, true AS whole FROM marked GROUP BY territory, run""")
 def territory_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each polygon has the area of its members' cells together, and whether its rims and holes make up all of it."""
-    found, cells = _areas(spark, sf_dir, FIRST, LAST)
-    ds = from_tables(spark, sf_dir)
-    members = tree.members(tree.edges_by_year(ds.memberships, FIRST, LAST), ds.places).join(cells.select(F.col("id").alias("settlement"), "area_km2"), "settlement")
-    sums = members.groupBy("territory", F.col("year").alias("from_year")).agg(F.sum("area_km2").alias("km2"))
+    found, sums = _areas(spark, sf_dir, FIRST, LAST)
     rings = F.flatten("parts")
     parts = F.aggregate(rings, F.lit(0.0), lambda s, r: s + area.signed_area(r))
     rims = F.forall("parts", lambda p: (area.signed_area(p[0]) > 0) & F.forall(F.slice(p, 2, F.size(p)), lambda h: area.signed_area(h) < 0))

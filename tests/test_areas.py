@@ -92,3 +92,15 @@ def test_cells_share_their_corners(n, spread):
     rim = [(a, b) for a, b in edges if (b, a) not in edges]
     assert sorted(a for a, _ in rim) == sorted(b for _, b in rim)
     assert math.isclose(total, sum(a[0] * b[1] - b[0] * a[1] for a, b in rim) / 2, rel_tol=1e-6)
+
+
+def test_places_that_share_a_point_share_its_cell(spark, tmp_path):
+    from cadastra import queries as core
+
+    for name in ("nation", "region", "orders"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    some = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").where("c_custkey < 6")
+    again = some.withColumns({"c_custkey": F.col("c_custkey") + 58000, "c_nationkey": (F.col("c_nationkey") + 3) % 25})  # points come again after 58,000 keys
+    some.union(again).write.parquet(f"{tmp_path}/customer.parquet")
+    found = core.QUERIES["territory_polygons"](spark, str(tmp_path)).collect()
+    assert found and all(r.same_area and r.whole for r in found)
