@@ -1,23 +1,26 @@
 """Places in an order that doesn't depend on how rows lie in partitions, and ties."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from cadastra.operators import textflow, views
 
 
-def test_places_count_each_row_once(spark):
+@pytest.mark.parametrize("names", [1_000_000, 7])
+def test_places_count_each_row_once(spark, names):
     settings = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k"}
     before = {k: spark.conf.get(k) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
     try:
         wide = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.sha2(F.concat("id", i.cast("string")), 256)), "")
-        rows = spark.range(4000).select(F.col("id").cast("string")).select("id", F.concat(F.lit("N"), F.lpad("id", 6, "0")).alias("name"), wide.alias("wide"))
+        rows = spark.range(4000).select(F.col("id").cast("string")).select("id", F.concat(F.lit("N"), F.lpad((F.col("id").cast("int") % names).cast("string"), 6, "0")).alias("name"), wide.alias("wide"))
         got = [(int(r.id), r.nth) for r in views.locale_ordered(rows, F.col("name"), ["id"]).collect()]
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
-    assert sorted(got) == [(i, i + 1) for i in range(4000)]
+    order = sorted(range(4000), key=lambda i: (i % names, str(i)))
+    assert sorted(got, key=lambda r: r[1]) == [(i, nth) for nth, i in enumerate(order, 1)]
 
 
 def test_blocks_at_one_height_go_by_their_text(spark):
