@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from cadastra.functions import text as tx
-from cadastra.operators.fuzzy import ratio
+from cadastra.operators.fuzzy import can_reach, ratio
 from cadastra.operators.shared import stored
 
 _PROVENANCE = "source_page:pages confidence:confidence notes:text"
@@ -181,13 +181,18 @@ def load_gazetteer(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     rows = stored(rows.withColumn("folded", tx.fold(F.col("name"))).withColumn("place", tx.fold(F.col("canton"))), "gazetteer")
     refers = (F.col("see") != "") & (F.col("pages") == "")
     entries = rows.filter(~refers)
-    first = entries.select(F.col("line").alias("first"), "folded", "dept_code", F.col("place").alias("first_place"))
-    pairs = entries.select("line", "folded", "dept_code", "place").join(first, ["folded", "dept_code"]).filter("first < line")
-    near = pairs.filter(ratio("first_place", "place") >= 0.8).select("line", "first")
-    # Only an entry that has no twin before it can be a twin; slips are few, so chains are short.
-    heads = entries.join(near, "line", "left_anti").select(F.col("line").alias("first"))
-    twin = near.join(heads, "first").groupBy("line").agg(F.min("first").alias("entry"))
-    entries = entries.join(twin, "line", "left").withColumn("entry", F.coalesce("entry", "line"))
+    # Only an entry that has no twin before it can be a twin. All that counts is in the different cantons of a name and
+    # the first line of each: a later line of one has its first one before it.
+    name = ["folded", "dept_code"]
+    cantons = stored(entries.groupBy(*name, "place").agg(F.min("line").alias("line")), "gazetteer-cantons")
+    others = cantons.select(*name, F.col("place").alias("other"), F.col("line").alias("first"))
+    pairs = cantons.join(others, name).where((F.col("other") != F.col("place")) & can_reach(F.col("other"), F.col("place"), 0.8))
+    near = stored(pairs.filter(ratio("other", "place") >= 0.8), "gazetteer-near")
+    own = [*name, "place"]
+    heads = stored(cantons.join(near.filter("first < line").select(*own), own, "left_anti"), "gazetteer-heads")
+    alike = near.select(*own, "first").join(heads.select(*name, F.col("line").alias("first")), [*name, "first"]).select(*own, "first")
+    twin = alike.unionByName(heads.select(*own, F.col("line").alias("first"))).groupBy(*own).agg(F.min("first").alias("entry"))
+    entries = entries.join(twin, own, "left").withColumn("entry", F.least("line", F.coalesce("entry", "line")))
     return entries.drop("folded", "place"), rows.filter(refers).drop("folded", "place")
 
 
