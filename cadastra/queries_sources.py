@@ -35,7 +35,7 @@ def _rights_file(spark, sf_dir) -> str:
     rows = rights.withColumns({"from_year": F.col("from_year") - 400, "to_year": F.col("to_year") - 400, "share": F.when(seq % 50 == 0, "half").otherwise(F.col("share")), "notes": F.when(seq % 9 == 0, F.concat(F.lit('a "note", of\nline '), seq.cast("string")))})
     columns = ["place_id", "right_type", "holder_id", "share", "status", "is_disputed", "disputed_with", "from_year", "to_year", "notes"]
     folder = _folder(spark)
-    export.as_table(rows.orderBy("seq"), columns).coalesce(1).write.csv(f"{folder}/rights.csv", header=True, quote='"', escape='"', emptyValue="")
+    export.as_table(rows.orderBy("seq"), columns).write.csv(f"{folder}/rights.csv", header=True, quote='"', escape='"', emptyValue="")
     return folder
 
 
@@ -64,7 +64,7 @@ def read_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/customer.parquet").orderBy("c_custkey")
     cell = lambda c: F.when(F.col("c_custkey") % 10 == 0, " ").otherwise(c)
     path = f"{_folder(spark)}/cells.csv"
-    rows.select(cell(F.col("c_custkey").cast("string")).alias("id"), cell(F.col("c_name")).alias("name"), F.lit("").alias("blank")).coalesce(1).write.csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="")
+    rows.select(cell(F.col("c_custkey").cast("string")).alias("id"), cell(F.col("c_name")).alias("name"), F.lit("").alias("blank")).write.csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="")
     return tables.read_cells(spark, path)
 
 
@@ -114,7 +114,7 @@ def gazetteer_file(spark, sf_dir) -> str:
     part.select(
         F.concat(F.upper(F.substring("p_name", 1, 1)), F.substring("p_name", 2, 200)).alias("name"), F.when(k % 3 == 0, F.concat(F.lit("V"), k.cast("string"))).otherwise("").alias("variants"), F.when(refers, "Elsewhere").otherwise("").alias("see"), F.lit("M.").alias("dept_code"),
         F.lit("Moselle").alias("department"), F.lit("FR").alias("country"), canton.alias("canton"), F.when(refers, "").otherwise(F.col("p_size").cast("string")).alias("pages"), F.lit("raw").alias("raw"),
-    ).coalesce(1).write.csv(path, header=True, emptyValue="")
+    ).write.csv(path, header=True, emptyValue="")
     return path
 
 

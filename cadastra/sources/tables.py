@@ -43,13 +43,20 @@ def exists(spark: SparkSession, path: str) -> bool:
 def read_cells(spark: SparkSession, path: str, columns: list[str] | None = None, sep: str = ",") -> DataFrame:
     """The rows of a CSV file that aren't blank, all cells as text, and line: the row's number in the file, where the header is 1.
 
-    A missing file gives no rows (columns names those of it). One file is one task: a cell may hold line ends.
+    path may be a folder of files, each with the header; their rows are numbered on from one to the next, by the files'
+    names. A missing file gives no rows (columns names those of it). One file is one task: a cell may hold line ends.
     """
     if not exists(spark, path):
         return spark.createDataFrame([], StructType([StructField(c, StringType()) for c in columns or []])).withColumn("line", F.lit(0).cast("long"))
     raw = spark.read.csv(path, header=True, sep=sep, multiLine=True, quote='"', escape='"', inferSchema=False, enforceSchema=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     cells = [c for c in raw.columns]
-    numbered = raw.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in cells], (F.monotonically_increasing_id() + 2).alias("line"))
+    # A file lies whole in one partition, so its rows have consecutive numbers there.
+    at = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
+    at = stored(at.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in cells], "_file", "_at"), "cells")
+    files = at.groupBy("_file").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_held"))  # a row a file
+    before = F.coalesce(F.sum("_held").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = files.select("_file", (before - F.col("_first") + 2).alias("_shift"))
+    numbered = at.join(files, "_file").select(*[f"`{c}`" for c in cells], (F.col("_at") + F.col("_shift")).alias("line"))
     return numbered.filter(F.concat_ws("", *[F.trim(F.col(f"`{c}`")) for c in cells]) != "")
 
 

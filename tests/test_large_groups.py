@@ -47,3 +47,10 @@ def test_gazetteer_compares_each_canton_once(spark, tmp_path, monkeypatch):
     asked = counted(spark, monkeypatch, tables)
     entries, _ = tables.load_gazetteer(spark, gazetteer(tmp_path / "g.csv", [("Neuville", "abcdefgh" if i % 2 else "abcdefgx") for i in range(2000)]))
     assert {r.entry for r in entries.collect()} == {2} and asked.value < 100
+
+
+def test_a_table_in_several_files_is_numbered_through(spark, tmp_path):
+    rows = spark.range(600).select("id", F.when(F.col("id") % 7 == 0, " ").otherwise(F.col("id").cast("string")).alias("a"), F.when(F.col("id") % 7 == 0, " ").otherwise('b "x",\ny').alias("b"))
+    rows.repartitionByRange(5, "id").sortWithinPartitions("id").select("a", "b").write.csv(str(tmp_path / "t.csv"), header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    got = tables.read_cells(spark, str(tmp_path / "t.csv"))
+    assert sorted((r.line, int(r.a)) for r in got.collect()) == [(i + 2, i) for i in range(600) if i % 7]
