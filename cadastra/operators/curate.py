@@ -96,13 +96,18 @@ def merge_overlapping(rows: DataFrame, keys: list[str], first: int, last: int, t
     and pools the others' pages; if rows have confidence, is_disputed, disputed_with (array) or the columns of texts,
     it takes the highest confidence, any dispute, all opponents and the first text that isn't empty. A key is one
     holder of one right at one place, with one status and share, or one membership. rows: keys, seq, from_year,
-    to_year, pages (array). The rows of a key are folded in one array; one exchange, no Python.
+    to_year, pages (array).
+
+    Rows of one period find the same kept row, so only a key's different periods are folded, by their first rows. A
+    period that doesn't overlap itself (one year, or turned round) and finds none stays a kept row for each of its rows:
+    no row kept later overlaps it, or that one would have gone into it.
     """
     more = [c for c in ("confidence", "is_disputed", "disputed_with", *texts) if c in rows.columns]
-    names = ["seq", "from_year", "to_year", "pages", *more]
     known = F.col("from_year").isNotNull().cast("int") + F.col("to_year").isNotNull().cast("int")
-    order = F.struct((-known).alias("o1"), (F.coalesce("from_year", F.lit(0)) if by_year else F.lit(0)).alias("o2"), F.col("seq").alias("o3"), F.struct(*names).alias("row"))
-    by = rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["row"]).alias("rows"))
+    order = F.struct((-known).alias("o1"), (F.coalesce("from_year", F.lit(0)) if by_year else F.lit(0)).alias("o2"), F.col("seq").alias("o3"))
+    periods = rows.groupBy(*keys, "from_year", "to_year").agg(F.min(order).alias("first"))
+    entry = F.struct("first", F.col("first.o3").alias("seq"), "from_year", "to_year")
+    by = periods.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("periods"))
 
     def overlap(a: Column, b: Column) -> Column:
         low = F.greatest(F.coalesce(a["from_year"], F.lit(first - 1)), F.coalesce(b["from_year"], F.lit(first - 1)))
@@ -110,21 +115,29 @@ def merge_overlapping(rows: DataFrame, keys: list[str], first: int, last: int, t
         hands_over = a["to_year"].eqNullSafe(b["from_year"]) | b["to_year"].eqNullSafe(a["from_year"])
         return (high >= low) & ~((high == low) & hands_over)
 
-    rank = lambda c: F.coalesce(F.array_position(F.array(*map(F.lit, CONFIDENCE)), c), F.lit(0))
+    def step(done: Column, p: Column) -> Column:
+        """done with p, and into: the kept period that it goes into, or its own, or null where each of its rows is kept."""
+        hit = F.get(F.filter(done, lambda k: k["keeps"] & overlap(k, p)), F.lit(0))["seq"]
+        return F.concat(done, F.array(F.struct(p["seq"].alias("seq"), p["from_year"].alias("from_year"), p["to_year"].alias("to_year"), hit.isNull().alias("keeps"), F.coalesce(hit, F.when(overlap(p, p), p["seq"])).alias("into"))))
+
+    none = F.transform(F.slice("periods", 1, 0), lambda p: F.struct(p["seq"].alias("seq"), p["from_year"].alias("from_year"), p["to_year"].alias("to_year"), F.lit(True).alias("keeps"), F.when(F.lit(False), p["seq"]).alias("into")))
+    into = by.select(*keys, F.explode(F.aggregate("periods", none, step)).alias("p")).select(*[F.col(k).alias("_" + k) for k in keys], F.col("p.from_year").alias("_from_year"), F.col("p.to_year").alias("_to_year"), F.col("p.into").alias("_into"))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col("_" + c)) for c in (*keys, "from_year", "to_year")])
+    rows = rows.join(into, same).withColumn("_into", F.coalesce("_into", "seq")).withColumn("_order", order)
+
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, CONFIDENCE)), F.col("confidence")), F.lit(0)) if "confidence" in more else None
+    all_of = lambda c: F.when(F.count(c) == F.count(F.lit(1)), F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))))
+    own = lambda c: F.min_by(c, "_order")
+    alone = F.count(F.lit(1)) == 1
     pooled = {
-        "pages": lambda a, b: F.array_sort(F.array_union(a, b)),
-        "confidence": lambda a, b: F.when(rank(b) > rank(a), b).otherwise(a),
-        "is_disputed": lambda a, b: a | b,
-        "disputed_with": lambda a, b: F.array_sort(F.array_union(a, b)),
-    } | {c: lambda a, b: F.coalesce(F.nullif(a, F.lit("")), b, a) for c in texts}
-
-    def step(kept: Column, row: Column) -> Column:
-        at = F.array_position(F.transform(kept, lambda k: overlap(k, row)), True)
-        merged = lambda k: F.struct(*[(pooled[c](k[c], row[c]) if c in pooled else k[c]).alias(c) for c in names])
-        return F.when(at > 0, F.transform(kept, lambda k, i: F.when(i + 1 == at, merged(k)).otherwise(k))).otherwise(F.concat(kept, F.array(row)))
-
-    kept = F.aggregate("rows", F.slice("rows", 1, 0), step)
-    return by.select(*keys, F.explode(kept).alias("row")).select(*keys, "row.*")
+        "pages": lambda: F.when(alone, own("pages")).otherwise(all_of("pages")),
+        "confidence": lambda: F.min_by("confidence", F.struct((-rank).alias("r"), "_order")),
+        "is_disputed": lambda: F.when(F.bool_or("is_disputed"), True).when(F.count("is_disputed") == F.count(F.lit(1)), False),
+        "disputed_with": lambda: F.when(alone, own("disputed_with")).otherwise(all_of("disputed_with")),
+    } | {c: lambda c=c: F.coalesce(F.min_by(c, F.when(F.col(c) != "", F.col("_order"))), F.min(c)) for c in texts}
+    values = [(pooled[c]() if c in pooled else own(c)).alias(c) for c in ("from_year", "to_year", "pages", *more)]
+    found = rows.groupBy(*keys, "_into").agg(*values)
+    return found.withColumnRenamed("_into", "seq").select(*keys, "seq", "from_year", "to_year", "pages", *more)
 
 
 def rekeyed(rows: DataFrame, keys: list[str], texts: list[str]) -> DataFrame:

@@ -2,12 +2,14 @@
 
 import csv
 import random
+import time
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from cadastra.operators import fuzzy
+from cadastra.operators import curate, fuzzy, geocode
 from cadastra.sources import tables
 
 
@@ -54,3 +56,67 @@ def test_a_table_in_several_files_is_numbered_through(spark, tmp_path):
     rows.repartitionByRange(5, "id").sortWithinPartitions("id").select("a", "b").write.csv(str(tmp_path / "t.csv"), header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     got = tables.read_cells(spark, str(tmp_path / "t.csv"))
     assert sorted((r.line, int(r.a)) for r in got.collect()) == [(i + 2, i) for i in range(600) if i % 7]
+
+
+@pytest.mark.parametrize("cutoff", [0.92, 0.8])
+def test_alike_pairs_are_those_of_all_pairs(spark, cutoff):
+    random.seed(7)
+
+    def changed(t):
+        for _ in range(random.randint(0, 4)):
+            i = random.randint(0, len(t))
+            t = random.choice([t[:i] + t[i + 1 :], t[:i] + random.choice("ab") + t[i:], t[:i] + random.choice("ab") + t[i + 1 :]])
+        return t
+
+    base = ["".join(random.choice("abcdef") for _ in range(n)) for n in (1, 2, 5, 9, 12, 13, 14, 19, 20, 21, 24, 30, 45) for _ in range(3)]
+    left, right = sorted({"", *(changed(t) for t in base * 3)}), sorted({"", *(changed(t) for t in base * 3)})
+    frame = lambda names, c: spark.createDataFrame([(n,) for n in names], f"{c} string")
+    got = fuzzy.alike_pairs(frame(left, "a"), frame(right, "b"), cutoff).collect()
+    want = {(a, b) for a in left for b in right if SequenceMatcher(None, a, b, False).ratio() >= cutoff}
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want) and max(len(a) for a, _ in want) > 30
+
+
+def test_spelling_matches_compare_few_pairs(spark, monkeypatch):
+    asked = counted(spark, monkeypatch, fuzzy)
+    k = F.col("k")
+    ids = spark.range(2000).select((F.col("id") + 10_000).alias("k"))
+    places = ids.select(k.alias("place_id"), F.lit("").alias("country"), F.lit(48.0).alias("alat"), F.lit(6.0).alias("alon"))
+    names = ids.select(k.alias("place_id"), F.concat(F.lit("name "), k.cast("string")).alias("folded"))
+    entries = ids.select(k.alias("geonameid"), F.lit("n").alias("name"), F.lit(48.01).alias("lat"), F.lit(6.01).alias("lon"), F.lit("FR").alias("country"), F.lit("P.PPL").alias("feature"), F.array(F.concat(F.lit("name "), (k * 10).cast("string"))).alias("names"))
+    got = {(r.place_id, r.geonameid) for r in geocode.gazetteer_matches(places, names, entries).collect()}
+    gone = lambda t: {t[:i] + t[i + 1 :] for i in range(len(t))}
+    numbers = {str(i * 10): i for i in range(10_000, 12_000)}
+    want = {p: min((e for n, e in numbers.items() if str(p) in gone(n)), default=None) for p in range(10_000, 12_000)}
+    assert got == {(p, e) for p, e in want.items() if e} and asked.value < 60_000
+
+
+def folded(rows, first, last):
+    """Rows of one key, one after another, each into the first kept one that it overlaps."""
+    kept = []
+    for row in sorted(rows, key=lambda r: (-(r[1] is not None) - (r[2] is not None), r[1] or 0, r[0])):
+        for k in kept:
+            low, high = (max(first - 1 if x is None else x for x in (k[1], row[1]))), (min(last + 1 if x is None else x for x in (k[2], row[2])))
+            if high >= low and not (high == low and (k[2] == row[1] or row[2] == k[1])):
+                k[3], k[4] = sorted(set(k[3]) | set(row[3])), (k[4] or (row[4] if row[4] is not None else k[4]))
+                break
+        else:
+            kept.append([*row])
+    return {(*k[:3], tuple(k[3]), k[4]) for k in kept}
+
+
+def test_merged_periods_are_those_of_a_fold(spark):
+    random.seed(11)
+    year = lambda: random.choice([None, 1600, 1601, 1602, 1603, 1605])
+    rows = [(i, year(), year(), [random.randint(1, 9)] * random.randint(1, 2), random.choice([None, "", "x", "y"])) for i in range(400)]
+    key = {r[0]: random.choice(["p", "q", "r", None]) for r in rows}
+    frame = spark.createDataFrame([(key[r[0]], *r) for r in rows], "place string, seq long, from_year int, to_year int, pages array<int>, notes string")
+    got = curate.merge_overlapping(frame, ["place"], 1600, 1605, ("notes",)).collect()
+    want = {(p, *row) for p in ("p", "q", "r", None) for row in folded([r for r in rows if key[r[0]] == p], 1600, 1605)}
+    assert {(r.place, r.seq, r.from_year, r.to_year, tuple(r.pages), r.notes) for r in got} == want and len(got) == len(want)
+
+
+def test_many_rows_of_one_year_are_not_compared_with_each_other(spark):
+    n = 60_000
+    rows = spark.range(n).select(F.lit("p").alias("place"), F.col("id").alias("seq"), F.lit(1601).alias("from_year"), F.lit(1601).alias("to_year"), F.array(F.lit(1)).alias("pages"))
+    began = time.time()
+    assert curate.merge_overlapping(rows, ["place"], 1600, 1605).count() == n and time.time() - began < 60  # a fold of the rows takes n * n / 2 comparisons
