@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cadastra.functions import text as tx
 from cadastra.functions.geo import km
-from cadastra.operators.fuzzy import can_reach, ratio
+from cadastra.operators.fuzzy import alike_pairs, ratio
 from cadastra.operators.shared import numbered, stored
 
 FAR_KM, NEAR_KM, RIVAL_KM, CONTEXT_KM = 25.0, 25.0, 3.0, 35.0
@@ -76,10 +76,12 @@ def gazetteer_matches(places: DataFrame, names: DataFrame, entries: DataFrame, c
     cell = lambda c, s: F.floor(F.col(c) / s)
     step = F.explode(F.sequence(F.lit(-1), F.lit(1)))
     asks = left.join(names, "place_id").withColumn("dy", step).withColumn("dx", step).withColumn("cy", cell("alat", high) + F.col("dy")).withColumn("cx", cell("alon", wide) + F.col("dx")).withColumn("initial", F.substring("folded", 1, 1)).filter("initial <> ''").withColumnRenamed("folded", "asked")
-    near = asks.join(flat.withColumn("cy", cell("glat", high)).withColumn("cx", cell("glon", wide)).withColumn("initial", F.substring("folded", 1, 1)), ["cy", "cx", "initial"]).filter(right & (apart <= NEAR_KM))
     squeeze = lambda c: F.regexp_replace(c, "[ -]", "")
-    near = near.withColumn("a", squeeze("asked")).withColumn("b", squeeze("folded")).filter(can_reach(F.col("a"), F.col("b"), cutoff))
-    near = near.select("place_id", "geonameid", "gname", "glat", "glon", "a", "b").distinct().withColumn("ratio", ratio("a", "b")).filter(F.col("ratio") >= cutoff)
+    # Texts meet first, each pair once, and only those alike meet the places and entries that have them.
+    asks, flat = stored(asks.withColumn("a", squeeze("asked")), "asks"), flat.withColumn("b", squeeze("folded"))
+    alike = stored(alike_pairs(asks.select("a"), flat.select("b"), cutoff), "alike")
+    there = flat.withColumns({"cy": cell("glat", high), "cx": cell("glon", wide), "initial": F.substring("folded", 1, 1)})
+    near = asks.join(alike, "a").join(there, ["cy", "cx", "initial", "b"]).filter(right & (apart <= NEAR_KM))
     best = near.groupBy("place_id").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "geonameid", "gname", "glat", "glon")).alias("e"))
     note = F.format_string("geonames spelling match %s (%.2f)", F.col("e.gname"), -F.col("e.r"))
     fuzzy_ = best.select("place_id", "e.geonameid", "e.glat", "e.glon", F.lit("medium").alias("gconfidence"), note.alias("gnote"))
