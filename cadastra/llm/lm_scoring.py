@@ -19,8 +19,7 @@ on masked positions of all its texts; the copies are averaged by their number of
 positions, in steps, so no task and not the driver gathers more than a few. A
 position belongs to one of mask_every lots, by a hash of its word and its place
 in the text, and each round masks the next lot, so mask_every rounds use every
-position once. By default two of twelve lots are used, which is a cut in the
-network's training (not in the counts): see the README for what it costs.
+position once, as they do by default: two rounds of two lots.
 
 A score that is asked for doesn't depend on how rows are spread over tasks, but
 the network does: copies see what their task holds.
@@ -268,7 +267,7 @@ def _averaged(copies: DataFrame, groups: int) -> DataFrame:
     return copies.repartition(groups, F.col("part") % groups).sortWithinPartitions("part").mapInArrow(each, "part long, weight double, flat binary")
 
 
-def train(docs: DataFrame, words: Words, rounds: int = 2, mask_every: int = 12, batch: int = 1024) -> Network:
+def train(docs: DataFrame, words: Words, rounds: int = 2, mask_every: int = 2, batch: int = 1024) -> Network:
     spark = docs.sparkSession
     known, tasks = spark.sparkContext.broadcast(replace(words, counts=None)), int(spark.conf.get("spark.sql.shuffle.partitions"))
     network = Network(classes=len(words.whole))
