@@ -43,11 +43,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadastra.llm import lattice
-from cadastra.llm.common import Rolling, held, mix64, slices, text_bytes
+from cadastra.llm.common import Rolling, held, mix64, slices, text_bytes, tidied
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 _UNKNOWN = 1e-9
-_KNOWN = 150_000
+_KNOWN = 100_000
 _LEARNED = 10_000
 _K, _L = np.uint64(0xD1342543DE82EF95), np.uint64(0x9E3779B97F4A7C15)
 
@@ -385,7 +385,7 @@ def encode_samples(docs: DataFrame, k: int = 2, vocabulary: str = VOCABULARY, ke
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, decoder = held(f"sampler {vocabulary}", lambda: (Sampler(*shared.value), Decoder(*shared.value)))
         for batch in batches:
-            for part in slices(batch, "text", 1 << 19):
+            for part in slices(batch, "text", 1 << 18):
                 seeds = mix64(part.column("seed").to_numpy().view(np.uint64))
                 found = sampler.sample(part.column("text").to_pylist(), seeds, k)
                 count = np.array([len(f) for f in found])
@@ -407,7 +407,7 @@ def encode_samples(docs: DataFrame, k: int = 2, vocabulary: str = VOCABULARY, ke
 
     rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("seed"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(each, f"doc_id {kind}, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, lossless boolean, ids array<int>")
+    return rows.mapInArrow(tidied(each), f"doc_id {kind}, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, lossless boolean, ids array<int>")
 
 
 def decode(ids: Column, vocabulary: str = VOCABULARY) -> Column:
