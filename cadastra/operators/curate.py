@@ -54,10 +54,10 @@ def canonical(aliases: DataFrame) -> DataFrame:
     """
     links = stored(aliases.where("alias is not null and target is not null").groupBy("alias").agg(F.min("target").alias("target")), "aliases")
     found, running = _followed(links, links.count())
-    cycle = stored(running.select(F.col("at").alias("alias")).distinct().join(links.select("alias"), "alias", "left_semi"), "aliases-cycle")
+    cycle = stored(running.select(F.col("at").alias("alias")).distinct().join(links.select("alias").hint("merge"), "alias", "left_semi"), "aliases-cycle")
     if cycle.isEmpty():
         return found.select("alias", F.col("at").alias("canonical"))
-    cut = stored(links.join(cycle, "alias", "left_anti"), "aliases-cut")
+    cut = stored(links.join(cycle.hint("merge"), "alias", "left_anti"), "aliases-cut")
     ways, _ = _followed(cut, None)
     return ways.select("alias", F.col("at").alias("canonical")).unionByName(cycle.select("alias", F.col("alias").alias("canonical")))
 
@@ -66,7 +66,8 @@ def _followed(links: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame]
     """alias, at after following to the end, or for more than most steps; and the rows of those that had not ended before the last round."""
     state, steps = links.select("alias", F.col("target").alias("at")), 1
     while True:
-        onward = state.select(F.col("alias").alias("at"), F.col("at").alias("next"))
+        # Not by broadcast: the aliases of every round would go through the driver.
+        onward = state.select(F.col("alias").alias("at"), F.col("at").alias("next")).hint("merge")
         jumped = state.join(onward, "at", "left")
         state = stored(jumped.select("alias", F.coalesce("next", "at").alias("at"), F.col("next").isNotNull().alias("runs")), "aliases-at")
         steps *= 2

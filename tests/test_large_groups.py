@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cadastra.operators import curate, fuzzy, geocode
+from cadastra.operators import curate, fuzzy, geocode, shared
 from cadastra.sources import tables
 
 
@@ -120,3 +120,16 @@ def test_many_rows_of_one_year_are_not_compared_with_each_other(spark):
     rows = spark.range(n).select(F.lit("p").alias("place"), F.col("id").alias("seq"), F.lit(1601).alias("from_year"), F.lit(1601).alias("to_year"), F.array(F.lit(1)).alias("pages"))
     began = time.time()
     assert curate.merge_overlapping(rows, ["place"], 1600, 1605).count() == n and time.time() - began < 60  # a fold of the rows takes n * n / 2 comparisons
+
+
+def test_alias_chains_are_not_broadcast(spark, monkeypatch):
+    plans = []
+
+    def seen(df, name="table"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return shared.stored(df, name)
+
+    monkeypatch.setattr(curate, "stored", seen)
+    links = spark.range(200).select(F.concat(F.lit("a"), F.col("id").cast("string")).alias("alias"), F.concat(F.lit("a"), (F.col("id") + 1).cast("string")).alias("target"))
+    assert {r.canonical for r in curate.canonical(links.unionByName(spark.createDataFrame([("x", "x")], "alias string, target string"))).collect()} == {"a200", "x"}
+    assert len(plans) > 8 and not any("BroadcastHashJoin" in p for p in plans)
