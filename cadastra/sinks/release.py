@@ -10,13 +10,21 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
+from urllib.parse import quote
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadastra.sinks.export import as_table, content_version
 
 _POINTER = "CURRENT"
+#: What the table of the texts' names adds to their folder's name.
+_NAMES = "-names"
+_READ_CHARS = 1 << 22
 
 
 class Refused(ValueError):
@@ -64,16 +72,34 @@ class Release:
         self._add(name, as_table(rows, columns).select(F.to_json(F.array(*columns)).alias("line")), budget)
 
     def texts(self, name: str, texts: DataFrame, budget: int | None = None) -> None:
-        """texts: file, text. A text a file: each goes to a folder of its name, dealt out by name. Names may not repeat."""
+        """texts: file, text. A text a file, of that name; read_texts() finds them by a table beside them. Names may not repeat.
+
+        Tasks write the files, so nothing on the driver grows with their number. A task that is run again writes the same.
+        """
         twice = texts.groupBy("file").count().where("count > 1").limit(1).collect()
         if twice:
             raise Refused(f"{name}: two texts for {twice[0][0]}")
-        texts.select("file", F.coalesce("text", F.lit("")).alias("text")).repartition("file").write.partitionBy("file").text(f"{self.staging}/{name}", lineSep="\n")
-        self._add(name, texts.select(F.to_json(F.struct("file", "text")).alias("line")), budget)
-
-    def _add(self, name: str, lines: DataFrame, budget: int | None) -> None:
-        fs, place = _files(self.spark, f"{self.staging}/{name}")
-        size = fs.getContentSummary(place).getLength()
+        folder = _uri(self.spark, f"{self.staging}/{name}")
+
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            files, root = FileSystem.from_uri(folder)
+            files.create_dir(root, recursive=True)
+            for batch in batches:
+                for file, text in zip(batch["file"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                    with files.open_output_stream(f"{root}/{_file_name(file)}", compression=None) as out:
+                        out.write(text.encode())
+                sizes = pc.binary_length(batch["text"].cast(pa.binary())).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([batch["file"], sizes], names=["file", "bytes"])
+
+        whole = texts.select("file", F.coalesce("text", F.lit("")).alias("text"))
+        whole.mapInArrow(write, "file string, bytes long").write.parquet(f"{self.staging}/{name}{_NAMES}")
+        size = self.spark.read.schema("file string, bytes long").parquet(f"{self.staging}/{name}{_NAMES}").agg(F.sum("bytes")).first()[0]
+        self._add(name, texts.select(F.to_json(F.struct("file", "text")).alias("line")), budget, size or 0)
+
+    def _add(self, name: str, lines: DataFrame, budget: int | None, size: int | None = None) -> None:
+        if size is None:
+            fs, place = _files(self.spark, f"{self.staging}/{name}")
+            size = fs.getContentSummary(place).getLength()
         if budget is not None and size > budget:
             raise Refused(f"{name} has {size} bytes, more than {budget}")
         made = content_version(lines).first()
@@ -99,8 +125,25 @@ def released(spark: SparkSession, path: str) -> str | None:
 
 
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """file, text of what Release.texts() wrote."""
-    return spark.read.schema("value string, file string").text(folder, wholetext=True).select("file", F.regexp_replace("value", r"\n\z", "").alias("text"))
+    """file, text of what Release.texts() wrote: tasks share the names and open their files."""
+    place = _uri(spark, folder)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = FileSystem.from_uri(place)
+        for batch in batches:
+            names = batch["file"].to_pylist()
+            # So few texts at once as have some megabytes.
+            at, held, texts = 0, 0, []
+            for i, name in enumerate(names):
+                with files.open_input_stream(f"{root}/{_file_name(name)}", compression=None) as file:
+                    texts.append(file.read().decode())
+                held += len(texts[-1])
+                if held > _READ_CHARS or i == len(names) - 1:
+                    yield pa.RecordBatch.from_pydict({"file": pa.array(names[at : i + 1], pa.string()), "text": pa.array(texts, pa.string())})
+                    at, held, texts = i + 1, 0, []
+
+    names = spark.read.schema("file string, bytes long").parquet(f"{folder.rstrip('/')}{_NAMES}").select("file")
+    return names.repartition("file").mapInArrow(read, "file string, text string")
 
 
 def section_file(section_id: Column, title: Column, plain: Column) -> Column:
@@ -121,6 +164,19 @@ def _files(spark: SparkSession, path: str):
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
+def _uri(spark: SparkSession, path: str) -> str:
+    """The path as tasks open it, with its file system."""
+    fs, place = _files(spark, path)
+    whole = fs.makeQualified(place).toUri()
+    return whole.toString() if whole.getAuthority() else f"{whole.getScheme()}://{quote(whole.getPath())}"
+
+
+def _file_name(file: str) -> str:
+    """A text's name as that of its file: what would lead to another folder is escaped, and so are the names of folders themselves."""
+    safe = file.replace("%", "%25").replace("/", "%2F")
+    return safe.replace(".", "%2E") if safe in (".", "..") else safe
+
+
 def _put(spark: SparkSession, path: str, text: str) -> None:
     """A small file written at once over what is there."""
     fs, place = _files(spark, path)

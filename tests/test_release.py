@@ -46,3 +46,17 @@ def test_the_same_content_is_the_same_version(spark, tmp_path):
         versions.append(out.version)
         assert release.released(spark, str(tmp_path)).endswith(out.version)
     assert versions[0] == versions[1] != versions[2]
+
+
+def test_a_text_is_one_file_of_its_name(spark, tmp_path):
+    texts = spark.createDataFrame([("a.txt", "ä\n"), ("b/c%.txt", "two"), ("..", "")], "file string, text string")
+    with release.Release(spark, str(tmp_path)) as out:
+        out.texts("t", texts)
+    first = release.released(spark, str(tmp_path))
+    assert (tmp_path / out.version / "t" / "a.txt").read_bytes() == "ä\n".encode()
+    assert len(list((tmp_path / out.version / "t").iterdir())) == 3
+    assert sorted(map(tuple, release.read_texts(spark, f"{first}/t").collect())) == sorted(map(tuple, texts.collect()))
+    assert out.parts["t"]["bytes"] == 6
+    with pytest.raises(release.Refused, match="bytes"):
+        with release.Release(spark, str(tmp_path)) as out:
+            out.texts("t", texts, budget=5)
