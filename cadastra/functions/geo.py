@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import Column
@@ -80,19 +81,22 @@ def _on_rim(p: tuple, q: tuple, radius: float) -> tuple[tuple, tuple]:
     return (one, two) if (ax, ay) == tuple(p) else (two, one)
 
 
-def cell_ring(site: tuple, others: list[tuple], radius: float, corners: int = 96) -> list[tuple]:
+def cell_ring(site: tuple, others: Iterable[tuple], radius: float, corners: int = 96) -> list[tuple]:
     """Counter-clockwise ring of what lies within radius of site and nearer to it than to the others (nearest first).
 
-    What two cells share, corners between three sites and ends of the rim between two, are computed from those sites
+    others are taken only until one is too far to cut what is left, so they may be made as they are asked for. What two cells share, corners between three sites and ends of the rim between two, are computed from those sites
     alone, so neighbouring cells have the same corners to the last bit. The rim's own corners stand at fixed angles.
     """
     sx, sy = site
     # Corners and, for each, which site's edge leaves it (None: the square that the cell is cut from, outside the rim).
     w = 2 * radius
     shape: list[tuple] = [(sx - w, sy - w, None), (sx + w, sy - w, None), (sx + w, sy + w, None), (sx - w, sy + w, None)]
+    reach = math.inf
     for other in others:
         nx, ny = other[0] - sx, other[1] - sy
         half = (nx * nx + ny * ny) / 2
+        if half > reach:
+            break
         side = [(x - sx) * nx + (y - sy) * ny - half for x, y, _ in shape]
         if max(side) <= 0:
             continue
@@ -107,6 +111,8 @@ def cell_ring(site: tuple, others: list[tuple], radius: float, corners: int = 96
                 at = (x + (shape[j][0] - x) * t, y + (shape[j][1] - y) * t)
                 cut.append((*at, other if a <= 0 else edge))
         shape = cut
+        # A site at more than twice the way to the farthest corner cuts nothing, nor do those after it; a little more, for the digits.
+        reach = 2.000001 * max((x - sx) ** 2 + (y - sy) ** 2 for x, y, _ in shape)
     n = len(shape)
     exact = []
     for i, (x, y, edge) in enumerate(shape):

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadastra.functions.geo import thinned
-from cadastra.operators.shared import stored
+from cadastra.operators.shared import spread, stored
 
 _RINGS = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
 EDGE = ("x1", "y1", "x2", "y2")
@@ -153,17 +153,22 @@ def inside(points: DataFrame, edges: DataFrame, size: float, by: tuple[str, ...]
     gap = squares.where("following > cx + 1 and (left + n) % 2 = 1")
     whole = gap.select(*names, "cy", F.explode(F.sequence(F.col("cx") + 1, F.col("following") - 1)).alias("cx"))
 
-    points = points.withColumn("cx", cell(F.col("x"))).withColumn("cy", cell(F.col("y")))
-    at_once = points.join(whole, ["cy", "cx", *by]).select("point", "shape")
-    near = points.join(squares.select(*names, "cy", "cx", "left"), ["cy", "cx", *by]).join(held, [*names, "cy", "cx"])
-    # To the left of the point's foot on the line, and between the point and its foot.
-    foot = F.coalesce((F.col("crossing") < F.col("x")).cast("int"), F.lit(0))
-    over = (F.col("x1") < F.col("x")) != (F.col("x2") < F.col("x"))  # what lies at x is to the right of it, as in foot
-    y = F.col("y1") + (F.col("x") - F.col("x1")) * (F.col("y2") - F.col("y1")) / F.when(over, F.col("x2") - F.col("x1"))
-    mid = line(F.col("cy"))
-    between = over & ((y <= F.col("y")) != (y <= mid))
-    count = F.sum(foot + F.coalesce(between.cast("int"), F.lit(0)))
-    close = near.groupBy("point", "shape").agg(((count + F.max("left")) % 2).alias("odd")).where("odd = 1").select("point", "shape")
+    # Points go once to their square, where a shape's edges lie together, so what a point meets is neither sent nor sorted.
+    points = spread(stored(points.withColumn("cx", cell(F.col("x"))).withColumn("cy", cell(F.col("y"))), "inside-points"), "cy", "cx")
+    at_once = points.join(whole.hint("merge"), ["cy", "cx", *by]).select("point", "shape")
+    there = held.groupBy(*names, "cy", "cx").agg(F.collect_list(F.struct(*EDGE, "crossing")).alias("edges"))
+    there = there.join(squares.select(*names, "cy", "cx", "left"), [*names, "cy", "cx"])
+    near = points.join(there.hint("merge"), ["cy", "cx", *by])
+    x, y, mid = F.col("x"), F.col("y"), line(F.col("cy"))
+
+    def crossed(e: Column) -> Column:
+        """Whether the edge lies to the left of the point's foot on the line, and whether between the point and its foot."""
+        foot = F.coalesce((e["crossing"] < x).cast("int"), F.lit(0))
+        over = (e["x1"] < x) != (e["x2"] < x)  # what lies at x is to the right of it, as in foot
+        height = e["y1"] + (x - e["x1"]) * (e["y2"] - e["y1"]) / F.when(over, e["x2"] - e["x1"])
+        return foot + F.coalesce((over & ((height <= y) != (height <= mid))).cast("int"), F.lit(0))
+
+    close = near.where(F.aggregate("edges", F.col("left").cast("int"), lambda s, e: s + crossed(e)) % 2 == 1).select("point", "shape")
     return at_once.unionByName(close)
 
 
@@ -192,13 +197,12 @@ def polygons(rings: DataFrame, size: float) -> DataFrame:
     )
 
 
-def smallest_at(points: DataFrame, rings: DataFrame, settlements: DataFrame, size: float) -> DataFrame:
+def smallest_at(points: DataFrame, edges: DataFrame, settlements: DataFrame, size: float) -> DataFrame:
     """point, territory, settlements: of the territories that a point is in, the one with the fewest settlements, then the smallest id.
 
-    points: point, x, y; rings: territory and points, what assembled() gives; settlements: territory, settlements.
+    points: point, x, y; edges: territory and edges in any order, what boundary() gives, as no rings are needed; settlements: territory, settlements.
     """
-    edges = ring_edges(rings.select(F.col("territory").alias("shape"), F.transform("points", lambda p: F.array(p["x"], p["y"])).alias("ring")))
-    found = inside(points, edges, size).withColumnRenamed("shape", "territory").join(settlements, "territory")
+    found = inside(points, edges.withColumnRenamed("territory", "shape"), size).withColumnRenamed("shape", "territory").join(settlements, "territory")
     return found.groupBy("point").agg(F.min(F.struct("settlements", "territory")).alias("least")).select("point", "least.territory", "least.settlements")
 
 
@@ -217,15 +221,19 @@ def simplified(parts: DataFrame, tolerance: float) -> DataFrame:
     return parts.withColumn("parts", fewer("parts"))
 
 
+def territory_rings(cells: DataFrame, members: DataFrame, cell_of: DataFrame, versions: DataFrame) -> DataFrame:
+    """territory (structure of territory and from_year) and ring: the distinct cells of each territory's members at the start of each run of years."""
+    own = members.withColumnRenamed("year", "from_year").join(versions.select("territory", "from_year"), ["territory", "from_year"]).join(cell_of, "settlement")
+    key = F.struct("territory", "from_year")
+    return own.select(key.alias("territory"), "id").distinct().join(cells.select("id", "ring"), "id").select("territory", "ring")
+
+
 def territory_areas(cells: DataFrame, members: DataFrame, cell_of: DataFrame, versions: DataFrame, size: float) -> DataFrame:
     """territory, from_year, to_year, n_members, parts, area, n_parts, n_holes: a territory's area in each run of years with the same members.
 
     cells: id, ring; members: territory, year, settlement; cell_of: settlement, id, the cell that a settlement has or
     shares; versions: territory, from_year, to_year, n_members. Territories without cells have no rows.
     """
-    own = members.withColumnRenamed("year", "from_year").join(versions.select("territory", "from_year"), ["territory", "from_year"]).join(cell_of, "settlement")
-    key = F.struct("territory", "from_year")
-    rings = own.select(key.alias("territory"), "id").distinct().join(cells.select("id", "ring"), "id").select("territory", "ring")
-    found = polygons(assembled(boundary(rings)), size)
+    found = polygons(assembled(boundary(territory_rings(cells, members, cell_of, versions))), size)
     found = found.select("territory.territory", "territory.from_year", "parts", "area", "n_parts", "n_holes")
     return versions.select("territory", "from_year", "to_year", "n_members").join(found, ["territory", "from_year"])

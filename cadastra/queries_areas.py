@@ -45,8 +45,8 @@ def dissolved_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(edges.groupBy("territory").agg(F.count("*").alias("outline")), "territory").select("territory", "area", "n_parts", "n_holes", "outline")
 
 
-def _areas(spark: SparkSession, sf_dir: str, first: int, last: int) -> tuple[DataFrame, DataFrame]:
-    """The areas of all territories in these years, and km2, what their distinct cells have together at the start of each run of years."""
+def _cells(spark: SparkSession, sf_dir: str, first: int, last: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The cells, the members of all territories in these years, the cells of settlements, and the runs of years."""
     ds = from_tables(spark, sf_dir)
     located = ds.places.where("kind = 'settlement' and lat is not null")
     point = [F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon")]
@@ -54,7 +54,12 @@ def _areas(spark: SparkSession, sf_dir: str, first: int, last: int) -> tuple[Dat
     cells = area.stored(geo.cells(owners.withColumnRenamed("owner", "id"), RADIUS_M), "cells")
     cell_of = located.select(F.col("id").alias("settlement"), *point).join(owners, ["lat", "lon"]).select("settlement", F.col("owner").alias("id"))
     members = area.stored(tree.members(tree.edges_by_year(ds.memberships, first, last), ds.places).join(located.select(F.col("id").alias("settlement")), "settlement", "left_semi"), "members")
-    versions = area.stored(tree.versions(members), "versions")
+    return cells, members, cell_of, area.stored(tree.versions(members), "versions")
+
+
+def _areas(spark: SparkSession, sf_dir: str, first: int, last: int) -> tuple[DataFrame, DataFrame]:
+    """The areas of all territories in these years, and km2, what their distinct cells have together at the start of each run of years."""
+    cells, members, cell_of, versions = _cells(spark, sf_dir, first, last)
     own = members.withColumnRenamed("year", "from_year").join(versions.select("territory", "from_year"), ["territory", "from_year"]).join(cell_of, "settlement")
     sums = own.select("territory", "from_year", "id").distinct().join(cells.select("id", "area_km2"), "id").groupBy("territory", "from_year").agg(F.sum("area_km2").alias("km2"))
     return area.territory_areas(cells, members, cell_of, versions, RADIUS_M), sums
@@ -101,13 +106,15 @@ now AS (SELECT territory, settlement FROM members WHERE year = {YEAR}), counts A
 SELECT o_orderkey AS point, arg_min(territory, (settlements, territory)) AS territory, min(settlements) AS settlements FROM nearest JOIN now ON settlement = id JOIN counts USING (territory) WHERE d <= {RADIUS_M - RIM_M} GROUP BY o_orderkey""")
 def smallest_territory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The smallest territory at a point of each order. Points within the rim's coarseness are left out, as the twin knows circles only."""
-    found, _ = _areas(spark, sf_dir, YEAR, YEAR)
-    rings = area.stored(found.select("territory", F.explode(F.flatten("parts")).alias("points")), "rings-year")
+    cells, members, cell_of, versions = _cells(spark, sf_dir, YEAR, YEAR)
+    edges = area.boundary(area.territory_rings(cells, members, cell_of, versions)).withColumn("territory", F.col("territory.territory"))
     x, y = laea(F.col("lat"), F.col("lon"))
-    points = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("point"), *[F.expr(e).alias(c) for c, e in _POINT.items()]).select("point", x.alias("x"), y.alias("y"))
+    orders = area.spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("point")), "point")
+    points = area.stored(orders.select("point", *[F.expr(e.replace("o_orderkey", "point")).alias(c) for c, e in _POINT.items()]).select("point", x.alias("x"), y.alias("y")), "points")
     sites = from_tables(spark, sf_dir).places.where("lat is not null").select(F.col("id").alias("site"), x.alias("x"), y.alias("y"))
     inner = geo.nearest_in_plane(points, sites, RADIUS_M).where(F.col("metres") <= RADIUS_M - RIM_M)
-    return area.smallest_at(points, rings, found.select("territory", F.col("n_members").alias("settlements")), RADIUS_M).join(inner.select("point"), "point", "left_semi")
+    # Squares of two of the rim's edges, so that a point meets few edges however many cells there are.
+    return area.smallest_at(inner.join(points, "point").select("point", "x", "y"), edges, versions.select("territory", F.col("n_members").alias("settlements")), RADIUS_M / 8)
 
 
 query()(territory_features)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadastra.functions.geo import cell_ring, laea, lonlat
+from cadastra.operators import geometry
 from cadastra.operators import polygons as area
 from cadastra.sinks.export import feature
 
@@ -104,3 +105,28 @@ def test_places_that_share_a_point_share_its_cell(spark, tmp_path):
     some.union(again).write.parquet(f"{tmp_path}/customer.parquet")
     found = core.QUERIES["territory_polygons"](spark, str(tmp_path)).collect()
     assert found and all(r.same_area and r.whole for r in found)
+
+
+def test_a_cell_looks_no_farther_than_it_must():
+    def outward():
+        yield from ((1.0, 0.0), (0.0, 1.0), (-1.0, 0.0), (0.0, -1.0), (3.0, 3.0))
+        raise AssertionError("a site was asked for that can't cut the cell")
+
+    assert sorted(set(cell_ring((0.0, 0.0), outward(), 100.0))) == [(-0.5, -0.5), (-0.5, 0.5), (0.5, -0.5), (0.5, 0.5)]
+
+
+def test_crowded_cells_are_those_of_all_others(spark):
+    points = [(f"p{i:03}", 48.5 + random.Random(i).random() / 50, 6.0 + random.Random(-1 - i).random() / 50) for i in range(300)]
+    frame = spark.createDataFrame(points, "id string, lat double, lon double")
+    x, y = laea(F.col("lat"), F.col("lon"))
+    at = {r.id: (r.x, r.y) for r in frame.select("id", x.alias("x"), y.alias("y")).collect()}
+    for r in geometry.cells(frame, 500.0).collect():
+        others = sorted((p for i, p in at.items() if i != r.id), key=lambda p: math.dist(p, at[r.id]))
+        assert [tuple(p) for p in r.ring] == [tuple(round(c, 3) for c in p) for p in cell_ring(at[r.id], others, 500.0)], r.id
+
+
+def test_the_smallest_territory_needs_no_rings(spark):
+    edges = area.boundary(squares(spark, [("wide", 0, 0, 4), ("wide", 4, 0, 4), ("small", 3, 1, 2)]))
+    points = spark.createDataFrame([(1, 1.0, 1.5), (2, 4.0, 2.0), (3, 9.0, 1.0)], "point int, x double, y double")
+    sizes = spark.createDataFrame([("wide", 9), ("small", 2)], "territory string, settlements int")
+    assert sorted(map(tuple, area.smallest_at(points, edges, sizes, 1.0).collect())) == [(1, "wide", 9), (2, "small", 2)]
