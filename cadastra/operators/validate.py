@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cadastra.functions.temporal import is_handover, share_parts, touches
 from cadastra.operators.hierarchy import cycles
+from cadastra.operators.shared import spread, stored
 
 CONTESTED = ("claimed", "contested")
 
@@ -167,11 +168,15 @@ def event_mismatches(events: DataFrame, rights: DataFrame) -> DataFrame:
         side(moves.filter(F.col("from_holder").isNotNull()), "to_holder", "starts"),
         side(moves, "from_holder", "ends"),
     ])
-    near = lambda c: F.coalesce(F.abs(F.col(c) - F.col("year")) <= 1, F.lit(False))
-    fits = F.when(F.col("what") == "starts", near("from_year")).when(F.col("what") == "ends", near("to_year"))
-    fits = fits.otherwise((F.coalesce("from_year", F.lit(0)) <= F.col("year")) & (F.col("year") <= F.coalesce("to_year", F.lit(9999))))
-    joined = wanted.join(facts.withColumn("there", F.lit(True)), ["place_id", "right_type", "holder"], "left")
-    found = joined.groupBy("seq", "year", "place_id", "right_type", "holder", "what").agg(F.max(F.coalesce("there", F.lit(False))).alias("rows"), F.max(F.coalesce("there", F.lit(False)) & fits).alias("ok"))
+    # A holder's rows come together as their different periods, which years bound, so no change meets a row each.
+    key = ["place_id", "right_type", "holder"]
+    periods = spread(facts, *key).groupBy(*key).agg(F.collect_set(F.struct("from_year", "to_year")).alias("periods"))
+    near = lambda y: F.coalesce(F.abs(y - F.col("year")) <= 1, F.lit(False))
+    within = lambda p: (F.coalesce(p["from_year"], F.lit(0)) <= F.col("year")) & (F.col("year") <= F.coalesce(p["to_year"], F.lit(9999)))
+    fits = lambda p: F.when(F.col("what") == "starts", near(p["from_year"])).when(F.col("what") == "ends", near(p["to_year"])).otherwise(within(p))
+    joined = spread(stored(wanted, "changes"), *key).join(periods.hint("merge"), key, "left")
+    found = joined.withColumn("rows", F.col("periods").isNotNull()).withColumn("ok", F.when(F.col("rows"), F.exists("periods", fits)).otherwise(False))
+    found = found.filter("not ok").select("seq", "year", *key, "what", "rows", "ok").distinct()
     return issues(found.filter("not ok"), F.when(F.col("rows"), "warning").otherwise("info"), "events", "seq", F.concat("what", F.lit(": "), "holder", F.lit(" "), "right_type", F.lit(" at "), "place_id", F.lit(" in "), F.col("year").cast("string")))
 
 

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadastra.operators.shared import parts
+
 #: The years in which the test tables' facts lie.
 FIRST, LAST = 1995, 2001
 
@@ -74,5 +76,7 @@ def from_tables(spark: SparkSession, sf_dir: str) -> Dataset:
     rights = rights.withColumn("disputed_with", F.array_compact(F.array("opponent")))
     names = {n: table(n) for n in ("customer", "nation", "region")}
     swap = lambda sql: sql.format(string="string").replace("FROM customer", "FROM {customer}").replace("FROM nation", "FROM {nation}").replace("FROM region", "FROM {region}")
-    events = spark.sql(EVENTS.format(rights="SELECT * FROM {rights}"), rights=rights.drop("disputed_with", "opponent"))
+    # In as many parts as the rows need, since the events before one another are sought in order; rows are counted from the file's footer.
+    apart = rights.drop("disputed_with", "opponent").repartition(parts(table("orders")), "place_id", "right_type")
+    events = spark.sql(EVENTS.format(rights="SELECT * FROM {rights}"), rights=apart)
     return Dataset(spark.sql(swap(PLACES), **names), entities_of(rights), spark.sql(swap(MEMBERSHIPS), **names), rights, events)

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cadastra.operators import curate, fuzzy, geocode, geometry, shared, textflow
+from cadastra.operators import curate, fuzzy, geocode, geometry, shared, textflow, validate
 from cadastra.sources import tables
 
 
@@ -159,3 +159,12 @@ def test_windows_over_parts_that_grow(spark, monkeypatch):
     marks = spark.range(300).selectExpr("id div 3 as page", "id % 3 * 100 as y0", "id % 3 * 100 + 10 as y1")
     gaps = textflow.uncovered(spark.range(100).selectExpr("id as page", "0L as top", "1000L as bottom"), marks)
     assert gaps.rdd.getNumPartitions() >= 20 and gaps.count() == 300
+
+
+def test_changes_meet_a_holders_periods_and_no_rows(spark):
+    rights = spark.range(3000).selectExpr("id as seq", "'p' as place_id", "'toll' as right_type", "'h' as holder_id", "cast(1600 + id % 3 as int) as from_year", "if(id % 2 = 0, 1650, cast(null as int)) as to_year")
+    events = [(1, 1603, "p", "toll", None, "h"), (2, 1603, "p", "toll", "h", "h"), (3, 1604, "p", "toll", "x", "h"), (4, 1599, "p", "toll", None, "h"), (5, 1700, "p", "toll", "h", None), (5, 1700, "p", "toll", "h", None), (6, None, "p", "toll", None, "h"), (7, None, "q", "toll", None, "h")]
+    found = validate.event_mismatches(spark.createDataFrame(events, "seq int, year int, place_id string, right_type string, from_holder string, to_holder string"), rights)
+    got = sorted((r.level, r.row, (r.message or "").split(":")[0]) for r in found.collect())
+    assert got == [("info", "3", "ends"), ("info", "7", ""), ("warning", "2", "ends"), ("warning", "3", "starts"), ("warning", "4", "holds"), ("warning", "5", "ends")]
+    assert "collect_set" in found._jdf.queryExecution().optimizedPlan().toString()
