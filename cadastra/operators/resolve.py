@@ -16,7 +16,7 @@ from cadastra.functions import text as tx
 from cadastra.operators import fuzzy
 from cadastra.operators.aggregates import first_seen_mode
 from cadastra.operators.curate import scoped_alias
-from cadastra.operators.shared import stored
+from cadastra.operators.shared import parts, stored
 
 
 def index_names(entries: DataFrame, references: DataFrame) -> DataFrame:
@@ -151,24 +151,30 @@ def split_memberships(memberships: DataFrame, realms: DataFrame, places: DataFra
     place_type.
     """
     columns = ["child_id", "parent_id", "from_year", "to_year", "pages"]
-    rows = memberships.select(*columns)
-    pair = realms.select("admin", "feudal").distinct()
-    settled = places.filter("kind = 'settlement'").select(F.col("id").alias("child_id"))
+    rows = stored(memberships.select(*columns), "memberships")
+    # In as many parts as the rows need, not as few as their compressed bytes make.
+    apart = lambda df, *by: df.repartition(n_parts, *by)
+    n_parts = parts(rows)
+    # The realms are a short list made by hand; without the hint the memberships that meet them may be sent instead.
+    pair = F.broadcast(realms.select("admin", "feudal").distinct())
+    # What grows with the places meets by merge: Spark would send it through the driver as long as its compressed bytes look few.
+    settled = apart(places.filter("kind = 'settlement'").select(F.col("id").alias("child_id")), "child_id").hint("merge")
     fiefs = places.filter(F.col("place_type").isin(*feudal_types)).select(F.col("id").alias("parent_id"))
     in_fief = rows.join(fiefs, "parent_id", "left_semi").select("child_id", F.col("parent_id").alias("fief")).distinct()
     of_fief = rows.join(pair.withColumnRenamed("feudal", "parent_id"), "parent_id").join(settled, "child_id", "left_semi")
     to_office = of_fief.select("child_id", F.col("admin").alias("parent_id"), "from_year", "to_year", "pages")
     of_office = rows.join(pair.withColumnRenamed("admin", "parent_id"), "parent_id").join(settled, "child_id", "left_semi")
-    elsewhere = of_office.select("child_id", "feudal").join(in_fief, "child_id").filter("fief <> feudal").select("child_id", "feudal").distinct()
-    to_fief = of_office.join(elsewhere, ["child_id", "feudal"], "left_anti").select("child_id", F.col("feudal").alias("parent_id"), "from_year", "to_year", "pages")
+    elsewhere = of_office.select("child_id", "feudal").join(in_fief.hint("merge"), "child_id").filter("fief <> feudal").select("child_id", "feudal").distinct()
+    to_fief = of_office.join(elsewhere.hint("merge"), ["child_id", "feudal"], "left_anti").select("child_id", F.col("feudal").alias("parent_id"), "from_year", "to_year", "pages")
     top = places.filter(F.col("place_type") == top_type).select(F.col("id").alias("parent_id"))
     moved = rows.join(top, "parent_id", "left_semi").join(pair.withColumnRenamed("feudal", "child_id"), "child_id")
     lifted = moved.select(F.col("admin").alias("child_id"), "parent_id", "from_year", "to_year", "pages")
-    stay = rows.join(moved.select("child_id", "parent_id").distinct(), ["child_id", "parent_id"], "left_anti").select(*columns)
+    stay = rows.join(moved.select("child_id", "parent_id").distinct().hint("merge"), ["child_id", "parent_id"], "left_anti").select(*columns)
     cited = rows.select(F.explode(F.array_distinct(F.array("child_id", "parent_id"))).alias("feudal"), F.explode("pages").alias("page")).groupBy("feudal").agg(F.array_sort(F.collect_set("page")).alias("pages"))
-    lies = pair.join(cited, "feudal", "left").select(F.col("feudal").alias("child_id"), F.col("admin").alias("parent_id"), F.lit(None).cast("int").alias("from_year"), F.lit(None).cast("int").alias("to_year"), F.coalesce("pages", F.array().cast("array<int>")).alias("pages"))
+    lies = pair.join(cited.hint("merge"), "feudal", "left").select(F.col("feudal").alias("child_id"), F.col("admin").alias("parent_id"), F.lit(None).cast("int").alias("from_year"), F.lit(None).cast("int").alias("to_year"), F.coalesce("pages", F.array().cast("array<int>")).alias("pages"))
     added = to_office.unionByName(to_fief).unionByName(lifted).unionByName(lies)
-    added = added.join(rows.select("child_id", "parent_id").distinct(), ["child_id", "parent_id"], "left_anti")
+    listed = apart(rows.select("child_id", "parent_id"), "child_id", "parent_id").distinct()
+    added = apart(added, "child_id", "parent_id").join(listed.hint("merge"), ["child_id", "parent_id"], "left_anti")
     first = Window.partitionBy("child_id", "parent_id").orderBy(F.col("from_year").isNull(), "from_year", "to_year", F.concat_ws(";", F.col("pages").cast("array<string>")))
     added = added.withColumn("nth", F.row_number().over(first)).filter("nth = 1").select(*columns)
     return stay.unionByName(added)

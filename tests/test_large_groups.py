@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cadastra.operators import curate, fuzzy, geocode, geometry, shared, textflow, validate
+from cadastra.operators import curate, fuzzy, geocode, geometry, resolve, shared, textflow, validate
 from cadastra.sources import tables
 
 
@@ -168,3 +168,13 @@ def test_changes_meet_a_holders_periods_and_no_rows(spark):
     got = sorted((r.level, r.row, (r.message or "").split(":")[0]) for r in found.collect())
     assert got == [("info", "3", "ends"), ("info", "7", ""), ("warning", "2", "ends"), ("warning", "3", "starts"), ("warning", "4", "holds"), ("warning", "5", "ends")]
     assert "collect_set" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_split_memberships_send_nothing_that_grows(spark):
+    rows = spark.createDataFrame([("a", "fief", None, None, [1]), ("b", "office", 1600, None, [2])], "child_id string, parent_id string, from_year int, to_year int, pages array<int>")
+    realms = spark.createDataFrame([("office", "fief")], "admin string, feudal string")
+    places = spark.createDataFrame([("a", "settlement", "village"), ("b", "settlement", "village"), ("fief", "territory", "fief"), ("office", "territory", "office")], "id string, kind string, place_type string")
+    found = resolve.split_memberships(rows, realms, places, ("fief",))
+    assert sorted((r.child_id, r.parent_id) for r in found.collect()) == [("a", "fief"), ("a", "office"), ("b", "fief"), ("b", "office"), ("fief", "office")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and ("LeftAnti" in line or "LeftSemi" in line and "[child_id" in line)]
