@@ -178,3 +178,38 @@ def test_split_memberships_send_nothing_that_grows(spark):
     assert sorted((r.child_id, r.parent_id) for r in found.collect()) == [("a", "fief"), ("a", "office"), ("b", "fief"), ("b", "office"), ("fief", "office")]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and ("LeftAnti" in line or "LeftSemi" in line and "[child_id" in line)]
+
+
+def test_overlaps_are_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(validate, "_BLOCK", 8)
+    monkeypatch.setattr(validate, "_PART_PAIRS", 1 << 10)
+    random.seed(7)
+    year = lambda low, high: random.choice([None, *range(low, high)])
+    rows = [
+        (i, random.choice(["p", "p", "p", "q", None]), random.choice(["r", "s"]), f"h{random.randrange(4)}", random.choice([None, "1/2"]), random.choice(["held", "held", "claimed"]), random.random() < 0.1, year(1598, 1625), year(1605, 1633))
+        for i in range(300)
+    ]
+    first, last, want = 1600, 1630, []
+    for b in rows:
+        for a in rows[: b[0]]:
+            low = max(first - 1 if r[7] is None else r[7] for r in (a, b))
+            high = min(last + 1 if r[8] is None else r[8] for r in (a, b))
+            meets = (a[8] is not None and a[8] == b[7]) or (b[8] is not None and b[8] == a[7])
+            if a[1] is None or a[1:3] != b[1:3] or low > high or (low == high and meets):
+                continue
+            if a[3] == b[3] and a[4] is None and b[4] is None and a[5] == b[5]:
+                want.append(("warning", str(b[0]), f"duplicates line {a[0]}: same holder of {a[2]} at {a[1]} in overlapping years"))
+            if a[3] != b[3] and None in (a[4], b[4]) and "claimed" not in (a[5], b[5]) and not (a[6] or b[6]):
+                want.append(("info" if a[2] == "s" else "warning", str(b[0]), f"{a[2]} at {a[1]} overlaps line {a[0]} ({a[3]} vs {b[3]})"))
+    frame = spark.createDataFrame(rows, "seq long, place_id string, right_type string, holder_id string, share string, status string, is_disputed boolean, from_year int, to_year int")
+    got = [(r.level, r.row, r.message) for r in validate.overlapping(frame, first, last, ("s",)).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 1000
+
+
+def test_overlaps_cost_what_they_find(spark):
+    n, open_ = 60_000, 3
+    of_all = [F.lit("p").alias("place_id"), F.lit("r").alias("right_type"), F.lit("held").alias("status"), F.lit(False).alias("is_disputed"), F.lit(1600).alias("from_year"), F.lit(1604).alias("to_year")]
+    rows = spark.range(n).select(F.col("id").alias("seq"), F.concat(F.lit("h"), "id").alias("holder_id"), F.when(F.col("id") >= open_, "1/9").alias("share"), *of_all)
+    began = time.time()
+    assert validate.overlapping(rows, 1600, 1630).count() == open_ * (n - open_) + open_ * (open_ - 1) // 2
+    assert time.time() - began < 60  # all pairs are 1.8 thousand million
