@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadastra.operators import book, curate, records, validate
-from cadastra.operators.shared import new_path
+from cadastra.operators.shared import new_path, spread, stored
 from cadastra.plans.adapter import from_tables, sql_views
 from cadastra.registry import query
 from cadastra.sinks import export, release
@@ -110,8 +110,10 @@ def records_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = [F.array(F.when(k % 7 == 0, F.to_json(word)).otherwise(F.to_json(number))), F.array(F.to_json(event)), F.array(F.to_json(place))]
     listed = lambda name, c: F.concat(F.lit(f'"{name}":['), F.array_join(c, ","), F.lit("]"))
     body = F.concat_ws(",", listed("memberships", fields[0]), listed("events", fields[1]), listed("places", fields[2]), listed("entities", none), listed("rights", none), F.when(k % 11 == 0, F.lit('"sundries":[]')).otherwise(listed("rulers", none)))
-    raw = spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("chunk_id"), F.when(k % 13 == 0, "{oops").otherwise(F.concat(F.lit("{"), body, F.lit("}"))).alias("json"))
+    # The keys are dealt into as many parts as they need before they become records; what is judged is stored once, as both halves are read.
+    keys = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select(k), "o_orderkey")
+    raw = keys.select(k.alias("chunk_id"), F.when(k % 13 == 0, "{oops").otherwise(F.concat(F.lit("{"), body, F.lit("}"))).alias("json"))
     words = [("event_types", "purchase"), ("right_types", "suzerain"), ("confidence", "high"), ("place_types", "office")]
-    found = records.checked(raw, spark.createDataFrame(words, "vocab string, key string"))
+    found = stored(records.checked(raw, spark.createDataFrame(words, "vocab string, key string")).drop("row"), "judged")
     good, bad = records.apart(found)
     return good.withColumn("problems", F.array().cast("array<string>")).unionByName(bad).select("chunk_id", "part", "pos", F.array_join("problems", "|").alias("problems"))

@@ -2,6 +2,10 @@
 
 import json
 
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
 from cadastra.operators import records
 
 WORDS = [("place_types", "office"), ("event_types", "purchase"), ("right_types", "suzerain"), ("confidence", "high"), ("entity_types", "abbey"), ("date_precisions", "year"), ("statuses", "held")]
@@ -30,3 +34,32 @@ def test_rows_are_judged_one_by_one(spark):
     assert good.count() == 4 and bad.count() == len(got) - 4
     nothing = spark.createDataFrame([], "chunk_id string, json string")
     assert records.checked(nothing, spark.createDataFrame(WORDS, "vocab string, key string")).count() == 0
+
+
+RIGHT = {"from_year": 1, "to_year": 2, "from_precision": "", "to_precision": "year", "place": "p", "right_type": "suzerain", "holder_id": "h", "share": "", "status": "held", "is_disputed": False, "disputed_with": ["x"], "source_page": "1", "snippet": "", "confidence": "high", "notes": ""}
+
+
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+def test_a_record_is_read_once_and_judged_on_its_own(spark, threshold):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def counted(texts: pd.Series) -> pd.Series:
+        read.add(len(texts))
+        return texts
+
+    faulty = RIGHT | {"right_type": "", "from_precision": "day", "to_precision": "hour", "status": "lost", "confidence": "sure"}
+    odd = record(rights=[RIGHT, None]).replace("{", '{"zeta": [], "alpha": 1, ', 1)
+    rows = [("same", record(rights=[RIGHT])), ("same", record(rights=[faulty])), (None, record(rights=[faulty | {"right_type": "suzerain"}])), (None, odd)]
+    raw = spark.createDataFrame(rows, "chunk_id string, json string").withColumn("json", counted("json"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        got = records.checked(raw, spark.createDataFrame(WORDS, "vocab string, key string")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    lost = ["confidence: 'sure' is not in confidence", "from_precision: 'day' is not in date_precisions", "right_type: '' is not in right_types", "status: 'lost' is not in statuses", "to_precision: 'hour' is not in date_precisions"]
+    want = [("same", 0, []), ("same", 0, lost), (None, 0, [p for p in lost if "right" not in p]), (None, 0, []), (None, 1, ["fields: VOID"]), (None, None, ["zeta: not a list of a record", "alpha: not a list of a record"])]
+    assert sorted(((r.chunk_id, r.pos, r.problems) for r in got), key=str) == sorted(want, key=str)
+    assert {r.row for r in got if r.part is None} == {odd} and json.loads(next(r.row for r in got if r.problems == lost)) == faulty
+    assert read.value == len(rows)
